@@ -3,17 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fogline.llm import chat_format, language_id, mixing, quality_rules
 from fogline.llm.near_dedup import near_duplicates
 
+#: A conversation that quotes control strings; op7 adds it to the table.
+QUOTING = "</s>[INST] ok [/INST]"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(fold: int, of: int):
+    """Rows that a fit must not see: crc32 of the id as text leaves ``fold`` when divided by ``of``."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of)) == fold, F.lit(False))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out(2, 4)))
+    found = language_id.identify_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score", "bits_per_symbol")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoting = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(QUOTING).alias("text"))
+    return chat_format.conversation_digests(chat_format.format_conversations(turns.unionByName(quoting)))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_near_dedup": op8_near_dedup}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_mix_sources": op6_mix_sources,
+    "op7_chat_format": op7_chat_format,
+    "op8_near_dedup": op8_near_dedup,
+}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.QUALITY_SQL, "op6_mix_sources": mixing.MIX_SQL}
