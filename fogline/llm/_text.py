@@ -144,10 +144,18 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray
     return mix(acc + length.astype(U64)), per_doc
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting: several times as fast here as the hash table behind ``np.unique``."""
+    ordered = np.sort(values)
+    fresh = np.ones(len(ordered), dtype=bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    return ordered[fresh]
+
+
 def distinct_by_doc(values: np.ndarray, per_doc: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct values of each document."""
     cuts = np.concatenate([[0], np.cumsum(per_doc)])
-    return [np.unique(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [distinct(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def word_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fogline.llm import _text as X
-from fogline.llm._components import connected_components
+from fogline.llm._linking import link
 from fogline.llm._scratch import BROADCAST_KEYS, Scratch
 
 SHINGLE_WORDS, SIMILARITY, COORDINATES, MATCHES = 5, 75, 64, 34
@@ -105,43 +105,6 @@ def _agree(pairs: DataFrame, sig: DataFrame, matches: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(hits >= matches).select("a", "b")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Pairs whose whole sets reach the similarity, in hundredths."""
-    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("same"), (F.size("set_a") + F.size("set_b")).cast("long").alias("sizes"))
-    return both.where(100 * F.col("same") >= similarity * (F.col("sizes") - F.col("same"))).select("a", "b")
-
-
-def _left_apart(live: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of documents of different components whose sets can still reach the similarity.
-
-    Shingles are ordered from rare to frequent. If two sets share enough, the rarest ones they share lie near the front of
-    both: at places i and j of sets of n and m, at most 1 + min(n - i, m - j) - 1 can be shared, and at least
-    s / (100 + s) * (n + m) must be. Both bounds are part of the join, so a pair that cannot reach the threshold is not made.
-    """
-    rows = live.join(sets, "doc").select("doc", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    ranked = (
-        rows.join(often, "shingle")
-        .groupBy("doc", "component", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("order"))  # bounded by the document's own length
-        .withColumn("alone", F.col("n") - F.size("order"))
-        .withColumn("front", F.col("n") - F.ceil(F.lit(similarity) * F.col("n") / 100).cast("int") + 1 - F.col("alone"))
-        .where("front > 0")
-        .select("doc", "component", "n", "alone", F.posexplode(F.slice("order", F.lit(1), F.col("front"))).alias("at", "key"))
-        .select("doc", "component", "n", F.col("key.shingle").alias("shingle"), (F.col("at") + F.col("alone")).alias("at"))
-    )
-    x, y = ranked.alias("x"), ranked.alias("y")
-    need = F.lit(similarity) * (F.col("x.n") + F.col("y.n"))
-    reach = F.lit(100 + similarity) * F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    return (
-        x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & (reach >= need))
-        .select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
-        .distinct()
-    )
-
-
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -190,19 +153,30 @@ def near_duplicates(
     sig = scratch.write(sig.join(wanted, "doc", "left_semi"), "sig")
     scratch.drop("profile")
 
-    first = posted.groupBy("token").agg(F.min("doc").alias("a"))
-    star = posted.join(first, "token").where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
-    links = scratch.write(_confirm(_agree(star, sig, matches), sets, similarity), "links_star")
-    found = connected_components(links, scratch, "cc_star")
-
-    placed = posted.join(found, posted["doc"] == found["node"], "left").select("token", "doc", F.coalesce("component", "doc").alias("component"))
-    apart = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    live = scratch.write(placed.join(apart, "token", "left_semi").select("doc", "component").distinct(), "live")
-    more = _confirm(_agree(_left_apart(live, sets, similarity), sig, matches), sets, similarity)
-    links = scratch.write(links.unionByName(more), "links")
-    found = scratch.write(connected_components(links, scratch, "cc"), "components")
-    scratch.drop("posted", "sets", "sig", "live", "links_star", "wanted")
+    found = link(posted, sets, similarity, scratch, lambda pairs: _agree(pairs, sig, matches))
+    scratch.drop("posted", "sets", "sig", "wanted")
 
     out = members.join(found, members["doc"] == found["node"], "left")
     component = F.coalesce("component", "doc", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of every component, all columns as they are. Rows with a null id all stay."""
+    scratch = Scratch(docs.sparkSession, "kept")
+    found = near_duplicates(docs, id_col, text_col, **options).where("doc_id is not null")
+    verdicts = scratch.write(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "verdicts")
+
+    def sized(ids: DataFrame) -> tuple[DataFrame, int]:
+        ids = ids.select(F.col("doc_id").alias("_id"))
+        n = ids.count()
+        return (F.broadcast(ids) if n <= BROADCAST_KEYS else ids), n
+
+    gone, _ = sized(verdicts.where("not kept"))
+    again, repeats = sized(verdicts.where("kept and rows > 1"))
+    key = F.col(f"`{id_col}`").cast("long")
+    left = docs.join(gone, key == gone["_id"], "left_anti")
+    if not repeats:
+        return left
+    several = left.join(again, key == again["_id"], "left_semi").dropDuplicates([id_col])
+    return left.join(again, key == again["_id"], "left_anti").unionByName(several)

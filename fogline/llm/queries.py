@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fogline.llm import chat_format, language_id, mixing, quality_rules
+from fogline.llm import chat_format, decontaminate, html_extract, language_id, line_dedup, mixing, quality_classifier, quality_rules, sharding
+from fogline.llm._scratch import Scratch
 from fogline.llm.near_dedup import near_duplicates
 
 #: A conversation that quotes control strings; op7 adds it to the table.
@@ -21,6 +23,10 @@ def held_out(fold: int, of: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of)) == fold, F.lit(False))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~held_out(2, 4)))
@@ -28,11 +34,21 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score", "bits_per_symbol")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Scratch(spark, "shards")
+    sharded = sharding.shard_documents(table(spark, sf_dir, "documents"), store.path("store"))
+    return sharded.select("doc_id", "n_chars", "shard", "shard_rows", "version")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -47,11 +63,29 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    seen = docs.where(~held_out(1, 3)).join(labels.where(~held_out(1, 3)), "doc_id")
+    model = quality_classifier.fit(seen.select("text", "quality"))
+    found = quality_classifier.classify(docs, model)
+    return found.select("doc_id", held_out(1, 3).alias("held_out"), "score", "predicted")
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
+    "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
+    "op5_sharding": op5_sharding,
     "op6_mix_sources": op6_mix_sources,
     "op7_chat_format": op7_chat_format,
     "op8_near_dedup": op8_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_html_extract": op10_html_extract,
 }
 ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.QUALITY_SQL, "op6_mix_sources": mixing.MIX_SQL}
