@@ -1,7 +1,6 @@
 """From shared keys to exact links and their components, without all pairs of a group.
 
-Used by the near-duplicate operators. ``posted`` (token, doc) lists items under the keys that they share; ``sets``
-(doc, shingles) holds the whole distinct shingle set of every listed item.
+Used by the near-duplicate operators. ``posted`` (token, doc) lists items under the keys that they share.
 """
 
 from __future__ import annotations
@@ -23,14 +22,15 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.where(100 * F.col("same") >= similarity * (F.col("sizes") - F.col("same"))).select("a", "b")
 
 
-def left_apart(live: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of items of different components whose sets can still reach the similarity.
+def left_apart(live: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of items of different components whose sets can still reach the similarity; ``live`` has doc, component and
+    shingles (the whole distinct set).
 
     Shingles are ordered from rare to frequent. If two sets share enough, the rarest ones they share lie near the front of
     both: at places i and j of sets of n and m, at most min(n - i, m - j) can be shared, and at least
     s / (100 + s) * (n + m) must be. Both bounds are part of the join, so a pair that cannot reach the threshold is not made.
     """
-    rows = live.join(sets, "doc").select("doc", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    rows = live.select("doc", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     ranked = (
         rows.join(often, "shingle")
@@ -52,23 +52,22 @@ def left_apart(live: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     )
 
 
-def link(posted: DataFrame, sets: DataFrame, similarity: int, scratch: Scratch, screen: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+def link(posted: DataFrame, similarity: int, scratch: Scratch, confirmed: Callable[[DataFrame], DataFrame], with_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components (node, component) of the items whose sets reach the similarity and that share a token.
 
     Each token's list is merged with its smallest member first, so its pairs grow with the list and not with its square.
-    Where a list still holds several components, its members are compared again by exact prefix filtering. ``screen`` may
-    thin out candidate pairs before the sets are compared.
+    Where a list still holds several components, its members are compared again by exact prefix filtering. ``confirmed``
+    gives those of the pairs (a, b) that are links; ``with_sets`` adds the column shingles to (doc, component).
     """
     first = posted.groupBy("token").agg(F.min("doc").alias("a"))
     star = posted.join(first, "token").where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
-    links = scratch.write(confirm(screen(star), sets, similarity), "links_star")
+    links = scratch.write(confirmed(star), "links_star")
     found = connected_components(links, scratch, "cc_star")
 
     placed = posted.join(found, posted["doc"] == found["node"], "left").select("token", "doc", F.coalesce("component", "doc").alias("component"))
     apart = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     live = scratch.write(placed.join(apart, "token", "left_semi").select("doc", "component").distinct(), "live")
-    more = confirm(screen(left_apart(live, sets, similarity)), sets, similarity)
-    links = scratch.write(links.unionByName(more), "links")
+    links = scratch.write(links.unionByName(confirmed(left_apart(with_sets(live), similarity))), "links")
     found = scratch.write(connected_components(links, scratch, "cc"), "components")
     scratch.drop("live", "links_star", "links")
     return found

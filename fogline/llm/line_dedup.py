@@ -127,15 +127,40 @@ def _band_keys(k: int, bands: int, rows: int):
     return run
 
 
-def _line_sets(k: int):
+def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text, starts, stops, _, _, node in _chunks(batch):
+            starts, stops, node = _distinct_lines(starts, stops, node)
+            lines = pa.array([text[a:b].tobytes() for a, b in zip(starts, stops, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(node), lines.cast(pa.string())], names=["doc", "text"])
+
+
+def _shingle_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, starts, stops, _, _, node in _chunks(batch):
-                starts, stops, node = _distinct_lines(starts, stops, node)
-                values, per = line_shingles(text, starts, stops, k)
-                sets = X.distinct_by_doc(values, per)
+            for chunk in X.chunks(batch.column(2)):
+                sets = X.distinct_by_doc(*line_shingles(chunk.data, chunk.offsets[:-1], chunk.offsets[1:], k))
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["doc", "shingles"])
+                shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), batch.column(1).slice(chunk.first, len(chunk)), shingles], names=["doc", "component", "shingles"])
+
+    return run
+
+
+def _alike(k: int, similarity: int):
+    """Whether two lines reach the similarity, from the shingles themselves."""
+
+    def shingles(line: str) -> set[str]:
+        return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
+
+    @F.arrow_udf("boolean")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            s, t = shingles(x), shingles(y)
+            same = len(s & t)
+            out.append(100 * same >= similarity * (len(s) + len(t) - same))
+        return pa.array(out, pa.bool_())
 
     return run
 
@@ -165,10 +190,19 @@ def repeated_lines(
     posted = scratch.write(shared.select("token", "doc").distinct(), "posted")
 
     wanted = scratch.write(posted.select(F.col("doc").alias("wanted")).distinct(), "wanted")
-    sets = base.mapInArrow(_line_sets(shingle_chars), "doc long, shingles array<bigint>")
+    lines = base.mapInArrow(_line_texts, "doc long, text string")
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
-    sets = scratch.write(sets.join(near, sets["doc"] == near["wanted"], "left_semi").dropDuplicates(["doc"]), "sets")
-    found = link(posted, sets, similarity, scratch)
+    texts = scratch.write(lines.join(near, lines["doc"] == near["wanted"], "left_semi").dropDuplicates(["doc"]), "texts")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        a, b = (texts.select(F.col("doc").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b"))
+        both = pairs.join(a, "a").join(b, "b")
+        return both.where(_alike(shingle_chars, similarity)(F.col("text_a"), F.col("text_b"))).select("a", "b")
+
+    def with_sets(live: DataFrame) -> DataFrame:
+        return live.join(texts, "doc").select("doc", "component", "text").mapInArrow(_shingle_sets(shingle_chars), "doc long, component long, shingles array<bigint>")
+
+    found = link(posted, similarity, scratch, confirmed, with_sets)
 
     firsts = occurrences.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("times"))
     labels = found.select(F.col("node").alias("linked"), "component")
@@ -178,7 +212,7 @@ def repeated_lines(
     keep = scratch.write(placed.join(keepers, "component").select(F.col("node").alias("repeated"), "keep"), "keep")
     keep = F.broadcast(keep) if keep.count() <= BROADCAST_KEYS // 4 else keep
     dropped = occurrences.join(keep, occurrences["node"] == keep["repeated"]).where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")))
-    scratch.drop("posted", "wanted", "sets")
+    scratch.drop("posted", "wanted", "texts")
     return dropped.select("doc_id", "line", F.col("keep.doc_id").alias("kept_doc_id"), F.col("keep.line").alias("kept_line")).distinct()
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fogline.llm import _text as X
-from fogline.llm._linking import link
+from fogline.llm._linking import confirm, link
 from fogline.llm._scratch import BROADCAST_KEYS, Scratch
 
 SHINGLE_WORDS, SIMILARITY, COORDINATES, MATCHES = 5, 75, 64, 34
@@ -153,7 +153,7 @@ def near_duplicates(
     sig = scratch.write(sig.join(wanted, "doc", "left_semi"), "sig")
     scratch.drop("profile")
 
-    found = link(posted, sets, similarity, scratch, lambda pairs: _agree(pairs, sig, matches))
+    found = link(posted, similarity, scratch, lambda pairs: confirm(_agree(pairs, sig, matches), sets, similarity), lambda live: live.join(sets, "doc"))
     scratch.drop("posted", "sets", "sig", "wanted")
 
     out = members.join(found, members["doc"] == found["node"], "left")
