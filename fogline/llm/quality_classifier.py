@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fogline.llm import _text as X
@@ -156,8 +156,8 @@ def fit(labelled: DataFrame, label_col: str = "quality", text_col: str = "text",
 
     key = F.xxhash64("text")
     texts = rows.select("label", key.alias("key")).distinct()
-    ranked = texts.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("key"))).where(F.col("rank") <= sample_rows)
-    drawn = F.broadcast(ranked.select(F.col("label").alias("drawn_label"), F.col("key").alias("drawn_key")))  # at most 2 x sample_rows
+    first = [texts.where(F.col("label") == k).orderBy("key").limit(sample_rows) for k in (0, 1)]  # top-k, so no task sorts a class
+    drawn = F.broadcast(first[0].union(first[1]).select(F.col("label").alias("drawn_label"), F.col("key").alias("drawn_key")))  # at most 2 x sample_rows
     chosen = rows.withColumn("key", key).join(drawn, (F.col("label") == F.col("drawn_label")) & (F.col("key") == F.col("drawn_key"))).dropDuplicates(["label", "key"]).select("text", "label")
     schema = "label int, n long, keys array<int>"
 
