@@ -265,8 +265,9 @@ def arrival_times(storms: DataFrame, targets: DataFrame, motion: DataFrame, shap
     motion field and the storms of the issue make up a group.
     """
     ny, nx = shape
-    members = motion.select("member").distinct()
+    members = motion.select(F.col("member").alias("_member")).distinct()
     tasks = storms.select("track_id", "cells").crossJoin(F.broadcast(targets.select("target_id", "x", "y", "radius_km"))).crossJoin(members)  # storms x targets x members are the rows asked for
+    tasks = tasks.withColumn("member", F.col("_member")).drop("_member")
 
     def run(asked: pd.DataFrame, wind: pd.DataFrame) -> pd.DataFrame:
         u, v = np.zeros((ny, nx)), np.zeros((ny, nx))

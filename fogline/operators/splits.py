@@ -58,8 +58,12 @@ def storm_day() -> Column:
 
 def event_grouped_by_fraction(frames: DataFrame, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """(frame_id, split): groups in order of their first frame, the first share to train, the next to validation."""
-    groups = frames.withColumn("group", storm_day()).groupBy("group").agg(F.min("timestamp").alias("first"))
-    ranked = groups.withColumn("nth", F.row_number().over(Window.orderBy("first", "group"))).crossJoin(groups.agg(F.count(F.lit(1)).alias("n")))
+    groups = frames.withColumn("group", storm_day()).groupBy("group").agg(F.min("timestamp").alias("first")).withColumn("day", F.to_date("first"))
+    days = groups.groupBy("day").agg(F.count(F.lit(1)).alias("of_day"))  # one row per day, so one task may order them
+    upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    days = days.select("day", (F.sum("of_day").over(upto) - F.col("of_day")).alias("before"), F.sum("of_day").over(whole).alias("n"))
+    ranked = groups.join(days, "day").withColumn("nth", F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy("first", "group")))
     n_train = F.greatest(F.floor(F.col("n") * train), F.lit(1))
     n_valid = F.floor(F.col("n") * validation)
     split = F.when(F.col("nth") <= n_train, "train").when(F.col("nth") <= n_train + n_valid, "validation").otherwise("test")

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from fogline.queries import decisions, fields, ingest, products, verification  # noqa: F401  they register their queries
+from fogline.queries._registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -94,7 +94,7 @@ def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 def near_in_space_and_time(points: DataFrame, events: DataFrame, radius_km: float, window_min: float, before: bool = False) -> DataFrame:
     """(point_id, event_id, km, minutes) of events within the radius and the minutes after a point (and before, if asked).
 
-    An extension: the reference states such label rules in words only. Points and events meet in bins of latitude and time
+    Points and events meet in bins of latitude and time
     as wide as the limits, so a point meets the events of nine bins and not all.
     """
     step_lat, step_s = radius_km / 111.0, int(window_min * 60)
