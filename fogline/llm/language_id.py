@@ -203,7 +203,8 @@ def _batches(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
 def predict(model: CrossParser, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and bits per symbol of every text.
 
-    The score is the share of the winner in the odds of all languages. Ties go to the first language by code point. Without
+    The score is the share of the winner in the odds of all languages. Bits per symbol leave out the first phrase, which any
+    text needs, so one short word is not taken for an unknown language. Ties go to the first language by code point. Without
     a letter, or without any learned language, the language is ``und`` and both numbers are 0.
     """
     t = tables(model)
@@ -220,7 +221,7 @@ def predict(model: CrossParser, texts: list[str | None]) -> tuple[list[str], np.
         for i in np.flatnonzero(spelled):
             langs[first + i] = t.langs[best[i]]
             score[first + i] = odds[i, best[i]] / odds[i].sum()
-            bits[first + i] = cost[i, best[i]] / sizes[i]
+            bits[first + i] = (cost[i, best[i]] - t.cost[best[i]]) / sizes[i]
     return langs, score, bits
 
 
