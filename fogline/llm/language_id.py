@@ -100,7 +100,7 @@ def code_points(text: str) -> np.ndarray:
 
 
 class Tables:
-    """What the parse reads: a code for every code point, and per language the next state and whether a phrase ended."""
+    """What the parse reads: a code for every code point, and per language the next state and how many phrases ended."""
 
     def __init__(self, model: CrossParser):
         letters = letter_table()
@@ -119,15 +119,16 @@ class Tables:
             go = automaton(symbols.tolist())
             table = np.zeros((len(go), self.width), dtype=np.int32)
             for c in range(self.width):
-                table[:, c] = 2 * go[0].get(c, 0) + 1  # the phrase ends before this symbol, the next one starts with it
+                table[:, c] = 4 * go[0].get(c, 0) + 1  # the phrase ends before this symbol, the next one starts with it
             table[0] -= 1  # no phrase is open at the start
             for c in range(self.width):
                 if c not in go[0]:
-                    table[:, c] = 1  # a symbol that the sample lacks is a phrase of its own
+                    table[:, c] = 2  # a symbol that the sample lacks is a phrase of its own, and ends the one before
+                    table[0, c] = 1
             for state, edges in enumerate(go):
                 for c, to in edges.items():
-                    table[state, c] = 2 * to
-            table[:, PAD] = 2 * np.arange(len(go), dtype=np.int32)
+                    table[state, c] = 4 * to
+            table[:, PAD] = 4 * np.arange(len(go), dtype=np.int32)
             self.next.append(table.ravel())
             self.cost.append(np.log2(max(2, len(symbols))))
 
@@ -171,8 +172,8 @@ class Tables:
             width = np.int32(self.width)
             for j in range(STRETCH):
                 step = table[state * width + grid[j]]
-                count += step & 1
-                state = step >> 1
+                count += step & 3
+                state = step >> 2
             count += state != 0  # the phrase still open
             out[:, k] = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
         return out, sizes
