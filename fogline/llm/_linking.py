@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fogline.llm._components import connected_components
@@ -52,22 +52,54 @@ def left_apart(live: DataFrame, similarity: int) -> DataFrame:
     )
 
 
-def link(posted: DataFrame, similarity: int, scratch: Scratch, confirmed: Callable[[DataFrame], DataFrame], with_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _placed(posted: DataFrame, found: DataFrame) -> DataFrame:
+    """Postings with the component of their item."""
+    return posted.join(found, posted["doc"] == found["node"], "left").select("token", "doc", F.coalesce("component", "doc").alias("component"))
+
+
+def _apart(placed: DataFrame) -> DataFrame:
+    """Tokens whose list holds several components."""
+    return placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+
+
+def link(
+    posted: DataFrame,
+    similarity: int,
+    scratch: Scratch,
+    confirmed: Callable[[DataFrame], DataFrame],
+    with_sets: Callable[[DataFrame], DataFrame],
+    centres: int = 0,
+) -> DataFrame:
     """Components (node, component) of the items whose sets reach the similarity and that share a token.
 
     Each token's list is merged with its smallest member first, so its pairs grow with the list and not with its square.
     Where a list still holds several components, its members are compared again by exact prefix filtering. ``confirmed``
     gives those of the pairs (a, b) that are links; ``with_sets`` adds the column shingles to (doc, component).
+
+    With ``centres``, ``confirmed`` is exact on its own, so no pair is compared twice: the next ``centres - 1`` members of a
+    list that is apart are compared with the members behind them, which settles every list of up to ``centres + 1`` members,
+    and only what is apart behind the centres goes to prefix filtering.
     """
     first = posted.groupBy("token").agg(F.min("doc").alias("a"))
     star = posted.join(first, "token").where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
     links = scratch.write(confirmed(star), "links_star")
     found = connected_components(links, scratch, "cc_star")
 
-    placed = posted.join(found, posted["doc"] == found["node"], "left").select("token", "doc", F.coalesce("component", "doc").alias("component"))
-    apart = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    live = scratch.write(placed.join(apart, "token", "left_semi").select("doc", "component").distinct(), "live")
+    placed = _placed(posted, found)
+    if centres:
+        behind = placed.join(first, "token").where("doc <> a").drop("a")
+        placed = scratch.write(behind.join(_apart(behind), "token", "left_semi"), "behind")
+        order = Window.partitionBy("token").orderBy("doc")
+        heads = placed.withColumn("place", F.row_number().over(order)).where(F.col("place") < centres)  # cut to its first rows before the shuffle
+        heads = scratch.write(heads, "heads")
+        x, y = heads.alias("x"), placed.alias("y")
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component")))
+        links = scratch.write(links.unionByName(confirmed(pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct())), "links_heads")
+        found = connected_components(links, scratch, "cc_heads")
+        last = heads.where(F.col("place") == centres - 1).select("token", F.col("doc").alias("last"))
+        placed = _placed(placed.join(last, "token").where("doc > last").select("token", "doc"), found)
+    live = scratch.write(placed.join(_apart(placed), "token", "left_semi").select("doc", "component").distinct(), "live")
     links = scratch.write(links.unionByName(confirmed(left_apart(with_sets(live), similarity))), "links")
     found = scratch.write(connected_components(links, scratch, "cc"), "components")
-    scratch.drop("live", "links_star", "links")
+    scratch.drop("live", "links_star", "links", "behind", "heads", "links_heads")
     return found

@@ -23,6 +23,8 @@ from fogline.llm._scratch import BROADCAST_KEYS, Scratch
 from fogline.llm.near_dedup import signature_seeds, signatures
 
 SHINGLE_CHARS, SIMILARITY, BANDS, BAND_ROWS = 9, 75, 14, 4
+#: Members of a band's list that are compared with all behind them before prefix filtering takes over.
+CENTRES = 8
 _NEWLINE = 10
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = True
@@ -85,9 +87,18 @@ def line_shingles(text: np.ndarray, starts: np.ndarray, stops: np.ndarray, k: in
     points, a, b = _points(text, starts, stops)
     per = np.maximum(b - a - k + 1, 1)
     first = np.concatenate([[0], np.cumsum(per)])[:-1]
-    at = np.arange(int(per.sum())) - np.repeat(first - a, per)
-    end = np.minimum(at + k, np.repeat(b, per))
-    return X.span_hashes(points, at, end), per
+    windows = X.window_hashes(points, k)
+    out = np.zeros(int(per.sum()), dtype=np.uint64)
+    if len(windows):
+        at = np.arange(len(out)) - np.repeat(first - a, per)
+        np.take(windows, np.minimum(at, len(windows) - 1), out=out)
+    short = b - a < k
+    if short.any():
+        ends = np.cumsum((b - a)[short])
+        starts = ends - (b - a)[short]
+        packed = points[np.arange(ends[-1]) + np.repeat(a[short] - starts, ends - starts)]
+        out[first[short]] = X.span_hashes(packed, starts, ends)
+    return out, per
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -182,7 +193,7 @@ def repeated_lines(
     """
     scratch = Scratch(docs.sparkSession, "lines")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    occurrences = base.mapInArrow(_occurrences, "node long, doc_id long, line int")
+    occurrences = scratch.write(base.mapInArrow(_occurrences, "node long, doc_id long, line int"), "occurrences")
 
     keys = base.mapInArrow(_band_keys(shingle_chars, bands, band_rows), "token long, doc long")
     same_key = Window.partitionBy("token")
@@ -202,7 +213,7 @@ def repeated_lines(
     def with_sets(live: DataFrame) -> DataFrame:
         return live.join(texts, "doc").select("doc", "component", "text").mapInArrow(_shingle_sets(shingle_chars), "doc long, component long, shingles array<bigint>")
 
-    found = link(posted, similarity, scratch, confirmed, with_sets)
+    found = link(posted, similarity, scratch, confirmed, with_sets, CENTRES)
 
     firsts = occurrences.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("times"))
     labels = found.select(F.col("node").alias("linked"), "component")
