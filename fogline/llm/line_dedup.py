@@ -158,20 +158,37 @@ def _shingle_sets(k: int):
     return run
 
 
+def _sized(k: int):
+    """Adds the number of distinct shingles to (doc, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(s) for chunk in X.chunks(batch.column(1)) for s in X.distinct_by_doc(*line_shingles(chunk.data, chunk.offsets[:-1], chunk.offsets[1:], k))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32())], names=["doc", "text", "n"])
+
+    return run
+
+
 def _alike(k: int, similarity: int):
-    """Whether two lines reach the similarity, from the shingles themselves."""
+    """Whether two lines reach the similarity, from all their shingles; n is the size of both sets together.
 
-    def shingles(line: str) -> set[str]:
-        return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
+    The shingles of both lines of a pair are sorted behind the number of the pair: of 2**40 values, so that two of the
+    shingles of a pair of a thousand are taken for one by chance in one of a million such pairs.
+    """
 
     @F.arrow_udf("boolean")
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-            s, t = shingles(x), shingles(y)
-            same = len(s & t)
-            out.append(100 * same >= similarity * (len(s) + len(t) - same))
-        return pa.array(out, pa.bool_())
+    def run(both: pa.Array, cut: pa.Array, n: pa.Array) -> pa.Array:
+        lengths, sizes, out = np.asarray(cut).astype(np.int64), np.asarray(n).astype(np.int64), [np.zeros(0, dtype=bool)]
+        for chunk in X.chunks(both):
+            part = slice(chunk.first, chunk.first + len(chunk))
+            middle = chunk.offsets[:-1] + lengths[part]
+            starts, stops = np.column_stack([chunk.offsets[:-1], middle]).ravel(), np.column_stack([middle, chunk.offsets[1:]]).ravel()
+            values, per = line_shingles(chunk.data, starts, stops, k)
+            pair = np.repeat(np.arange(len(chunk), dtype=np.uint64), per.reshape(-1, 2).sum(axis=1))
+            union = X.distinct((pair << np.uint64(40)) | (values >> np.uint64(24))) >> np.uint64(40)
+            union = np.bincount(union.astype(np.int64), minlength=len(chunk))
+            out.append(100 * (sizes[part] - union) >= similarity * union)
+        return pa.array(np.concatenate(out), pa.bool_())
 
     return run
 
@@ -203,12 +220,14 @@ def repeated_lines(
     wanted = scratch.write(posted.select(F.col("doc").alias("wanted")).distinct(), "wanted")
     lines = base.mapInArrow(_line_texts, "doc long, text string")
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
-    texts = scratch.write(lines.join(near, lines["doc"] == near["wanted"], "left_semi").dropDuplicates(["doc"]), "texts")
+    texts = lines.join(near, lines["doc"] == near["wanted"], "left_semi").dropDuplicates(["doc"])
+    texts = scratch.write(texts.mapInArrow(_sized(shingle_chars), "doc long, text string, n int"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("doc").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b"))
-        both = pairs.join(a, "a").join(b, "b")
-        return both.where(_alike(shingle_chars, similarity)(F.col("text_a"), F.col("text_b"))).select("a", "b")
+        a, b = (texts.select(F.col("doc").alias(k), F.col("text").alias(f"text_{k}"), F.col("n").alias(f"n_{k}")) for k in ("a", "b"))
+        both = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+        alike = _alike(shingle_chars, similarity)(F.concat("text_a", "text_b"), F.octet_length("text_a"), F.col("n_a") + F.col("n_b"))
+        return both.where(alike).select("a", "b")
 
     def with_sets(live: DataFrame) -> DataFrame:
         return live.join(texts, "doc").select("doc", "component", "text").mapInArrow(_shingle_sets(shingle_chars), "doc long, component long, shingles array<bigint>")
