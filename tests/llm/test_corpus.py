@@ -10,7 +10,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fogline.llm import chat_format, decontaminate, html_extract, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding
+from fogline.llm import _linking, chat_format, decontaminate, html_extract, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding
+from fogline.llm._scratch import Scratch
 from fogline.llm.queries import ORACLES, QUERIES
 from tests.conftest import MEDIUM, SMALL, same_as_sql
 
@@ -321,3 +322,26 @@ def test_pipeline_stages_take_effect(spark):
     odd = corpus(spark, awkward(random.Random(10))).select(*names)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), SMALL).count() == 0
+
+
+@pytest.mark.parametrize("centres", [0, 2, 8])
+def test_lists_longer_than_their_centres_lose_no_link(spark, centres):
+    rng = random.Random(5)
+    groups = [[1000 * g + k for k in range(40)] for g in range(6)]
+    sets = {}
+    for i in range(60):  # chains: a neighbour shares most, the far end of a group less
+        base = groups[i % 6]
+        sets[i] = sorted({*base[i // 12 : i // 12 + 36], *(9000 + rng.randrange(10**6) for _ in range(rng.randrange(5)))})
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in range(a):
+            same = len(set(sets[a]) & set(sets[b]))
+            if 100 * same >= 75 * (len(sets[a]) + len(sets[b]) - same):
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    table = spark.createDataFrame([(i, x) for i, x in sets.items()], "doc long, shingles array<bigint>")
+    posted = spark.createDataFrame([(7, i) for i in sets] + [(8, 0), (8, 1)], "token long, doc long")
+    found = _linking.link(posted, 75, Scratch(spark, "test"), lambda pairs: _linking.confirm(pairs, table, 75), lambda live: live.join(table, "doc"), centres)
+    got = {r.node: r.component for r in found.collect()}
+    assert {i: got.get(i, i) for i in sets} == label
+    assert 1 < len(set(label.values())) < len(label)
