@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -30,13 +31,22 @@ INLINE = (
     *("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike strong".split()),
     *("sub sup time tt u var".split()),
 )
-#: Words in a class, id or role that name a part beside the article.
-PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsored|sponsor|promo|promotion|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget"
-    r"|footer|foot|masthead|topbar|header|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social"
-    r"|related|recommended|recommendations|comments?|commentlist|disqus|respond|replies|toolbar|pagination|pager|skip|hidden|copyright|complementary|contentinfo)(?:$|[\s_-]|\d)",
-    re.I,
+#: Words that name a part beside the article, as a whole class, id or role or as the head of a compound name (site-footer).
+PARTS = frozenset(
+    "ad ads advert adverts advertisement adsense sponsored sponsor promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget"
+    " footer foot masthead topbar header cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login search share sharing social"
+    " related recommended recommendations comment comments commentlist disqus respond replies toolbar pagination pager skip hidden copyright complementary contentinfo".split()
 )
+#: Parts that may hold more text than the article; they never stand around it.
+REPLIES = frozenset("related recommended recommendations comment comments commentlist disqus respond replies".split())
+#: Words behind the name of a part that leave it one (sidebar-inner, comment-list).
+HOLDERS = frozenset(
+    "area bar block body bottom box btn button buttons card column container content footer form group header icons inner item items left links list menu nav panel posts right"
+    " row section slot stories text title top trail unit widget widgets wrap wrapper".split()
+)
+#: Words before the name of a part that say something of the page and name no part (has-sidebar).
+MODIFIERS = frozenset("has have no not non without with layout hide show".split())
+HIDING = frozenset(("hidden", "is-hidden", "visually-hidden"))
 _ATTRIBUTES = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _TAG = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -52,26 +62,43 @@ class Block:
     heading: bool
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
+    wrappers: tuple[tuple[int, bool], ...] = ()  # elements around it that are named as parts: number, and whether for replies
+
+
+def part_name(token: str) -> str | None:
+    """The part that a class, id or role names: as its whole, as its last word, or as its first with holders behind it."""
+    if token.lower() in HIDING:
+        return "hidden"
+    words = [w for x in re.split(r"[-_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if (w := x.rstrip("0123456789"))]
+    if not words or words[0] in MODIFIERS or (words[-1] == "hidden" and len(words) > 1):
+        return None
+    if words[-1] in PARTS:
+        return words[-1]
+    return words[0] if words[0] in PARTS and all(w in HOLDERS or w in PARTS for w in words[1:]) else None
 
 
-def _beside(attributes: str) -> bool:
-    """Whether the attributes name a part beside the article, or hide the element."""
+def _hides(attributes: str) -> bool:
+    """Whether the attributes hide the element."""
     for m in _NAMED.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role") and PARTS.search(value):
-            return True
     return False
 
 
+def _parts(attributes: str) -> list[str]:
+    """The parts beside the article that class, id and role name."""
+    values = (m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(attributes) if m[1].lower() in ("class", "id", "role"))
+    return [part for value in values for token in value.split() if (part := part_name(token))]
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order. Tags that are never closed, or closed twice, do no harm beyond their parent."""
     found: list[Block] = []
-    stack: list[tuple[str, str]] = []  # open elements and the place inside each: article, beside, skip or page
-    links = 0
+    stack: list[tuple[str, str, tuple]] = []  # open elements, the place inside each (article, freed, beside, skip or page) and wrappers
+    links = named = 0
     low = page.lower() if len(page.lower()) == len(page) else page
     state = {"block": None}
 
@@ -88,8 +115,8 @@ def blocks_of(page: str) -> list[Block]:
         if state["block"] is None:
             if piece.isspace():
                 return
-            heading = any(re.fullmatch("h[1-6]", name) for name, _ in stack)
-            state["block"] = Block(where, heading)
+            heading = any(re.fullmatch("h[1-6]", name) for name, _, _ in stack)
+            state["block"] = Block(where, heading, wrappers=stack[-1][2] if stack else ())
             found.append(state["block"])
         plain = entities.unescape(piece)
         state["block"].pieces.append(plain)
@@ -169,20 +196,26 @@ def blocks_of(page: str) -> list[Block]:
                     if stack[k][0] in ("ul", "ol", "table", "dl", "tbody", "thead"):
                         break
             where = place()
-        inside = where
+        inside, wrappers = where, stack[-1][2] if stack else ()
+        parts = _parts(attributes) if attributes and name not in ("html", "body") else []
         if name in SKIPPED or where == "skip":
             inside = "skip"
-        elif name in BOILERPLATE or (name not in ("html", "body") and attributes and _beside(attributes)):
+        elif name in BOILERPLATE or (name not in ("html", "body") and attributes and _hides(attributes)):
             inside = "beside"
-        elif name == "header" and where != "article":
+        elif name == "header" and where not in ("article", "freed"):
             inside = "beside"
         elif name in CONTENT and where != "beside":
             inside = "article"
-        if name in INLINE and inside == where:
+            if wrappers and not parts and not any(replies for _, replies in wrappers):
+                inside, wrappers = "article" if name == "main" else "freed", ()
+        if parts:
+            wrappers = (*wrappers, (named, not REPLIES.isdisjoint(parts)))
+            named += 1
+        if name in INLINE and inside == where and not parts:
             continue
         if name in INLINE:
             cut()
-        stack.append((name, inside))
+        stack.append((name, inside, wrappers))
     return found
 
 
@@ -190,12 +223,12 @@ def tidy(pieces: list[str]) -> str:
     return " ".join("".join(pieces).split())
 
 
-def _first_pass(block: Block, text: str, has_article: bool) -> str:
-    """good, bad, or unsure."""
-    if block.place == "beside":
+def _first_pass(block: Block, text: str, place: str, has_article: bool) -> str:
+    """good, bad, near or unsure."""
+    if place == "beside":
         return "bad"
     links = block.linked / max(1, len(text))
-    if block.place == "article":
+    if place == "article":
         return "bad" if links > MAX_LINKS and len(text) < LONG and links > 0.9 else "good"
     if has_article or links > MAX_LINKS or "©" in text:
         return "bad"
@@ -210,13 +243,11 @@ def _first_pass(block: Block, text: str, has_article: bool) -> str:
     return "bad" if len(text) >= LONG else "unsure"
 
 
-def main_text(page: str | None) -> str:
-    """Article text of a page: blocks joined by line feeds, one space for any white space inside a block."""
-    if not page:
-        return ""
-    blocks = [(b, t) for b in blocks_of(page) if (t := tidy(b.pieces))]
-    has_article = any(b.place == "article" for b, _ in blocks)
-    labels = [_first_pass(b, t, has_article) for b, t in blocks]
+def _good(blocks: list[tuple[Block, str]], bound: set[int], all_bound: bool) -> list[str]:
+    """Texts of the good blocks; those inside an element of ``bound`` stand beside the article."""
+    places = ["beside" if any(w in bound for w, _ in b.wrappers) else b.place for b, _ in blocks]
+    has_article = "article" in places
+    labels = [_first_pass(b, t, place, has_article) for (b, t), place in zip(blocks, places, strict=True)]
     decided = [i for i, x in enumerate(labels) if x in ("good", "bad")]
     final = list(labels)
     before = {}
@@ -244,9 +275,31 @@ def main_text(page: str | None) -> str:
             final[i] = labels[left if i - left <= right - i else right]
         if labels[i] == "near" and final[i] == "bad" and (left is None or right is None):
             final[i] = "good"
-    if not decided and "good" not in final:
+    if not decided and "good" not in final and all_bound:
         final = ["good"] * len(final)  # a page of a few short blocks: nothing speaks against them
-    return "\n".join(t for (_, t), x in zip(blocks, final, strict=True) if x == "good")
+    return [t for (_, t), x in zip(blocks, final, strict=True) if x == "good"]
+
+
+def main_text(page: str | None) -> str:
+    """Article text of a page: blocks joined by line feeds, one space for any white space inside a block.
+
+    An element that is named as a part and holds most of the text goes back to the block rules if nothing good is left
+    without it, or if it holds three quarters, is not for replies, and the page marks no article.
+    """
+    if not page:
+        return ""
+    blocks = [(b, t) for b in blocks_of(page) if (t := tidy(b.pieces))]
+    sizes = Counter({-1: 0})
+    for b, t in blocks:
+        if b.place != "beside":
+            sizes.update({w: len(t) for w in (-1, *b.wrappers)})
+    bound = {w[0] for b, _ in blocks for w in b.wrappers}
+    good = _good(blocks, bound, True)
+    total, marked = sizes.pop(-1), any(b.place in ("article", "freed") and not b.wrappers for b, _ in blocks)
+    freed = {w for (w, replies), n in sizes.items() if 2 * n > total and (not good or (not marked and not replies and 4 * n > 3 * total))}
+    return "\n".join(_good(blocks, bound - freed, False) if freed else good)
+
+
 
 
 def extracted(page: Column) -> Column:

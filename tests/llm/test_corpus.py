@@ -305,6 +305,23 @@ def test_blocks_without_an_article_inherit_from_their_neighbours():
     assert html_extract.main_text(page).split("\n") == ["Title", body.strip(), "Short.", body.strip()]
 
 
+STORY = "The story of the town is that it was built on the river and for years it has been the home of many who came from the sea. " * 3
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "layout sidebar-right", "post has-comments", "site header-fixed", "widget", "overflow-hidden"])
+def test_named_wrappers_of_the_whole_page_keep_its_article(name):
+    beside = '<div class="sidebar"><p>The side of the page is for all that the readers have to see.</p></div><div id="comment-list"><p>' + "This is the reply of one of the readers. " * 9 + "</p></div>"
+    for page in (f'<div class="{name}"><article><h1>Title</h1><p>{STORY}</p></article>{beside}</div>', f'<div class="{name}"><div><p>{STORY * 5}</p></div>{beside}</div>'):
+        text = html_extract.main_text(page)
+        assert STORY.strip() in text and "side of the page" not in text and "reply" not in text
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "ad1", "ad-slot", "mainNav", "comment-list", "cookie_notice", "x post-comments"])
+def test_named_parts_stay_beside(name):
+    assert html_extract.main_text(f'<div class="{name}"><p>{STORY}</p></div><article><p>{STORY} End.</p></article>') == f"{STORY} End.".replace("  ", " ")
+    assert html_extract.main_text('<div class="cookies">We use cookies</div>') == ""
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline
 
