@@ -1,8 +1,10 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides each block by where it stands (menus, footers, forms,
-comments and the like against an article), its link density, its length and its density of stop words. Blocks that are too
-short or too plain to decide inherit, in the second pass, the label of the nearest decided neighbours.
+A page is cut into blocks at block-level tags. Menus, footers, forms, comments and the like are bad. The first pass decides
+each other block by its link density, its length and its density of stop words. Blocks that are too short or too plain to
+decide inherit, in the second pass, the label of the nearest decided neighbours. An article or main element is a prior: inside,
+less is asked of a block, and neighbours are those inside; outside, more is asked. One that holds little of the page's text
+(a teaser, a quoted post) says nothing.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from fogline.llm.quality_rules import STOP_WORDS
 
 #: Characters, and shares of words or characters, at which a block is decided.
 SHORT, LONG, STOP_LOW, STOP_HIGH, MAX_LINKS = 70, 200, 0.05, 0.10, 0.4
+#: The same inside an article, and outside one on a page that has one.
+INSIDE_LINKS, OUTSIDE_STOP = 0.5, 0.15
+#: An article is a prior if it holds this share, in hundredths, of the characters without links that stand outside of any.
+PRIOR_PERCENT = 25
 
 #: Element names of HTML.
 RAW_TEXT = ("script", "style", "textarea", "title", "xmp", "noframes")
@@ -63,6 +69,7 @@ class Block:
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     wrappers: tuple[tuple[int, bool], ...] = ()  # elements around it that are named as parts: number, and whether for replies
+    region: int = -1  # the outermost article or main element around it
 
 
 def part_name(token: str) -> str | None:
@@ -97,8 +104,8 @@ def _parts(attributes: str) -> list[str]:
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order. Tags that are never closed, or closed twice, do no harm beyond their parent."""
     found: list[Block] = []
-    stack: list[tuple[str, str, tuple]] = []  # open elements, the place inside each (article, freed, beside, skip or page) and wrappers
-    links = named = 0
+    stack: list[tuple[str, str, tuple, int]] = []  # open elements, the place inside each (article, freed, beside, skip or page), wrappers, region
+    links = named = regions = 0
     low = page.lower() if len(page.lower()) == len(page) else page
     state = {"block": None}
 
@@ -115,8 +122,8 @@ def blocks_of(page: str) -> list[Block]:
         if state["block"] is None:
             if piece.isspace():
                 return
-            heading = any(re.fullmatch("h[1-6]", name) for name, _, _ in stack)
-            state["block"] = Block(where, heading, wrappers=stack[-1][2] if stack else ())
+            heading = any(re.fullmatch("h[1-6]", name) for name, *_ in stack)
+            state["block"] = Block(where, heading, wrappers=stack[-1][2] if stack else (), region=stack[-1][3] if stack else -1)
             found.append(state["block"])
         plain = entities.unescape(piece)
         state["block"].pieces.append(plain)
@@ -196,7 +203,7 @@ def blocks_of(page: str) -> list[Block]:
                     if stack[k][0] in ("ul", "ol", "table", "dl", "tbody", "thead"):
                         break
             where = place()
-        inside, wrappers = where, stack[-1][2] if stack else ()
+        inside, (wrappers, region) = where, stack[-1][2:] if stack else ((), -1)
         parts = _parts(attributes) if attributes and name not in ("html", "body") else []
         if name in SKIPPED or where == "skip":
             inside = "skip"
@@ -208,6 +215,8 @@ def blocks_of(page: str) -> list[Block]:
             inside = "article"
             if wrappers and not parts and not any(replies for _, replies in wrappers):
                 inside, wrappers = "article" if name == "main" else "freed", ()
+            if region < 0:
+                region, regions = regions, regions + 1
         if parts:
             wrappers = (*wrappers, (named, not REPLIES.isdisjoint(parts)))
             named += 1
@@ -215,7 +224,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in INLINE:
             cut()
-        stack.append((name, inside, wrappers))
+        stack.append((name, inside, wrappers, region))
     return found
 
 
@@ -223,44 +232,87 @@ def tidy(pieces: list[str]) -> str:
     return " ".join("".join(pieces).split())
 
 
-def _first_pass(block: Block, text: str, place: str, has_article: bool) -> str:
-    """good, bad, near or unsure."""
-    if place == "beside":
+def _density(text: str) -> float:
+    words = [_EDGES.sub("", w).lower() for w in text.split()]
+    return sum(w in _STOP for w in words) / max(1, len(words))
+
+
+def _first_pass(block: Block, text: str, beside: bool, inside: bool, article: bool) -> str:
+    """good, bad, near or unsure; ``inside`` an article that is a prior, or on a page with such an ``article``."""
+    if beside:
         return "bad"
     links = block.linked / max(1, len(text))
-    if place == "article":
-        return "bad" if links > MAX_LINKS and len(text) < LONG and links > 0.9 else "good"
-    if has_article or links > MAX_LINKS or "©" in text:
+    if inside:
+        if links > 0.9 or (len(text) < LONG and (links > INSIDE_LINKS or "©" in text)):
+            return "bad"
+        if len(text) < SHORT or block.heading:
+            return "unsure"
+        return "good" if _density(text) >= STOP_LOW else "near"
+    if links > MAX_LINKS or "©" in text:
         return "bad"
-    words = [_EDGES.sub("", w).lower() for w in text.split()]
-    density = sum(w in _STOP for w in words) / max(1, len(words))
     if len(text) < SHORT or block.heading:
         return "unsure"
-    if density >= STOP_HIGH and len(text) >= LONG:
+    density = _density(text)
+    if density >= (OUTSIDE_STOP if article else STOP_HIGH) and len(text) >= LONG:
         return "good"
     if density >= STOP_LOW:
-        return "near"
+        return "unsure" if article else "near"
     return "bad" if len(text) >= LONG else "unsure"
 
 
-def _good(blocks: list[tuple[Block, str]], bound: set[int], all_bound: bool) -> list[str]:
-    """Texts of the good blocks; those inside an element of ``bound`` stand beside the article."""
-    places = ["beside" if any(w in bound for w, _ in b.wrappers) else b.place for b, _ in blocks]
-    has_article = "article" in places
-    labels = [_first_pass(b, t, place, has_article) for (b, t), place in zip(blocks, places, strict=True)]
-    decided = [i for i, x in enumerate(labels) if x in ("good", "bad")]
-    final = list(labels)
-    before = {}
-    last = None
+def _priors(blocks: list[tuple[Block, str]], beside: list[bool]) -> set[int]:
+    """The articles that hold enough of the text to be a prior; those freed from a wrapper only if there is no other."""
+    plain, places = Counter(), {}
+    for (b, t), x in zip(blocks, beside, strict=True):
+        if not x:
+            plain[b.region] += max(0, len(t) - b.linked)
+            if b.region >= 0:
+                places.setdefault(b.region, b.place)
+    outside = plain.pop(-1, 0)
+    large = {r for r, n in plain.items() if 100 * n >= PRIOR_PERCENT * outside}
+    return {r for r in large if places[r] == "article"} or large
+
+
+def _sides(labels: list[str]) -> list[tuple[int | None, int | None]]:
+    """The nearest decided blocks before and behind every block."""
+    left, right, last = [], [None] * len(labels), None
     for i, x in enumerate(labels):
-        before[i] = last
+        left.append(last)
         last = i if x in ("good", "bad") else last
     last = None
     for i in range(len(labels) - 1, -1, -1):
+        right[i] = last
+        last = i if labels[i] in ("good", "bad") else last
+    return list(zip(left, right, strict=True))
+
+
+def _inside(headings: list[bool], labels: list[str]) -> list[str]:
+    """Second pass inside an article: what is not decided is bad only between bad blocks, or as a heading of bad blocks alone."""
+    final, some = list(labels), "good" in labels
+    headed, below = None, "good"  # the label of what stands up to the next heading; that of the heading behind it
+    sides = _sides(labels)
+    for i in range(len(labels) - 1, -1, -1):
+        left, right = sides[i]
+        if labels[i] in ("near", "unsure"):
+            if not some:
+                final[i] = "good"
+            elif headings[i]:
+                final[i] = headed or below
+            else:
+                final[i] = "bad" if left is not None and right is not None and labels[left] == labels[right] == "bad" else "good"
+        if headings[i]:
+            headed, below = None, final[i]
+        else:
+            headed = "good" if "good" in (headed, final[i]) else "bad"
+    return final
+
+
+def _outside(headings: list[bool], labels: list[str], article: bool, all_bound: bool) -> list[str]:
+    """Second pass outside an article."""
+    final = list(labels)
+    for i, (left, right) in enumerate(_sides(labels)):
         if labels[i] in ("good", "bad"):
-            last = i
             continue
-        left, right = before[i], last
         if left is None and right is None:
             final[i] = "good" if labels[i] == "near" else "unsure"
         elif left is None or right is None:
@@ -269,15 +321,31 @@ def _good(blocks: list[tuple[Block, str]], bound: set[int], all_bound: bool) ->
             final[i] = labels[left]
         elif labels[i] == "near":
             final[i] = "good"
-        elif blocks[i][0].heading:
+        elif headings[i]:
             final[i] = labels[right]  # a heading goes with what it heads
         else:
             final[i] = labels[left if i - left <= right - i else right]
         if labels[i] == "near" and final[i] == "bad" and (left is None or right is None):
             final[i] = "good"
-    if not decided and "good" not in final and all_bound:
+    if not article and all_bound and not {"good", "bad"} & {*labels} and "good" not in final:
         final = ["good"] * len(final)  # a page of a few short blocks: nothing speaks against them
-    return [t for (_, t), x in zip(blocks, final, strict=True) if x == "good"]
+    return final
+
+
+def _good(blocks: list[tuple[Block, str]], bound: set[int], all_bound: bool) -> list[str]:
+    """Texts of the good blocks; those inside an element of ``bound`` stand beside the article."""
+    beside = [b.place == "beside" or any(w in bound for w, _ in b.wrappers) for b, _ in blocks]
+    priors = _priors(blocks, beside)
+    zones: dict[int, list[int]] = {}
+    for i, (b, _) in enumerate(blocks):
+        zones.setdefault(b.region if b.region in priors and not beside[i] else -1, []).append(i)
+    good = []
+    for zone, at in zones.items():
+        labels = [_first_pass(*blocks[i], beside[i], zone >= 0, bool(priors)) for i in at]
+        headings = [blocks[i][0].heading for i in at]
+        final = _inside(headings, labels) if zone >= 0 else _outside(headings, labels, bool(priors), all_bound)
+        good += [i for i, x in zip(at, final, strict=True) if x == "good"]
+    return [blocks[i][1] for i in sorted(good)]
 
 
 def main_text(page: str | None) -> str:

@@ -322,6 +322,21 @@ def test_named_parts_stay_beside(name):
     assert html_extract.main_text('<div class="cookies">We use cookies</div>') == ""
 
 
+def test_main_text_outside_of_articles_is_found():
+    teaser = "<article><h3><a href=a>Another story</a></h3><p>Short words of it.</p></article>"
+    page = f"<div>{teaser * 3}</div><div><p>{STORY}</p><p>Short.</p><p>{STORY} End.</p></div><div>{teaser}</div>"
+    assert html_extract.main_text(page).split("\n") == [STORY.strip(), "Short.", " ".join(f"{STORY} End.".split())]
+    quoted = f"<article><p>{STORY}</p></article>"
+    assert html_extract.main_text(f"<div><p>{STORY} One.</p>{quoted}<p>{STORY} Two.</p></div>").count("story of the town") == 9
+
+
+def test_blocks_inside_an_article_are_judged():
+    share = "<p>Share: <a href=a>one network</a> <a href=b>another network</a></p>"
+    page = f"<article><h1>Title</h1>{share}<p>{STORY}</p><h2>Part</h2><p>Short.</p><pre>{'x = 1; ' * 40}</pre><p>© 2020 The town</p><h3>More</h3>{share}</article><p>Beyond it.</p>"
+    assert html_extract.main_text(page).split("\n") == ["Title", STORY.strip(), "Part", "Short.", ("x = 1; " * 40).strip()]
+    assert html_extract.main_text(f"<article><h1>Title</h1><p>Krótki tekst.</p>{share}</article>") == "Title\nKrótki tekst."
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline
 
