@@ -138,6 +138,20 @@ def test_repeated_lines_against_brute_force(spark):
     assert line_dedup.drop_repeated_lines(odd).columns == odd.columns and line_dedup.repeated_lines(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("low, high, recall", [(30, 60, 0.6), (60, 100, 0.98)])
+def test_short_lines_with_one_edit_are_repeats(spark, low, high, recall):
+    docs = pd.read_parquet(f"{MEDIUM}/documents.parquet").text.dropna()
+    lines = sorted({tidy(x) for t in docs for x in t.split("\n") if low <= len(tidy(x)) < high})
+    lines = random.Random(11).sample(lines, min(300, len(lines)))
+    rng, texts = random.Random(12), []
+    for k, x in enumerate(lines):
+        at = rng.randrange(len(x))
+        texts += [(2 * k, x), (2 * k + 1, x[:at] + "§" + x[at + 1 :])]
+    assert len(lines) > 100
+    got = {r.doc_id: r.kept_doc_id for r in line_dedup.repeated_lines(corpus(spark, texts)).collect()}
+    assert sum(2 * k + 1 in got for k in range(len(lines))) >= recall * len(lines)
+
+
 def test_language_on_held_out_documents(spark):
     docs = pd.read_parquet(f"{MEDIUM}/documents.parquet")[["doc_id", "lang"]]
     got = QUERIES["op2_language_id"](spark, MEDIUM).toPandas().merge(docs, on="doc_id")
