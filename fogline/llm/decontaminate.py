@@ -78,7 +78,8 @@ class Matcher:
 
     def __init__(self, items: Items, percent: int):
         self.items, owners = {}, defaultdict(list)
-        for key, raw in items:
+        self.ids = [item_id for item_id, _ in items]  # an id may stand for several texts
+        for key, (_, raw) in enumerate(items):
             text = normal(raw)
             if not text:
                 continue
@@ -97,7 +98,10 @@ class Matcher:
         return sum(min(n, here.get(g, 0)) for g, n in grams.items())
 
     def matches(self, raw: str | None) -> list[tuple[int, int, int, int]]:
-        """(item, distance, start, end) of the best occurrence of every item found, places in the normal text."""
+        """(item, distance, start, end) of the best occurrence of every item found, places in the normal text.
+
+        Of several texts of an item the one with the smallest distance counts, then the first place.
+        """
         if not raw or self.find is None:
             return []
         text = normal(raw)
@@ -131,8 +135,11 @@ class Matcher:
                     reverse = best_match(pattern[::-1], back, window[:end][::-1], distance)
                     best = (distance, a + end - (reverse[1] if reverse else m), a + end)
             if best:
-                found.append((key, *best))
-        return sorted(found)
+                found.append((self.ids[key], *best))
+        nearest = {}
+        for item, *best in sorted(found):
+            nearest.setdefault(item, best)
+        return [(item, *best) for item, best in nearest.items()]
 
 
 @lru_cache(maxsize=4)
@@ -164,19 +171,27 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
     return out
 
 
+def _nearest(matches: Column) -> Column:
+    """The best match of every item over all blocks."""
+    ordered = F.array_sort(matches)  # by item_id, distance, start and end
+    return F.filter(ordered, lambda m, i: (i == 0) | (m["item_id"] != F.get(ordered, i - 1)["item_id"]))
+
+
 def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", percent: int = EDIT_PERCENT, name: str = "matches", **columns) -> DataFrame:
     """``docs`` with a column of all items found: array of item_id, distance, start, end (places in the normal text)."""
     text = F.col(f"`{text_col}`").cast("string")
     parts = [_found_in(block, percent, text) for block in item_blocks(items, **columns)]
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != name])
-    return kept.withColumn(name, parts[0] if len(parts) == 1 else F.flatten(F.array(*parts)))
+    if len(parts) == 1:
+        return kept.withColumn(name, parts[0])
+    return kept.withColumn(name, F.flatten(F.array(*parts))).withColumn(name, _nearest(F.col(f"`{name}`")))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = EDIT_PERCENT) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, distance, start, end, contaminated (true).
 
-    Null and empty texts hold nothing. Rows that repeat an id are matched each. Items that share a text are all reported. An
-    item given twice under one id with different texts is matched by the last of them. Other columns are ignored.
+    Null and empty texts hold nothing. Rows that repeat an id are matched each. Items that share a text are all reported. Of
+    several texts under one id each is matched, and the best match is reported. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = with_matches(rows, items, percent=percent).where(F.size("matches") > 0)

@@ -220,6 +220,17 @@ def test_benchmark_matches_equal_brute_force(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block_chars", [20, 10**6])
+def test_all_texts_of_a_benchmark_id_are_matched(spark, block_chars):
+    first, second = "a first passage that somebody has put into a benchmark", "quite another passage under the very same number"
+    bench = spark.createDataFrame([(0, first), (0, second), (1, "one more passage of a benchmark that is nowhere")], "item_id long, text string")
+    docs = corpus(spark, [(1, f"so {first} so"), (2, f"so {second} so"), (3, f"{first[:-1]}q and {second}"), (4, "so it is")])
+    found = decontaminate.with_matches(docs, bench, block_chars=block_chars).collect()
+    got = {r.doc_id: [(m.item_id, m.distance, m.start) for m in r.matches] for r in found}
+    assert got == {1: [(0, 0, 3)], 2: [(0, 0, 3)], 3: [(0, 0, len(first) + 5)], 4: []}
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {4}
+
+
 def test_quality_rules_of_awkward_rows(spark):
     docs = corpus(spark, awkward(random.Random(6)))
     got = {r["row"].doc_id: r for r in quality_rules.quality(docs).collect()}
