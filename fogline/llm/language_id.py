@@ -39,18 +39,20 @@ class CrossParser:
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> CrossParser:
-    """Take the sample of every language: ``docs`` documents with the smallest text hash, one window of ``chars`` each.
+    """Take the sample of every language: ``docs`` distinct texts with the smallest hash, one window of ``chars`` each.
 
-    Rows whose language or text is null teach nothing. The sample is bounded by languages x docs x chars; it does not depend
+    Copies of a text count once, whatever their number. Equality of texts is equality of 64-bit hashes. Rows whose language or text is null teach nothing. The sample is bounded by languages x docs x chars; it does not depend
     on the order or number of partitions.
     """
     key = F.xxhash64("text")
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    hashed = rows.select("lang", key.alias("key")).distinct()  # keys alone are shuffled, not texts
+    ranked = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= docs)
     start = 1 + F.pmod(key, F.greatest(F.length("text") - chars + 1, F.lit(1)).cast("long"))
-    cut = rows.select("lang", key.alias("key"), F.substring("text", start.cast("int"), F.lit(chars)).alias("part"))
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "part"))).where(F.col("rank") <= docs)
+    chosen = rows.withColumn("key", key).join(F.broadcast(ranked), ["lang", "key"])
+    cut = chosen.select("lang", "rank", F.substring("text", start.cast("int"), F.lit(chars)).alias("part")).groupBy("lang", "rank").agg(F.min("part").alias("part"))
     parts: dict[str, list[tuple[int, str]]] = {}
-    for r in ranked.collect():
+    for r in cut.collect():
         parts.setdefault(r["lang"], []).append((r["rank"], r["part"]))
     return CrossParser(tuple((lang, " ".join(p for _, p in sorted(parts[lang]))) for lang in sorted(parts)))
 

@@ -160,6 +160,15 @@ def test_language_on_held_out_documents(spark):
     assert (held.lang_pred == held.lang).mean() > 0.97
 
 
+def test_copies_of_a_text_teach_a_language_once(spark):
+    texts = prose(random.Random(13), 30)
+    distinct = corpus(spark, list(enumerate(texts)))
+    copies = distinct.unionByName(corpus(spark, [(1000 + k, t) for t in texts for k in range(40)]))
+    assert language_id.fit(copies, docs=20) == language_id.fit(distinct, docs=20)
+    sample = language_id.fit(copies, docs=20, chars=10).samples[0][1]
+    assert len(sample) == 20 * 10 + 19
+
+
 def test_phrases_equal_greedy_longest_matches():
     rng = random.Random(4)
     sample = "".join(rng.choice("ab c") for _ in range(300))
