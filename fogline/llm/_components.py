@@ -1,4 +1,4 @@
-"""Connected components as DataFrame rounds."""
+"""Connected components as DataFrame rounds on a graph that shrinks."""
 
 from __future__ import annotations
 
@@ -8,25 +8,52 @@ from pyspark.sql import functions as F
 from fogline.llm._scratch import Scratch
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
-    """Smallest node reachable from every node of ``edges`` (a, b); returns (node, component).
+def relabelled(rows: DataFrame, column: str, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` with the node in ``column`` replaced by its component; nodes without a label stay.
 
-    Each round takes the smallest label among a node's neighbours, then jumps to that label's own label, so paths halve
-    and the rounds grow with the logarithm of the longest path. Labels live in written tables; only the number of changed
-    rows reaches the driver. Nodes without an edge are not listed. Repeated edges, loops and either direction are fine.
+    ``labels`` must be a written table: the join then has a shuffle of its own on both sides, so that rows of one huge
+    component can be split, or none where the labels are few enough to be broadcast.
     """
-    sym = edges.select("a", "b").where("a <> b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b"))
-    sym = scratch.write(sym.distinct(), f"{name}_edges")
-    labels = scratch.write(sym.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), f"{name}_0")
+    named = scratch.sized(labels.select(F.col("node").alias("_node"), F.col("component").alias("_component")))
+    joined = rows.join(named, rows[column] == named["_node"], "left")
+    return joined.select(*[F.coalesce("_component", F.col(c)).alias(c) if c == column else F.col(c) for c in rows.columns])
+
+
+def _roots(up: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Follow every node's label to the end by doubling; labels only ever go down, so there is no cycle."""
     step = 0
     while True:
+        ahead = scratch.sized(up.select(F.col("node").alias("_node")))
+        if not up.join(ahead, up["component"] == ahead["_node"], "left_semi").limit(1).count():
+            return up
         step += 1
-        near = sym.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("low"))
-        up = labels.select(F.col("node").alias("up_node"), F.col("label").alias("up"))
-        moved = low.join(up, low["low"] == up["up_node"], "left").select("node", F.least("low", F.coalesce("up", "low")).alias("next"), "label")
-        table = scratch.write(moved.select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")), f"{name}_{step}")
-        scratch.drop(f"{name}_{step - 1}")
-        labels = table.select("node", "label")
-        if not table.where("moved").limit(1).count():
-            return labels.select("node", F.col("label").alias("component"))
+        up = scratch.write(relabelled(up, "component", up, scratch), f"{name}_{step}")
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
+    """Smallest node reachable from every node of ``edges`` (a, b); returns a written table (node, component).
+
+    A round lets every node take its smallest neighbour, follows these labels to their ends, and replaces both ends of every
+    edge by their labels: edges inside a component vanish, so the next round sees a smaller graph. A hub costs no task of its
+    own: the minimum is combined before the shuffle, and labels are joined by broadcast or by a join that can be split. Nodes
+    without an edge are not listed. Repeated edges, loops and either direction are fine.
+    """
+
+    def oriented(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+    graph, rounds = scratch.write(oriented(edges), f"{name}_graph_0"), []
+    while graph.limit(1).count():
+        k = len(rounds)
+        up = scratch.write(graph.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")), f"{name}_up_{k}")
+        rounds.append(_roots(up, scratch, f"{name}_up_{k}"))
+        graph = scratch.write(oriented(relabelled(relabelled(graph, "a", rounds[-1], scratch), "b", rounds[-1], scratch)), f"{name}_graph_{k + 1}")
+        scratch.drop(f"{name}_graph_{k}")
+    if not rounds:
+        return graph.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = rounds.pop()
+    while rounds:  # a node that an early round merged goes where later rounds took its label
+        k = len(rounds)
+        labels = scratch.write(relabelled(rounds.pop(), "component", labels, scratch).unionByName(labels), f"{name}_labels_{k}")
+    own = labels.select(F.col("component").alias("node"), "component").distinct()
+    return scratch.write(labels.unionByName(own), f"{name}_components")

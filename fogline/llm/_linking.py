@@ -1,18 +1,23 @@
 """From shared keys to exact links and their components, without all pairs of a group.
 
-Used by the near-duplicate operators. ``posted`` (token, doc) lists items under the keys that they share.
+Used by the near-duplicate operators. ``posted`` (token, doc, low, large) lists items under the keys that they share: ``low``
+is an item of the same list that the row is compared with first, ``large`` says whether the list has more than ``SMALL_LIST``
+items.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fogline.llm._components import connected_components
+from fogline.llm._components import connected_components, relabelled
 from fogline.llm._scratch import Scratch
 
+#: Lists of up to so many items are compared whole, at most 28 pairs each; longer ones are merged and then prefix-filtered.
+SMALL_LIST = 8
+
 
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs whose whole sets reach the similarity, in hundredths."""
@@ -22,7 +27,23 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.where(100 * F.col("same") >= similarity * (F.col("sizes") - F.col("same"))).select("a", "b")
 
 
-def left_apart(live: DataFrame, similarity: int) -> DataFrame:
+def with_lows(posted: DataFrame, scratch: Scratch) -> DataFrame:
+    """``posted`` (token, doc; a written table) with low, the smallest item of the list, and large."""
+    lists = posted.groupBy("token").agg(F.min("doc").alias("low"), (F.count(F.lit(1)) > SMALL_LIST).alias("large"))
+    lists = scratch.write(lists.select(F.col("token").alias("_token"), "low", "large"), "lists")
+    near = scratch.sized(lists)
+    return posted.join(near, posted["token"] == near["_token"]).select("token", "doc", "low", "large")
+
+
+def first_pairs(posted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the first comparison: all of a small list, and each item of a large one with its low item."""
+    small = posted.where("not large").groupBy("token").agg(F.collect_set("doc").alias("docs"))  # at most SMALL_LIST items
+    inner = small.select("docs", F.explode("docs").alias("a")).select("a", F.explode("docs").alias("b")).where("a < b")
+    star = posted.where("large and low <> doc").select(F.least("low", "doc").alias("a"), F.greatest("low", "doc").alias("b"))
+    return inner.unionByName(star).distinct()
+
+
+def left_apart(live: DataFrame, similarity: int, scratch: Scratch) -> DataFrame:
     """Pairs of items of different components whose sets can still reach the similarity; ``live`` has doc, component and
     shingles (the whole distinct set).
 
@@ -31,9 +52,10 @@ def left_apart(live: DataFrame, similarity: int) -> DataFrame:
     s / (100 + s) * (n + m) must be. Both bounds are part of the join, so a pair that cannot reach the threshold is not made.
     """
     rows = live.select("doc", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    often = scratch.write(rows.groupBy(F.col("shingle").alias("_shingle")).agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    often = scratch.sized(often)
     ranked = (
-        rows.join(often, "shingle")
+        rows.join(often, rows["shingle"] == often["_shingle"])
         .groupBy("doc", "component", "n")
         .agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("order"))  # bounded by the item's own length
         .withColumn("alone", F.col("n") - F.size("order"))
@@ -42,6 +64,7 @@ def left_apart(live: DataFrame, similarity: int) -> DataFrame:
         .select("doc", "component", "n", "alone", F.posexplode(F.slice("order", F.lit(1), F.col("front"))).alias("at", "key"))
         .select("doc", "component", "n", F.col("key.shingle").alias("shingle"), (F.col("at") + F.col("alone")).alias("at"))
     )
+    ranked = scratch.write(ranked, "ranked")
     x, y = ranked.alias("x"), ranked.alias("y")
     need = F.lit(similarity) * (F.col("x.n") + F.col("y.n"))
     reach = F.lit(100 + similarity) * F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
@@ -52,54 +75,28 @@ def left_apart(live: DataFrame, similarity: int) -> DataFrame:
     )
 
 
-def _placed(posted: DataFrame, found: DataFrame) -> DataFrame:
-    """Postings with the component of their item."""
-    return posted.join(found, posted["doc"] == found["node"], "left").select("token", "doc", F.coalesce("component", "doc").alias("component"))
-
-
-def _apart(placed: DataFrame) -> DataFrame:
-    """Tokens whose list holds several components."""
-    return placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-
-
-def link(
-    posted: DataFrame,
-    similarity: int,
-    scratch: Scratch,
-    confirmed: Callable[[DataFrame], DataFrame],
-    with_sets: Callable[[DataFrame], DataFrame],
-    centres: int = 0,
-) -> DataFrame:
+def link(posted: DataFrame, similarity: int, scratch: Scratch, confirmed: Callable[[DataFrame], DataFrame], with_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components (node, component) of the items whose sets reach the similarity and that share a token.
 
-    Each token's list is merged with its smallest member first, so its pairs grow with the list and not with its square.
-    Where a list still holds several components, its members are compared again by exact prefix filtering. ``confirmed``
-    gives those of the pairs (a, b) that are links; ``with_sets`` adds the column shingles to (doc, component).
-
-    With ``centres``, ``confirmed`` is exact on its own, so no pair is compared twice: the next ``centres - 1`` members of a
-    list that is apart are compared with the members behind them, which settles every list of up to ``centres + 1`` members,
-    and only what is apart behind the centres goes to prefix filtering.
+    ``confirmed`` gives those of the pairs (a, b) that are links; ``with_sets`` adds the column shingles to (doc, component).
+    Small lists are settled by the first comparison. A large list is merged through its low items, so its pairs grow with the
+    list and not with its square; where it still holds several components, its items are compared again by exact prefix
+    filtering. What that finds joins components and not items: components are never computed again from all links.
     """
-    first = posted.groupBy("token").agg(F.min("doc").alias("a"))
-    star = posted.join(first, "token").where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
-    links = scratch.write(confirmed(star), "links_star")
-    found = connected_components(links, scratch, "cc_star")
-
-    placed = _placed(posted, found)
-    if centres:
-        behind = placed.join(first, "token").where("doc <> a").drop("a")
-        placed = scratch.write(behind.join(_apart(behind), "token", "left_semi"), "behind")
-        order = Window.partitionBy("token").orderBy("doc")
-        heads = placed.withColumn("place", F.row_number().over(order)).where(F.col("place") < centres)  # cut to its first rows before the shuffle
-        heads = scratch.write(heads, "heads")
-        x, y = heads.alias("x"), placed.alias("y")
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component")))
-        links = scratch.write(links.unionByName(confirmed(pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct())), "links_heads")
-        found = connected_components(links, scratch, "cc_heads")
-        last = heads.where(F.col("place") == centres - 1).select("token", F.col("doc").alias("last"))
-        placed = _placed(placed.join(last, "token").where("doc > last").select("token", "doc"), found)
-    live = scratch.write(placed.join(_apart(placed), "token", "left_semi").select("doc", "component").distinct(), "live")
-    links = scratch.write(links.unionByName(confirmed(left_apart(with_sets(live), similarity))), "links")
-    found = scratch.write(connected_components(links, scratch, "cc"), "components")
-    scratch.drop("live", "links_star", "links", "behind", "heads", "links_heads")
+    links = scratch.write(confirmed(first_pairs(posted)), "links")
+    found = connected_components(links, scratch)
+    large = posted.where("large")
+    lists = relabelled(large.select("token", "doc", F.col("doc").alias("component")), "component", found, scratch)
+    lows = relabelled(large.select("token", F.col("low").alias("doc"), F.col("low").alias("component")).distinct(), "component", found, scratch)
+    lists = scratch.write(lists.unionByName(lows), "large_lists")
+    apart = lists.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    apart = scratch.sized(scratch.write(apart.select(F.col("token").alias("_token")), "apart"))
+    live = scratch.write(lists.join(apart, lists["token"] == apart["_token"], "left_semi").select("doc", "component").distinct(), "live")
+    if live.limit(1).count():
+        late = confirmed(left_apart(with_sets(live), similarity, scratch))
+        late = scratch.write(relabelled(relabelled(late, "a", found, scratch), "b", found, scratch).distinct(), "late")
+        merged = connected_components(late, scratch, "late")
+        fresh = merged.join(scratch.sized(found.select(F.col("node").alias("_node"))), F.col("node") == F.col("_node"), "left_anti")
+        found = scratch.write(relabelled(found, "component", merged, scratch).unionByName(fresh), "components")
+    scratch.drop("live", "links", "large_lists", "lists", "ranked", "often", "late")
     return found

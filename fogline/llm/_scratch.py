@@ -7,16 +7,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of 8-byte keys that may be broadcast; beyond it the same join is shuffled.
 BROADCAST_KEYS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none (tests, local mode)."""
+    """The cluster's checkpoint folder. A temporary one serves only a local master: executors elsewhere could not read it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fogline-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -39,6 +42,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def sized(self, table: DataFrame, rows: int = BROADCAST_KEYS) -> DataFrame:
+        """A written table of a few narrow columns, marked for broadcast if it has no more than ``rows`` rows."""
+        return F.broadcast(table) if table.count() <= rows else table
+
     def drop(self, *tables: str) -> None:
         """Delete the named tables, or all."""
         try:

@@ -20,13 +20,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fogline.llm import _text as X
-from fogline.llm._linking import link
+from fogline.llm._linking import SMALL_LIST, link
 from fogline.llm._scratch import BROADCAST_KEYS, Scratch
 from fogline.llm.near_dedup import signature_seeds, signatures
 
 SHINGLE_CHARS, SIMILARITY, BANDS, BAND_ROWS = 5, 75, 14, 4
-#: Members of a band's list that are compared with all behind them before prefix filtering takes over.
-CENTRES = 8
+#: Of the 56 coordinates of two signatures so many must agree before the texts are compared, in hundredths. A pair at 0.75
+#: agrees in 42 on average, and in fewer than 30 in about one of 5,000 cases.
+AGREE = 53
+#: Lines whose keys a task holds at once, and lines that it remembers as seen.
+HELD_LINES, SEEN_LINES = 1 << 16, 1 << 18
 _NEWLINE = 10
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = True
@@ -111,41 +114,95 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple]:
             yield text, starts, stops, ids[chunk.first + doc], number, X.span_hashes(text, starts, stops).view(np.int64)
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, _, doc, number, node in _chunks(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(doc), pa.array(number.astype(np.int32))], names=["node", "doc_id", "line"])
-
-
 def _distinct_lines(starts: np.ndarray, stops: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     _, at = np.unique(node, return_index=True)
     return starts[at], stops[at], node[at]
 
 
-def _band_keys(k: int, bands: int, rows: int):
+def _band_keys(sig: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """A key for every band of every signature (lines x bands x values)."""
+    keys = np.broadcast_to(salts, sig.shape[:2]).copy()
+    for r in range(sig.shape[2]):
+        keys = X.mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+    return keys.view(np.int64)
+
+
+def _lows(keys: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every key the smallest line of its list here, and whether that list is long enough to be merged here."""
+    flat, owner = keys.ravel(), np.repeat(node, keys.shape[1])
+    order = np.lexsort((owner, flat))
+    fresh = np.ones(len(flat), dtype=bool)
+    fresh[1:] = flat[order][1:] != flat[order][:-1]
+    starts = np.flatnonzero(fresh)
+    sizes = np.diff(np.append(starts, len(flat)))
+    low, merged = np.empty(len(flat), dtype=np.int64), np.empty(len(flat), dtype=bool)
+    low[order], merged[order] = np.repeat(owner[order][starts], sizes), np.repeat(sizes > SMALL_LIST, sizes)
+    return low, merged
+
+
+def _profile(k: int, bands: int, rows: int):
+    """Every line that is not blank: node (hash of the tidied line), doc_id, line. The first time that a task meets a line,
+    also its signature (a byte per coordinate), the key of every band, and where many of the lines met at about that time
+    share a key, the smallest of them: such lists are merged here, before the shuffle, however often a key occurs."""
     seeds = signature_seeds(bands * rows)
     salts = X.mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            node, doc, number, first, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            tokens = _band_keys(sig.astype(np.uint64).reshape(len(sig), bands, rows), salts)
+            low, merged = _lows(tokens, node[first])
+            offsets = np.concatenate([[0], np.cumsum(first * bands)]).astype(np.int32)
+            starts = pa.array(offsets, mask=np.append(~first, False))  # no list where there is no offset
+            marks = np.empty(len(node), dtype=object)
+            marks[first] = [row.tobytes() for row in (sig & np.uint32(0xFF)).astype(np.uint8)]
+            return pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array(x) for x in (node, doc, number)),
+                    pa.array(marks, pa.binary()),
+                    pa.ListArray.from_arrays(starts, pa.array(tokens.ravel())),
+                    pa.ListArray.from_arrays(starts, pa.array(low, mask=~merged)),
+                ],
+                names=["node", "doc_id", "line", "sig", "tokens", "lows"],
+            )
+
         for batch in batches:
-            for text, starts, stops, _, _, node in _chunks(batch):
-                starts, stops, node = _distinct_lines(starts, stops, node)
-                values, per = line_shingles(text, starts, stops, k)
-                sig = signatures(values, np.concatenate([[0], np.cumsum(per)[:-1]]), seeds).astype(np.uint64).reshape(len(node), bands, rows)
-                keys = np.broadcast_to(salts, (len(node), bands)).copy()
-                for r in range(rows):
-                    keys = X.mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(node, bands))], names=["token", "doc"])
+            for text, starts, stops, doc, number, node in _chunks(batch):
+                _, at = np.unique(node, return_index=True)
+                at = np.array([i for i in at if int(node[i]) not in seen], dtype=np.int64)
+                if len(seen) > SEEN_LINES:
+                    seen.clear()
+                seen.update(node[at].tolist())
+                first = np.zeros(len(node), dtype=bool)
+                first[at] = True
+                values, per = line_shingles(text, starts[first], stops[first], k)
+                sig = signatures(values, np.concatenate([[0], np.cumsum(per)[:-1]]), seeds) if first.any() else np.zeros((0, bands * rows), dtype=np.uint32)
+                held.append((node, doc, number.astype(np.int32), first, sig))
+                if sum(len(h[0]) for h in held) >= HELD_LINES:
+                    yield flush()
+        if held:
+            yield flush()
 
     return run
 
 
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted lines (numbers) of every text, as (doc, text): node and tidied line."""
     for batch in batches:
-        for text, starts, stops, _, _, node in _chunks(batch):
-            starts, stops, node = _distinct_lines(starts, stops, node)
+        wanted = batch.column(2)
+        for chunk in X.chunks(batch.column(1)):
+            text, starts, stops, doc, number = tidy_lines(chunk)
+            ask = wanted.slice(chunk.first, len(chunk))
+            sizes = np.asarray(ask.value_lengths().fill_null(0)).astype(np.int64)
+            asked = (np.repeat(np.arange(len(chunk)), sizes) << 32) | np.asarray(ask.flatten()).astype(np.int64)
+            some = np.isin((doc << 32) | number, asked)
+            starts, stops = starts[some], stops[some]
             lines = pa.array([text[a:b].tobytes() for a, b in zip(starts, stops, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(node), lines.cast(pa.string())], names=["doc", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(X.span_hashes(text, starts, stops).view(np.int64)), lines.cast(pa.string())], names=["doc", "text"])
 
 
 def _shingle_sets(k: int):
@@ -171,6 +228,17 @@ def _sized(k: int):
     return run
 
 
+def _agree(coordinates: int, percent: int):
+    """Whether two signatures, one after the other, have enough equal bytes."""
+
+    @F.arrow_udf("boolean")
+    def run(both: pa.Array) -> pa.Array:
+        flat = np.frombuffer(b"".join(both.to_pylist()), dtype=np.uint8).reshape(len(both), 2, coordinates)
+        return pa.array(100 * (flat[:, 0] == flat[:, 1]).sum(axis=1) >= percent * coordinates)
+
+    return run
+
+
 def _alike(k: int, similarity: int):
     """Whether two lines reach the similarity, from all their shingles; n is the size of both sets together.
 
@@ -212,29 +280,51 @@ def repeated_lines(
     """
     scratch = Scratch(docs.sparkSession, "lines")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    occurrences = scratch.write(base.mapInArrow(_occurrences, "node long, doc_id long, line int"), "occurrences")
-
-    keys = base.mapInArrow(_band_keys(shingle_chars, bands, band_rows), "token long, doc long")
-    same_key = Window.partitionBy("token")
-    shared = keys.select("token", "doc", F.min("doc").over(same_key).alias("low"), F.max("doc").over(same_key).alias("high")).where("low < high")
-    posted = scratch.write(shared.select("token", "doc").distinct(), "posted")
-
-    wanted = scratch.write(posted.select(F.col("doc").alias("wanted")).distinct(), "wanted")
-    lines = base.mapInArrow(_line_texts, "doc long, text string")
-    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
-    texts = lines.join(near, lines["doc"] == near["wanted"], "left_semi").dropDuplicates(["doc"])
-    texts = scratch.write(texts.mapInArrow(_sized(shingle_chars), "doc long, text string, n int"), "texts")
+    profile = base.mapInArrow(_profile(shingle_chars, bands, band_rows), "node long, doc_id long, line int, sig binary, tokens array<long>, lows array<long>")
+    profile = scratch.write(profile, "profile")
+    occurrences = profile.select("node", "doc_id", "line")
+
+    entries = profile.select("node", F.inline(F.arrays_zip("tokens", "lows"))).toDF("doc", "token", "merged")
+    same_key = Window.partitionBy("token", F.when(F.col("merged").isNull() | (F.col("merged") == F.col("doc")), F.lit(0)).otherwise(F.xxhash64("doc")))
+    shared = entries.select(
+        "token",
+        "doc",
+        "merged",
+        F.min("doc").over(same_key).alias("low"),
+        F.max("doc").over(same_key).alias("high"),
+        (F.max("merged").over(same_key).isNotNull() | (F.count(F.lit(1)).over(same_key) > SMALL_LIST)).alias("large"),
+    ).where("low < high or merged is not null")
+    member = F.col("merged").isNotNull() & (F.col("merged") != F.col("doc"))
+    posted = scratch.write(shared.select("token", "doc", F.when(member, F.col("merged")).otherwise(F.col("low")).alias("low"), "large").distinct(), "posted")
+
+    met = scratch.sized(scratch.write(posted.select(F.col("doc").alias("met")).union(posted.select("low")).distinct(), "met"))
+    marked = profile.where("sig is not null").select(F.col("node").alias("doc"), "sig")
+    sigs = scratch.write(marked.join(met, marked["doc"] == met["met"], "left_semi").dropDuplicates(["doc"]), "sigs")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """(doc, text) of the nodes, each read from the first document that holds it."""
+        nodes = scratch.sized(nodes.select(F.col("doc").alias("_node")))
+        held = occurrences.join(nodes, occurrences["node"] == nodes["_node"], "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+        asked = held.groupBy(F.col("first.doc_id").alias("_doc")).agg(F.collect_list("first.line").alias("lines"))  # at most the lines of the document
+        asked = scratch.sized(scratch.write(asked, "asked"), BROADCAST_KEYS // 4)
+        return base.join(asked, base["doc_id"] == asked["_doc"]).select("doc_id", "text", "lines").mapInArrow(_line_texts, "doc long, text string").dropDuplicates(["doc"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        a, b = (sigs.select(F.col("doc").alias(k), F.col("sig").alias(f"sig_{k}")) for k in ("a", "b"))
+        close = pairs.join(a, "a").join(b, "b").where(_agree(bands * band_rows, AGREE)(F.concat("sig_a", "sig_b"))).select("a", "b")
+        close = scratch.write(close, "close")
+        wanted = scratch.write(close.select(F.col("a").alias("doc")).union(close.select("b")).distinct(), "wanted")
+        texts = scratch.write(texts_of(wanted).mapInArrow(_sized(shingle_chars), "doc long, text string, n int"), "texts")
         a, b = (texts.select(F.col("doc").alias(k), F.col("text").alias(f"text_{k}"), F.col("n").alias(f"n_{k}")) for k in ("a", "b"))
-        both = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+        both = close.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
         alike = _alike(shingle_chars, similarity)(F.concat("text_a", "text_b"), F.octet_length("text_a"), F.col("n_a") + F.col("n_b"))
         return both.where(alike).select("a", "b")
 
     def with_sets(live: DataFrame) -> DataFrame:
+        texts = scratch.write(texts_of(live), "live_texts")
         return live.join(texts, "doc").select("doc", "component", "text").mapInArrow(_shingle_sets(shingle_chars), "doc long, component long, shingles array<bigint>")
 
-    found = link(posted, similarity, scratch, confirmed, with_sets, CENTRES)
+    found = link(posted, similarity, scratch, confirmed, with_sets)
 
     firsts = occurrences.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("times"))
     labels = found.select(F.col("node").alias("linked"), "component")
@@ -244,7 +334,7 @@ def repeated_lines(
     keep = scratch.write(placed.join(keepers, "component").select(F.col("node").alias("repeated"), "keep"), "keep")
     keep = F.broadcast(keep) if keep.count() <= BROADCAST_KEYS // 4 else keep
     dropped = occurrences.join(keep, occurrences["node"] == keep["repeated"]).where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")))
-    scratch.drop("posted", "wanted", "texts")
+    scratch.drop("posted", "met", "sigs", "close", "wanted", "texts", "live_texts", "asked")
     return dropped.select("doc_id", "line", F.col("keep.doc_id").alias("kept_doc_id"), F.col("keep.line").alias("kept_line")).distinct()
 
 
@@ -259,8 +349,10 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with repeated lines taken out of the text; all rows, columns and other lines stay as they are."""
-    dropped = repeated_lines(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("line").alias("_dropped"))
-    joined = docs.join(dropped, docs[id_col] == dropped["_doc"], "left")
-    lines = F.split(F.col(f"`{text_col}`").cast("string"), "\n", -1)
-    text = F.when(F.col("_dropped").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_dropped"), i)), "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    dropped = repeated_lines(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list("line").alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    joined = rows.join(dropped, F.col("id") == F.col("doc"), "left")
+    old = F.col("row").getField(text_col)
+    lines = F.split(old.cast("string"), "\n", -1)
+    text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fogline.llm import _text as X
-from fogline.llm._linking import confirm, link
+from fogline.llm._linking import confirm, link, with_lows
 from fogline.llm._scratch import BROADCAST_KEYS, Scratch
 
 SHINGLE_WORDS, SIMILARITY, COORDINATES, MATCHES = 5, 75, 64, 34
@@ -102,7 +102,7 @@ def _agree(pairs: DataFrame, sig: DataFrame, matches: int) -> DataFrame:
     left = sig.select(F.col("doc").alias("a"), F.col("sig").alias("sig_a"))
     right = sig.select(F.col("doc").alias("b"), F.col("sig").alias("sig_b"))
     hits = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
-    return pairs.join(left, "a").join(right, "b").where(hits >= matches).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(hits >= matches).select("a", "b").distinct()
 
 
 def near_duplicates(
@@ -117,46 +117,55 @@ def near_duplicates(
     """Per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept (it is that smallest id).
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D after lower-casing A-Z. Fewer words than a shingle make one shingle;
-    a text without words, empty or null has no shingle and links with nothing: it is its own component and is kept. Rows that
-    repeat an id share its component. A row with a null id is counted, takes part in no link and is not kept. Other columns
-    are ignored; an empty table gives an empty result.
+    a text without words, empty or null has no shingle and links with nothing: it is its own component and is kept. Texts of any
+    length are compared whole. An id that stands for several texts is linked by each of them that no smaller id holds. A row
+    with a null id is counted, gets the component of equal texts, takes part in no other link and is not kept. Ties and the
+    order of rows do not matter. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = scratch.write(base.mapInArrow(_profile(words, coordinates), "doc_id long, n_shingles long, set_key binary, sig array<int>"), "profile")
 
-    known = profile.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("doc"))
-    members = profile.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", "doc")
-    members = scratch.write(members, "members")
-    sig = known.join(classes, "set_key").where("doc_id = doc").groupBy("doc").agg(F.first("sig").alias("sig"))
+    groups = profile.where("n_shingles > 0").groupBy(F.col("set_key").alias("_key")).agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("rows"))
+    groups = groups.where("rows > 1 and doc is not null")
+    groups = scratch.write(groups.select("_key", "doc"), "groups")  # a table of its own, so that the join can split a large group
+    near = scratch.sized(groups, BROADCAST_KEYS // 4)
+    placed = profile.join(near, profile["set_key"] == near["_key"], "left")
+    placed = placed.select("doc_id", "n_shingles", "set_key", "sig", F.when(F.col("n_shingles") > 0, F.coalesce("doc", "doc_id")).alias("doc"), F.col("doc").isNull().alias("single"))
+    members = placed.select("doc_id", "n_shingles", "doc")
+    # an id that stands for several texts has as many heads, and is linked by each of them
+    heads = placed.where("n_shingles > 0 and doc_id = doc")
+    sig = heads.where("single").select("doc", "sig").unionByName(heads.where("not single").dropDuplicates(["doc", "set_key"]).select("doc", "sig"))
 
     token = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     tokens = sig.select("doc", F.posexplode("sig").alias("at", "value")).select("doc", token.alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    shared = scratch.write(tokens.groupBy(F.col("token").alias("_token")).agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "shared")
+    shared = scratch.sized(shared)
     posted = (
-        tokens.join(shared, "token")
+        tokens.join(shared, tokens["token"] == shared["_token"])
         .groupBy("doc")
-        .agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("order"))  # at most one entry per coordinate
+        .agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("order"))  # one entry per coordinate of a text
         .where(F.size("order") >= matches)
         .select("doc", F.explode(F.slice("order", F.lit(1), F.size("order") - (matches - 1))).alias("key"))
         .select("doc", F.col("key.token").alias("token"))
     )
-    posted = scratch.write(posted, "posted")
+    posted = scratch.write(with_lows(scratch.write(posted.distinct(), "posted_tokens"), scratch), "posted")
 
     wanted = scratch.write(posted.select("doc").distinct(), "wanted")
     source = base.where("doc_id is not null")
-    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    near = scratch.sized(wanted)
     texts = source.join(near, source["doc_id"] == near["doc"], "left_semi")
     sets = scratch.write(texts.mapInArrow(_shingle_sets(words), "doc long, shingles array<bigint>"), "sets")
-    sig = scratch.write(sig.join(wanted, "doc", "left_semi"), "sig")
-    scratch.drop("profile")
+    if sets.count() > wanted.count():  # rows that repeat an id
+        sets = scratch.write(sets.distinct(), "distinct_sets")
+    sig = scratch.write(sig.join(near, "doc", "left_semi"), "sig")
 
     found = link(posted, similarity, scratch, lambda pairs: confirm(_agree(pairs, sig, matches), sets, similarity), lambda live: live.join(sets, "doc"))
-    scratch.drop("posted", "sets", "sig", "wanted")
+    scratch.drop("posted", "posted_tokens", "shared", "sets", "sig", "wanted")
 
-    out = members.join(found, members["doc"] == found["node"], "left")
+    labels = scratch.sized(found.where("node <> component"), BROADCAST_KEYS // 2)
+    out = members.join(labels, members["doc"] == labels["node"], "left")
     component = F.coalesce("component", "doc", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fogline.llm import _linking, chat_format, decontaminate, html_extract, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding
+from fogline.llm._components import connected_components
 from fogline.llm._scratch import Scratch
 from fogline.llm.queries import ORACLES, QUERIES
 from tests.conftest import MEDIUM, SMALL, same_as_sql
@@ -110,7 +111,8 @@ def test_repeated_lines_against_brute_force(spark):
     pool = lines + [x[:-2] + "zz" for x in lines[:20]] + ["  " + x.upper() for x in lines[:10]]
     texts = {i: "\n".join(rng.choice(pool) for _ in range(4)) for i in range(80)}
     places = [(i, k, tidy(x)) for i, t in texts.items() for k, x in enumerate(t.split("\n"))]
-    sets = {x: {x[j : j + 9] for j in range(max(1, len(x) - 8))} for _, _, x in places}
+    k = line_dedup.SHINGLE_CHARS
+    sets = {x: {x[j : j + k] for j in range(max(1, len(x) - k + 1))} for _, _, x in places}
     distinct, label = sorted(sets), {x: x for x in sets}
 
     def root(x):
@@ -390,8 +392,7 @@ def test_pipeline_stages_take_effect(spark):
         assert stage(spark, odd.limit(0), SMALL).count() == 0
 
 
-@pytest.mark.parametrize("centres", [0, 2, 8])
-def test_lists_longer_than_their_centres_lose_no_link(spark, centres):
+def test_long_lists_lose_no_link(spark):
     rng = random.Random(5)
     groups = [[1000 * g + k for k in range(40)] for g in range(6)]
     sets = {}
@@ -406,8 +407,30 @@ def test_lists_longer_than_their_centres_lose_no_link(spark, centres):
                 low, high = sorted((label[a], label[b]))
                 label = {i: low if x == high else x for i, x in label.items()}
     table = spark.createDataFrame([(i, x) for i, x in sets.items()], "doc long, shingles array<bigint>")
+    scratch = Scratch(spark, "test")
     posted = spark.createDataFrame([(7, i) for i in sets] + [(8, 0), (8, 1)], "token long, doc long")
-    found = _linking.link(posted, 75, Scratch(spark, "test"), lambda pairs: _linking.confirm(pairs, table, 75), lambda live: live.join(table, "doc"), centres)
+    posted = scratch.write(_linking.with_lows(posted, scratch), "posted")
+    found = _linking.link(posted, 75, scratch, lambda pairs: _linking.confirm(pairs, table, 75), lambda live: live.join(table, "doc"))
     got = {r.node: r.component for r in found.collect()}
     assert {i: got.get(i, i) for i in sets} == label
     assert 1 < len(set(label.values())) < len(label)
+
+
+@pytest.mark.parametrize("shape", ["chain", "star up", "star down", "zigzag", "random"])
+def test_components_of_awkward_graphs(spark, shape):
+    rng = random.Random(14)
+    edges = {
+        "chain": [(i, i + 1) for i in range(200)],
+        "star up": [(500, i) for i in range(200)],
+        "star down": [(0, i) for i in range(200)],
+        "zigzag": [(i // 2 if i % 2 else 1000 - i, (i + 1) // 2 if i % 2 == 0 else 1001 - i) for i in range(200)],
+        "random": [(rng.randrange(300), rng.randrange(300)) for _ in range(250)],
+    }[shape]
+    label = {x: x for e in edges for x in e}
+    for a, b in edges:
+        low, high = sorted((label[a], label[b]))
+        label = {i: low if x == high else x for i, x in label.items()}
+    table = spark.createDataFrame([*edges, *[(b, a) for a, b in edges[:9]], (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(table, Scratch(spark, "test")).collect()}
+    assert {i: got.get(i, i) for i in label} == label
+    assert connected_components(table.limit(0), Scratch(spark, "test")).count() == 0
