@@ -75,28 +75,53 @@ def left_apart(live: DataFrame, similarity: int, scratch: Scratch) -> DataFrame:
     )
 
 
-def link(posted: DataFrame, similarity: int, scratch: Scratch, confirmed: Callable[[DataFrame], DataFrame], with_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _merged(found: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``found`` after further links (a, b), which join components and not items."""
+    links = scratch.write(relabelled(relabelled(links, "a", found, scratch), "b", found, scratch).where("a <> b").distinct(), f"{name}_links")
+    joined = connected_components(links, scratch, name)
+    fresh = joined.join(scratch.sized(found.select(F.col("node").alias("_node"))), F.col("node") == F.col("_node"), "left_anti")
+    return scratch.write(relabelled(found, "component", joined, scratch).unionByName(fresh), f"{name}_found")
+
+
+def _apart(posted: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(token, doc, component, often) of the large lists that hold several components; often is the length of the list."""
+    large = posted.where("large")
+    rows = large.select("token", "doc").unionByName(large.select("token", F.col("low").alias("doc"))).distinct()
+    rows = scratch.write(relabelled(rows.withColumn("component", F.col("doc")), "component", found, scratch), f"{name}_lists")
+    lists = rows.groupBy(F.col("token").alias("_token")).agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("often"))
+    lists = scratch.sized(scratch.write(lists.where("least < most").select("_token", "often"), f"{name}_apart"))
+    return scratch.write(rows.join(lists, rows["token"] == lists["_token"]).select("token", "doc", "component", "often"), f"{name}_live")
+
+
+def link(
+    posted: DataFrame,
+    similarity: int,
+    scratch: Scratch,
+    confirmed: Callable[[DataFrame], DataFrame],
+    with_sets: Callable[[DataFrame], DataFrame],
+    finer: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Components (node, component) of the items whose sets reach the similarity and that share a token.
 
-    ``confirmed`` gives those of the pairs (a, b) that are links; ``with_sets`` adds the column shingles to (doc, component).
+    ``confirmed`` gives those of the pairs (a, b) that are links; ``with_sets`` adds the column shingles to (doc, component);
+    ``finer`` posts the items of long lists (token, doc, often) anew under longer keys.
+
     Small lists are settled by the first comparison. A large list is merged through its low items, so its pairs grow with the
-    list and not with its square; where it still holds several components, its items are compared again by exact prefix
-    filtering. What that finds joins components and not items: components are never computed again from all links.
+    list and not with its square. Where it still holds several components, its items meet again in the shorter lists of longer
+    keys, and where those are apart too, by exact prefix filtering. Later links join components and not items: components are
+    never computed again from all links.
     """
     links = scratch.write(confirmed(first_pairs(posted)), "links")
     found = connected_components(links, scratch)
-    large = posted.where("large")
-    lists = relabelled(large.select("token", "doc", F.col("doc").alias("component")), "component", found, scratch)
-    lows = relabelled(large.select("token", F.col("low").alias("doc"), F.col("low").alias("component")).distinct(), "component", found, scratch)
-    lists = scratch.write(lists.unionByName(lows), "large_lists")
-    apart = lists.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    apart = scratch.sized(scratch.write(apart.select(F.col("token").alias("_token")), "apart"))
-    live = scratch.write(lists.join(apart, lists["token"] == apart["_token"], "left_semi").select("doc", "component").distinct(), "live")
-    if live.limit(1).count():
-        late = confirmed(left_apart(with_sets(live), similarity, scratch))
-        late = scratch.write(relabelled(relabelled(late, "a", found, scratch), "b", found, scratch).distinct(), "late")
-        merged = connected_components(late, scratch, "late")
-        fresh = merged.join(scratch.sized(found.select(F.col("node").alias("_node"))), F.col("node") == F.col("_node"), "left_anti")
-        found = scratch.write(relabelled(found, "component", merged, scratch).unionByName(fresh), "components")
-    scratch.drop("live", "links", "large_lists", "lists", "ranked", "often", "late")
+    live = _apart(posted, found, scratch, "first")
+    if finer and live.limit(1).count():
+        posted = scratch.write(finer(live.select("token", "doc", "often")), "finer")
+        pairs = scratch.write(first_pairs(posted), "finer_pairs")
+        sides = relabelled(relabelled(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), "x", found, scratch), "y", found, scratch)
+        found = _merged(found, confirmed(sides.where("x <> y").select("a", "b")), scratch, "finer_cc")
+        live = _apart(posted, found, scratch, "second")
+    items = scratch.write(live.select("doc", "component").distinct(), "live")
+    if items.limit(1).count():
+        found = _merged(found, confirmed(left_apart(with_sets(items), similarity, scratch)), scratch, "late_cc")
+    scratch.drop("live", "links", "first_lists", "first_live", "second_lists", "second_live", "finer", "finer_pairs", "lists", "ranked", "often")
     return found

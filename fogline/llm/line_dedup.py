@@ -5,9 +5,13 @@ shingles (a shorter line is one shingle); equal lines are one node from the star
 band lists the lines that may be alike, candidates are confirmed by exact Jaccard similarity of the whole sets, and one line
 of each connected component stays: the first by document and place.
 
-With bands of four values and fourteen bands, a pair at 0.75 is met with probability 0.995, at 0.8 with 0.999. One edit of a
+With bands of five values and sixteen bands, a pair at 0.75 is met with probability 0.987, at 0.8 with 0.998. One edit of a
 line changes as many shingles as a shingle has characters, so shingles are short: at five, a line of 40 characters
 whose shingles all differ keeps 0.75 after any one edit.
+
+Lines of one language are somewhat alike, so in a large table many lines share a band by chance. The items of a list that is
+long and not one component are posted again under longer keys: the band and some further coordinates, the more the longer the
+list, and as many such keys as it takes for a pair at 0.75 to meet with probability 0.995.
 """
 
 from __future__ import annotations
@@ -24,12 +28,16 @@ from fogline.llm._linking import SMALL_LIST, link
 from fogline.llm._scratch import BROADCAST_KEYS, Scratch
 from fogline.llm.near_dedup import signature_seeds, signatures
 
-SHINGLE_CHARS, SIMILARITY, BANDS, BAND_ROWS = 5, 75, 14, 4
-#: Of the 56 coordinates of two signatures so many must agree before the texts are compared, in hundredths. A pair at 0.75
-#: agrees in 42 on average, and in fewer than 30 in about one of 5,000 cases.
-AGREE = 53
+SHINGLE_CHARS, SIMILARITY, BANDS, BAND_ROWS = 5, 75, 16, 5
+#: Of the 80 coordinates of two signatures so many must agree before the texts are compared, in hundredths. A pair at 0.75
+#: agrees in 60 on average, and in fewer than 46 in about one of 4,000 cases.
+AGREE = 57
+#: Most coordinates that a longer key adds to a band, and the share of pairs at the similarity that such keys may miss.
+DEEPEST, MISSED = 10, 0.005
 #: Lines whose keys a task holds at once, and lines that it remembers as seen.
 HELD_LINES, SEEN_LINES = 1 << 16, 1 << 18
+#: Where the number of a band stands in a key; below it are up to six bytes of coordinates.
+BAND_SHIFT = 48
 _NEWLINE = 10
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = True
@@ -119,12 +127,17 @@ def _distinct_lines(starts: np.ndarray, stops: np.ndarray, node: np.ndarray) ->
     return starts[at], stops[at], node[at]
 
 
-def _band_keys(sig: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """A key for every band of every signature (lines x bands x values)."""
-    keys = np.broadcast_to(salts, sig.shape[:2]).copy()
-    for r in range(sig.shape[2]):
-        keys = X.mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-    return keys.view(np.int64)
+def _packed(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One number per band (lines x bands) from the low bytes of its coordinates."""
+    out = np.zeros((len(sig), bands), dtype=np.int64)
+    for r in range(rows):
+        out |= (sig[:, r::rows] & np.uint32(0xFF)).astype(np.int64) << (8 * r)
+    return out
+
+
+def _bytes(packed: np.ndarray, rows: int) -> np.ndarray:
+    """The low bytes of all coordinates (lines x bands x values) again."""
+    return packed.astype("<i8").view(np.uint8).reshape(*packed.shape, 8)[:, :, :rows]
 
 
 def _lows(keys: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,10 +155,9 @@ def _lows(keys: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _profile(k: int, bands: int, rows: int):
     """Every line that is not blank: node (hash of the tidied line), doc_id, line. The first time that a task meets a line,
-    also its signature (a byte per coordinate), the key of every band, and where many of the lines met at about that time
-    share a key, the smallest of them: such lists are merged here, before the shuffle, however often a key occurs."""
+    also its signature (a number per band, a byte per coordinate), and where many of the lines met at about that time share
+    a band, the smallest of them: such lists are merged here, before the shuffle, however often a band's values occur."""
     seeds = signature_seeds(bands * rows)
-    salts = X.mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -154,21 +166,11 @@ def _profile(k: int, bands: int, rows: int):
         def flush() -> pa.RecordBatch:
             node, doc, number, first, sig = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            tokens = _band_keys(sig.astype(np.uint64).reshape(len(sig), bands, rows), salts)
-            low, merged = _lows(tokens, node[first])
+            low, merged = _lows(sig | (np.arange(bands) << BAND_SHIFT), node[first])
             offsets = np.concatenate([[0], np.cumsum(first * bands)]).astype(np.int32)
             starts = pa.array(offsets, mask=np.append(~first, False))  # no list where there is no offset
-            marks = np.empty(len(node), dtype=object)
-            marks[first] = [row.tobytes() for row in (sig & np.uint32(0xFF)).astype(np.uint8)]
-            return pa.RecordBatch.from_arrays(
-                [
-                    *(pa.array(x) for x in (node, doc, number)),
-                    pa.array(marks, pa.binary()),
-                    pa.ListArray.from_arrays(starts, pa.array(tokens.ravel())),
-                    pa.ListArray.from_arrays(starts, pa.array(low, mask=~merged)),
-                ],
-                names=["node", "doc_id", "line", "sig", "tokens", "lows"],
-            )
+            lists = [pa.ListArray.from_arrays(starts, x) for x in (pa.array(sig.ravel()), pa.array(low, mask=~merged))]
+            return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (node, doc, number)), *lists], names=["node", "doc_id", "line", "sig", "lows"])
 
         for batch in batches:
             for text, starts, stops, doc, number, node in _chunks(batch):
@@ -181,7 +183,7 @@ def _profile(k: int, bands: int, rows: int):
                 first[at] = True
                 values, per = line_shingles(text, starts[first], stops[first], k)
                 sig = signatures(values, np.concatenate([[0], np.cumsum(per)[:-1]]), seeds) if first.any() else np.zeros((0, bands * rows), dtype=np.uint32)
-                held.append((node, doc, number.astype(np.int32), first, sig))
+                held.append((node, doc, number.astype(np.int32), first, _packed(sig, bands, rows)))
                 if sum(len(h[0]) for h in held) >= HELD_LINES:
                     yield flush()
         if held:
@@ -190,6 +192,85 @@ def _profile(k: int, bands: int, rows: int):
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (token, doc, merged) in order of token, the lists of several items: (token, doc, low, large). What is held is a
+    batch and a list that may go on; of a list longer than that only its token and low item."""
+    held = [np.zeros(0, dtype=np.int64)] * 4
+    going: tuple[int, int] | None = None  # a long list of which a part is out already
+
+    def lists(token: np.ndarray, doc: np.ndarray, merged: np.ndarray, is_merged: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, dtype=np.int64)
+        sizes = np.diff(np.append(starts, len(token)))
+        member = is_merged.astype(bool) & (merged != doc)
+        heads = np.where(member, np.iinfo(np.int64).max, doc)
+        low, high = (f.reduceat(x, starts) if len(starts) else heads for f, x in ((np.minimum, heads), (np.maximum, np.where(member, np.iinfo(np.int64).min, doc))))
+        large = (np.add.reduceat((~member).astype(np.int64), starts) > SMALL_LIST) | np.maximum.reduceat(is_merged.astype(np.int64), starts).astype(bool) if len(starts) else np.zeros(0, dtype=bool)
+        if going and len(starts) and token[0] == going[0]:
+            low[0], large[0], high[0] = going[1], True, max(high[0], going[1] + 1)
+        low, high, large = (np.repeat(x, sizes) for x in (low, high, large))
+        keep = (low < high) | is_merged.astype(bool)
+        low = np.where(member, merged, low)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, doc, low, large)], names=["token", "doc", "low", "large"])
+
+    for batch in batches:
+        merged = batch.column(2)
+        rows = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(merged.fill_null(0)), np.asarray(merged.is_valid()).astype(np.int64)]
+        held = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        token = held[0]
+        if not len(token):
+            continue
+        cut = int(np.searchsorted(token, token[-1]))  # the last list may go on
+        if len(token) - cut > HELD_LINES:
+            cut = len(token)
+        if cut:
+            out = lists(*(x[:cut] for x in held))
+            going = (int(token[-1]), int(out.column(2)[-1].as_py()) if len(out) and out.column(0)[-1].as_py() == int(token[-1]) else int(held[1][-1])) if cut == len(token) else None
+            held = [x[cut:] for x in held]
+            yield out
+    if len(held[0]):
+        yield lists(*held)
+
+
+def _listed(entries: DataFrame) -> DataFrame:
+    """(token, doc, low, large) of all keys that several items share, from (token, doc, merged). Items that a task has merged
+    already are spread by themselves and not by the key."""
+    spread = F.when(F.col("merged").isNull() | (F.col("merged") == F.col("doc")), F.lit(0)).otherwise(F.xxhash64("doc"))
+    return entries.repartition("token", spread).sortWithinPartitions("token").mapInArrow(_runs, "token long, doc long, low long, large boolean")
+
+
+def key_depth(often: np.ndarray) -> np.ndarray:
+    """Coordinates that are added to the key of a list of this length: one for every halving down to a small list."""
+    return np.clip(np.ceil(np.log2(np.maximum(often, 1) / SMALL_LIST)), 2, DEEPEST).astype(np.int64)
+
+
+def _longer_keys(bands: int, rows: int, similarity: int):
+    """From (token, doc, often, sig): the item again under several keys that hold the token and some more coordinates."""
+    outside = (bands - 1) * rows
+    shuffled = np.random.default_rng(17)
+    plans = {}
+    for depth in range(2, DEEPEST + 1):
+        keys = int(np.ceil(np.log(1 / MISSED) / (similarity / 100) ** depth))
+        plans[depth] = np.stack([np.sort(shuffled.permutation(outside)[:depth]) for _ in range(keys)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, doc = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            values = _bytes(np.asarray(batch.column(3).flatten()).reshape(len(batch), bands), rows).reshape(len(batch), bands * rows)
+            depths = key_depth(np.asarray(batch.column(2)))
+            for depth in np.unique(depths):
+                at = np.flatnonzero(depths == depth)
+                after = ((token[at] >> BAND_SHIFT) + 1) * rows  # coordinates outside the band follow it, around the end
+                for part in np.array_split(at, max(1, len(at) // 4096)):
+                    first = after[np.searchsorted(at, part)]
+                    for n, chosen in enumerate(plans[int(depth)]):
+                        key = X.mix(token[part].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n))
+                        for c in chosen:
+                            key = X.mix(key + values[part, (first + c) % (bands * rows)].astype(np.uint64) + np.uint64(1))
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[part]), pa.nulls(len(part), pa.int64())], names=["token", "doc", "merged"])
+
+    return run
+
+
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The wanted lines (numbers) of every text, as (doc, text): node and tidied line."""
     for batch in batches:
@@ -228,13 +309,13 @@ def _sized(k: int):
     return run
 
 
-def _agree(coordinates: int, percent: int):
-    """Whether two signatures, one after the other, have enough equal bytes."""
+def _agree(bands: int, rows: int, percent: int):
+    """Whether two signatures, one after the other, have enough equal coordinates."""
 
     @F.arrow_udf("boolean")
     def run(both: pa.Array) -> pa.Array:
-        flat = np.frombuffer(b"".join(both.to_pylist()), dtype=np.uint8).reshape(len(both), 2, coordinates)
-        return pa.array(100 * (flat[:, 0] == flat[:, 1]).sum(axis=1) >= percent * coordinates)
+        flat = _bytes(np.asarray(both.flatten()).reshape(len(both), 2 * bands), rows).reshape(len(both), 2, bands * rows)
+        return pa.array(100 * (flat[:, 0] == flat[:, 1]).sum(axis=1) >= percent * bands * rows)
 
     return run
 
@@ -280,26 +361,17 @@ def repeated_lines(
     """
     scratch = Scratch(docs.sparkSession, "lines")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    profile = base.mapInArrow(_profile(shingle_chars, bands, band_rows), "node long, doc_id long, line int, sig binary, tokens array<long>, lows array<long>")
+    profile = base.mapInArrow(_profile(shingle_chars, bands, band_rows), "node long, doc_id long, line int, sig array<long>, lows array<long>")
     profile = scratch.write(profile, "profile")
     occurrences = profile.select("node", "doc_id", "line")
+    marked = profile.where("sig is not null").select(F.col("node").alias("doc"), "sig", "lows")
 
-    entries = profile.select("node", F.inline(F.arrays_zip("tokens", "lows"))).toDF("doc", "token", "merged")
-    same_key = Window.partitionBy("token", F.when(F.col("merged").isNull() | (F.col("merged") == F.col("doc")), F.lit(0)).otherwise(F.xxhash64("doc")))
-    shared = entries.select(
-        "token",
-        "doc",
-        "merged",
-        F.min("doc").over(same_key).alias("low"),
-        F.max("doc").over(same_key).alias("high"),
-        (F.max("merged").over(same_key).isNotNull() | (F.count(F.lit(1)).over(same_key) > SMALL_LIST)).alias("large"),
-    ).where("low < high or merged is not null")
-    member = F.col("merged").isNotNull() & (F.col("merged") != F.col("doc"))
-    posted = scratch.write(shared.select("token", "doc", F.when(member, F.col("merged")).otherwise(F.col("low")).alias("low"), "large").distinct(), "posted")
+    entries = marked.select("doc", F.posexplode(F.arrays_zip("sig", "lows")).alias("band", "entry"))
+    token = F.shiftleft(F.col("band").cast("long"), BAND_SHIFT).bitwiseOR(F.col("entry.sig"))
+    posted = scratch.write(_listed(entries.select(token.alias("token"), "doc", F.col("entry.lows").alias("merged"))), "posted")
 
     met = scratch.sized(scratch.write(posted.select(F.col("doc").alias("met")).union(posted.select("low")).distinct(), "met"))
-    marked = profile.where("sig is not null").select(F.col("node").alias("doc"), "sig")
-    sigs = scratch.write(marked.join(met, marked["doc"] == met["met"], "left_semi").dropDuplicates(["doc"]), "sigs")
+    sigs = scratch.write(marked.select("doc", "sig").join(met, F.col("doc") == F.col("met"), "left_semi").dropDuplicates(["doc"]), "sigs")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """(doc, text) of the nodes, each read from the first document that holds it."""
@@ -311,7 +383,7 @@ def repeated_lines(
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (sigs.select(F.col("doc").alias(k), F.col("sig").alias(f"sig_{k}")) for k in ("a", "b"))
-        close = pairs.join(a, "a").join(b, "b").where(_agree(bands * band_rows, AGREE)(F.concat("sig_a", "sig_b"))).select("a", "b")
+        close = pairs.join(a, "a").join(b, "b").where(_agree(bands, band_rows, AGREE)(F.concat("sig_a", "sig_b"))).select("a", "b")
         close = scratch.write(close, "close")
         wanted = scratch.write(close.select(F.col("a").alias("doc")).union(close.select("b")).distinct(), "wanted")
         texts = scratch.write(texts_of(wanted).mapInArrow(_sized(shingle_chars), "doc long, text string, n int"), "texts")
@@ -324,7 +396,12 @@ def repeated_lines(
         texts = scratch.write(texts_of(live), "live_texts")
         return live.join(texts, "doc").select("doc", "component", "text").mapInArrow(_shingle_sets(shingle_chars), "doc long, component long, shingles array<bigint>")
 
-    found = link(posted, similarity, scratch, confirmed, with_sets)
+    def finer(lists: DataFrame) -> DataFrame:
+        """Items of long lists under longer keys."""
+        rows = lists.join(sigs, "doc").select("token", "doc", "often", "sig")
+        return _listed(rows.mapInArrow(_longer_keys(bands, band_rows, similarity), "token long, doc long, merged long"))
+
+    found = link(posted, similarity, scratch, confirmed, with_sets, finer)
 
     firsts = occurrences.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("times"))
     labels = found.select(F.col("node").alias("linked"), "component")

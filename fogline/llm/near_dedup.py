@@ -39,10 +39,13 @@ def signature_seeds(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
 def signatures(values: np.ndarray, starts: np.ndarray, seeds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Minima of every non-empty segment of hashes under each permutation; one row per segment."""
     low = (values >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(starts), len(seeds[0])), dtype=np.uint32)
+    out = np.empty((len(seeds[0]), len(starts)), dtype=np.uint32)
+    moved = np.empty_like(low)  # one buffer for all permutations, so that it stays in a core's cache
     for k, (a, b) in enumerate(zip(*seeds, strict=True)):
-        out[:, k] = np.minimum.reduceat((low ^ b) * a, starts)
-    return out
+        np.bitwise_xor(low, b, out=moved)
+        np.multiply(moved, a, out=moved)
+        np.minimum.reduceat(moved, starts, out=out[k])
+    return np.ascontiguousarray(out.T)
 
 
 def _sets(words: int):
