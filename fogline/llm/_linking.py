@@ -83,14 +83,31 @@ def _merged(found: DataFrame, links: DataFrame, scratch: Scratch, name: str) ->
     return scratch.write(relabelled(found, "component", joined, scratch).unionByName(fresh), f"{name}_found")
 
 
+def _few(minors, often):
+    """Whether the items outside the largest component are so few that pairs with the list cost no more than longer keys."""
+    return minors <= F.greatest(F.lit(SMALL_LIST), 5 * F.log2(often / SMALL_LIST))
+
+
 def _apart(posted: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(token, doc, component, often) of the large lists that hold several components; often is the length of the list."""
+    """(token, doc, component, often, top, minors) of the large lists that hold several components: the length of the list, its
+    largest component, and how many of its items are not of that."""
     large = posted.where("large")
     rows = large.select("token", "doc").unionByName(large.select("token", F.col("low").alias("doc"))).distinct()
     rows = scratch.write(relabelled(rows.withColumn("component", F.col("doc")), "component", found, scratch), f"{name}_lists")
-    lists = rows.groupBy(F.col("token").alias("_token")).agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("often"))
-    lists = scratch.sized(scratch.write(lists.where("least < most").select("_token", "often"), f"{name}_apart"))
-    return scratch.write(rows.join(lists, rows["token"] == lists["_token"]).select("token", "doc", "component", "often"), f"{name}_live")
+    parts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    lists = parts.groupBy(F.col("token").alias("_token")).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("often"))
+    lists = lists.select("_token", "often", F.col("top.component").alias("top"), (F.col("often") - F.col("top.n")).alias("minors")).where("minors > 0")
+    lists = scratch.sized(scratch.write(lists, f"{name}_apart"))
+    return scratch.write(rows.join(lists, rows["token"] == lists["_token"]).drop("_token"), f"{name}_live")
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) that settle the lists of one large component and a few other items: each of these with the whole list. That
+    is a bounded number of pairs for an item of a list; it grows with the logarithm of the list."""
+    few = rows.where(_few(F.col("minors"), F.col("often")))
+    other = few.where("component <> top").select("token", F.col("doc").alias("x"), F.col("component").alias("of_x"))
+    pairs = few.select("token", F.col("doc").alias("y"), F.col("component").alias("of_y")).join(other, "token").where("of_x <> of_y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def link(
@@ -107,21 +124,22 @@ def link(
     ``finer`` posts the items of long lists (token, doc, often) anew under longer keys.
 
     Small lists are settled by the first comparison. A large list is merged through its low items, so its pairs grow with the
-    list and not with its square. Where it still holds several components, its items meet again in the shorter lists of longer
-    keys, and where those are apart too, by exact prefix filtering. Later links join components and not items: components are
-    never computed again from all links.
+    list and not with its square. Where it still holds several components, but all save one of them are small, their items are
+    compared with the list; else its items meet again in the shorter lists of longer keys, and what is apart there as well, by
+    exact prefix filtering. Later links join components and not items: components are never computed again from all links.
     """
-    links = scratch.write(confirmed(first_pairs(posted)), "links")
-    found = connected_components(links, scratch)
+    many = ~_few(F.col("minors"), F.col("often"))
+    found = connected_components(scratch.write(confirmed(first_pairs(posted)), "links"), scratch)
     live = _apart(posted, found, scratch, "first")
-    if finer and live.limit(1).count():
-        posted = scratch.write(finer(live.select("token", "doc", "often")), "finer")
-        pairs = scratch.write(first_pairs(posted), "finer_pairs")
+    if finer:
+        posted = scratch.write(finer(live.where(many).select("token", "doc", "often")), "finer")
+        pairs = scratch.write(_settled(live).unionByName(first_pairs(posted)).distinct(), "finer_pairs")
         sides = relabelled(relabelled(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), "x", found, scratch), "y", found, scratch)
         found = _merged(found, confirmed(sides.where("x <> y").select("a", "b")), scratch, "finer_cc")
         live = _apart(posted, found, scratch, "second")
-    items = scratch.write(live.select("doc", "component").distinct(), "live")
-    if items.limit(1).count():
-        found = _merged(found, confirmed(left_apart(with_sets(items), similarity, scratch)), scratch, "late_cc")
-    scratch.drop("live", "links", "first_lists", "first_live", "second_lists", "second_live", "finer", "finer_pairs", "lists", "ranked", "often")
+    if live.limit(1).count():
+        items = scratch.write(live.where(many).select("doc", "component").distinct(), "live")
+        pairs = scratch.write(_settled(live).unionByName(left_apart(with_sets(items), similarity, scratch)).distinct(), "late_pairs")
+        found = _merged(found, confirmed(pairs), scratch, "late_cc")
+    scratch.drop("live", "links", "first_lists", "first_live", "second_lists", "second_live", "finer", "finer_pairs", "late_pairs", "lists", "ranked", "often")
     return found

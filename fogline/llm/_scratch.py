@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of 8-byte keys that may be broadcast; beyond it the same join is shuffled.
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -5,7 +5,8 @@ least one piece of it is untouched by any such occurrence. So the pieces of all
 text, and around every hit the whole item is compared by Myers' bit-parallel edit distance. A count of common 4-grams, which
 k edits can lower by at most 4k, spares most comparisons.
 
-Documents are matched where they are read. Test items go to the tasks in blocks of bounded size.
+Documents are matched where they are read. Test items go to the tasks in blocks of bounded size, and at most MAX_BLOCKS of
+them: their characters are counted first, and beyond the bound the call fails and nothing is left out.
 """
 
 from __future__ import annotations
@@ -142,7 +143,11 @@ class Matcher:
         return [(item, *best) for item, best in nearest.items()]
 
 
-@lru_cache(maxsize=4)
+#: Blocks whose matchers a task keeps; more than that many, and a matcher would be built anew for every batch of rows.
+MAX_BLOCKS = 64
+
+
+@lru_cache(maxsize=MAX_BLOCKS)
 def matcher(items: Items, percent: int) -> Matcher:
     return Matcher(items, percent)
 
@@ -164,6 +169,8 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and trim(text) <> ''")
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))
+    if blocks > MAX_BLOCKS:
+        raise ValueError(f"the items hold {chars} characters; at most {MAX_BLOCKS * block_chars} can travel with a task")
     out = []
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).distinct().collect()
@@ -190,7 +197,8 @@ def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", perc
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = EDIT_PERCENT) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, distance, start, end, contaminated (true).
 
-    Null and empty texts hold nothing. Rows that repeat an id are matched each. Items that share a text are all reported. Of
+    Null and empty texts hold nothing; texts of any length are matched whole. Rows that repeat an id are matched each. Of
+    occurrences as near as each other the first is reported. Empty tables give an empty result. Items that share a text are all reported. Of
     several texts under one id each is matched, and the best match is reported. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

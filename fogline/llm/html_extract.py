@@ -30,6 +30,7 @@ PRIOR_PERCENT = 25
 #: Element names of HTML.
 RAW_TEXT = ("script", "style", "textarea", "title", "xmp", "noframes")
 SKIPPED = ("head", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "select", "button", "datalist", "map")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 BOILERPLATE = ("nav", "footer", "aside", "form", "menu", "dialog")
 CONTENT = ("article", "main")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
@@ -104,7 +105,13 @@ def _parts(attributes: str) -> list[str]:
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order. Tags that are never closed, or closed twice, do no harm beyond their parent."""
     found: list[Block] = []
-    stack: list[tuple[str, str, tuple, int]] = []  # open elements, the place inside each (article, freed, beside, skip or page), wrappers, region
+    stack: list[tuple[str, str, tuple, int, bool]] = []  # open elements, the place inside each (article, freed, beside, skip or page), wrappers, region, in a heading
+    open_names: Counter = Counter()
+
+    def close(k: int) -> None:
+        open_names.subtract(name for name, *_ in stack[k:])
+        del stack[k:]
+
     links = named = regions = 0
     low = page.lower() if len(page.lower()) == len(page) else page
     state = {"block": None}
@@ -122,8 +129,7 @@ def blocks_of(page: str) -> list[Block]:
         if state["block"] is None:
             if piece.isspace():
                 return
-            heading = any(re.fullmatch("h[1-6]", name) for name, *_ in stack)
-            state["block"] = Block(where, heading, wrappers=stack[-1][2] if stack else (), region=stack[-1][3] if stack else -1)
+            state["block"] = Block(where, bool(stack) and stack[-1][4], wrappers=stack[-1][2] if stack else (), region=stack[-1][3] if stack else -1)
             found.append(state["block"])
         plain = entities.unescape(piece)
         state["block"].pieces.append(plain)
@@ -174,10 +180,8 @@ def blocks_of(page: str) -> list[Block]:
                 text(" ")
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if open_names[name] > 0:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             if name not in INLINE:
                 cut()
                 links = 0
@@ -194,16 +198,16 @@ def blocks_of(page: str) -> list[Block]:
             cut()
             links = 0
             while stack and stack[-1][0] == "p":
-                stack.pop()
+                close(len(stack) - 1)
             if name in ("li", "td", "th", "tr", "dt", "dd", "option"):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
-                        del stack[k:]
+                        close(k)
                         break
-                    if stack[k][0] in ("ul", "ol", "table", "dl", "tbody", "thead"):
+                    if not open_names[name] or stack[k][0] in ("ul", "ol", "table", "dl", "tbody", "thead"):
                         break
             where = place()
-        inside, (wrappers, region) = where, stack[-1][2:] if stack else ((), -1)
+        inside, (wrappers, region, headed) = where, stack[-1][2:] if stack else ((), -1, False)
         parts = _parts(attributes) if attributes and name not in ("html", "body") else []
         if name in SKIPPED or where == "skip":
             inside = "skip"
@@ -224,7 +228,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in INLINE:
             cut()
-        stack.append((name, inside, wrappers, region))
+        stack.append((name, inside, wrappers, region, headed or name in HEADINGS))
+        open_names[name] += 1
     return found
 
 
@@ -243,12 +248,12 @@ def _first_pass(block: Block, text: str, beside: bool, inside: bool, article: bo
         return "bad"
     links = block.linked / max(1, len(text))
     if inside:
-        if links > 0.9 or (len(text) < LONG and (links > INSIDE_LINKS or "©" in text)):
+        if links > 0.9 or (len(text) < LONG and links > INSIDE_LINKS) or (len(text) < SHORT and text.startswith("©")):
             return "bad"
         if len(text) < SHORT or block.heading:
             return "unsure"
         return "good" if _density(text) >= STOP_LOW else "near"
-    if links > MAX_LINKS or "©" in text:
+    if links > MAX_LINKS or (len(text) < LONG and "©" in text):
         return "bad"
     if len(text) < SHORT or block.heading:
         return "unsure"
@@ -369,7 +374,6 @@ def main_text(page: str | None) -> str:
 
 
 
-
 def extracted(page: Column) -> Column:
     """Struct of text and n_chars for a column of HTML."""
 
@@ -384,8 +388,11 @@ def extracted(page: Column) -> Column:
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """All columns of ``pages`` but the HTML, and text and n_chars (code points); columns of these names are replaced.
 
-    Null and empty pages and pages without an article give an empty text. Each page is judged on its own, so equal pages get
+    Null and empty pages and pages without an article give an empty text; pages of any length are read whole, in time that
+    grows with their length alone. Each page is judged on its own, so equal pages get
     equal texts. An empty table gives an empty result.
     """
     names = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    return pages.select(*[F.col(f"`{c}`") for c in names], extracted(F.col(f"`{html_col}`").cast("string")).alias("_main")).select("*", "_main.*").drop("_main")
+    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None)
+    found = pages.select(row.alias("row"), extracted(F.col(f"`{html_col}`").cast("string")).alias("main"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in names], "main.*")

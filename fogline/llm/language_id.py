@@ -6,7 +6,7 @@ times that, per symbol, estimates the cross entropy; the language with the fewes
 
 Symbols are lower-cased letters; a run of other characters is one separator. Automata are stored as transition tables in
 which a missing transition already leads to the start of the next phrase, so many stretches of text are parsed in step by
-array operations. A text is cut into stretches of ``STRETCH`` symbols for that; every symbol is parsed.
+array operations. The phrases are those of one parse from the first symbol of a text to its last.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 #: The fit: this many documents of a language give a window of so many characters each.
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 400
 STRETCH, CHUNK_CHARS = 128, 1 << 20
-#: The most frequent letters of the samples have codes of their own; other letters share the rest.
+#: The most frequent letters of a sample have codes of their own; its other letters share the rest.
 OWN_CODES, SHARED_CODES = 200, 8
-SEPARATOR, PAD = 0, 1
+SEPARATOR, PAD, ABSENT, FIRST = range(4)
 #: Share of a bit of code length by which odds between languages move.
 TEMPER = 0.25
 UNKNOWN = "und"
@@ -102,28 +102,30 @@ def code_points(text: str) -> np.ndarray:
 
 
 class Tables:
-    """What the parse reads: a code for every code point, and per language the next state and how many phrases ended."""
+    """What the parse reads, per language: a code for every code point, the next state and how many phrases ended.
+
+    Every language has an alphabet of its own. A letter that its sample lacks has the code ``ABSENT`` there; of the letters that
+    it has, the most frequent have codes of their own and the rest share some.
+    """
 
     def __init__(self, model: CrossParser):
-        letters = letter_table()
-        seen = Counter(c for _, sample in model.samples for c in sample.lower() if c.isalpha())
-        own = [c for c, _ in sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:OWN_CODES]]
-        self.code = np.zeros(0x110000, dtype=np.uint8)
-        every = np.arange(0x110000)
-        self.code[letters] = 2 + len(own) + every[letters] % SHARED_CODES
-        for k, c in enumerate(own):
-            self.code[ord(c)] = 2 + k
-        self.width = 2 + len(own) + SHARED_CODES
         self.langs = [lang for lang, _ in model.samples]
-        self.next, self.cost = [], []
+        self.code, self.next, self.cost, self.width = [], [], [], []
         for _, sample in model.samples:
-            symbols, _ = self.symbols([sample])
-            go = automaton(symbols.tolist())
-            table = np.zeros((len(go), self.width), dtype=np.int32)
-            for c in range(self.width):
+            seen = Counter(c for c in sample.lower() if c.isalpha())
+            ranked = sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))
+            code = np.full(0x110000, SEPARATOR, dtype=np.uint8)
+            code[letter_table()] = ABSENT
+            for k, (c, _) in enumerate(ranked):
+                code[ord(c)] = FIRST + (k if k < OWN_CODES else OWN_CODES + ord(c) % SHARED_CODES)
+            width = FIRST + min(len(ranked), OWN_CODES + SHARED_CODES)
+            points, _ = symbols([sample])
+            go = automaton(code[points].tolist())
+            table = np.zeros((len(go), width), dtype=np.int32)
+            for c in range(width):
                 table[:, c] = 4 * go[0].get(c, 0) + 1  # the phrase ends before this symbol, the next one starts with it
             table[0] -= 1  # no phrase is open at the start
-            for c in range(self.width):
+            for c in range(width):
                 if c not in go[0]:
                     table[:, c] = 2  # a symbol that the sample lacks is a phrase of its own, and ends the one before
                     table[0, c] = 1
@@ -131,27 +133,18 @@ class Tables:
                 for c, to in edges.items():
                     table[state, c] = 4 * to
             table[:, PAD] = 4 * np.arange(len(go), dtype=np.int32)
+            self.code.append(code)
             self.next.append(table.ravel())
-            self.cost.append(np.log2(max(2, len(symbols))))
-
-    def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all texts one after another, with single separators, and the number of symbols of each."""
-        lowered = [t.lower() for t in texts]
-        points = code_points("".join(lowered))
-        letter = letter_table()[points]
-        ends = np.cumsum([len(t) for t in lowered], dtype=np.int64)
-        before = np.ones(len(points), dtype=bool)
-        before[1:] = letter[:-1]
-        at = np.concatenate([[0], ends[:-1]])
-        before[at[at < len(points)]] = True
-        keep = letter | before
-        kept = np.concatenate([[0], np.cumsum(keep)])
-        sizes = np.diff(kept[np.concatenate([[0], ends])])
-        return np.where(letter, self.code[points], SEPARATOR)[keep], sizes
+            self.width.append(width)
+            self.cost.append(np.log2(max(2, len(points))))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases of every text under every language (texts x languages), and symbols per text."""
-        symbols, sizes = self.symbols(texts)
+        """Phrases of every text under every language (texts x languages), and symbols per text.
+
+        Texts are parsed in stretches side by side. A stretch begins in the state in which the one before it ended: that is not
+        known at first, so all begin anew, and those whose beginning proves wrong are parsed again until none is.
+        """
+        points, sizes = symbols(texts)
         per = -(-sizes // STRETCH)
         total = int(per.sum())
         out = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
@@ -163,23 +156,49 @@ class Tables:
         rank = np.arange(total) - first[owner]
         start = begin[owner] + rank * STRETCH
         length = np.minimum(STRETCH, sizes[owner] - rank * STRETCH)
-        grid = np.full((STRETCH, total), PAD, dtype=np.int32)
-        padded = np.concatenate([symbols, np.full(STRETCH, PAD, dtype=symbols.dtype)])
-        for j in range(STRETCH):
-            row = padded[start + j]
-            grid[j] = np.where(j < length, row, PAD)
+        places = np.minimum(start + np.arange(STRETCH)[:, None], len(points) - 1)
+        beyond = np.arange(STRETCH)[:, None] >= length
+        last = np.append(owner[1:] != owner[:-1], True)
         for k, table in enumerate(self.next):
-            state = np.zeros(total, dtype=np.int32)
-            count = np.zeros(total, dtype=np.int32)
-            width = np.int32(self.width)
-            for j in range(STRETCH):
-                step = table[state * width + grid[j]]
-                count += step & 3
-                state = step >> 2
-            count += state != 0  # the phrase still open
+            grid = self.code[k][points][places].astype(np.int32)
+            grid[beyond] = PAD
+            state, count, ends = np.zeros(total, dtype=np.int32), np.zeros(total, dtype=np.int32), np.zeros(total, dtype=np.int32)
+            todo = np.arange(total)
+            while len(todo):
+                ends[todo], count[todo] = self._parse(table, self.width[k], grid[:, todo], state[todo])
+                after = np.append(0, np.where(last, 0, ends)[:-1]).astype(np.int32)
+                todo = np.flatnonzero(after != state)
+                state = after
+            count += last & (ends != 0)  # the phrase still open at the end of a text
             out[:, k] = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
         return out, sizes
 
+    @staticmethod
+    def _parse(table: np.ndarray, width: int, grid: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State after the stretches (columns of ``grid``), and the phrases that ended in them."""
+        count = np.zeros(len(state), dtype=np.int32)
+        for row in grid:
+            step = table[state * np.int32(width) + row]
+            count += step & 3
+            state = step >> 2
+        return state, count
+
+
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts one after another, lower-cased, a run of other characters than letters as its first one; and
+    the number of symbols of each."""
+    lowered = [t.lower() for t in texts]
+    points = code_points("".join(lowered))
+    letter = letter_table()[points]
+    ends = np.cumsum([len(t) for t in lowered], dtype=np.int64)
+    before = np.ones(len(points), dtype=bool)
+    before[1:] = letter[:-1]
+    at = np.concatenate([[0], ends[:-1]])
+    before[at[at < len(points)]] = True
+    keep = letter | before
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    return points[keep], np.diff(kept[np.concatenate([[0], ends])])
+
 
 _built: dict[CrossParser, Tables] = {}
 
@@ -243,8 +262,10 @@ def language(model: CrossParser, text: Column) -> Column:
 def identify_languages(docs: DataFrame, model: CrossParser, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, and lang_pred, score and bits_per_symbol; columns of these names are replaced.
 
-    Null and empty texts and texts without letters are ``und`` with score 0. Equal texts get equal results.
+    Null and empty texts and texts without letters are ``und`` with score 0. Texts of any length are parsed whole. Equal texts
+    get equal results. An empty table gives an empty result.
     """
     new = ["lang_pred", "score", "bits_per_symbol"]
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], language(model, F.col(text_col).cast("string")).alias("_language"))
-    return kept.select("*", "_language.*").drop("_language")
+    names = [c for c in docs.columns if c not in new]
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row") if names else F.lit(None).alias("row"), language(model, F.col(f"`{text_col}`").cast("string")).alias("found"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in names], "found.*")

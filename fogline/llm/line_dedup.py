@@ -407,9 +407,10 @@ def repeated_lines(
     labels = found.select(F.col("node").alias("linked"), "component")
     placed = firsts.join(labels, firsts["node"] == labels["linked"], "left").where("times > 1 or component is not null")
     placed = scratch.write(placed.select("node", F.coalesce("component", "node").alias("component"), "first"), "placed")
-    keepers = placed.groupBy("component").agg(F.min("first").alias("keep"))
-    keep = scratch.write(placed.join(keepers, "component").select(F.col("node").alias("repeated"), "keep"), "keep")
-    keep = F.broadcast(keep) if keep.count() <= BROADCAST_KEYS // 4 else keep
+    keepers = scratch.write(placed.groupBy(F.col("component").alias("_component")).agg(F.min("first").alias("keep")), "keepers")
+    keepers = scratch.sized(keepers, BROADCAST_KEYS // 4)
+    keep = scratch.write(placed.join(keepers, placed["component"] == keepers["_component"]).select(F.col("node").alias("repeated"), "keep"), "keep")
+    keep = scratch.sized(keep, BROADCAST_KEYS // 4)
     dropped = occurrences.join(keep, occurrences["node"] == keep["repeated"]).where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")))
     scratch.drop("posted", "met", "sigs", "close", "wanted", "texts", "live_texts", "asked")
     return dropped.select("doc_id", "line", F.col("keep.doc_id").alias("kept_doc_id"), F.col("keep.line").alias("kept_line")).distinct()

@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fogline.llm._scratch import Scratch
+from fogline.llm._scratch import BROADCAST_KEYS, Scratch
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, "mix-1"
-#: Documents of a slice, on average at most.
+#: Documents of a slice, on average at most; a class has as many slices as it needs, a power of two.
 SLICE_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,6 +33,12 @@ def size_class(size: Column) -> Column:
     return (F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")).cast("int")
 
 
+def slices_of(rows: Column) -> Column:
+    """The smallest power of two of slices of ``SLICE_ROWS`` that hold so many rows."""
+    full = F.floor((rows - 1) / SLICE_ROWS).cast("long")
+    return F.when(full < 1, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2.0), F.length(F.bin(full))).cast("long"))
+
+
 def _hash32(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
@@ -76,18 +82,27 @@ def mix_sources(
     so reruns agree. A column in ``carry`` may bear any name but those above. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    slices = max(1, -(-docs.count() // SLICE_ROWS))
+    finest = 1 << (max(0, docs.count() - 1) // SLICE_ROWS).bit_length()
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col)).alias("size"),
         *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []),
     )
-    placed = sized.withColumn("class", size_class(F.col("size"))).withColumn("slice", F.pmod(_hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(slices)).cast("int"))
+    placed = sized.withColumn("class", size_class(F.col("size"))).withColumn("draw", F.pmod(_hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(finest)))
 
-    blocks = placed.groupBy("source", "class", "slice").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words"))
+    blocks = placed.groupBy("source", "class", "draw").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words"))
     blocks = scratch.write(blocks, "blocks")
-    classes = blocks.groupBy("source", "class").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words"))
+    classes = blocks.groupBy("source", "class").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words")).withColumn("slices", slices_of(F.col("rows")))
+    classes = scratch.write(classes, "classes")
+    parted = scratch.sized(classes.select(F.col("source").alias("_source"), F.col("class").alias("_class"), "slices"), BROADCAST_KEYS // 4)
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        """Rows with the slice of their class; all slices are powers of two, so a draw tells its slice."""
+        same = rows["source"].eqNullSafe(parted["_source"]) & (rows["class"] == parted["_class"])
+        return rows.join(parted, same).withColumn("slice", F.pmod("draw", "slices")).drop("_source", "_class", "slices", "draw")
+
+    blocks = sliced(blocks).groupBy("source", "class", "slice").agg(F.sum("rows").alias("rows"))
     targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     earlier = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     class_base = classes.select("source", "class", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("class_base"))
@@ -102,6 +117,8 @@ def mix_sources(
             on = same if on is None else on & same
         base = base.join(named, on).drop(*[f"_{k}" for k in keys])
     base = scratch.write(base.withColumn("base", F.col("class_base") + F.col("slice_base")).drop("class_base", "slice_base"), "base")
+    base = scratch.sized(base, BROADCAST_KEYS // 4)
+    placed = sliced(placed)
     base = base.select(F.col("source").alias("_source"), F.col("class").alias("_class"), F.col("slice").alias("_slice"), "source_size", "target", "offset", "base")
 
     here = placed["source"].eqNullSafe(base["_source"]) & (placed["class"] == base["_class"]) & (placed["slice"] == base["_slice"])
@@ -130,11 +147,12 @@ def emit_mixture(docs: DataFrame, **options) -> DataFrame:
 MIX_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
-n AS (SELECT greatest(1, ceil(count(*) / {SLICE_ROWS}.0))::BIGINT AS slices FROM documents),
-placed AS (
+classed AS (
   SELECT doc_id, source, size, length(size::VARCHAR) * 100 + substr(size::VARCHAR, 1, 2)::INT AS class,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT) % slices AS slice
-  FROM sized, n),
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS draw
+  FROM sized),
+counted AS (SELECT *, (count(*) OVER (PARTITION BY source, class) - 1) // {SLICE_ROWS} AS full_slices FROM classed),
+placed AS (SELECT doc_id, source, size, class, draw % (CASE WHEN full_slices < 1 THEN 1 ELSE 1 << length(bin(full_slices)) END) AS slice FROM counted),
 totals AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rnk FROM placed GROUP BY source),
 capped AS (

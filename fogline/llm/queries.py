@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogline.llm import chat_format, decontaminate, html_extract, language_id, line_dedup, mixing, quality_classifier, quality_rules, sharding
-from fogline.llm._scratch import BROADCAST_KEYS, Scratch
+from fogline.llm._scratch import Scratch
 from fogline.llm.near_dedup import near_duplicates
 
 #: A conversation that quotes control strings; op7 adds it to the table.
@@ -66,10 +66,9 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out(1, 3) & F.col("quality").isin(0, 1))
-    few = labels.count() <= BROADCAST_KEYS
-    seen = docs.where(~held_out(1, 3)).join(F.broadcast(labels) if few else labels, "doc_id").select("text", "quality")
-    if not few:  # texts are shuffled once, and not by each pass of the fit
-        seen = Scratch(spark, "quality").write(seen, "seen")
+    scratch = Scratch(spark, "quality")
+    seen = docs.where(~held_out(1, 3)).join(scratch.sized(labels), "doc_id").select("text", "quality")
+    seen = scratch.write(seen, "seen")  # the passes of the fit read labelled texts alone
     model = quality_classifier.fit(seen)
     found = quality_classifier.classify(docs, model)
     return found.select("doc_id", held_out(1, 3).alias("held_out"), "score", "predicted")

@@ -108,9 +108,12 @@ class ShardStore:
         return self.commit([*self.runs(base), *new], base)
 
     def read_runs(self, runs: list[Run]) -> DataFrame:
-        frames = [self.spark.read.parquet(f"{self.root}/data/{r.name}") for r in runs]
-        schema = frames[0].schema
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/data/{r.name}" for r in runs])
+        """Rows of several runs. A column that some runs lack is null there; one of two types raises."""
+        paths = [f"{self.root}/data/{r.name}" for r in runs]
+        schemas = {self.spark.read.parquet(p).schema.json(): p for p in paths}
+        if len(schemas) == 1:
+            return self.spark.read.parquet(*paths)
+        return self.spark.read.option("mergeSchema", "true").parquet(*paths)
 
     def compact(self) -> int:
         """Merge full tiers until none is left; returns the version.
@@ -145,17 +148,18 @@ class ShardStore:
                 self._fs.delete(self._path("data", *n.split("/")), True)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """Rows of a version with ``_shard`` (the file that holds the row) and ``_version``."""
+        """Rows of a version, each as a struct ``row``, with ``shard_file`` (the file that holds it) and ``shard_version``."""
         version = self.version() if version is None else version
         runs = self.runs(version)
         if not runs:
             raise ValueError("the store is empty")
         rows = self.read_runs(runs)
-        return rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"/data/(.*)$", 1).alias("_shard"), F.lit(version).cast("long").alias("_version"))
+        file = F.regexp_extract(F.col("_metadata.file_path"), r"/data/(.*)$", 1)
+        return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), file.alias("shard_file"), F.lit(version).cast("long").alias("shard_version"))
 
 
-#: Arrivals that the table is dealt into.
-ARRIVALS = 8
+#: Arrivals that the table is dealt into, and shards whose numbers may be broadcast.
+ARRIVALS, BROADCAST_SHARDS = 8, 100_000
 
 
 def shard_documents(docs: DataFrame, root: str, id_col: str = "doc_id", arrivals: int = ARRIVALS, **sizes) -> DataFrame:
@@ -169,12 +173,18 @@ def shard_documents(docs: DataFrame, root: str, id_col: str = "doc_id", arrivals
     kept = docs.select(*[F.col(f"`{c}`") for c in names])
     store = ShardStore(docs.sparkSession, root, **sizes)
     arrival = F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(arrivals)), F.lit(0)).cast("int")
-    store.append_many(kept.withColumn("_arrival", arrival), "_arrival")
+    name = "arrival"
+    while name in names:
+        name += "_"
+    store.append_many(kept.withColumn(name, arrival), name)
     store.compact()
     store.vacuum()
     if not store.runs():
         return kept.limit(0).select("*", F.lit(0).cast("int").alias("shard"), F.lit(0).cast("long").alias("shard_rows"), F.lit(0).cast("long").alias("version"))
     rows = store.read()
-    files = rows.groupBy("_shard").agg(F.min(F.col(f"`{id_col}`")).alias("low"), F.count(F.lit(1)).alias("shard_rows"))
-    numbered = files.select(F.col("_shard").alias("_file"), "shard_rows", (F.row_number().over(Window.orderBy("low", "_shard")) - 1).alias("shard"))
-    return rows.join(numbered, rows["_shard"] == numbered["_file"]).select(*[F.col(f"`{c}`") for c in names], "shard", "shard_rows", F.col("_version").alias("version"))
+    files = rows.groupBy("shard_file").agg(F.min(F.col("row").getField(id_col)).alias("low"), F.count(F.lit(1)).alias("shard_rows"))
+    numbered = files.select(F.col("shard_file").alias("file"), "shard_rows", (F.row_number().over(Window.orderBy("low", "shard_file")) - 1).alias("shard"))
+    if sum(r.shards for r in store.runs()) <= BROADCAST_SHARDS:
+        numbered = F.broadcast(numbered)
+    joined = rows.join(numbered, rows["shard_file"] == numbered["file"])
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in names], "shard", "shard_rows", F.col("shard_version").alias("version"))

@@ -6,17 +6,21 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fogline.llm import _linking, chat_format, decontaminate, html_extract, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding
+from fogline.llm import _text as X
 from fogline.llm._components import connected_components
 from fogline.llm._scratch import Scratch
 from fogline.llm.queries import ORACLES, QUERIES
 from tests.conftest import MEDIUM, SMALL, same_as_sql
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `row` string, size string, kept string, score string"
+CLASHES = ("_arrival", "arrival", "_shard", "_version", "_language", "_main", "_doc", "_dropped", "main", "found", "gone", "doc", "id", "_id", "shard_file", "file")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -176,15 +180,24 @@ def test_phrases_equal_greedy_longest_matches():
     sample = "".join(rng.choice("ab c") for _ in range(300))
     sample = re.sub(" +", " ", sample)
     t = language_id.Tables(language_id.CrossParser((("x", sample),)))
-    for _ in range(30):
-        text = re.sub(" +", " ", "".join(rng.choice("abc d") for _ in range(rng.randrange(1, language_id.STRETCH))))
+    texts = [re.sub(" +", " ", "".join(rng.choice("abc d") for _ in range(rng.randrange(1, size)))) for size in [language_id.STRETCH] * 20 + [3000] * 9 + [20_000]]
+    counts = t.phrases(texts)[0][:, 0].tolist()
+    for text, found in zip(texts, counts, strict=True):
         at = n = 0
         while at < len(text):
             k = 1
             while at + k < len(text) and text[at : at + k + 1] in sample:
                 k += 1
             at, n = at + k, n + 1
-        assert t.phrases([text])[0][0, 0] == n
+        assert found == n
+
+
+def test_languages_with_many_letters_are_told_apart():
+    rng = random.Random(15)
+    alphabets = {"a": [chr(0x4E00 + i) for i in range(3000)], "b": [chr(0x5A00 + i) for i in range(3000)]}
+    model = language_id.CrossParser(tuple((n, "".join(rng.choice(x) for _ in range(20_000))) for n, x in alphabets.items()))
+    for n, letters in alphabets.items():
+        assert set(language_id.predict(model, ["".join(rng.choice(letters) for _ in range(20)) for _ in range(200)])[0]) == {n}
 
 
 def test_language_of_awkward_rows(spark):
@@ -231,7 +244,7 @@ def test_benchmark_matches_equal_brute_force(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
-@pytest.mark.parametrize("block_chars", [20, 10**6])
+@pytest.mark.parametrize("block_chars", [5, 20, 10**6])
 def test_all_texts_of_a_benchmark_id_are_matched(spark, block_chars):
     first, second = "a first passage that somebody has put into a benchmark", "quite another passage under the very same number"
     bench = spark.createDataFrame([(0, first), (0, second), (1, "one more passage of a benchmark that is nowhere")], "item_id long, text string")
@@ -267,6 +280,26 @@ def test_shards_round_trip_and_commits(spark, tmp_path):
     with pytest.raises(sharding.CommitConflict):
         store.commit([], 2)
     assert store.version() == 4
+    wider = sharding.ShardStore(spark, str(tmp_path / "d"), small_bytes=1 << 20, fan_in=2)
+    wider.append(docs.where("doc_id = 1").select("doc_id"))
+    wider.append(docs.where("doc_id = 2").select("doc_id", "text"))
+    wider.compact()
+    assert {(r.row.doc_id, r.row.text) for r in wider.read().collect()} == {(1, None), (2, "text 2")}
+
+
+def test_clashing_names_are_kept(spark, tmp_path):
+    clash = corpus(spark, [(1, "the cat"), (2, None), (2, "the cat")]).selectExpr("*", *[f"'c' AS {c}" for c in CLASHES])
+    model = language_id.fit(corpus(spark, [(1, "the cat is on the mat " * 9)]))
+    for out in (
+        sharding.shard_documents(clash, str(tmp_path / "e")),
+        language_id.identify_languages(clash, model),
+        html_extract.extract_pages(clash.withColumnRenamed("text", "html")),
+        line_dedup.drop_repeated_lines(clash),
+        near_dedup.drop_near_duplicates(clash),
+        mixing.emit_mixture(clash),
+        decontaminate.decontaminate(clash, spark.createDataFrame([(1, "nowhere in it")], "item_id long, text string")),
+    ):
+        assert set(CLASHES) <= set(out.columns) and all(r[c] == "c" for r in out.collect() for c in CLASHES)
 
 
 def test_mixture_meets_its_targets(spark):
@@ -309,6 +342,42 @@ def test_quality_on_held_out_documents(spark):
     assert (held.predicted == held.quality).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def test_descent_closes_the_duality_gap():
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.permutation(20)[: rng.integers(3, 9)]) for _ in range(120)]
+    values = [rng.normal(size=len(r)) for r in rows]
+    labels = np.where(np.array([v.sum() for v in values]) + rng.normal(size=120) > 0.4, 1.0, -1.0)
+    w, bias = quality_classifier.descend(rows, values, labels, 20, 0.5, 600)
+    share = {y: (labels == y).mean() for y in (-1.0, 1.0)}
+    box = np.array([0.25 / share[y] for y in labels])
+    x = np.zeros((120, 21))
+    for i, (r, v) in enumerate(zip(rows, values, strict=True)):
+        x[i, r], x[i, 20] = v, 1.0
+    whole = np.append(w, bias)
+    primal = whole @ whole / 2 + box @ np.maximum(0, 1 - labels * (x @ whole))
+    alpha = np.zeros(120)  # plain projected gradient on the dual, for comparison
+    gram = (x * labels[:, None]) @ (x * labels[:, None]).T
+    for _ in range(20_000):
+        alpha = np.clip(alpha - 0.9 / np.linalg.norm(gram, 2) * (gram @ alpha - 1), 0, box)
+    dual = alpha.sum() - alpha @ gram @ alpha / 2
+    assert abs(primal - dual) < 1e-3 * abs(dual)
+
+
+def test_ratios_are_smoothed_log_counts(spark):
+    rng = random.Random(16)
+    rows = [(" ".join(rng.choice(["good", "fine", "bad", "###", "the"]) for _ in range(6)), k % 2) for k in range(40)]
+    model = quality_classifier.fit(spark.createDataFrame(rows, "text string, quality int"), buckets=512)
+    counts, sizes = np.zeros((2, 512)), np.zeros(2)
+    for text, label in rows:
+        chunk = next(X.chunks(pa.array([text])))
+        keys, _ = quality_classifier.features(chunk, 512)
+        assert len(set(keys.tolist())) == len(keys)
+        counts[label, keys] += 1
+        sizes[label] += 1
+    rate = (counts + 1) / (sizes[:, None] + 2)
+    assert np.allclose(model.ratios, np.log(rate[1] / rate[0]))
+
+
 def test_classifier_of_awkward_rows(spark):
     rows = [(f"good fine words {i}", 1) for i in range(20)] + [(f"BAD ### {i}", 0) for i in range(20)] + [(None, 1), ("x", None)]
     model = quality_classifier.fit(spark.createDataFrame(rows, "text string, quality int"))
