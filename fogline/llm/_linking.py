@@ -101,6 +101,15 @@ def _apart(posted: DataFrame, found: DataFrame, scratch: Scratch, name: str) ->
     return scratch.write(rows.join(lists, rows["token"] == lists["_token"]).drop("_token"), f"{name}_live")
 
 
+def _drawn(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the items outside the largest component of a list with some ``SMALL_LIST`` of its items, drawn by a hash:
+    what belongs to the component, and was only too far from the low item, is mostly found by these."""
+    turn = F.pmod(F.xxhash64("token", "doc"), F.greatest(F.lit(1), F.floor(F.col("often") / SMALL_LIST).cast("long"))) == 0
+    centres = rows.where((F.col("component") == F.col("top")) & turn).select("token", F.col("doc").alias("y"))
+    pairs = rows.where("component <> top").select("token", F.col("doc").alias("x")).join(centres, "token")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _settled(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) that settle the lists of one large component and a few other items: each of these with the whole list. That
     is a bounded number of pairs for an item of a list; it grows with the logarithm of the list."""
@@ -123,13 +132,14 @@ def link(
     ``confirmed`` gives those of the pairs (a, b) that are links; ``with_sets`` adds the column shingles to (doc, component);
     ``finer`` posts the items of long lists (token, doc, often) anew under longer keys.
 
-    Small lists are settled by the first comparison. A large list is merged through its low items, so its pairs grow with the
-    list and not with its square. Where it still holds several components, but all save one of them are small, their items are
+    Small lists are settled by the first comparison. A large list is merged through its low items and through some that are
+    drawn, so its pairs grow with the list and not with its square. Where it still holds several components, but all save one of them are small, their items are
     compared with the list; else its items meet again in the shorter lists of longer keys, and what is apart there as well, by
     exact prefix filtering. Later links join components and not items: components are never computed again from all links.
     """
     many = ~_few(F.col("minors"), F.col("often"))
     found = connected_components(scratch.write(confirmed(first_pairs(posted)), "links"), scratch)
+    found = _merged(found, confirmed(_drawn(_apart(posted, found, scratch, "star"))), scratch, "drawn_cc")
     live = _apart(posted, found, scratch, "first")
     if finer:
         posted = scratch.write(finer(live.where(many).select("token", "doc", "often")), "finer")
@@ -141,5 +151,5 @@ def link(
         items = scratch.write(live.where(many).select("doc", "component").distinct(), "live")
         pairs = scratch.write(_settled(live).unionByName(left_apart(with_sets(items), similarity, scratch)).distinct(), "late_pairs")
         found = _merged(found, confirmed(pairs), scratch, "late_cc")
-    scratch.drop("live", "links", "first_lists", "first_live", "second_lists", "second_live", "finer", "finer_pairs", "late_pairs", "lists", "ranked", "often")
+    scratch.drop("live", "links", "star_lists", "star_live", "first_lists", "first_live", "second_lists", "second_live", "finer", "finer_pairs", "late_pairs", "lists", "ranked", "often")
     return found

@@ -382,7 +382,10 @@ def repeated_lines(
         return base.join(asked, base["doc_id"] == asked["_doc"]).select("doc_id", "text", "lines").mapInArrow(_line_texts, "doc long, text string").dropDuplicates(["doc"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = (sigs.select(F.col("doc").alias(k), F.col("sig").alias(f"sig_{k}")) for k in ("a", "b"))
+        pairs = scratch.write(pairs, "pairs")
+        ends = scratch.sized(scratch.write(pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct(), "ends"))
+        near = sigs.join(ends, sigs["doc"] == ends["end"], "left_semi")
+        a, b = (near.select(F.col("doc").alias(k), F.col("sig").alias(f"sig_{k}")) for k in ("a", "b"))
         close = pairs.join(a, "a").join(b, "b").where(_agree(bands, band_rows, AGREE)(F.concat("sig_a", "sig_b"))).select("a", "b")
         close = scratch.write(close, "close")
         wanted = scratch.write(close.select(F.col("a").alias("doc")).union(close.select("b")).distinct(), "wanted")
@@ -412,7 +415,7 @@ def repeated_lines(
     keep = scratch.write(placed.join(keepers, placed["component"] == keepers["_component"]).select(F.col("node").alias("repeated"), "keep"), "keep")
     keep = scratch.sized(keep, BROADCAST_KEYS // 4)
     dropped = occurrences.join(keep, occurrences["node"] == keep["repeated"]).where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")))
-    scratch.drop("posted", "met", "sigs", "close", "wanted", "texts", "live_texts", "asked")
+    scratch.drop("posted", "pairs", "ends", "met", "sigs", "close", "wanted", "texts", "live_texts", "asked")
     return dropped.select("doc_id", "line", F.col("keep.doc_id").alias("kept_doc_id"), F.col("keep.line").alias("kept_line")).distinct()
 
 
