@@ -32,8 +32,8 @@ def pool_adjacent(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def fit_isotonic(cases: DataFrame, model_version: str, run_id: str, min_positive: int = MIN_POSITIVE, p: str = "p", outcome: str = "outcome", ordinal: str = "ordinal") -> DataFrame:
     """One table per key with enough positives: calibration_id, x and y knots, positive_count.
 
-    Thin keys are dropped before anything is shuffled to the kernel. Equal (p, outcome) pairs are pooled beforehand where no
-    ordinal tells them apart, so a group holds at most its distinct probabilities times outcomes in order of ordinal.
+    Thin keys are dropped before anything is shuffled to the kernel. Ties in p keep the order of
+    their ordinals, so they are not pooled beforehand: a group holds the cases of its key, two numbers each.
     """
     checked = cases.withColumn("_p", F.when((F.col(p) < 0) | (F.col(p) > 1) | F.isnan(p), F.raise_error(F.lit("probability outside [0, 1]")).cast("double")).otherwise(F.col(p).cast("double")))
     rich = cases.groupBy(*KEY).agg(F.sum(F.col(outcome).cast("double")).cast("long").alias("positive_count")).where(F.col("positive_count") >= min_positive)

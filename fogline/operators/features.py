@@ -25,25 +25,35 @@ class FeatureContract:
     grid_version: int = 1
     versions: dict = field(default_factory=dict)
 
+    def faults(self) -> list[str]:
+        """Names of all rules that the contract breaks."""
+        columns = {"means": self.means, "stds": self.stds, "mins": self.mins, "maxs": self.maxs}
+        rules = {
+            "no channel": not self.names,
+            "repeated channel": len({*self.names}) < len(self.names),
+            **{f"{name}: one number per channel": len(x) != len(self.names) for name, x in columns.items()},
+            **{f"{name}: not finite": not np.isfinite(x).all() for name, x in columns.items()},
+            "stds: not positive": min(self.stds, default=1.0) <= 0,
+            "bounds: lower above upper": any(low > high for low, high in zip(self.mins, self.maxs, strict=False)),
+        }
+        return [name for name, broken in rules.items() if broken]
+
     def __post_init__(self) -> None:
-        n = len(self.names)
-        if not n or len(set(self.names)) != n:
-            raise ValueError("channel names must be present and distinct")
-        if any(len(x) != n for x in (self.means, self.stds, self.mins, self.maxs)):
-            raise ValueError("statistics must match the channel names")
-        if any(s <= 0 for s in self.stds) or any(a > b for a, b in zip(self.mins, self.maxs, strict=True)):
-            raise ValueError("deviations must be positive and bounds ordered")
+        if found := self.faults():
+            raise ValueError("; ".join(found))
 
     def order_of(self, live: Sequence[str], channel_version: int | None = None) -> list[int]:
-        """Place of every contract channel among the live ones; missing, extra and repeated channels raise."""
-        if len(set(live)) != len(live):
-            raise ValueError("live channels repeat")
-        missing, extra = sorted(set(self.names) - set(live)), sorted(set(live) - set(self.names))
-        if missing or extra:
-            raise ValueError(f"missing channels {missing}, unexpected channels {extra}")
-        if channel_version is not None and channel_version != self.channel_version:
-            raise ValueError("channel version differs")
-        return [list(live).index(n) for n in self.names]
+        """Place of every contract channel among the live ones; raises with all differences between the two."""
+        place = {name: i for i, name in enumerate(live)}
+        rules = {
+            "repeated": len(place) < len(live),
+            f"missing {sorted({*self.names} - {*place})}": not {*self.names} <= {*place},
+            f"unexpected {sorted({*place} - {*self.names})}": not {*place} <= {*self.names},
+            f"version {channel_version} is not {self.channel_version}": channel_version not in (None, self.channel_version),
+        }
+        if found := [name for name, broken in rules.items() if broken]:
+            raise ValueError("live channels: " + "; ".join(found))
+        return [place[n] for n in self.names]
 
     def table(self, spark) -> DataFrame:
         rows = [(n, i, *map(float, s)) for i, (n, *s) in enumerate(zip(self.names, self.means, self.stds, self.mins, self.maxs, strict=True))]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -59,12 +59,12 @@ def detect_objects(cells: DataFrame, threshold: float, nx: int, keys: Sequence[s
         r, c, v = frame["row"].to_numpy(), frame["col"].to_numpy(), frame["value"].to_numpy()
         labels = components(r, c)
         out = []
-        for label in np.unique(labels):
-            m = labels == label
-            if m.sum() < min_area:
+        by_label = np.argsort(labels, kind="stable")
+        for m in np.split(by_label, np.flatnonzero(np.diff(labels[by_label])) + 1):
+            if len(m) < min_area:
                 continue
             rr, cc = r[m], c[m]
-            out.append([*(frame[k].iloc[0] for k in keys), len(out), int(m.sum()), float(v[m].max()), float(cc.mean()), float(rr.mean()), int(rr.min()), int(rr.max()), int(cc.min()), int(cc.max()), np.sort(rr * nx + cc).tolist()])
+            out.append([*(frame[k].iloc[0] for k in keys), len(out), len(m), float(v[m].max()), float(cc.mean()), float(rr.mean()), int(rr.min()), int(rr.max()), int(cc.min()), int(cc.max()), np.sort(rr * nx + cc).tolist()])
         return pd.DataFrame(out, columns=[*keys, "object", "area_cells", "max_value", "centroid_x", "centroid_y", "row_min", "row_max", "col_min", "col_max", "cells"])
 
     return active.groupBy(*keys).applyInPandas(run, f"{key_ddl}, {DETECTION}")
@@ -129,6 +129,7 @@ class Track:
     cells: frozenset
     age: int = 1
     missed: int = 0
+    parents: tuple[str, ...] = ()
 
 
 @dataclass
@@ -187,15 +188,15 @@ def track_step(state: TrackerState, found: Sequence[Detection], motion=None, km_
             phase = "Decaying"
         else:
             phase = "Developing"
-        alive.append(Track(track_id, d.x, d.y, d.area, d.peak, d.cells, age))
+        alive.append(Track(track_id, d.x, d.y, d.area, d.peak, d.cells, age, 0, tuple(sorted(touching - {track_id}))))
         out.append({"track_id": track_id, "x": d.x, "y": d.y, "area_cells": d.area, "max_value": d.peak, "lifecycle": phase, "age_frames": age, "missed": 0, "parents": sorted(touching - {track_id})})
     for r, t in enumerate(before):
         if r in match.values():
             continue
         if t.missed + 1 >= 2:
-            out.append({"track_id": t.track_id, "x": t.x, "y": t.y, "area_cells": t.area, "max_value": t.peak, "lifecycle": "Dissipated", "age_frames": t.age, "missed": t.missed + 1, "parents": []})
+            out.append({"track_id": t.track_id, "x": t.x, "y": t.y, "area_cells": t.area, "max_value": t.peak, "lifecycle": "Dissipated", "age_frames": t.age, "missed": t.missed + 1, "parents": list(t.parents)})
         else:
-            alive.append(Track(t.track_id, t.x, t.y, t.area, t.peak, t.cells, t.age, t.missed + 1))
+            alive.append(replace(t, missed=t.missed + 1))
     return TrackerState(next_id, alive), out
 
 
@@ -258,16 +259,18 @@ def first_hit(cells: Iterable[int], u: np.ndarray, v: np.ndarray, target: tuple[
     return None
 
 
-def arrival_times(storms: DataFrame, targets: DataFrame, motion: DataFrame, shape: tuple[int, int], steps: int = 36, step_minutes: int = 10, km_per_cell: float = 2.0) -> DataFrame:
+def arrival_times(storms: DataFrame, targets: DataFrame, motion: DataFrame, shape: tuple[int, int], steps: int = 36, step_minutes: int = 10, km_per_cell: float = 2.0, parts: int = 64) -> DataFrame:
     """(track_id, target_id, radius_km, member, minutes): arrival per storm, target and member, null without one.
 
     ``storms`` (track_id, cells), ``targets`` (target_id, x, y, radius_km), ``motion`` (member, row, col, u, v). One member's
-    motion field and the storms of the issue make up a group.
+    motion field and one of ``parts`` shares of the storms make up a group, so a member's storms are not one task.
     """
     ny, nx = shape
     members = motion.select(F.col("member").alias("_member")).distinct()
     tasks = storms.select("track_id", "cells").crossJoin(F.broadcast(targets.select("target_id", "x", "y", "radius_km"))).crossJoin(members)  # storms x targets x members are the rows asked for
-    tasks = tasks.withColumn("member", F.col("_member")).drop("_member")
+    tasks = tasks.withColumn("member", F.col("_member")).drop("_member").withColumn("part", F.pmod(F.xxhash64("track_id"), F.lit(parts)))
+    winds = motion.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))  # a field is bounded by its grid
+    winds = winds.join(F.broadcast(tasks.select("member", "part").distinct()), ["member", "part"], "left_semi")
 
     def run(asked: pd.DataFrame, wind: pd.DataFrame) -> pd.DataFrame:
         u, v = np.zeros((ny, nx)), np.zeros((ny, nx))
@@ -278,7 +281,7 @@ def arrival_times(storms: DataFrame, targets: DataFrame, motion: DataFrame, shap
             out.append((r.track_id, r.target_id, r.radius_km, r.member, None if hit is None else hit * step_minutes))
         return pd.DataFrame(out, columns=["track_id", "target_id", "radius_km", "member", "minutes"]).astype({"minutes": "Int64"})
 
-    return tasks.groupBy("member").cogroup(motion.groupBy("member")).applyInPandas(run, "track_id string, target_id string, radius_km double, member int, minutes long")
+    return tasks.groupBy("member", "part").cogroup(winds.groupBy("member", "part")).applyInPandas(run, "track_id string, target_id string, radius_km double, member int, minutes long")
 
 
 def decay_probability(durations: DataFrame, cutoffs: DataFrame, duration: str = "duration_min") -> DataFrame:

@@ -56,7 +56,8 @@ NWP_RANGES = {
     "conv10m": (-1000.0, 1000.0),
     "precip_rate": (0.0, 2000.0),
 }
-FILL = -9999.0
+#: Fixed value: what invalid cells hold.
+FILL = 0.0
 
 
 def age_minutes(obs: Column, issue: Column) -> Column:

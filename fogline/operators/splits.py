@@ -58,6 +58,8 @@ def storm_day() -> Column:
 
 def event_grouped_by_fraction(frames: DataFrame, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """(frame_id, split): groups in order of their first frame, the first share to train, the next to validation."""
+    if not (0 < train < 1 and 0 <= validation < 1 and train + validation < 1):
+        raise ValueError("train and validation must leave a share for the test split")
     groups = frames.withColumn("group", storm_day()).groupBy("group").agg(F.min("timestamp").alias("first")).withColumn("day", F.to_date("first"))
     days = groups.groupBy("day").agg(F.count(F.lit(1)).alias("of_day"))  # one row per day, so one task may order them
     upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -103,10 +105,18 @@ def leaked_manifests(frames: DataFrame, assigned: DataFrame) -> DataFrame:
     return rows.groupBy("manifest_id").agg(F.count_distinct("split").alias("splits")).where("splits > 1")
 
 
-def split(frames: DataFrame, strategy: str, **spec) -> DataFrame:
-    """Dispatch by strategy name. Random splits of frames are refused: they leak."""
+def split(frames: DataFrame, strategy: str, allow_leaks: bool = False, **spec) -> DataFrame:
+    """Dispatch by strategy name. Random splits of frames are refused: they leak. So is any split by which a manifest stands in
+    two splits, unless ``allow_leaks``; the check is a job of its own, of which one row at most comes back."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown or forbidden split strategy: {strategy}")
+    assigned = _by_strategy(frames, strategy, spec)
+    if not allow_leaks and (leak := leaked_manifests(frames, assigned).first()):
+        raise ValueError(f"manifest in {leak['splits']} splits: {leak['manifest_id']}")
+    return assigned
+
+
+def _by_strategy(frames: DataFrame, strategy: str, spec: dict) -> DataFrame:
     if strategy == "chronological":
         return chronological(frames, spec["windows"], spec.get("buffer_hours", 0))
     if strategy == "event_grouped":

@@ -39,7 +39,7 @@ def _flags_sql(*more: str) -> str:
     return f"array_to_string(list_sort(list_filter([{', '.join([_BASE_FLAGS, *more])}], lambda x: x IS NOT NULL)), ',') AS flags"
 
 
-@query(f"WITH {C.EVENTS} SELECT event_id, (k >= 5 AND value::FLOAT BETWEEN 100.0::FLOAT AND 400.0::FLOAT) AS valid, NOT (value::FLOAT BETWEEN 100.0::FLOAT AND 400.0::FLOAT) AS rejected, false AS non_finite, round(CASE WHEN k >= 5 AND value::FLOAT BETWEEN 100.0::FLOAT AND 400.0::FLOAT THEN value::FLOAT::DOUBLE ELSE -9999.0 END, 4) AS value_qc FROM ev")
+@query(f"WITH {C.EVENTS} SELECT event_id, (k >= 5 AND value::FLOAT BETWEEN 100.0::FLOAT AND 400.0::FLOAT) AS valid, NOT (value::FLOAT BETWEEN 100.0::FLOAT AND 400.0::FLOAT) AS rejected, false AS non_finite, round(CASE WHEN k >= 5 AND value::FLOAT BETWEEN 100.0::FLOAT AND 400.0::FLOAT THEN value::FLOAT::DOUBLE ELSE 0.0 END, 4) AS value_qc FROM ev")
 def bounded_qc(spark, sf_dir):
     out = qc.bounded(_cells(spark, sf_dir, _RADAR), 100.0, 400.0)
     return out.select("event_id", "valid", "rejected", "non_finite", F.round(F.col("value_qc").cast("double"), 4).alias("value_qc"))
@@ -189,7 +189,12 @@ def training_gate(spark, sf_dir):
     return decide.training_gate(rows).select("event_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query()
+_DRAW = "('0x' || substr(md5('7|{g}|' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(f"""WITH {C.EVENTS}, d AS (SELECT event_id, value, k, {_DRAW.format(g="a")} AS a, {_DRAW.format(g="b")} AS b FROM ev),
+s AS (SELECT *, a < 0.3 AND (b >= 0.3 OR a < b) AS ga, b < 0.3 AND (a >= 0.3 OR b < a) AS gb FROM d)
+SELECT event_id, concat_ws(',', CASE WHEN ga THEN 'a' END, CASE WHEN gb THEN 'b' END) AS dropped, CASE WHEN ga THEN 0.0 ELSE value END::DOUBLE AS value, CASE WHEN gb THEN 0.0 ELSE k END::DOUBLE AS k FROM s""")
 def modality_dropout(spark, sf_dir):
     """How often each group of inputs was dropped; never all of them."""
     rows = C.events(spark, sf_dir).select("event_id", "value", F.col("k").cast("double").alias("k"))
@@ -203,3 +208,25 @@ def mask_bundle(spark, sf_dir):
     per = rows.groupBy("user_id", F.col("event_type").alias("channel")).agg(F.avg("k").alias("age"), F.array_sort(F.collect_set(F.concat("event_type", "k"))).alias("manifest_ids"))
     per = per.select("user_id", "channel", F.when(F.col("age") <= 60, F.col("age") - 10).alias("age_min"), F.lit(False).alias("missing"), F.lit(None).cast("string").alias("missing_reason"), "manifest_ids")
     return C.rounded(qc.mask_bundle(per, ["user_id"]).select("user_id", "channel", "age_min", F.array_join("manifest_ids", ",").alias("manifest_ids")))
+
+
+@query(f"""WITH {C.EVENTS} SELECT event_id, CASE WHEN k < 5 THEN 'empty_payload' WHEN k % 7 = 0 THEN 'issue_after_valid' WHEN event_type <> 'view' AND k % 5 = 0 THEN 'arrival_before_issue' END AS problem FROM ev""")
+def observation_rules(spark, sf_dir):
+    k, ts = F.col("k"), F.col("ts").cast("timestamp")
+    shifted = lambda minutes: F.timestamp_micros(F.unix_micros(ts) + minutes * 60_000_000)
+    problem = qc.observation_problem(F.when(k >= 5, k), ts, shifted(F.when(k % 7 == 0, -1).otherwise(1)), shifted(F.when(k % 5 == 0, -1).otherwise(1)), F.col("event_type") == "view")
+    return C.events(spark, sf_dir).select("event_id", problem.alias("problem"))
+
+
+@query(f"""WITH {C.EVENTS} SELECT event_id, CASE WHEN k % 11 = 0 THEN 'missing_field' WHEN k - 5 > 90 OR value > 180 THEN 'outside_wgs84' WHEN event_type = 'error' THEN 'unknown_type' END AS problem FROM ev""")
+def flash_rules(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "error", "XX").when(F.col("event_type") == "view", "CG").otherwise("IC")
+    lat = F.when(F.col("k") % 11 != 0, F.col("k") - 5.0)
+    return C.events(spark, sf_dir).select("event_id", qc.lightning_row_problem(lat, F.col("value"), kind, F.col("ts")).alias("problem"))
+
+
+@query("SELECT (i // 7)::BIGINT AS row, (i % 7)::BIGINT AS col, 0.0::DOUBLE AS value_qc, false AS valid, NULL::DOUBLE AS age_min, 'sat_missing' AS flags FROM (SELECT unnest(range(35)) AS i)")
+def missing_frame(spark, sf_dir):
+    """A frame that never came: every cell filled and invalid."""
+    found = qc.missing_frame(spark, 5, 7, "sat_missing").withColumn("flags", F.array_join("flags", ","))
+    return C.rounded(found.select("row", "col", "value_qc", "valid", "age_min", "flags"))

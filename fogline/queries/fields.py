@@ -175,16 +175,16 @@ def combined_mask(spark, sf_dir):
 SIDE = 6
 
 
-def _frames(spark, sf_dir):
-    rows = C.table(spark, sf_dir, "events")
+def _frames(spark, sf_dir, domain):
+    rows = C.table(spark, sf_dir, "events").withColumn("domain", domain)
     cell = F.col("user_id") % (SIDE * SIDE)
-    return rows.groupBy(F.to_date("ts").alias("frame_time"), F.floor(cell / SIDE).cast("int").alias("row"), (cell % SIDE).cast("int").alias("col")).agg(F.round(F.sum("value"), 2).alias("value"))
+    return rows.groupBy("domain", F.to_date("ts").alias("frame_time"), F.floor(cell / SIDE).cast("int").alias("row"), (cell % SIDE).cast("int").alias("col")).agg(F.round(F.sum("value"), 2).alias("value"))
 
 
-def _detected(spark, sf_dir):
-    active = _frames(spark, sf_dir)
-    typical = active.groupBy("frame_time").agg(F.avg("value").alias("typical"))
-    scaled = active.join(typical, "frame_time").withColumn("value", 40 * F.col("value") / F.col("typical")).withColumn("domain", F.lit("users"))
+def _detected(spark, sf_dir, domain=None):
+    active = _frames(spark, sf_dir, F.lit("users") if domain is None else F.col(domain))
+    typical = active.groupBy("domain", "frame_time").agg(F.avg("value").alias("typical"))
+    scaled = active.join(typical, ["domain", "frame_time"]).withColumn("value", 40 * F.col("value") / F.col("typical"))
     return objects.detect_objects(scaled, 40.0, SIDE, ["domain", "frame_time"], min_area=2)
 
 
@@ -202,7 +202,8 @@ def storm_objects(spark, sf_dir):
 
 @query()
 def storm_tracks(spark, sf_dir):
-    tracks = objects.track_objects(_detected(spark, sf_dir))
+    """Tracks of every domain; the types of events are the domains."""
+    tracks = objects.track_objects(_detected(spark, sf_dir, "event_type"))
     return tracks.withColumn("frame_time", F.date_format("frame_time", "yyyy-MM-dd"))
 
 

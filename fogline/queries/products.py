@@ -110,3 +110,26 @@ def explanation_guard(spark, sf_dir):
     )
     rows = C.events(spark, sf_dir).select("event_id", text.alias("text"), F.array(F.lit("0.5"), (k + 200).cast("string")).alias("numbers"), F.lit(products.WATERMARK).alias("watermark"), F.lit("Town").alias("target_name"), F.array(F.lit("Rain")).alias("hazards"), F.lit("public").alias("audience"))
     return products.explanation_problems(rows).select("event_id", F.array_join("problems", ",").alias("problems"))
+
+
+@query(f"""WITH {C.EVENTS} SELECT event_id, 'rain, hail expected at ' || CASE WHEN k % 3 = 0 THEN 'the target' ELSE event_type END
+|| CASE WHEN k % 4 = 0 THEN '' ELSE ', chance 0.5, arriving 10 to ' || (k + 20) || ' min from issue (middle 15)' END || '. w' AS explanation FROM ev""")
+def explanation_texts(spark, sf_dir):
+    k = F.col("k")
+    text = products.explanation_text(F.array(F.lit("rain"), F.lit("hail")), F.when(k % 3 != 0, F.col("event_type")), F.when(k % 4 != 0, F.lit("0.50")), F.lit(10), F.lit("15.0"), k + 20, F.lit("w"))
+    return C.events(spark, sf_dir).select("event_id", text.alias("explanation"))
+
+
+@query(f"""WITH {C.EVENTS} SELECT event_id, '<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2"><identifier>a' || event_id || '</identifier><sender>s</sender><sent>2024-01-01T00:00:00+00:00</sent><status>Exercise</status><msgType>Alert</msgType><scope>Public</scope><info>'
+|| '<language>en</language><category>Met</category><event>rain</event><urgency>Expected</urgency><severity>Minor</severity><certainty>Unlikely</certainty><onset>2024-01-01T00:00:00+00:00</onset><expires>2024-01-01T06:00:00+00:00</expires>'
+|| '<senderName>d</senderName><headline>rain expected at A &amp; B</headline><description>rain, 0.' || lpad(k::VARCHAR, 2, '0').rtrim('0') || '</description><parameter><valueName>domain</valueName><value>' || event_type || '</value></parameter><area><areaDesc>A &amp; B</areaDesc>'
+|| CASE WHEN k % 2 = 0 THEN '<circle>10.0,80.5 5</circle>' ELSE '' END || '</area></info></alert>' AS xml FROM ev WHERE k BETWEEN 1 AND 29""")
+def alert_documents(spark, sf_dir):
+    """Alerts with given texts; only columns named as parameters are passed on."""
+    k, at = F.col("k"), F.lit("2024-01-01").cast("timestamp")
+    rows = C.events(spark, sf_dir).where(k.between(1, 29)).select(
+        "event_id", F.concat(F.lit("a"), F.col("event_id")).alias("alert_id"), F.lit("Exercise").alias("status"), at.alias("sent"), at.alias("issue_time"), F.col("event_type").alias("domain"), F.array(F.lit("rain")).alias("hazards"),
+        F.lit("A & B").alias("target_name"), F.when(k % 2 == 0, 10.0).alias("latitude"), F.lit(80.5).alias("longitude"), F.lit(5).alias("radius_km"), (k / 100).alias("probability"), F.lit(None).cast("int").alias("t10_min"), F.lit(None).cast("int").alias("t90_min"),
+    )
+    texts = {"sender": "s", "sender_name": "d", "description": "{hazards}, {probability}"}
+    return products.alert_xml(products.alert_fields(rows), texts, ["domain"]).select("event_id", "xml")

@@ -160,7 +160,7 @@ _CHRONO = f"WITH {C.FRAMES}, {_WINDOWS}, s AS (SELECT frame_id, split, event_id
 
 @query(_CHRONO + "SELECT frame_id, split FROM s")
 def split_chronological(spark, sf_dir):
-    return splits.split(C.frames(spark, sf_dir), "chronological", windows=WINDOWS, buffer_hours=6)
+    return splits.split(C.frames(spark, sf_dir), "chronological", allow_leaks=True, windows=WINDOWS, buffer_hours=6)
 
 
 @query(_CHRONO + "SELECT event_id AS manifest_id, count(DISTINCT split) AS splits FROM s GROUP BY event_id HAVING count(DISTINCT split) > 1")
@@ -181,7 +181,7 @@ g AS (SELECT DISTINCT day, CASE WHEN tm < TIMESTAMP '1999-01-01' THEN 'train' WH
 SELECT frame_id, split FROM d JOIN g USING (day)""")
 def split_event_windows(spark, sf_dir):
     """Frames without an event are grouped by UTC date."""
-    return splits.split(C.frames(spark, sf_dir).withColumn("event_id", F.lit(None).cast("string")), "event_grouped", windows=WINDOWS)
+    return splits.split(C.frames(spark, sf_dir).withColumn("event_id", F.lit(None).cast("string")), "event_grouped", allow_leaks=True, windows=WINDOWS)
 
 
 REGIONS = {"train": ["AFRICA", "AMERICA", "ASIA"], "validation": ["EUROPE"], "test": ["MIDDLE EAST"]}
@@ -194,7 +194,7 @@ def split_geographic(spark, sf_dir):
 
 @query(f"WITH {C.FRAMES} SELECT frame_id, CASE season WHEN 'monsoon' THEN 'train' ELSE 'test' END AS split FROM fr WHERE season IN ('monsoon', 'winter')")
 def split_seasonal(spark, sf_dir):
-    return splits.split(C.frames(spark, sf_dir), "seasonal_holdout", members={"train": ["monsoon"], "test": ["winter"]})
+    return splits.split(C.frames(spark, sf_dir), "seasonal_holdout", allow_leaks=True, members={"train": ["monsoon"], "test": ["winter"]})
 
 
 @query(f"""WITH {C.FRAMES} SELECT domain, sha256('{{"manifest_ids":[' || string_agg(DISTINCT '"' || event_id || '"', ',' ORDER BY '"' || event_id || '"') || '],"versions":{{"grid":1}}}}') AS data_hash FROM fr GROUP BY domain""")

@@ -153,8 +153,8 @@ def health(attempts: DataFrame, specs: DataFrame, now: Column) -> DataFrame:
     within latency plus cadence of its last success and without consecutive failures, degraded within the grace period, then
     stale; without any success it has failed or is unknown.
     """
-    last_ok = F.max(F.when(F.col("outcome") == "accepted", F.col("at"))).over(Window.partitionBy("source"))
-    rows = attempts.withColumn("_ok", last_ok)
+    ok = attempts.where("outcome = 'accepted'").groupBy(F.col("source").alias("_source")).agg(F.max("at").alias("_ok"))
+    rows = attempts.join(F.broadcast(ok), F.col("source") == F.col("_source"), "left")  # a row per configured source
     failed = F.col("outcome") == "failed"
     agg = rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("attempts"),
@@ -198,72 +198,70 @@ def palette_histogram(pixels: DataFrame, palette: DataFrame, keys: Sequence[str]
     return counted.withColumn("unknown_fraction", unknown)
 
 
-def json_times(documents: DataFrame, column: str = "payload") -> DataFrame:
-    """Adds issue_time, valid_time and any_time (first time-like value) found at any depth of a JSON text."""
-    import json as _json
+#: Keys, in small letters and digits only, whose values are times of issue or of validity.
+ISSUE_KEYS = ("issuetime", "issuedat", "issuedon", "updatedat", "obstime", "observationtime", "observationdate", "timestamp", "datetime", "date")
+VALID_KEYS = ("validtime", "validfrom", "validuntil", "validto", "validity")
+_TOKEN = r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+'
 
-    issue_keys = {"issuetime", "issuedat", "issuedon", "updatedat", "obstime", "observationtime", "observationdate", "timestamp", "datetime", "date"}
-    valid_keys = {"validtime", "validfrom", "validuntil", "validto", "validity"}
-
-    @F.pandas_udf("array<struct<kind: string, text: string>>")
-    def leaves(texts: pd.Series) -> pd.Series:
-        def walk(value, out):
-            if isinstance(value, dict):
-                for k, v in value.items():
-                    name = "".join(c for c in k.lower() if c.isascii() and c.isalnum())
-                    if isinstance(v, str | int | float):
-                        out.append({"kind": "valid" if name in valid_keys else "issue" if name in issue_keys else "other", "text": str(float(v)) if isinstance(v, bool | float) else str(v)})
-                    else:
-                        walk(v, out)
-            elif isinstance(value, list):
-                for v in value:
-                    walk(v, out)
-            return out
-
-        def of(text):
-            try:
-                return walk(_json.loads(text), [])
-            except (TypeError, ValueError):
-                return []
 
-        return texts.map(of)
+def json_leaves(text: Column) -> Column:
+    """Keys and values of all members with a plain value, at any depth and in the order of the text: array of (key, value).
+    Null and invalid texts have none. Only built-in functions: the text is cut into tokens, and a member is a string, a colon
+    and a token that opens nothing."""
+    valid = F.when(F.try_parse_json(text).isNotNull(), text)
+    tokens = F.coalesce(F.regexp_extract_all(valid, F.lit(_TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    plain = lambda t: F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$[0]")
+    member = F.transform(tokens, lambda t, i: F.when((F.get(tokens, i + 1) == ":") & ~F.get(tokens, i + 2).isin("{", "["), F.struct(plain(t).alias("key"), plain(F.get(tokens, i + 2)).alias("value"))))
+    return F.filter(F.array_compact(member), lambda m: m["value"].isNotNull())
 
+
+def json_times(documents: DataFrame, column: str = "payload") -> DataFrame:
+    """Adds issue_time, valid_time and any_time (first time-like value) found at any depth of a JSON text."""
     from fogline.functions.times import parse_timestamp
 
-    rows = documents.withColumn("_leaves", leaves(F.col(column).cast("string")))
-    timed = F.filter(F.transform("_leaves", lambda x: F.struct(x["kind"].alias("kind"), parse_timestamp(x["text"]).alias("at"))), lambda x: x["at"].isNotNull())
-    rows = rows.withColumn("_times", timed)
-    first = lambda kind: F.get(F.filter("_times", lambda x: x["kind"] == kind), F.lit(0))["at"]
-    return rows.withColumn("issue_time", first("issue")).withColumn("valid_time", first("valid")).withColumn("any_time", F.get(F.col("_times"), F.lit(0))["at"]).drop("_leaves", "_times")
+    name = lambda m: F.regexp_replace(F.lower(m["key"]), "[^a-z0-9]", "")
+    timed = F.transform(json_leaves(F.col(column).cast("string")), lambda m: F.struct(name(m).alias("name"), parse_timestamp(m["value"]).alias("at")))
+    rows = documents.withColumn("_times", F.filter(timed, lambda x: x["at"].isNotNull()))
+    first = lambda cond: F.get(F.filter("_times", cond), F.lit(0))["at"]
+    return rows.withColumns({
+        "issue_time": first(lambda x: x["name"].isin(*ISSUE_KEYS)), "valid_time": first(lambda x: x["name"].isin(*VALID_KEYS)), "any_time": first(lambda x: F.lit(True)),
+    }).drop("_times")
+
+
+#: Keys under which an object of a nowcast says its category and the rest, the first that is given counts.
+NOWCAST_KEYS = {
+    "category": ("category", "warning", "colour", "color", "severity", "nowcast"),
+    "district": ("district", "district_name"),
+    "station": ("station", "station_name"),
+    "valid_from": ("valid_from", "validFrom"),
+    "valid_to": ("valid_to", "validTo"),
+}
 
 
 def nowcast_categories(documents: DataFrame, column: str = "payload") -> DataFrame:
     """One row per category found at any depth of a JSON text: category, district, station, valid_from, valid_to."""
     import json as _json
 
-    names = ("category", "warning", "colour", "color", "severity", "nowcast")
+    kind = f"array<struct<{', '.join(f'{k}: string' for k in NOWCAST_KEYS)}>>"
 
-    @F.pandas_udf("array<struct<category: string, district: string, station: string, valid_from: string, valid_to: string>>")
-    def rows_of(texts: pd.Series) -> pd.Series:
-        text = lambda v: None if v is None else str(v)
+    @F.pandas_udf(kind)
+    def objects(texts: pd.Series) -> pd.Series:
+        def read(text):
+            found = []
 
-        def walk(value, out):
-            if isinstance(value, dict):
-                hit = next((value[n] for n in names if value.get(n) is not None), None)
-                if hit is not None:
-                    pick = lambda a, b: text(value.get(a) or value.get(b))
-                    out.append({"category": str(hit), "district": pick("district", "district_name"), "station": pick("station", "station_name"), "valid_from": pick("valid_from", "validFrom"), "valid_to": pick("valid_to", "validTo")})
-            for v in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
-                walk(v, out)
-            return out
+            def each(members: dict) -> dict:  # the parser calls this for every object
+                row = {field: next((str(members[k]) for k in keys if members.get(k) not in (None, "")), None) for field, keys in NOWCAST_KEYS.items()}
+                if row["category"] is not None:
+                    found.append(row)
+                return members
 
-        def of(t):
             try:
-                return walk(_json.loads(t), [])
+                _json.loads(text, object_hook=each)
             except (TypeError, ValueError):
                 return []
+            return found
 
-        return texts.map(of)
+        return texts.map(read)
 
     keep = [c for c in documents.columns if c != column]
-    return documents.select(*keep, F.explode(rows_of(F.col(column).cast("string"))).alias("_c")).select(*keep, "_c.*")
+    return documents.select(*keep, F.explode(objects(F.col(column).cast("string"))).alias("_c")).select(*keep, "_c.*")

@@ -60,7 +60,7 @@ def ingest_stream(checked: DataFrame, manifest_path: str, quarantine_path: str,
     return checked.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-STATE = "next_id int, active array<struct<track_id: string, x: double, y: double, area: int, peak: double, cells: array<int>, age: int, missed: int>>"
+STATE = "next_id int, active array<struct<track_id: string, x: double, y: double, area: int, peak: double, cells: array<int>, age: int, missed: int, parents: array<string>>>"
 
 
 def track_stream(detections: DataFrame, domain: str = "domain", time: str = "frame_time", **options) -> DataFrame:
@@ -75,13 +75,13 @@ def track_stream(detections: DataFrame, domain: str = "domain", time: str = "fra
         state = TrackerState()
         if held.exists:
             next_id, active = held.get
-            state = TrackerState(next_id, [Track(a[0], a[1], a[2], a[3], a[4], frozenset(a[5]), a[6], a[7]) for a in active])
+            state = TrackerState(next_id, [Track(a[0], a[1], a[2], a[3], a[4], frozenset(a[5]), a[6], a[7], tuple(a[8])) for a in active])
         rows = pd.concat(list(frames))
         out = []
         for at, frame in rows.groupby(time, sort=True):
             state, found = track_step(state, detections_of(frame), **options)
             out += [{domain: key[0], time: at, **f} for f in found]
-        held.update((state.next_id, [(t.track_id, t.x, t.y, t.area, t.peak, sorted(t.cells), t.age, t.missed) for t in state.active]))
+        held.update((state.next_id, [(t.track_id, t.x, t.y, t.area, t.peak, sorted(t.cells), t.age, t.missed, list(t.parents)) for t in state.active]))
         names = [domain, time, "track_id", "x", "y", "area_cells", "max_value", "lifecycle", "age_frames", "missed", "parents"]
         yield pd.DataFrame(out, columns=names)
 
