@@ -132,14 +132,16 @@ def link(
     ``confirmed`` gives those of the pairs (a, b) that are links; ``with_sets`` adds the column shingles to (doc, component);
     ``finer`` posts the items of long lists (token, doc, often) anew under longer keys.
 
-    Small lists are settled by the first comparison. A large list is merged through its low items and through some that are
-    drawn, so its pairs grow with the list and not with its square. Where it still holds several components, but all save one of them are small, their items are
-    compared with the list; else its items meet again in the shorter lists of longer keys, and what is apart there as well, by
-    exact prefix filtering. Later links join components and not items: components are never computed again from all links.
+    Small lists are settled by the first comparison. A large list is merged through its low items, so its pairs grow with the
+    list and not with its square; where it still holds several components, its items are compared again by exact prefix
+    filtering. With ``finer``, for items whose shingles are mostly common ones, three steps come before that: items outside the
+    largest component meet some drawn items of it; where few are left, they are compared with the list; and else the items meet
+    again in the shorter lists of longer keys. Later links join components and not items: components are never computed again from all links.
     """
     many = ~_few(F.col("minors"), F.col("often"))
     found = connected_components(scratch.write(confirmed(first_pairs(posted)), "links"), scratch)
-    found = _merged(found, confirmed(_drawn(_apart(posted, found, scratch, "star"))), scratch, "drawn_cc")
+    if finer:
+        found = _merged(found, confirmed(_drawn(_apart(posted, found, scratch, "star"))), scratch, "drawn_cc")
     live = _apart(posted, found, scratch, "first")
     if finer:
         posted = scratch.write(finer(live.where(many).select("token", "doc", "often")), "finer")
@@ -148,8 +150,9 @@ def link(
         found = _merged(found, confirmed(sides.where("x <> y").select("a", "b")), scratch, "finer_cc")
         live = _apart(posted, found, scratch, "second")
     if live.limit(1).count():
-        items = scratch.write(live.where(many).select("doc", "component").distinct(), "live")
-        pairs = scratch.write(_settled(live).unionByName(left_apart(with_sets(items), similarity, scratch)).distinct(), "late_pairs")
+        items = scratch.write(live.where(many if finer else F.lit(True)).select("doc", "component").distinct(), "live")
+        pairs = left_apart(with_sets(items), similarity, scratch)
+        pairs = scratch.write(_settled(live).unionByName(pairs).distinct() if finer else pairs, "late_pairs")
         found = _merged(found, confirmed(pairs), scratch, "late_cc")
     scratch.drop("live", "links", "star_lists", "star_live", "first_lists", "first_live", "second_lists", "second_live", "finer", "finer_pairs", "late_pairs", "lists", "ranked", "often")
     return found
