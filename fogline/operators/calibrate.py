@@ -14,42 +14,62 @@ KEY = ("product", "lead_min", "rung", "season")
 MIN_POSITIVE = 2000
 
 
-def pool_adjacent(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing fit: means of pooled blocks. Input order breaks ties; of knots at one place the first stays."""
-    order = np.argsort(p, kind="stable")
-    sums: list[tuple[float, float, int]] = []
-    for x, o in zip(p[order], y[order], strict=True):
-        sx, sy, n = float(x), float(o), 1
-        while sums and sums[-1][1] * n > sy * sums[-1][2]:
-            ax, ay, m = sums.pop()
-            sx, sy, n = sx + ax, sy + ay, n + m
-        sums.append((sx, sy, n))
-    xs, ys = np.array([s[0] / s[2] for s in sums]), np.array([s[1] / s[2] for s in sums])
+def pool_blocks(sx: np.ndarray, sy: np.ndarray, n: np.ndarray) -> list[tuple[float, float, int]]:
+    """Blocks (sum of p, sum of outcomes, size) after merging neighbours whose means fall. Blocks end where the running sum of
+    outcomes touches its convex minorant, so pooled stretches can be pooled again together."""
+    held: list[tuple[float, float, int]] = []
+    for x, y, m in zip(sx, sy, n, strict=True):
+        block = (float(x), float(y), int(m))
+        while held and held[-1][1] * block[2] > block[1] * held[-1][2]:
+            before = held.pop()
+            block = (before[0] + block[0], before[1] + block[1], before[2] + block[2])
+        held.append(block)
+    return held
+
+
+def knots(blocks: list[tuple[float, float, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Means of blocks; of knots at one place the first stays."""
+    xs, ys = np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
     keep = np.concatenate([[True], xs[1:] != xs[:-1]])
     return xs[keep], ys[keep]
 
 
-def fit_isotonic(cases: DataFrame, model_version: str, run_id: str, min_positive: int = MIN_POSITIVE, p: str = "p", outcome: str = "outcome", ordinal: str = "ordinal") -> DataFrame:
+def pool_adjacent(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the non-decreasing fit: means of pooled blocks. Input order breaks ties."""
+    order = np.argsort(p, kind="stable")
+    return knots(pool_blocks(p[order], y[order], np.ones(len(p), dtype=np.int64)))
+
+
+def fit_isotonic(cases: DataFrame, model_version: str, run_id: str, min_positive: int = MIN_POSITIVE, p: str = "p", outcome: str = "outcome", ordinal: str = "ordinal", ranges: int = 256) -> DataFrame:
     """One table per key with enough positives: calibration_id, x and y knots, positive_count.
 
-    Thin keys are dropped before anything is shuffled to the kernel. Ties in p keep the order of
-    their ordinals, so they are not pooled beforehand: a group holds the cases of its key, two numbers each.
+    Thin keys are dropped before anything is shuffled to the kernel. Ties in p keep the order of their ordinals, so they are
+    not pooled beforehand. The cases of a key are pooled in ``ranges`` ranges of p, a task each, and then their blocks: what one
+    task holds of a whole key is no more than the knots that it returns, and what the ranges leave apart.
     """
     checked = cases.withColumn("_p", F.when((F.col(p) < 0) | (F.col(p) > 1) | F.isnan(p), F.raise_error(F.lit("probability outside [0, 1]")).cast("double")).otherwise(F.col(p).cast("double")))
     rich = cases.groupBy(*KEY).agg(F.sum(F.col(outcome).cast("double")).cast("long").alias("positive_count")).where(F.col("positive_count") >= min_positive)
-    rows = checked.select(*KEY, "_p", F.col(outcome).cast("double").alias("_y"), ordinal).join(rich, list(KEY))
+    rows = checked.select(*KEY, "_p", F.col(outcome).cast("double").alias("_y"), ordinal, F.floor(F.col("_p") * ranges).alias("_range")).join(rich, list(KEY))
+    types = {f.name: f.dataType.simpleString() for f in cases.schema.fields}
+    key_schema = ", ".join(f"{k} {types[k]}" for k in KEY)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(ordinal, kind="stable")
-        x, y = pool_adjacent(group["_p"].to_numpy(), group["_y"].to_numpy())
+    def pool(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["_p", ordinal], kind="stable")
+        out = pd.DataFrame(pool_blocks(group["_p"].to_numpy(), group["_y"].to_numpy(), np.ones(len(group), dtype=np.int64)), columns=["sx", "sy", "n"])
+        for c in (*KEY, "_range", "positive_count"):
+            out[c] = group[c].iloc[0]
+        return out.assign(nth=np.arange(len(out)))
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["_range", "nth"])
+        x, y = knots(pool_blocks(group["sx"].to_numpy(), group["sy"].to_numpy(), group["n"].to_numpy()))
         key = {k: (int(v) if k == "lead_min" else v) for k in KEY if (v := group[k].iloc[0]) is not None}
         body = {"fitted_on_run_id": run_id, "key": key, "model_version": model_version, "x": x.tolist(), "y": y.tolist()}
         name = "cal-" + hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()[:16]
         return pd.DataFrame([[*(group[k].iloc[0] for k in KEY), name, x, y, int(group["positive_count"].iloc[0])]], columns=[*KEY, "calibration_id", "x", "y", "positive_count"])
 
-    types = {f.name: f.dataType.simpleString() for f in cases.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in KEY) + ", calibration_id string, x array<double>, y array<double>, positive_count long"
-    return rows.groupBy(*KEY).applyInPandas(run, schema)
+    blocks = rows.groupBy(*KEY, "_range").applyInPandas(pool, f"{key_schema}, sx double, sy double, n long, _range long, positive_count long, nth long")
+    return blocks.groupBy(*KEY).applyInPandas(fit, f"{key_schema}, calibration_id string, x array<double>, y array<double>, positive_count long")
 
 
 def find_table(wanted: DataFrame, tables: DataFrame) -> DataFrame:

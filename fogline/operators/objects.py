@@ -285,14 +285,21 @@ def arrival_times(storms: DataFrame, targets: DataFrame, motion: DataFrame, shap
 
 
 def decay_probability(durations: DataFrame, cutoffs: DataFrame, duration: str = "duration_min") -> DataFrame:
-    """Share of positive durations at or below each cut-off of (key, cutoff)."""
+    """Share of positive durations at or below each cut-off of (key, cutoff).
+
+    Durations are counted by hour first, so that only the hours pass through one window; within an hour each has its own.
+    """
     positive = durations.where(F.col(duration) > 0).select(F.col(duration).alias("_d"))
     sizes = positive.agg(F.count(F.lit(1)).alias("_n")).select(F.when(F.col("_n") == 0, F.raise_error(F.lit("at least one positive duration is required")).cast("long")).otherwise(F.col("_n")).alias("_n"))
     points = cutoffs.select("key", F.col("cutoff").cast("double").alias("at"))
     steps = positive.groupBy(F.col("_d").cast("double").alias("at")).agg(F.count(F.lit(1)).alias("k"))
     merged = steps.select("at", "k", F.lit(None).cast("string").alias("key"), F.lit(0).alias("asks")).unionByName(points.select("at", F.lit(0).cast("long").alias("k"), "key", F.lit(1).alias("asks")))
-    upto = Window.orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)  # distinct durations and cut-offs only
-    counted = merged.withColumn("below", F.sum("k").over(upto)).where("asks = 1")
+    merged = merged.withColumn("hour", F.floor(F.col("at") / 60))
+    hours = merged.groupBy("hour").agg(F.sum("k").alias("_k"))
+    earlier = hours.select("hour", F.coalesce(F.sum("_k").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    upto = Window.partitionBy("hour").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    within = merged.withColumn("within", F.sum("k").over(upto)).where("asks = 1")
+    counted = within.join(earlier, "hour").withColumn("below", F.col("within") + F.col("earlier"))
     return counted.crossJoin(F.broadcast(sizes)).select("key", (F.col("below") / F.col("_n")).alias("p_decay"))
 
 

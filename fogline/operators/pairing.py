@@ -1,8 +1,10 @@
 """Pair forecasts with the first truth that falls into their window.
 
 A truth fits a forecast if ``issue < obs <= issue + lead`` and, with a cut-off, it had arrived by then. Of those that fit, the
-smallest (obs, arrival, id) is taken. Time is cut into buckets as long as the longest lead, a forecast looks into its bucket
-and the next, and the theta join becomes an equi-join on the bucket with a residual condition.
+smallest (obs, arrival, id) is taken. That is the next truth after the issue, if it is not too late: forecasts and truths are
+sorted together, and a window carries the next truth back in time. Time is cut into buckets as long as the longest lead; the
+first truth of a bucket is also put into the one before it, so no forecast has to look further. There is no join, and the work
+grows with the rows and not with pairs of them.
 """
 
 from __future__ import annotations
@@ -16,24 +18,27 @@ from pyspark.sql import functions as F
 def pair_first_after(forecasts: DataFrame, truths: DataFrame, keys: Sequence[str] = (), as_of: str | None = None, max_lead_min: int = 120) -> DataFrame:
     """Forecasts (forecast_id, issue_time, lead_min, value) with truth_id, obs_time, arrival_time and observed of their truth.
 
-    ``keys`` must be equal on both sides. Forecasts without a truth, with a null time or lead, or with a lead above
-    ``max_lead_min`` (which raises) are not in the result. Rows come in no order; sort by issue, lead and id to read them.
+    ``keys`` must be equal on both sides; a null key meets nothing. Forecasts without a truth, with a null time or lead, or with
+    a lead above ``max_lead_min`` (which raises) are not in the result; a repeated forecast is paired each time. Rows come in no
+    order; sort by issue, lead and id to read them.
     """
-    seconds = max(60, max_lead_min * 60)
+    width = max(60, max_lead_min * 60) * 1_000_000
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     lead = F.when(F.col("lead_min") > max_lead_min, F.raise_error(F.lit("lead beyond max_lead_min")).cast("int")).otherwise(F.col("lead_min"))
-    f = forecasts.select(*keys, "forecast_id", "issue_time", lead.alias("lead_min"), F.col("value").alias("forecast")).withColumn("_from", us("issue_time"))
-    f = f.withColumn("_until", F.col("_from") + F.col("lead_min").cast("long") * 60_000_000)
-    bucket = F.floor(F.col("_from") / (seconds * 1_000_000))
-    f = f.withColumn("_bucket", F.explode(F.array(bucket, bucket + 1)))
-    t = truths.select(*keys, "truth_id", "obs_time", "arrival_time", F.col("value").alias("observed")).withColumn("_obs", us("obs_time"))
-    if as_of is not None:
-        t = t.where(F.col("arrival_time").cast("timestamp") <= F.lit(as_of).cast("timestamp"))
-    t = t.withColumn("_bucket", F.floor(F.col("_obs") / (seconds * 1_000_000)))
-    joined = f.join(t, [*keys, "_bucket"]).where((F.col("_obs") > F.col("_from")) & (F.col("_obs") <= F.col("_until")))
-    first = F.min(F.struct("obs_time", "arrival_time", "truth_id", "observed")).alias("t")
-    best = joined.groupBy(*keys, "forecast_id", "issue_time", "lead_min", "forecast").agg(first)
-    return best.select(*keys, "forecast_id", "issue_time", "lead_min", "forecast", "t.truth_id", "t.obs_time", "t.arrival_time", "t.observed")
+    f = forecasts.select(*keys, F.struct("forecast_id", "issue_time", lead.alias("lead_min"), F.col("value").alias("forecast")).alias("f"), us("issue_time").alias("at"))
+    f = f.withColumn("bucket", F.floor(F.col("at") / width))
+    t = truths if as_of is None else truths.where(F.col("arrival_time").cast("timestamp") <= F.lit(as_of).cast("timestamp"))
+    t = t.select(*keys, F.struct("obs_time", "arrival_time", "truth_id", F.col("value").alias("observed")).alias("t"), us("obs_time").alias("at")).where("at is not null")
+    t = t.withColumn("bucket", F.floor(F.col("at") / width))
+    ahead = t.groupBy(*keys, "bucket").agg(F.min("t").alias("t"), F.min("at").alias("at")).withColumn("bucket", F.col("bucket") - 1)
+    rows = f.unionByName(t, allowMissingColumns=True).unionByName(ahead, allowMissingColumns=True)
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    # from late to early; at one time forecasts come before truths, and the smallest truth comes last
+    back = Window.partitionBy(*keys, "bucket").orderBy(F.col("at").desc(), F.col("f").isNull(), F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("t", F.last("t", ignorenulls=True).over(back)).where("f is not null and t is not null")
+    fits = us("t.obs_time") <= F.col("at") + F.col("f.lead_min").cast("long") * 60_000_000
+    return found.where(fits).select(*keys, "f.forecast_id", "f.issue_time", "f.lead_min", "f.forecast", "t.truth_id", "t.obs_time", "t.arrival_time", "t.observed")
 
 
 def latest_frames(issues: DataFrame, frames: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
