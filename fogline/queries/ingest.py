@@ -71,6 +71,17 @@ def manifest_upsert(spark, sf_dir):
     return merged.select("observation_id", "source", F.unix_seconds("first_seen").alias("first_s"), F.unix_seconds("last_seen").alias("last_s"), "seen_count", "path")
 
 
+@query("""WITH a AS (SELECT DISTINCT event_type, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS k FROM events)
+SELECT 'all' AS what, count(*) AS n FROM a UNION ALL SELECT 'click', count(*) FROM a WHERE event_type = 'click' UNION ALL SELECT 'found', count(*) FROM a WHERE event_type = 'click' AND user_id = 1 AND k = 1""")
+def manifest_counts(spark, sf_dir):
+    """The manifest counted as a whole, for one source, and for one observation."""
+    manifest = manifests.merge_manifest(None, _arrivals(spark, sf_dir))
+    found = manifests.find_manifest(manifest, "click-1-1").agg(F.count(F.lit(1)).alias("n"))
+    parts = {"all": manifests.count_manifest(manifest), "click": manifests.count_manifest(manifest, "click"), "found": found}
+    rows = [part.select(F.lit(name).alias("what"), "n") for name, part in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query(f"""WITH {C.EVENTS}, a AS (SELECT event_type AS source, ts AS tm, CASE WHEN k < 70 THEN 'accepted' WHEN k < 85 THEN 'quarantined' ELSE 'failed' END AS outcome FROM ev),
 o AS (SELECT source, max(tm) FILTER (WHERE outcome = 'accepted') AS ok FROM a GROUP BY source),
 g AS (SELECT source, count(*) AS attempts, count(*) FILTER (WHERE outcome = 'accepted') AS accepted, count(*) FILTER (WHERE outcome = 'quarantined') AS quarantined, count(*) FILTER (WHERE outcome = 'failed') AS failures,

@@ -146,6 +146,17 @@ def list_manifest(manifest: DataFrame, source: str | None = None, station: str |
     return ordered if limit is None else ordered.limit(limit)
 
 
+def count_manifest(manifest: DataFrame, source: str | None = None) -> DataFrame:
+    """(n): rows of the manifest, or of one source."""
+    rows = manifest if source is None else manifest.where(F.col("source") == source)
+    return rows.agg(F.count(F.lit(1)).alias("n"))
+
+
+def find_manifest(manifest: DataFrame, observation_id: str) -> DataFrame:
+    """The row of an observation with all its columns, or none; on files sorted by id the filter reaches the scan."""
+    return manifest.where(F.col(MANIFEST_KEY) == observation_id)
+
+
 def health(attempts: DataFrame, specs: DataFrame, now: Column) -> DataFrame:
     """Health per source from attempts (source, at, outcome: accepted, quarantined or failed) and specs.
 

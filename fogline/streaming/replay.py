@@ -62,3 +62,13 @@ def replay_state(events: DataFrame, now: str, start: str, end: str, by: Sequence
     progress = F.least(F.greatest((at - a) / F.greatest(b - a, F.lit(1_000_000)), F.lit(0.0)), F.lit(1.0))
     done = F.when(at >= b, "completed").otherwise("running")
     return events.groupBy(*by).agg(F.count(F.lit(1)).alias("manifest_count"), F.count_if(F.col("virtual_time") <= F.lit(now).cast("timestamp")).alias("released")).withColumns({"progress": progress, "status": done})
+
+
+def replay_run(runs: DataFrame, replay_id: str) -> DataFrame:
+    """The rows of one replay."""
+    return runs.where(F.col("replay_id") == replay_id)
+
+
+def without_replay(runs: DataFrame, replay_id: str) -> DataFrame:
+    """All other replays; rows without an id stay."""
+    return runs.where(~F.col("replay_id").eqNullSafe(replay_id))
