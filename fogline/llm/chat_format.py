@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fogline.llm._scratch import BROADCAST_KEYS, Scratch
+
 #: Tokens of a window, and of the turns repeated before its span.
 BUDGET, HISTORY = 1024, 256
 #: Characters of a token, on average.
@@ -39,20 +41,24 @@ def read_role(role: Column) -> Column:
 
 
 def _turns(conversations: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """Rendered turns with place and tokens before them in their block of turns. Only role and text are shuffled: a turn is
+    rendered after that, and the windows find their blocks together."""
     rows = conversations.select(
         F.col(id_col).cast("long").alias("conv_id"),
         F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
+    block = F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(2**62))).cast("long")
+    rows = rows.withColumn("block", block).repartition("conv_id", "block")
     head = F.concat(F.lit(OPEN), render_role(F.col("role")), F.lit("\n"))
     body = escape(F.col("text"))
     whole = F.concat(head, body, F.lit(CLOSE + "\n"))
-    rows = rows.select(
-        "conv_id", "turn", "role", "text", whole.alias("whole"), F.length(head).alias("body_at"), F.length(body).alias("body_chars"), F.ceil(F.length(whole) / CHARS_PER_TOKEN).cast("long").alias("tokens")
-    )
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(2**62))).cast("long")
-    return rows.withColumn("block", block)
+    rows = rows.withColumn("whole", whole).withColumn("body_at", F.length(head)).withColumn("body_chars", F.length("whole") - F.col("body_at") - len(CLOSE) - 1)
+    rows = rows.withColumn("tokens", F.ceil(F.length("whole") / CHARS_PER_TOKEN).cast("long"))
+    within = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    ahead = F.coalesce(F.sum("tokens").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.select("conv_id", "block", "role", "whole", "body_at", "body_chars", "tokens", ahead.alias("ahead"), (F.row_number().over(within) - 1).cast("long").alias("nth"))
 
 
 def format_conversations(
@@ -70,50 +76,39 @@ def format_conversations(
     Turns are ordered by turn, null first, then role and text; null roles and texts are empty. The system turn is the first
     turn if its role is ``system``. A window keeps to the budget unless a single turn is longer than half of the room left
     beside system turn and history: turns are never cut. Rows that repeat a turn are turns of their own; a null conv_id is a
-    conversation of its own. Other columns are ignored; an empty table gives an empty result.
+    conversation of its own. A conversation or turn of any length is kept whole, and long ones are placed in blocks of turns. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = _turns(conversations, id_col, turn_col, role_col, text_col)
-    conv = F.col("conv_id")
-    order = [F.col("turn").asc_nulls_first(), "role", "text"]
-    sums = rows.groupBy("conv_id", "block").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("turns"))
-    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(conv.alias("_conv"), F.col("block").alias("_block"), F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"), F.coalesce(F.sum("turns").over(earlier), F.lit(0)).alias("base_turns"))
-    within = Window.partitionBy("conv_id", "block").orderBy(*order)
-    before = within.rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        rows.withColumn("ahead", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-        .withColumn("nth", F.row_number().over(within))
-        .join(bases, rows["conv_id"].eqNullSafe(F.col("_conv")) & (rows["block"] == F.col("_block")))
-        .select("conv_id", "role", "text", "whole", "body_at", "body_chars", "tokens", (F.col("base") + F.col("ahead")).alias("ahead"), (F.col("base_turns") + F.col("nth") - 1).alias("nth"))
-    )
+    scratch = Scratch(conversations.sparkSession, "chat")
+    rows = scratch.write(_turns(conversations, id_col, turn_col, role_col, text_col), "turns")
     is_system = (F.col("nth") == 0) & (F.col("role") == "system")
-    system = placed.where(is_system).select(F.col("conv_id").alias("_conv"), F.col("tokens").alias("system_tokens"))
-    sized = placed.join(system, placed["conv_id"].eqNullSafe(F.col("_conv")), "left").drop("_conv")
-    step = F.greatest(F.floor((F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0))) / 2), F.lit(1))
+    sums = rows.groupBy("conv_id", "block").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("turns"), F.max(F.when(is_system, F.col("tokens"))).alias("opening"))
+    blocks = Window.partitionBy("conv_id").orderBy("block")
+    earlier, whole = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"base_{c}") for c in ("tokens", "turns")]
+    bases = sums.select(F.col("conv_id").alias("_conv"), F.col("block").alias("_block"), *base, F.coalesce(F.first("opening").over(whole), F.lit(0)).alias("system_tokens"))
+    bases = scratch.sized(scratch.write(bases, "bases"), BROADCAST_KEYS // 2)
+
+    placed = rows.join(bases, rows["conv_id"].eqNullSafe(bases["_conv"]) & (rows["block"] == bases["_block"]))
+    placed = placed.withColumn("nth", F.col("base_turns") + F.col("nth")).withColumn("is_system", is_system)
     # the system turn opens the first span; what follows is dealt by the tokens after it
-    after = F.greatest(F.col("ahead") - F.coalesce("system_tokens", F.lit(0)), F.lit(0))
-    spans = sized.withColumn("is_system", is_system).withColumn("step", step).withColumn("after", after).withColumn("span", F.floor(after / step))
-
-    starts = spans.where(~F.col("is_system")).groupBy("conv_id", "span").agg(F.min("after").alias("start"))
-    numbered = starts.select("conv_id", F.col("span").alias("to_span"), "start")
-    last = F.floor((F.col("after") + history) / F.col("step"))
-    repeats = spans.where(~F.col("is_system")).withColumn("to", F.explode(F.sequence(F.col("span"), F.greatest(last, F.col("span")))))
-    here = numbered.select(F.col("conv_id").alias("_conv"), "to_span", "start")
-    own = F.col("to") == F.col("span")
-    parts = repeats.join(here, repeats["conv_id"].eqNullSafe(F.col("_conv")) & (F.col("to") == F.col("to_span")))
-    parts = parts.where(own | (F.col("start") - F.col("after") <= history)).select("conv_id", F.col("to").alias("span"), "nth", "role", "whole", "body_at", "body_chars", "tokens", (~own).alias("context"))
-
-    first = starts.groupBy("conv_id").agg(F.min("span").alias("first_span"))
-    lead = spans.where("is_system").select("conv_id", "nth", "role", "whole", "body_at", "body_chars", "tokens")
-    every = starts.select(F.col("conv_id").alias("_conv"), F.col("span"))
-    led = lead.join(every, lead["conv_id"].eqNullSafe(F.col("_conv")), "left").drop("_conv").withColumn("span", F.coalesce("span", F.lit(0)))
-    named = first.select(F.col("conv_id").alias("_conv"), "first_span")
-    led = led.join(named, led["conv_id"].eqNullSafe(F.col("_conv")), "left")
-    led = led.select("conv_id", "span", "nth", "role", "whole", "body_at", "body_chars", "tokens", (F.col("span") > F.coalesce("first_span", "span")).alias("context"))
-
-    all_parts = parts.unionByName(led)
-    upto = Window.partitionBy("conv_id", "span").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    laid = all_parts.withColumn("at", F.coalesce(F.sum(F.length("whole")).over(upto), F.lit(0)))
+    after = F.greatest(F.col("base_tokens") + F.col("ahead") - F.col("system_tokens"), F.lit(0))
+    step = F.greatest(F.floor((F.lit(budget - history) - F.col("system_tokens")) / 2), F.lit(1))
+    spans = placed.withColumn("after", after).withColumn("step", step).withColumn("own_span", F.floor(F.col("after") / F.col("step")))
+
+    part = ["conv_id", "span", "nth", "role", "whole", "body_at", "body_chars", "tokens", "after", "is_system"]
+    last = F.when(F.col("is_system"), F.col("own_span")).otherwise(F.floor((F.col("after") + history) / F.col("step")))
+    parts = spans.withColumn("span", F.explode(F.sequence("own_span", F.greatest(last, "own_span")))).select(*part, (F.col("span") > F.col("own_span")).alias("context"))
+    later = spans.where("own_span > 0").select(F.col("conv_id").alias("_conv"), F.col("own_span").alias("span")).distinct()
+    later = scratch.write(later, "later")  # a table of its own, so that the join can split a long conversation
+    led = later.join(spans.where("is_system").drop("_conv"), later["_conv"].eqNullSafe(F.col("conv_id"))).select(*part, F.lit(True).alias("context"))
+
+    # one shuffle by window: a turn is repeated if the span that it would lead begins soon after it
+    window = Window.partitionBy("conv_id", "span")
+    start = F.min(F.when(~F.col("context"), F.col("after"))).over(window)
+    laid = parts.unionByName(led).repartition("conv_id", "span").withColumn("start", start)
+    laid = laid.where(~F.col("context") | (F.col("start").isNotNull() & (F.col("is_system") | (F.col("start") - F.col("after") <= history))))
+    upto = window.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    laid = laid.withColumn("at", F.coalesce(F.sum(F.length("whole")).over(upto), F.lit(0)))
     trained = (F.col("role") == "assistant") & ~F.col("context")
     mask = F.when(trained, F.struct((F.col("at") + F.col("body_at")).alias("start"), F.col("body_chars").cast("long").alias("length")))
     gathered = laid.groupBy("conv_id", "span").agg(
