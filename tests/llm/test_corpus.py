@@ -16,7 +16,7 @@ from fogline.llm import _linking, chat_format, decontaminate, html_extract, lang
 from fogline.llm import _text as X
 from fogline.llm._components import connected_components
 from fogline.llm._scratch import Scratch
-from fogline.llm.queries import ORACLES, QUERIES
+from fogline.llm.queries import ORACLES, QUERIES, QUOTING
 from tests.conftest import MEDIUM, SMALL, same_as_sql
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `row` string, size string, kept string, score string"
@@ -137,6 +137,9 @@ def test_repeated_lines_against_brute_force(spark):
     docs = corpus(spark, list(texts.items()))
     got = {(r.doc_id, r.line) for r in line_dedup.repeated_lines(docs).collect()}
     assert got <= want and len(got) >= 0.98 * len(want)
+    verdicts = {r.doc_id: (r.n_lines, r.n_dropped, r.dropped) for r in line_dedup.line_verdicts(docs).collect()}
+    gone = {i: sorted(k for j, k in got if j == i) for i in texts}
+    assert verdicts == {i: (4, len(gone[i]), gone[i]) for i in texts}
     clean = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs).collect()}
     assert all(clean[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in got) for i, t in texts.items())
     odd = corpus(spark, [(1, None), (2, ""), (3, "\n \n"), (4, "é"), (4, "é"), (None, "é")])
@@ -335,6 +338,37 @@ def test_conversations_read_back_whole(spark):
     assert chat_format.format_conversations(conv.limit(0)).count() == 0
 
 
+def test_chat_query_reads_back_every_conversation(spark):
+    turns = pd.read_parquet(f"{SMALL}/conversations.parquet").sort_values(["conv_id", "turn"], kind="stable")
+    quoting = pd.DataFrame([(-1, 0, "user", QUOTING), (-1, 1, "assistant", QUOTING)], columns=["conv_id", "turn", "role", "text"])
+    got = {r.conv_id: r for r in QUERIES["op7_chat_format"](spark, SMALL).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = pd.concat([turns, quoting]).fillna({"text": ""}).groupby("conv_id")
+    assert set(got) == set(want.groups)
+    for c, t in want:
+        loss = "".join(t.text[t.role == "assistant"])
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(t), sha("".join(f"{r}\n{x}\n" for r, x in zip(t.role, t.text, strict=True))))
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), sha(loss))
+
+
+def test_windows_of_a_long_conversation_repeat_system_turn_and_recent_turns(spark):
+    turns = 3 * chat_format.BLOCK_TURNS + 5
+    rows = [(1, t, "system" if not t else ("user", "assistant")[t % 2], f"t{t} " + "word " * (t % 60)) for t in range(turns)] + [(2, 0, "system", "alone")]
+    out = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r.n_turns, r.n_context, r.loss) for r in out if r.conv_id == 2] == [(1, 0, [])]
+    at = 0
+    for r in sorted((r for r in out if r.conv_id == 1), key=lambda r: r.window):
+        numbers = [int(x) for x in re.findall(r"\nt(\d+) ", r.formatted)]
+        assert numbers[0] == 0 and len(numbers) == r.n_turns
+        own, repeated = numbers[r.n_context :], numbers[min(1, r.n_context) : r.n_context]
+        assert own == list(range(at, at + len(own))) and repeated == list(range(at - len(repeated), at))
+        size = [-(-(len(chat_format.OPEN + chat_format.CLOSE) + 2 + len(rows[t][2] + rows[t][3])) // chat_format.CHARS_PER_TOKEN) for t in range(turns)]
+        if at:  # as much history as the budget holds, and no more
+            assert sum(size[t] for t in repeated) <= chat_format.HISTORY and (repeated[:1] == [1] or sum(size[t] for t in repeated) + size[at - len(repeated) - 1] > chat_format.HISTORY)
+        at += len(own)
+    assert at == turns
+
+
 def test_quality_on_held_out_documents(spark):
     labels = pd.read_parquet(f"{MEDIUM}/labels.parquet")[["doc_id", "quality"]].dropna()
     got = QUERIES["op9_quality_classifier"](spark, MEDIUM).toPandas().merge(labels, on="doc_id")
