@@ -51,7 +51,7 @@ def normal(names, rows):
     return sorted((tuple(text(r[i]) for i in order) for r in rows), key=repr)
 
 
-TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def same_as_sql(df, relation):
