@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fogline.llm import chat_format, decontaminate, html_extract, language_id, line_dedup, mixing, quality_classifier, quality_rules, sharding
+from fogline.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, lexical_search, line_dedup, mixing, periodic_runs, quality_classifier, quality_rules, sharding
 from fogline.llm._scratch import Scratch
 from fogline.llm.near_dedup import near_duplicates
 
@@ -78,6 +80,38 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def looped(doc_id: int | None, words: list) -> list:
+    """What op13 makes of a document: where the checksum of the id ends in 0, words from a place on repeat the first of them."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), rewrite=looped).drop("text")
+    # of runs in order of start and period, the first with the greatest length / period
+    best = F.expr("aggregate(slice(runs, 2, size(runs)), get(runs, 0), (a, r) -> if(r.length * a.period > a.length * r.period, r, a))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string"))), "\n")
+    digest = F.sha2(F.concat(lines, F.when(F.size("runs") > 0, "\n").otherwise("")).cast("binary"), 256)
+    best_of = found.withColumn("best", best)
+    return best_of.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), digest.alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_line_dedup": op1_line_dedup,
@@ -90,5 +124,8 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extract": op10_html_extract,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.QUALITY_SQL, "op6_mix_sources": mixing.MIX_SQL}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.QUALITY_SQL, "op6_mix_sources": mixing.MIX_SQL, "op11_lexical_search": lexical_search.SEARCH_SQL, "op12_exact_dedup": exact_dedup.EXACT_SQL}
