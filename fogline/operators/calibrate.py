@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,38 +42,83 @@ def pool_adjacent(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return knots(pool_blocks(p[order], y[order], np.ones(len(p), dtype=np.int64)))
 
 
-def fit_isotonic(cases: DataFrame, model_version: str, run_id: str, min_positive: int = MIN_POSITIVE, p: str = "p", outcome: str = "outcome", ordinal: str = "ordinal", ranges: int = 256) -> DataFrame:
+def _pool_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cases in order of key, p and ordinal to the blocks of every key of this task; memory is what a key's blocks take."""
+    part, key, blocks, nth = TaskContext.get().partitionId(), None, [], 0
+
+    def out() -> pd.DataFrame:
+        done = pd.DataFrame(blocks, columns=["sx", "sy", "n"])
+        for c, v in zip((*KEY, "positive_count"), key, strict=True):
+            done[c] = v
+        return done.assign(part=part, nth=np.arange(len(done)))
+
+    for batch in batches:
+        if batch.empty:
+            continue
+        values = batch[[*KEY, "positive_count"]]
+        cuts = [0, *(1 + np.flatnonzero((values.iloc[1:].to_numpy() != values.iloc[:-1].to_numpy()).any(axis=1))), len(batch)]
+        p, y = batch["_p"].to_numpy(), batch["_y"].to_numpy()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            here = tuple(values.iloc[a])
+            if here != key:
+                if key is not None:
+                    yield out()
+                key, blocks = here, []
+            blocks = pool_blocks(
+                np.concatenate([[x for x, _, _ in blocks], p[a:b]]), np.concatenate([[x for _, x, _ in blocks], y[a:b]]), np.concatenate([[x for _, _, x in blocks], np.ones(b - a)]).astype(np.int64)
+            )
+    if key is not None:
+        yield out()
+
+
+def fit_isotonic(
+    cases: DataFrame, model_version: str, run_id: str, min_positive: int = MIN_POSITIVE, p: str = "p", outcome: str = "outcome", ordinal: str = "ordinal", levels: Sequence[Sequence[str]] = (("rung", "season"),), research_only: str | None = None
+) -> DataFrame:
     """One table per key with enough positives: calibration_id, x and y knots, positive_count.
 
-    Thin keys are dropped before anything is shuffled to the kernel. Ties in p keep the order of their ordinals, so they are
-    not pooled beforehand. The cases of a key are pooled in ``ranges`` ranges of p, a task each, and then their blocks: what one
-    task holds of a whole key is no more than the knots that it returns, and what the ranges leave apart.
+    ``levels`` says which of rung and season a table keeps: what it does not keep is "all" in the key, and such a table is fitted to
+    all cases of its product and lead (and rung). A case that says "all" itself counts once. A probability or an outcome that is
+    null or outside [0, 1] raises, and so does a case that the column ``research_only`` marks: such heads are never calibrated.
+
+    Thin keys are dropped before anything is sorted. Ties in p keep the order of their ordinals, so they are not pooled
+    beforehand. All levels are dealt at once by ranges of key, p and ordinal: a key or a probability that many cases share is
+    spread over tasks, each pools what it holds, and a key's blocks are then pooled again. They are as many as its fit has steps
+    and tasks have cuts.
     """
-    checked = cases.withColumn("_p", F.when((F.col(p) < 0) | (F.col(p) > 1) | F.isnan(p), F.raise_error(F.lit("probability outside [0, 1]")).cast("double")).otherwise(F.col(p).cast("double")))
-    rich = cases.groupBy(*KEY).agg(F.sum(F.col(outcome).cast("double")).cast("long").alias("positive_count")).where(F.col("positive_count") >= min_positive)
-    rows = checked.select(*KEY, "_p", F.col(outcome).cast("double").alias("_y"), ordinal, F.floor(F.col("_p") * ranges).alias("_range")).join(rich, list(KEY))
-    types = {f.name: f.dataType.simpleString() for f in cases.schema.fields}
+    unit = lambda c, what: F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.col(c).cast("double") < 0) | (F.col(c).cast("double") > 1), F.raise_error(F.lit(f"{what} outside [0, 1]")).cast("double")).otherwise(F.col(c).cast("double"))
+    own = F.col(ordinal)
+    if research_only is not None:
+        own = F.when(F.coalesce(F.col(research_only), F.lit(False)), F.raise_error(F.lit("research-only heads are never calibrated")).cast(cases.schema[ordinal].dataType)).otherwise(own)
+    keys = F.array_distinct(F.array(*[F.struct(*[(F.col(c) if c in kept else F.lit("all")).alias(c) for c in ("rung", "season")]) for kept in levels]))
+    rows = cases.select("product", "lead_min", F.explode(keys).alias("_k"), unit(p, "probability").alias("_p"), unit(outcome, "outcome").alias("_y"), own.alias("_o"))
+    rows = rows.select("product", "lead_min", "_k.rung", "_k.season", "_p", "_y", "_o")
+    rich = rows.groupBy(*KEY).agg(F.sum("_y").cast("long").alias("positive_count")).where(F.col("positive_count") >= min_positive)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     key_schema = ", ".join(f"{k} {types[k]}" for k in KEY)
-
-    def pool(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_p", ordinal], kind="stable")
-        out = pd.DataFrame(pool_blocks(group["_p"].to_numpy(), group["_y"].to_numpy(), np.ones(len(group), dtype=np.int64)), columns=["sx", "sy", "n"])
-        for c in (*KEY, "_range", "positive_count"):
-            out[c] = group[c].iloc[0]
-        return out.assign(nth=np.arange(len(out)))
+    order = [*KEY, "_p", "_o"]
+    dealt = rows.join(rich, list(KEY)).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_range", "nth"])
+        group = group.sort_values(["part", "nth"])
         x, y = knots(pool_blocks(group["sx"].to_numpy(), group["sy"].to_numpy(), group["n"].to_numpy()))
         key = {k: (int(v) if k == "lead_min" else v) for k in KEY if (v := group[k].iloc[0]) is not None}
         body = {"fitted_on_run_id": run_id, "key": key, "model_version": model_version, "x": x.tolist(), "y": y.tolist()}
         name = "cal-" + hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()[:16]
         return pd.DataFrame([[*(group[k].iloc[0] for k in KEY), name, x, y, int(group["positive_count"].iloc[0])]], columns=[*KEY, "calibration_id", "x", "y", "positive_count"])
 
-    blocks = rows.groupBy(*KEY, "_range").applyInPandas(pool, f"{key_schema}, sx double, sy double, n long, _range long, positive_count long, nth long")
+    blocks = dealt.mapInPandas(_pool_ranges, f"sx double, sy double, n long, {key_schema}, positive_count long, part long, nth long")
     return blocks.groupBy(*KEY).applyInPandas(fit, f"{key_schema}, calibration_id string, x array<double>, y array<double>, positive_count long")
 
 
+#: Keys with their own table, then one of all seasons, then one of all seasons and rungs: the order in which ``find_table`` looks.
+LADDER = (("rung", "season"), ("rung",), ())
+
+
+def fit_ladder(cases: DataFrame, model_version: str, run_id: str, min_positive: int = MIN_POSITIVE, **more) -> DataFrame:
+    """Tables of all steps of the ladder in one pass; ``find_table`` falls back from a thin key to the next step."""
+    return fit_isotonic(cases, model_version, run_id, min_positive, levels=LADDER, **more)
+
+
 def find_table(wanted: DataFrame, tables: DataFrame) -> DataFrame:
     """Adds the calibration of each key: its own, else that of all seasons, else that of all seasons and rungs (``all``);
     ``fallback`` says which step was taken, null where none is left."""
