@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from fogline.functions.numeric import at_least, finite
 
@@ -47,27 +48,37 @@ def box_mean(cells: DataFrame, scale: int, keys: Sequence[str] = (), value: str
     return both.select(*keys, "row", "col", (F.col("_t") / F.lit(float(scale * scale))).alias("value"))
 
 
-def _fss(pairs: DataFrame, scale: int, keys: Sequence[str]) -> DataFrame:
-    """Fractions skill of dense (keys, row, col, f, o): both fields are averaged in one pass of windows."""
-    along = Window.partitionBy(*keys, "row").orderBy("col").rowsBetween(0, scale - 1)
-    down = Window.partitionBy(*keys, "col").orderBy("row").rowsBetween(0, scale - 1)
-    rows = pairs.select(*keys, "row", "col", F.sum("f").over(along).alias("f"), F.sum("o").over(along).alias("o"), F.count(F.lit(1)).over(along).alias("_n")).where(F.col("_n") == scale)
-    both = rows.select(*keys, F.sum("f").over(down).alias("f"), F.sum("o").over(down).alias("o"), F.count(F.lit(1)).over(down).alias("_m")).where(F.col("_m") == scale)
-    area = float(scale * scale)
-    f, o = F.col("f") / area, F.col("o") / area
-    sums = both.groupBy(*keys).agg(F.sum((f - o) * (f - o)).alias("mse"), F.sum(f * f + o * o).alias("worst"))
-    return sums.select(*keys, F.lit(scale).alias("scale"), F.when(F.col("worst") == 0, 1.0).otherwise(1.0 - F.col("mse") / F.when(F.col("worst") == 0, 1.0).otherwise(F.col("worst"))).alias("fss"))
-
-
 def fractions_skill(pairs: DataFrame, scales: Sequence[int], keys: Sequence[str] = (), threshold: float | None = None, forecast: str = "forecast", observed: str = "observed") -> DataFrame:
-    """Fractions skill score per scale of dense (keys, row, col, forecast, observed); with a threshold, of exceedances."""
+    """Fractions skill score per scale of dense (keys, row, col, forecast, observed); with a threshold, of exceedances.
+
+    A scale that does not fit inside the field has no row. Sums of boxes are differences of running sums, first along rows and
+    then along columns: two shuffles and two sorts for all scales together, and the same work a cell for a box of any size.
+    """
+    scales = sorted({int(s) for s in scales})
+    if not scales or scales[0] < 1:
+        raise ValueError("scales must be positive")
     take = lambda c: (at_least(F.col(c), threshold).cast("double") if threshold is not None else F.col(c).cast("double"))
     base = pairs.select(*keys, "row", "col", take(forecast).alias("f"), take(observed).alias("o"))
-    out = [_fss(base, s, keys) for s in scales]
-    result = out[0]
-    for part in out[1:]:
-        result = result.unionByName(part)
-    return result
+
+    def boxes(rows: DataFrame, window: WindowSpec, sums: dict[str, tuple[str, int]]) -> DataFrame:
+        """Sums of the last cells of every column of ``sums`` (from, scale), null where the box would begin outside."""
+        running = {c: F.sum(c).over(window.rowsBetween(Window.unboundedPreceding, 0)) for c in {c for c, _ in sums.values()}}
+        rows = rows.withColumns({f"_run_{c}": w for c, w in running.items()} | {"_nth": F.row_number().over(window)})
+        ends = {name: F.when(F.col("_nth") >= s, F.col(f"_run_{c}") - F.lag(f"_run_{c}", s, 0.0).over(window)) for name, (c, s) in sums.items()}
+        return rows.withColumns(ends)
+
+    along = boxes(base, Window.partitionBy(*keys, "row").orderBy("col"), {f"{c}{s}": (c, s) for s in scales for c in "fo"})
+    strips = along.select(*keys, "row", "col", *[f"{c}{s}" for s in scales for c in "fo"])
+    both = boxes(strips, Window.partitionBy(*keys, "col").orderBy("row"), {f"{c}{s}_": (f"{c}{s}", s) for s in scales for c in "fo"})
+    sums = []
+    for s in scales:
+        f, o = (F.col(f"{c}{s}_") / float(s * s) for c in "fo")
+        sums += [F.sum((f - o) * (f - o)).alias(f"mse{s}"), F.sum(f * f + o * o).alias(f"worst{s}")]
+    found = both.groupBy(*keys).agg(*sums)
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("scale"), F.col(f"mse{s}").alias("mse"), F.col(f"worst{s}").alias("worst")) for s in scales])).alias("s")
+    flat = found.select(*keys, each).select(*keys, "s.*").where("worst is not null")
+    none = F.col("worst") == 0
+    return flat.select(*keys, "scale", F.when(none, 1.0).otherwise(1.0 - F.col("mse") / F.when(none, 1.0).otherwise(F.col("worst"))).alias("fss"))
 
 
 def probabilistic_fractions_skill(pairs: DataFrame, scales: Sequence[int], keys: Sequence[str] = (), forecast: str = "forecast", observed: str = "observed") -> DataFrame:

@@ -9,8 +9,10 @@ grows with the rows and not with pairs of them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import insort
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,16 +43,74 @@ def pair_first_after(forecasts: DataFrame, truths: DataFrame, keys: Sequence[str
     return found.where(fits).select(*keys, "f.forecast_id", "f.issue_time", "f.lead_min", "f.forecast", "t.truth_id", "t.obs_time", "t.arrival_time", "t.observed")
 
 
-def latest_frames(issues: DataFrame, frames: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
-    """For every issue time the last ``k`` frames by observation that had arrived by then, oldest first as ``nth`` from 1.
+#: Stretches of time that frames are cut into; their number does not grow with the data.
+STRETCHES = 4096
+
+
+def _last_k(rows: pd.DataFrame, k: int) -> Iterator[tuple[int, list[tuple]]]:
+    """Over rows in order of time, frames before issues: the last k frames by observation at every issue, oldest first."""
+    held: list[tuple] = []
+    for number, (is_issue, obs, frame, arrival) in enumerate(zip(rows["issue"], rows["obs"], rows["frame"], rows["arrival"], strict=True)):
+        if is_issue:
+            yield number, held
+        else:
+            insort(held, (obs, frame, arrival))
+            del held[:-k]
+
+
+def latest_frames(issues: DataFrame, frames: DataFrame, k: int, keys: Sequence[str] = (), stretches: int = STRETCHES) -> DataFrame:
+    """(keys, issue_time, frame_id, obs_time, arrival_time, nth): for every issue time the last ``k`` frames by observation that had
+    arrived by then, oldest first as ``nth`` from 1; frames of one observation time go by id.
 
     An issue with fewer than ``k`` usable frames has no row: the caller abstains. A frame that arrives before it is observed
-    raises. Frames and issues meet on ``keys``.
+    raises; one without a time is never usable. Frames and issues meet on ``keys``, where null meets nothing; a repeated issue
+    counts once, a repeated frame each time. Other columns of frames are joined by frame_id.
+
+    Time is cut into stretches. Each keeps its last k frames; what is carried into a stretch is the last k of all before, so
+    a stretch needs its own rows and k more. Rows are shuffled as frames plus issues, and no frame meets an issue that it does not serve.
     """
-    sane = F.when(F.col("arrival_time") < F.col("obs_time"), F.raise_error(F.lit("frame arrives before it is observed")).cast("boolean")).otherwise(F.lit(True))
-    usable = issues.join(frames.where(sane), list(keys)) if keys else issues.join(frames.where(sane), F.col("arrival_time") <= F.col("issue_time"))
-    usable = usable.where(F.col("arrival_time") <= F.col("issue_time"))
-    back = Window.partitionBy(*keys, "issue_time").orderBy(F.col("obs_time").desc(), F.col("frame_id").desc())
-    last = usable.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= k)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys, "issue_time"))
-    return last.withColumn("_n", n).where(F.col("_n") == k).withColumn("nth", F.lit(k + 1) - F.col("_back")).drop("_back", "_n")
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    named = [F.col(c).isNotNull() for c in keys]
+    late = F.when(F.col("arrival_time") < F.col("obs_time"), F.raise_error(F.lit("frame arrives before it is observed")).cast("long")).otherwise(us("arrival_time"))
+    f = frames.select(*keys, late.alias("at"), us("obs_time").alias("obs"), F.col("frame_id").alias("frame")).where("at is not null and obs is not null and frame is not null")
+    i = issues.select(*keys, us("issue_time").alias("at")).where("at is not null").distinct()
+    for c in named:
+        f, i = f.where(c), i.where(c)
+    ends = f.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
+    low = ends["a"] or 0
+    width = max(1, ((ends["b"] or 0) - low) // stretches + 1)
+    stretch = F.least(F.greatest(F.floor((F.col("at") - low) / width), F.lit(-1)), F.lit(stretches)).cast("int")  # before the first frame, and after the last
+    f, i = f.withColumn("stretch", stretch), i.withColumn("stretch", stretch)
+    back = Window.partitionBy(*keys, "stretch").orderBy(F.desc("obs"), F.desc("frame"), F.desc("at"))
+    tops = f.withColumn("_n", F.row_number().over(back)).where(F.col("_n") <= k).drop("_n")
+    asked = i.select(*keys, "stretch").distinct()
+    types = {x.name: x.dataType.simpleString() for x in f.schema.fields}
+    ddl = "".join(f"`{c}` {types[c]}, " for c in keys)
+
+    def carry(rows: pd.DataFrame) -> pd.DataFrame:
+        """Last k frames before every stretch that is asked for; a key has at most k rows a stretch."""
+        rows = rows.sort_values(["stretch", "issue"], ascending=[True, False], kind="stable")
+        out = [(s, *h) for n, held in _last_k(rows.rename(columns={"at": "arrival"}), k) for s in [rows["stretch"].iloc[n]] for h in held]
+        done = pd.DataFrame(out, columns=["stretch", "obs", "frame", "at"])
+        for c in keys:
+            done[c] = rows[c].iloc[0]
+        return done[[*keys, "at", "obs", "frame", "stretch"]]
+
+    blank = {"obs": F.lit(0).cast("long"), "frame": F.lit(0).cast(types["frame"]), "issue": F.lit(True)}  # no nulls: ids stay whole numbers
+    marked = tops.withColumn("issue", F.lit(False)).unionByName(asked.withColumns(blank | {"at": F.lit(0).cast("long")}))
+    carried = marked.groupBy(*keys).applyInPandas(carry, f"{ddl}at long, obs long, frame {types['frame']}, stretch int")
+    here = f.join(asked, [*keys, "stretch"], "left_semi").unionByName(carried)
+    rows = here.withColumn("issue", F.lit(False)).unionByName(i.withColumns(blank))
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["at", "issue"], kind="stable")
+        times = rows["at"].tolist()
+        out = [(times[n], *h, nth) for n, held in _last_k(rows.assign(arrival=rows["at"]), k) if len(held) == k for nth, h in enumerate(held, 1)]
+        done = pd.DataFrame(out, columns=["issue_us", "obs", "frame", "arrival", "nth"])
+        for c in keys:
+            done[c] = rows[c].iloc[0]
+        return done[[*keys, "issue_us", "frame", "obs", "arrival", "nth"]]
+
+    found = rows.groupBy(*keys, "stretch").applyInPandas(pick, f"{ddl}issue_us long, frame {types['frame']}, obs long, arrival long, nth int")
+    time = lambda c: F.timestamp_micros(c)
+    return found.select(*keys, time("issue_us").alias("issue_time"), F.col("frame").alias("frame_id"), time("obs").alias("obs_time"), time("arrival").alias("arrival_time"), "nth")

@@ -40,9 +40,12 @@ def add_targets(targets: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def replace_targets(targets: DataFrame, changed: DataFrame) -> DataFrame:
-    """``targets`` with the rows of ``changed`` in place of those with their ids; an unknown id raises."""
-    changed = read_targets(changed).join(_ids(targets), F.col("target_id") == F.col("_known"), "left")
+    """``targets`` with the rows of ``changed`` in place of those with their ids; an id that is unknown, or comes twice in ``changed``, raises."""
+    changed = read_targets(changed)
+    twice = changed.groupBy(F.col("target_id").alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    changed = changed.join(_ids(targets), F.col("target_id") == F.col("_known"), "left").join(twice, F.col("target_id") == F.col("_twice"), "left")
     checked = changed.withColumn("target_id", _guard(F.col("target_id"), F.col("_known").isNull(), "no such target", F.col("target_id")))
+    checked = checked.withColumn("target_id", _guard(F.col("target_id"), F.col("_twice").isNotNull(), "target changed twice", F.col("target_id")))
     kept = targets.join(checked.select(F.col("target_id").alias("_new")), F.col("target_id") == F.col("_new"), "left_anti")
     return kept.select(*TARGET_COLUMNS).unionByName(checked.select(*TARGET_COLUMNS))
 

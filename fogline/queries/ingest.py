@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from fogline.functions import identity, times
+from fogline.functions.tables import shared_dir
 from fogline.operators import pairing
 from fogline.queries import _carriers as C
 from fogline.queries._registry import query
@@ -200,9 +200,8 @@ def replay_release(spark, sf_dir):
 
 
 def _scratch(spark) -> str:
-    """A folder that all executors share, where the session names one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{named.rstrip('/') if named else 'file://' + tempfile.mkdtemp(prefix='fogline-')}/stream-{uuid.uuid4().hex[:12]}"
+    """A fresh folder that all executors share."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
 
 def _finished(df, out: str):

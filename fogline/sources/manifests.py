@@ -250,7 +250,11 @@ NOWCAST_KEYS = {
 
 
 def nowcast_categories(documents: DataFrame, column: str = "payload") -> DataFrame:
-    """One row per category found at any depth of a JSON text: category, district, station, valid_from, valid_to."""
+    """One row per category found at any depth of a JSON text: category, district, station, valid_from, valid_to.
+
+    The first category key that is not null counts, even if its value is empty; of the other fields an empty value gives way
+    to the next key.
+    """
     import json as _json
 
     kind = f"array<struct<{', '.join(f'{k}: string' for k in NOWCAST_KEYS)}>>"
@@ -261,8 +265,10 @@ def nowcast_categories(documents: DataFrame, column: str = "payload") -> DataFra
             found = []
 
             def each(members: dict) -> dict:  # the parser calls this for every object
-                row = {field: next((str(members[k]) for k in keys if members.get(k) not in (None, "")), None) for field, keys in NOWCAST_KEYS.items()}
-                if row["category"] is not None:
+                said = next((members[k] for k in NOWCAST_KEYS["category"] if members.get(k) is not None), None)
+                rest = {field: next((str(members[k]) for k in keys if members.get(k)), None) for field, keys in NOWCAST_KEYS.items() if field != "category"}
+                row = {"category": None if said is None else str(said), **rest}
+                if said is not None:
                     found.append(row)
                 return members
 

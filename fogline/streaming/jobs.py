@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fogline.operators.objects import TRACKS, Track, TrackerState, detections_of, track_step
-from fogline.sources.manifests import merge_manifest
+from fogline.sources.manifests import MANIFEST_KEY, merge_manifest
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -44,22 +44,82 @@ def pair_stream(forecasts: DataFrame, truths: DataFrame, max_lead_min: int = 120
     return f.join(t, inside).drop("bucket", "truth_bucket").where(F.unix_micros(F.col("obs_time").cast("timestamp")) <= F.unix_micros(F.col("issue_time").cast("timestamp")) + F.col("lead_min").cast("long") * 60_000_000)
 
 
-def ingest_stream(checked: DataFrame, manifest_path: str, quarantine_path: str, checkpoint: str) -> StreamingQuery:
+#: Parts that a manifest is dealt into by a hash of its key.
+MANIFEST_PARTS = 64
+
+
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a location."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def _index(spark: SparkSession, root: str, before: int | None = None) -> dict[int, int]:
+    """Version of every part that holds rows, as the last batch committed (before the given one) left it."""
+    numbers = [int(n[1:]) for n in _children(spark, f"{root}/index") if n.startswith("v") and "_SUCCESS" in _children(spark, f"{root}/index/{n}")]
+    numbers = [n for n in numbers if before is None or n < before]
+    return {r.part: r.version for r in spark.read.parquet(f"{root}/index/v{max(numbers)}").collect()} if numbers else {}  # a row per part
+
+
+def read_manifest(spark: SparkSession, root: str) -> DataFrame | None:
+    """The manifest as the last batch left it; None before the first."""
+    held = _index(spark, root)
+    return spark.read.parquet(*[f"{root}/data/v{v}/part={p}" for p, v in sorted(held.items())]) if held else None
+
+
+def ingest_stream(checked: DataFrame, manifest_path: str, quarantine_path: str, checkpoint: str, parts: int = MANIFEST_PARTS) -> StreamingQuery:
     """Merge accepted rows of a checked stream into the manifest, and append the others to the quarantine.
 
-    The manifest is a folder of versions, one per batch; a batch that runs again writes its own version again, so a restart
-    does not count an arrival twice.
+    The manifest is dealt into parts by a hash of its key. A batch rewrites the parts that it has rows of, under its number, and
+    then commits an index that names the version of every part. A batch that runs again starts from the index of the batch
+    before it and writes its own version again, so a restart does not count an arrival twice. Versions that neither this index nor
+    the one before names are deleted after the commit: a reader has the time of a batch to finish.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        rows.where("reason is not null").write.mode("overwrite").parquet(f"{quarantine_path}/batch={number}")
-        known = spark.read.parquet(f"{manifest_path}/v{number - 1}") if number else None
-        merge_manifest(known, rows.where("reason is null")).write.mode("overwrite").parquet(f"{manifest_path}/v{number}")
+        rows = rows.persist()
+        try:
+            rows.where("reason is not null").write.mode("overwrite").parquet(f"{quarantine_path}/batch={number}")
+            part = F.pmod(F.xxhash64(MANIFEST_KEY), F.lit(parts)).cast("int")
+            new = rows.where("reason is null").withColumn("part", part)
+            touched = [r.part for r in new.select("part").distinct().collect()]  # at most ``parts``
+            held = _index(spark, manifest_path, number)
+            known = [f"{manifest_path}/data/v{held[p]}/part={p}" for p in sorted(touched) if p in held]
+            if touched:
+                merged = merge_manifest(spark.read.parquet(*known) if known else None, new)
+                merged.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{manifest_path}/data/v{number}")
+            after = held | {p: number for p in touched}
+            index = spark.createDataFrame(sorted(after.items()), "part int, version long")
+            index.coalesce(1).write.mode("overwrite").parquet(f"{manifest_path}/index/v{number}")
+            _forget(spark, manifest_path, number, {*held.items(), *after.items()})
+        finally:
+            rows.unpersist()
 
     return checked.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _forget(spark: SparkSession, root: str, number: int, named: set[tuple[int, int]]) -> None:
+    """Delete parts of committed batches that no pair (part, version) names, and indexes before the last two."""
+    for version in _children(spark, f"{root}/data"):
+        if not version.startswith("v") or int(version[1:]) > number:
+            continue
+        inner = [p for p in _children(spark, f"{root}/data/{version}") if p.startswith("part=")]
+        gone = [p for p in inner if (int(p[5:]), int(version[1:])) not in named]
+        for p in ([""] if len(gone) == len(inner) else gone):
+            fs, at = _path(spark, f"{root}/data/{version}/{p}".rstrip("/"))
+            fs.delete(at, True)
+    for n in _children(spark, f"{root}/index"):
+        if n.startswith("v") and int(n[1:]) < number - 1:
+            fs, at = _path(spark, f"{root}/index/{n}")
+            fs.delete(at, True)
+
+
 STATE = "next_id int, active array<struct<track_id: string, x: double, y: double, area: int, peak: double, cells: array<int>, age: int, missed: int, parents: array<string>>>"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,9 @@ def replay_ticks(events: DataFrame, start: str, end: str, speed: float, tick_s:
 
 
 def between_clocks(events: DataFrame, before: str, now: str) -> DataFrame:
-    """Events that moving the clock from ``before`` to ``now`` releases. The clock does not move backwards."""
+    """Events that moving the clock from ``before`` to ``now`` releases. A clock that moves backwards raises."""
+    if pd.Timestamp(now, tz="UTC") < pd.Timestamp(before, tz="UTC"):
+        raise ValueError(f"the clock moves back from {before} to {now}")
     return events.where((F.col("virtual_time") > F.lit(before).cast("timestamp")) & (F.col("virtual_time") <= F.lit(now).cast("timestamp")))
 
 

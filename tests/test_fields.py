@@ -1,5 +1,7 @@
 """Fields, objects and tracks against brute force."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -193,7 +195,7 @@ def test_streamed_tracks_equal_batch_tracks(spark, tmp_path):
 
 def test_streamed_ingest_equals_one_merge(spark, tmp_path):
     from fogline.sources.manifests import check_payloads, merge_manifest
-    from fogline.streaming.jobs import ingest_stream, read_stream
+    from fogline.streaming.jobs import ingest_stream, read_manifest, read_stream
 
     landed = spark.createDataFrame(
         [("sat", "s1", f"http://x/{name}", bytearray(b"GIF89a" + body), "image/gif", 200, at) for name, body, at in (("a_202401010000.gif", b"1", 1704067500), ("a_202401010000.gif", b"1", 1704067800), ("b.gif", b"2", 1704067500))],
@@ -205,9 +207,68 @@ def test_streamed_ingest_equals_one_merge(spark, tmp_path):
     checked = lambda df: check_payloads(df).withColumn("path", F.lit("p")).withColumn("metadata", F.lit("m")).withColumn("status", F.lit("ok"))
     run = ingest_stream(checked(read_stream(spark, str(tmp_path / "in"), 1)), str(tmp_path / "man"), str(tmp_path / "bad"), str(tmp_path / "ck"))
     run.awaitTermination()
-    last = sorted((tmp_path / "man").iterdir(), key=lambda p: int(p.name[1:]))[-1]
     want = merge_manifest(None, checked(rows).where("reason is null")).collect()
-    got = spark.read.parquet(str(last)).collect()
+    got = read_manifest(spark, str(tmp_path / "man")).collect()
     assert [(r.observation_id, r.seen_count, r.first_seen, r.last_seen) for r in got] == [(r.observation_id, r.seen_count, r.first_seen, r.last_seen) for r in want]
     assert got[0].seen_count == 2
     assert [r.reason for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["missing_source_timestamp"]
+
+
+def test_a_batch_rewrites_only_the_parts_that_it_has_rows_of(spark, tmp_path):
+    from fogline.streaming.jobs import ingest_stream, read_manifest, read_stream
+
+    names = "observation_id string, source string, station string, obs_time timestamp, arrival_time timestamp, path string, status string, metadata string, reason string, payload_sha256 string, url string"
+    at = datetime(2024, 1, 1)
+
+    def land(ids, minute):
+        rows = [(i, "s", "t", at, at + timedelta(minutes=minute), "p", f"m{minute}", "x", None, "h", "u") for i in ids]
+        spark.createDataFrame(rows, names).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(check="ck"):
+        ingest_stream(read_stream(spark, str(tmp_path / "in"), 1), str(tmp_path / "man"), str(tmp_path / "bad"), str(tmp_path / check), parts=8).awaitTermination()
+
+    counts = lambda: {r.observation_id: (r.seen_count, r.status) for r in read_manifest(spark, str(tmp_path / "man")).collect()}
+    assert read_manifest(spark, str(tmp_path / "man")) is None
+    land([f"o{i}" for i in range(100)], 0)
+    run()
+    assert len(list((tmp_path / "man/data/v0").glob("part=*"))) == 8
+    land(["o7"], 5)
+    run()
+    assert len(list((tmp_path / "man/data/v1").glob("part=*"))) == 1
+    assert counts() == {f"o{i}": ((2, "m5") if i == 7 else (1, "m0")) for i in range(100)}
+    (tmp_path / "ck/commits/1").unlink()  # the driver died after the batch's own commit
+    (tmp_path / "ck/commits/.1.crc").unlink(missing_ok=True)
+    run()
+    assert counts()["o7"] == (2, "m5")
+    land(["o7", "new"], 9)
+    run()
+    assert counts()["o7"] == (3, "m9") and len(counts()) == 101
+    held = {(p.parent.name, p.name) for p in (tmp_path / "man/data").glob("v*/part=*")}
+    assert len(held) <= 8 + 2 + 1 and len(list((tmp_path / "man/index").glob("v*"))) == 2
+
+
+def test_scales_that_do_not_fit_have_no_row(spark):
+    rng = np.random.default_rng(8)
+    rows = [(r, c, float(rng.random()), float(rng.random())) for r in range(6) for c in range(9)]
+    df = spark.createDataFrame(rows, "row int, col int, forecast double, observed double")
+    assert [r.scale for r in grid.fractions_skill(df, [7, 6, 2]).orderBy("scale").collect()] == [2, 6]
+    with pytest.raises(ValueError, match="positive"):
+        grid.fractions_skill(df, [0, 2])
+
+
+def test_nowcast_categories_keep_what_is_empty(spark):
+    from fogline.sources.manifests import nowcast_categories
+
+    texts = ['{"category":"","warning":"red","district":"","district_name":"D"}', '{"category":null,"colour":0}', '[{"nowcast":false,"inner":{"severity":"x","station":0,"station_name":"S"}}]', "not json", None]
+    got = nowcast_categories(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, payload string")).collect()
+    assert sorted((r.id, r.category, r.district, r.station) for r in got if r.id < 2) == [(0, "", "D", None), (1, "0", None, None)]
+    assert {(r.category, r.station) for r in got if r.id == 2} == {("False", None), ("x", "S")} and len(got) == 4
+
+
+def test_a_clock_does_not_move_back(spark):
+    from fogline.streaming.replay import between_clocks
+
+    events = spark.createDataFrame([(datetime(2024, 1, 2),)], "virtual_time timestamp")
+    assert between_clocks(events, "2024-01-01", "2024-01-02").count() == 1 and between_clocks(events, "2024-01-02", "2024-01-02").count() == 0
+    with pytest.raises(ValueError, match="back"):
+        between_clocks(events, "2024-01-02", "2024-01-01")

@@ -63,6 +63,7 @@ def _table(spark, *ids, default=False):
         (lambda s: serving.add_targets(_table(s, "a"), _table(s, "a")), "target exists: a"),
         (lambda s: serving.add_targets(_table(s, "a"), _table(s, "b", "b")), "target exists: b"),
         (lambda s: serving.replace_targets(_table(s, "a"), _table(s, "b")), "no such target: b"),
+        (lambda s: serving.replace_targets(_table(s, "a"), _table(s, "a", "a")), "target changed twice: a"),
         (lambda s: serving.delete_targets(_table(s, "a"), s.createDataFrame([("b",)], "target_id string")), "no such target: b"),
         (lambda s: serving.delete_targets(_table(s, "a", default=True), s.createDataFrame([("a",)], "target_id string")), "default targets stay: a"),
         (lambda s: serving.resolve_targets(s.createDataFrame([("b",), (None,)], "target_id string"), _table(s, "a")), "unknown target"),

@@ -148,3 +148,37 @@ def test_verification_job_scores_every_threshold_and_axis(spark):
     assert {(r.metric, r.threshold) for r in rows if r.metric == "pod"} == {("pod", 1.0), ("pod", 2.0)}
     assert all(r.value == 1.0 for r in rows if r.metric in ("pod", "csi"))
     assert all(r.value == 0.0 for r in rows if r.metric == "mae")
+
+
+@pytest.mark.parametrize("stretches", [1, 3, 4096])
+@pytest.mark.parametrize("keys", [[], ["who"]])
+def test_latest_frames_equal_brute_force(spark, stretches, keys):
+    rng = np.random.default_rng(stretches)
+    t0 = datetime(2024, 1, 1)
+    frames, issues = [], []
+    for i in range(300):
+        obs = t0 + timedelta(minutes=int(rng.integers(0, 500)))
+        frames.append((2**60 + i, "ab"[i % 2] if i % 17 else None, obs, obs + timedelta(minutes=int(rng.integers(0, 90)))))
+    frames += [(1, "a", None, t0), (2, "a", t0, None), (None, "a", t0, t0)]
+    for i in range(80):
+        issues.append(("abc"[i % 3] if i % 11 else None, t0 + timedelta(minutes=int(rng.integers(-30, 700)))))
+    issues += [issues[1], ("a", None)]
+    got = pairing.latest_frames(
+        spark.createDataFrame(issues, "who string, issue_time timestamp"), spark.createDataFrame(frames, "frame_id long, who string, obs_time timestamp, arrival_time timestamp"), 3, keys, stretches
+    )
+    assert got.columns == [*keys, "issue_time", "frame_id", "obs_time", "arrival_time", "nth"]
+    want = set()
+    for who, at in {((w if keys else None), t) for w, t in issues if t is not None and (w is not None or not keys)}:
+        usable = sorted((f for f in frames if f[0] and f[2] and f[3] and f[3] <= at and (not keys or f[1] == who)), key=lambda f: (f[2], f[0]))[-3:]
+        if len(usable) == 3:
+            want |= {((who,) if keys else ()) + (at, f[0], f[2], f[3], n) for n, f in enumerate(usable, 1)}
+    rows = list(map(tuple, got.collect()))
+    assert len(rows) == len(want) and set(rows) == want
+
+
+def test_a_frame_cannot_arrive_before_it_is_observed(spark):
+    t = datetime(2024, 1, 1)
+    issues, frames = spark.createDataFrame([(t,)], "issue_time timestamp"), spark.createDataFrame([(1, t, t - timedelta(minutes=1))], "frame_id int, obs_time timestamp, arrival_time timestamp")
+    with pytest.raises(Exception, match="arrives before"):
+        pairing.latest_frames(issues, frames, 1).collect()
+    assert pairing.latest_frames(issues, frames.limit(0), 1).count() == 0
