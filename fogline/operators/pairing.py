@@ -47,15 +47,27 @@ def pair_first_after(forecasts: DataFrame, truths: DataFrame, keys: Sequence[str
 STRETCHES = 4096
 
 
-def _last_k(rows: pd.DataFrame, k: int) -> Iterator[tuple[int, list[tuple]]]:
-    """Over rows in order of time, frames before issues: the last k frames by observation at every issue, oldest first."""
-    held: list[tuple] = []
-    for number, (is_issue, obs, frame, arrival) in enumerate(zip(rows["issue"], rows["obs"], rows["frame"], rows["arrival"], strict=True)):
-        if is_issue:
-            yield number, held
-        else:
-            insort(held, (obs, frame, arrival))
-            del held[:-k]
+def _last_k(group: Sequence[str], at: str, k: int, least: int, out: Sequence[str]):
+    """Over rows in order of the columns ``group`` and of time, frames before issues: at every issue the last k frames by observation,
+    if there are ``least``, oldest first, as rows (group, at, frame, obs, arrival, nth) under the names ``out``. State is k frames."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for batch in batches:
+            found = []
+            columns = [batch[c].tolist() for c in (at, "issue", "obs", "frame", "at")]
+            keys = zip(*[batch[c].tolist() for c in group], strict=True) if group else [()] * len(batch)
+            for here, when, is_issue, obs, frame, arrival in zip(keys, *columns, strict=True):
+                if here != key:
+                    key, held = here, []
+                if is_issue:
+                    found += [] if len(held) < least else [(*here, when, f, o, a, nth) for nth, (o, f, a) in enumerate(held, 1)]
+                else:
+                    insort(held, (obs, frame, arrival))
+                    del held[:-k]
+            yield pd.DataFrame(found, columns=list(out))
+
+    return run
 
 
 def latest_frames(issues: DataFrame, frames: DataFrame, k: int, keys: Sequence[str] = (), stretches: int = STRETCHES) -> DataFrame:
@@ -87,30 +99,15 @@ def latest_frames(issues: DataFrame, frames: DataFrame, k: int, keys: Sequence[s
     types = {x.name: x.dataType.simpleString() for x in f.schema.fields}
     ddl = "".join(f"`{c}` {types[c]}, " for c in keys)
 
-    def carry(rows: pd.DataFrame) -> pd.DataFrame:
-        """Last k frames before every stretch that is asked for; a key has at most k rows a stretch."""
-        rows = rows.sort_values(["stretch", "issue"], ascending=[True, False], kind="stable")
-        out = [(s, *h) for n, held in _last_k(rows.rename(columns={"at": "arrival"}), k) for s in [rows["stretch"].iloc[n]] for h in held]
-        done = pd.DataFrame(out, columns=["stretch", "obs", "frame", "at"])
-        for c in keys:
-            done[c] = rows[c].iloc[0]
-        return done[[*keys, "at", "obs", "frame", "stretch"]]
-
     blank = {"obs": F.lit(0).cast("long"), "frame": F.lit(0).cast(types["frame"]), "issue": F.lit(True)}  # no nulls: ids stay whole numbers
     marked = tops.withColumn("issue", F.lit(False)).unionByName(asked.withColumns(blank | {"at": F.lit(0).cast("long")}))
-    carried = marked.groupBy(*keys).applyInPandas(carry, f"{ddl}at long, obs long, frame {types['frame']}, stretch int")
+    dealt = (marked.repartition(*keys) if keys else marked.repartition(1)).sortWithinPartitions(*keys, "stretch", F.desc("issue"))  # k rows a stretch
+    names = [*keys, "stretch", "frame", "obs", "at", "nth"]
+    carried = dealt.mapInPandas(_last_k(keys, "stretch", k, 1, names), f"{ddl}stretch int, frame {types['frame']}, obs long, at long, nth int").drop("nth")
     here = f.join(asked, [*keys, "stretch"], "left_semi").unionByName(carried)
     rows = here.withColumn("issue", F.lit(False)).unionByName(i.withColumns(blank))
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "issue"], kind="stable")
-        times = rows["at"].tolist()
-        out = [(times[n], *h, nth) for n, held in _last_k(rows.assign(arrival=rows["at"]), k) if len(held) == k for nth, h in enumerate(held, 1)]
-        done = pd.DataFrame(out, columns=["issue_us", "obs", "frame", "arrival", "nth"])
-        for c in keys:
-            done[c] = rows[c].iloc[0]
-        return done[[*keys, "issue_us", "frame", "obs", "arrival", "nth"]]
-
-    found = rows.groupBy(*keys, "stretch").applyInPandas(pick, f"{ddl}issue_us long, frame {types['frame']}, obs long, arrival long, nth int")
+    dealt = rows.repartition(*keys, "stretch").sortWithinPartitions(*keys, "stretch", "at", "issue")
+    names = [*keys, "stretch", "issue_us", "frame", "obs", "arrival", "nth"]
+    found = dealt.mapInPandas(_last_k([*keys, "stretch"], "at", k, k, names), f"{ddl}stretch int, issue_us long, frame {types['frame']}, obs long, arrival long, nth int")
     time = lambda c: F.timestamp_micros(c)
     return found.select(*keys, time("issue_us").alias("issue_time"), F.col("frame").alias("frame_id"), time("obs").alias("obs_time"), time("arrival").alias("arrival_time"), "nth")

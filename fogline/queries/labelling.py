@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fogline.operators import derived, features, labelling, tiles
+from fogline.operators import bundle, derived, features, labelling, tiles
 from fogline.queries import _carriers as C
 from fogline.queries._registry import query
 
@@ -108,3 +108,34 @@ def derived_channels(spark, sf_dir):
     cells = rows.groupBy(F.col("event_type").alias("channel"), (F.col("user_id") % 2).alias("row"), F.lit(0).alias("col"), F.date_trunc("hour", "ts").alias("at")).agg(F.max("value").alias("value"), (F.max("k") >= 30).alias("mask"))
     found = features.normalize(derived.with_derived(cells, DERIVED), CONTRACT)
     return C.rounded(found.select("channel", "row", F.unix_seconds(F.col("at").cast("timestamp")).alias("at_s"), "valid", "normal"))
+
+
+_CHANNELS = {"click": "sat/ir1", "view": "radar/zmax", "purchase": "ltg/density", "signup": "nwp/cape", "error": "nwp/pwat"}
+BUNDLE = features.FeatureContract(("sat/ir1", "radar/zmax", "nwp/cape", "ltg/density", "nwp/pwat", "nwp/never"), (200.0,) * 6, (80.0,) * 6, (0.0,) * 6, (450.0,) * 6)
+
+
+@query(f"""WITH {C.EVENTS}, m AS (SELECT * FROM (VALUES {', '.join(f"('{t}', '{c}')" for t, c in _CHANNELS.items())}) x(event_type, channel)),
+c AS (SELECT day(ts) AS day, channel, user_id % 3 AS r, k % 4 AS c, max(value) AS v, max(k) >= 20 AS ok, min(k) AS age FROM ev JOIN m USING (event_type) GROUP BY ALL),
+f AS (SELECT day, channel, count(*) FILTER (WHERE ok) = 0 OR bool_or(day % 7 = 3 AND channel = 'sat/ir1') AS gone, min(age)::DOUBLE AS age, count(*) FILTER (WHERE ok) / 12.0::DOUBLE AS cover FROM c GROUP BY ALL),
+n AS (SELECT unnest({list(BUNDLE.names)}) AS channel, unnest(range(6)) AS pos), d AS (SELECT DISTINCT day FROM f),
+z AS (SELECT d.day, n.channel, n.pos, coalesce(f.gone, true) AS gone, CASE WHEN coalesce(f.gone, true) OR f.age IS NULL THEN 120.0 ELSE least(greatest(f.age, 0.0), 120.0) END AS age FROM d CROSS JOIN n LEFT JOIN f ON f.day = d.day AND f.channel = n.channel),
+x AS (SELECT z.*, CASE WHEN NOT z.gone AND c.ok AND c.v BETWEEN 0 AND 450 THEN (c.v - 200) / 80 ELSE 0.0 END AS normal, NOT z.gone AND coalesce(c.ok AND c.v BETWEEN 0 AND 450, false) AS valid
+  FROM z CROSS JOIN (SELECT unnest(range(3)) AS r) a CROSS JOIN (SELECT unnest(range(4)) AS c) b LEFT JOIN c ON c.day = z.day AND c.channel = z.channel AND c.r = a.r AND c.c = b.c),
+p AS (SELECT day, channel, avg(normal) AS m FROM x GROUP BY ALL), o AS (SELECT day, sqrt(sum((m - 0.1) ** 2)) AS score FROM p GROUP BY day),
+g AS (SELECT day, bool_or(channel LIKE 'sat/%' AND NOT gone AND age <= 45 AND cover >= 0.7) AS sat, bool_or(channel LIKE 'radar/%' AND NOT gone AND age <= 20 AND cover >= 0.3) AS radar,
+  bool_or(channel LIKE 'ltg/%' AND NOT gone AND age <= 10 AND cover >= 0.01) AS ltg, bool_or(channel LIKE 'nwp/%' AND NOT gone AND cover >= 0.01) AS nwp FROM f GROUP BY day),
+t AS (SELECT day, count(*) FILTER (WHERE valid) AS valid_cells, round(sum(normal), 6) AS normal, round(sum(age / 60), 6) AS age_h FROM x GROUP BY day)
+SELECT t.day::BIGINT AS day, CASE WHEN radar AND sat AND ltg AND nwp THEN 'R0' WHEN sat AND ltg AND nwp THEN 'R1' WHEN sat AND nwp THEN 'R2' WHEN nwp THEN 'R3' ELSE 'R4' END AS rung,
+(SELECT string_agg(channel, ',' ORDER BY pos) FROM z WHERE z.day = t.day AND gone) AS missing, round(score, 6) AS score, score > 1.0 AS ood, valid_cells, normal, age_h FROM t JOIN o USING (day) JOIN g USING (day)""")
+def feature_bundle(spark, sf_dir):
+    """Bundles of all days in one call: rung, missing channels and support from the header, sums of the tensor's three parts."""
+    rows = C.events(spark, sf_dir)
+    channel = F.create_map(*[F.lit(x) for kv in _CHANNELS.items() for x in kv])[F.col("event_type")]
+    cells = rows.groupBy(F.dayofmonth("ts").alias("day"), channel.alias("channel"), (F.col("user_id") % 3).alias("row"), (F.col("k") % 4).alias("col")).agg(F.max("value").alias("value"), (F.max("k") >= 20).alias("mask"), F.min("k").alias("age"))
+    ok = F.count_if("mask")
+    frames = cells.groupBy("day", "channel").agg(((ok == 0) | ((F.col("day") % 7 == 3) & (F.col("channel") == "sat/ir1"))).alias("missing"), F.min("age").alias("age_min"), (ok / 12.0).alias("coverage"), F.array(F.lit("m")).alias("manifest_ids"))
+    made = bundle.feature_bundle(cells.drop("age"), frames, BUNDLE, ["day"], (3, 4), mean=[0.1] * 6, threshold=1.0)
+    part = lambda n: F.floor(F.col("plane") / len(BUNDLE.names)) == n
+    sums = made.tensor().groupBy("day").agg(F.sum(F.when(part(1), F.col("value"))).cast("long").alias("valid_cells"), F.sum(F.when(part(0), F.col("value"))).alias("normal"), F.sum(F.when(part(2), F.col("value"))).alias("age_h"))
+    header = made.header.select("day", "rung", F.array_join("missing", ",").alias("missing"), "score", "ood")
+    return C.rounded(header.join(sums, "day"))

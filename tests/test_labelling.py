@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fogline.operators import derived, features, labelling, objects, tiles
+from fogline.operators import bundle, derived, features, labelling, objects, tiles
 
 T0 = datetime(2026, 5, 1)
 POINT, EVENT = "point_id long, lat double, lon double, at timestamp, note string", "lat double, lon double, at timestamp"
@@ -140,3 +140,43 @@ def test_derived_channels_reach_the_contract_with_masks(spark):
     normal = {(r.channel, r.col): (r.valid, r.normal) for r in features.normalize(out, contract).collect()}
     assert normal["a_b", 0] == (True, 1.0) and normal["a_b", 1] == (False, 0.0)
     assert derived.with_derived(cells.limit(0), wanted, ["domain"]).count() == 0
+
+
+CONTRACT = features.FeatureContract(("sat/ir1", "nwp/cape"), (220.0, 500.0), (10.0, 100.0), (100.0, 0.0), (400.0, 5000.0))
+FRAMES = "domain string, channel string, missing boolean, age_min double, coverage double, manifest_ids array<string>"
+
+
+def bundle_cells(spark, *more):
+    return spark.createDataFrame([("x", "sat/ir1", r, c, 230.0, True) for r in range(2) for c in range(2)] + list(more), "domain string, channel string, row int, col int, value double, mask boolean")
+
+
+def test_a_missing_channel_becomes_zero_with_a_mask_and_the_rung_abstains(spark):
+    frames = spark.createDataFrame([("x", "sat/ir1", False, 3.0, 1.0, ["m1"])], FRAMES)
+    made = bundle.feature_bundle(bundle_cells(spark), frames, CONTRACT, ["domain"], (2, 2), mean=[0.0, 0.0])
+    head = made.header.first()
+    assert (head.rung, head.missing, head.names, head.score, head.ood) == ("R4", ["nwp/cape"], ["sat/ir1", "nwp/cape"], 1.0, False)
+    assert [(p.channel, p.manifest_ids) for p in head.provenance] == [("sat/ir1", ["m1"]), ("nwp/cape", None)]
+    planes = {}
+    for r in made.tensor().collect():
+        planes.setdefault(r.plane, []).append(r.value)
+    assert planes == {0: [1.0] * 4, 1: [0.0] * 4, 2: [1.0] * 4, 3: [0.0] * 4, 4: [0.05] * 4, 5: [2.0] * 4}
+
+
+def test_bundles_mask_what_is_marked_missing_or_not_there(spark):
+    frames = spark.createDataFrame([("x", "sat/ir1", True, 3.0, 1.0, ["m1"]), ("x", "nwp/cape", None, None, 0.5, None)], FRAMES)
+    cells = bundle_cells(spark, ("x", "nwp/cape", 0, 1, 600.0, True), ("x", "nwp/cape", 1, 1, float("nan"), True), ("x", "nwp/cape", 1, 0, 600.0, None))
+    made = bundle.feature_bundle(cells, frames, CONTRACT, ["domain"], (2, 2))
+    got = {(r.channel, r.row, r.col): (r.normal, r.valid, r.age_min) for r in made.cells.collect()}
+    assert len(got) == 8 and got["nwp/cape", 0, 1] == (1.0, True, 120.0)
+    assert all(v[:2] == (0.0, False) for k, v in got.items() if k != ("nwp/cape", 0, 1))
+    assert made.header.first().missing == ["sat/ir1"]
+    assert bundle.feature_bundle(cells.limit(0), frames.limit(0), CONTRACT, ["domain"], (2, 2)).cells.count() == 0
+
+
+@pytest.mark.parametrize("row, message", [(("x", "radar/zmax", 0, 0, 1.0, True), "unexpected channel: radar/zmax"), (("x", "sat/ir1", 2, 0, 1.0, True), "outside"), (("x", "sat/ir1", 0, 0, 1.0, True), "twice")])
+def test_bundles_refuse_what_breaks_the_contract(spark, row, message):
+    frames = spark.createDataFrame([("x", "sat/ir1", False, 3.0, 1.0, ["m1"])], FRAMES)
+    with pytest.raises(Exception, match=message):
+        bundle.feature_bundle(bundle_cells(spark, row), frames, CONTRACT, ["domain"], (2, 2)).cells.collect()
+    with pytest.raises(ValueError, match="version"):
+        bundle.feature_bundle(bundle_cells(spark), frames, CONTRACT, ["domain"], (2, 2), channel_version=9)
