@@ -194,7 +194,7 @@ def ensemble(cells: DataFrame, motion: DataFrame, leads: int = 36, members: int
 
     With fewer than two frames, or motion quality or coverage under 0.3, members repeat the latest field. The spread of the
     noise is the population deviation of the field times ``noise``; values stay at or above 0. Noise is drawn per member and
-    cell from a hash of the seed, so a member does not depend on how the rows are partitioned.
+    cell from a digest of the seed, so a member does not depend on how the rows are partitioned.
     """
     if not (0 <= motion_quality <= 1 and 0 <= coverage <= 1):
         raise ValueError("motion_quality and coverage must lie in [0, 1]")
@@ -207,8 +207,9 @@ def ensemble(cells: DataFrame, motion: DataFrame, leads: int = 36, members: int
     steady = lagrangian_persistence(cells, motion, leads, keys)
     steady = steady.join(spread, list(keys)) if keys else steady.crossJoin(F.broadcast(spread))  # one row
     rows = steady.withColumn("member", each)
-    uniform = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *keys, "member", "lead", "row", "col"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*keys, "member", "lead", "row", "col")]))
+    uniform = lambda at: (F.conv(F.substring(digest, at, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)  # noqa: E731  52 bits
+    normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(14))
     return rows.withColumn("value", F.greatest(F.col("value") + normal * F.col("_spread"), F.lit(0.0))).drop("_spread"), None
 
 

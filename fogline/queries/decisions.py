@@ -84,22 +84,22 @@ def freshness(spark, sf_dir):
 
 
 _VALID = "value BETWEEN 50 AND 450 AND k >= 10"
+_CONTRACT = features.FeatureContract(("click", "view", "purchase", "signup", "error"), (200.0, 150.0, 100.0, 50.0, 250.0), (80.0, 60.0, 40.0, 20.0, 100.0), (50.0,) * 5, (450.0,) * 5)
 
 
-@query(f"""WITH {C.EVENTS}, s AS (SELECT * FROM (VALUES ('click', 0, 200.0::DOUBLE, 80.0::DOUBLE), ('view', 1, 150.0, 60.0)) x(event_type, pos, mean, std))
+@query(f"""WITH {C.EVENTS}, s AS (SELECT * FROM (VALUES ('click', 0, 200.0::DOUBLE, 80.0::DOUBLE), ('view', 1, 150.0, 60.0), ('purchase', 2, 100.0, 40.0), ('signup', 3, 50.0, 20.0), ('error', 4, 250.0, 100.0)) x(event_type, pos, mean, std))
 SELECT event_id, event_type AS channel, pos::BIGINT AS pos, ({_VALID}) AS valid, round(CASE WHEN {_VALID} THEN (value - mean) / std ELSE 0.0 END, 6) AS normal FROM ev JOIN s USING (event_type)""")
 def normalize(spark, sf_dir):
-    contract = features.FeatureContract(("click", "view"), (200.0, 150.0), (80.0, 60.0), (50.0, 50.0), (450.0, 450.0))
-    rows = C.events(spark, sf_dir).where("event_type in ('click', 'view')").select("event_id", F.col("event_type").alias("channel"), "value", (F.col("k") >= 10).alias("mask"))
-    return C.rounded(features.normalize(rows, contract)).select("event_id", "channel", "pos", "valid", "normal")
+    rows = C.events(spark, sf_dir).select("event_id", F.col("event_type").alias("channel"), "value", (F.col("k") >= 10).alias("mask"))
+    return C.rounded(features.normalize(rows, _CONTRACT)).select("event_id", "channel", "pos", "valid", "normal")
 
 
-@query(f"""WITH {C.EVENTS}, n AS (SELECT event_id, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS pos, ({_VALID}) AS ok, CASE event_type WHEN 'click' THEN (value - 200) / 80 ELSE (value - 150) / 60 END AS z, k FROM ev WHERE event_type IN ('click', 'view'))
-SELECT event_id, pos::BIGINT AS plane, round(CASE WHEN ok THEN z ELSE 0.0 END, 6)::DOUBLE AS value FROM n UNION ALL SELECT event_id, pos + 2, ok::INT::DOUBLE FROM n UNION ALL SELECT event_id, pos + 4, round(least(k / 60.0, 2.0), 6)::DOUBLE FROM n""")
+@query(f"""WITH {C.EVENTS}, n AS (SELECT event_id, list_position(['click', 'view', 'purchase', 'signup', 'error'], event_type) - 1 AS pos, ({_VALID}) AS ok,
+CASE event_type WHEN 'click' THEN (value - 200) / 80 WHEN 'view' THEN (value - 150) / 60 WHEN 'purchase' THEN (value - 100) / 40 WHEN 'signup' THEN (value - 50) / 20 ELSE (value - 250) / 100 END AS z, k FROM ev)
+SELECT event_id, pos::BIGINT AS plane, round(CASE WHEN ok THEN z ELSE 0.0 END, 6)::DOUBLE AS value FROM n UNION ALL SELECT event_id, pos + 5, ok::INT::DOUBLE FROM n UNION ALL SELECT event_id, pos + 10, round(least(k / 60.0, 2.0), 6)::DOUBLE FROM n""")
 def model_tensor(spark, sf_dir):
-    contract = features.FeatureContract(("click", "view"), (200.0, 150.0), (80.0, 60.0), (50.0, 50.0), (450.0, 450.0))
-    rows = C.events(spark, sf_dir).where("event_type in ('click', 'view')").select("event_id", F.col("event_type").alias("channel"), "value", (F.col("k") >= 10).alias("mask"), F.col("k").alias("age_min"))
-    return C.rounded(features.model_tensor(features.normalize(rows, contract), contract).select("event_id", "plane", "value"))
+    rows = C.events(spark, sf_dir).select("event_id", F.col("event_type").alias("channel"), "value", (F.col("k") >= 10).alias("mask"), F.col("k").alias("age_min"))
+    return C.rounded(features.model_tensor(features.normalize(rows, _CONTRACT), _CONTRACT).select("event_id", "plane", "value"))
 
 
 @query("""WITH u AS (SELECT DISTINCT user_id FROM events), w AS (SELECT user_id, channel FROM u, (SELECT unnest(['click', 'view', 'never']) AS channel))
@@ -225,8 +225,11 @@ def flash_rules(spark, sf_dir):
     return C.events(spark, sf_dir).select("event_id", qc.lightning_row_problem(lat, F.col("value"), kind, F.col("ts")).alias("problem"))
 
 
-@query("SELECT (i // 7)::BIGINT AS row, (i % 7)::BIGINT AS col, 0.0::DOUBLE AS value_qc, false AS valid, NULL::DOUBLE AS age_min, 'sat_missing' AS flags FROM (SELECT unnest(range(35)) AS i)")
+@query("""WITH u AS (SELECT user_id, event_type FROM (SELECT DISTINCT user_id FROM events), (SELECT DISTINCT event_type FROM events)), m AS (SELECT * FROM u WHERE (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events))
+SELECT user_id, event_type AS channel, (i // 3)::BIGINT AS row, (i % 3)::BIGINT AS col, 0.0::DOUBLE AS value_qc, false AS valid, NULL::DOUBLE AS age_min, 'sat_missing' AS flags FROM m, (SELECT unnest(range(6)) AS i)""")
 def missing_frame(spark, sf_dir):
-    """A frame that never came: every cell filled and invalid."""
-    found = qc.missing_frame(spark, 5, 7, "sat_missing").withColumn("flags", F.array_join("flags", ","))
-    return C.rounded(found.select("row", "col", "value_qc", "valid", "age_min", "flags"))
+    """Frames that never came, of every user and channel without an event: every cell filled and invalid."""
+    rows = C.table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("channel")).distinct()
+    absent = rows.select("user_id").distinct().crossJoin(F.broadcast(rows.select("channel").distinct())).join(rows, ["user_id", "channel"], "left_anti")  # users x channels
+    cells = qc.missing_frame(spark, 2, 3, "sat_missing").withColumn("flags", F.array_join("flags", ","))
+    return C.rounded(absent.crossJoin(F.broadcast(cells)).select("user_id", "channel", "row", "col", "value_qc", "valid", "age_min", "flags"))

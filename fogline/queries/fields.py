@@ -120,9 +120,13 @@ def grid_index(spark, sf_dir):
     return _points(spark, sf_dir).select("c_custkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(row, 6).alias("row"), F.round(col, 6).alias("col"))
 
 
-@query("SELECT i // 800 AS row, i % 800 AS col, round(66 + (i % 800 + 0.5::DOUBLE) * 0.04::DOUBLE, 6) AS x, round(38 - (i // 800 + 0.5::DOUBLE) * 0.04::DOUBLE, 6) AS y FROM (SELECT unnest(range(640000)) AS i)")
+@query("""WITH p AS (SELECT c_custkey, 18.0 + (c_custkey % 100) / 10.0::DOUBLE AS lat, 80.0 + (c_custkey % 140) / 10.0::DOUBLE AS lon FROM customer),
+c AS (SELECT c_custkey, floor((38 - lat) / 0.04::DOUBLE + 0.003)::BIGINT AS row, floor((lon - 66) / 0.04::DOUBLE + 0.003)::BIGINT AS col FROM p)
+SELECT c_custkey, row, col, round(66 + (col + 0.5::DOUBLE) * 0.04::DOUBLE, 6) AS x, round(38 - (row + 0.5::DOUBLE) * 0.04::DOUBLE, 6) AS y FROM c""")
 def grid_centres(spark, sf_dir):
-    return _long(projection.centres(spark, projection.DOMAINS["national_s"]))
+    """The centre of the cell that each point lies in, on the national grid."""
+    points = _points(spark, sf_dir).select("c_custkey", F.floor((38 - F.col("lat")) / 0.04 + 0.003).cast("int").alias("row"), F.floor((F.col("lon") - 66) / 0.04 + 0.003).cast("int").alias("col"))
+    return _long(points.join(projection.centres(spark, projection.DOMAINS["national_s"]), ["row", "col"]).select("c_custkey", "row", "col", "x", "y"))
 
 
 def _motion(spark, ny=C.NY, nx=C.NX):
@@ -153,11 +157,18 @@ def blend(spark, sf_dir):
     return _long(grid.blend(members, model, 0.25)[0])
 
 
-@query()
+_MEMBERS = 24
+_UNIFORM = lambda at: "(" + " + ".join(f"(strpos('0123456789abcdef', substr(h, {at + i}, 1)) - 1) * {16 ** (12 - i)}::DOUBLE" for i in range(13)) + f" + 0.5) / {float(1 << 52)!r}"
+
+
+@query(_LOOK + f""", s AS (SELECT stddev_pop(v) * 0.02::DOUBLE AS spread FROM f),
+m AS (SELECT lead, member, v, md5('0|' || member || '|' || lead || '|' || row || '|' || col) AS h FROM a, (SELECT unnest(range({_MEMBERS})) AS member)),
+x AS (SELECT lead, member, greatest(v + sqrt(-2 * ln({_UNIFORM(1)})) * cos(2 * pi() * {_UNIFORM(14)}) * spread, 0.0) AS v FROM m, s)
+SELECT lead::BIGINT AS lead, member, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS spread, count(*) AS n FROM x GROUP BY ALL""")
 def ensemble(spark, sf_dir):
-    """Mean and spread of the members per lead: the draw is a hash, so reruns agree."""
-    members, _ = grid.ensemble(C.field(spark, sf_dir), _motion(spark), leads=6, members=24)
-    return _long(members.groupBy("lead", "member").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("spread"), F.count(F.lit(1)).alias("n")))
+    """Mean and spread of every member and lead: the draw is a digest of seed, member, lead and cell."""
+    members, _ = grid.ensemble(C.field(spark, sf_dir), _motion(spark), leads=3, members=_MEMBERS)
+    return _long(members.groupBy("lead", "member").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("spread"), F.count(F.lit(1)).alias("n")))
 
 
 def _channels(spark, sf_dir):
@@ -207,14 +218,31 @@ def storm_tracks(spark, sf_dir):
     return tracks.withColumn("frame_time", F.date_format("frame_time", "yyyy-MM-dd"))
 
 
-@query()
+_OBJECTS = f"""c AS (SELECT ts::DATE AS day, user_id % {SIDE * SIDE} AS cell, round(sum(value), 2) AS v FROM events GROUP BY ALL),
+a AS (SELECT day, cell, v, cell // {SIDE} AS r, cell % {SIDE} AS c FROM (SELECT *, avg(v) OVER (PARTITION BY day) AS m FROM c) WHERE 40 * v / m >= 40.0),
+reach AS (SELECT day, cell AS start, cell, r, c FROM a
+  UNION SELECT reach.day, reach.start, a.cell, a.r, a.c FROM reach JOIN a ON a.day = reach.day AND abs(a.r - reach.r) <= 1 AND abs(a.c - reach.c) <= 1),
+l AS (SELECT day, cell, min(start) AS label FROM reach GROUP BY ALL),
+big AS (SELECT day, label, row_number() OVER (PARTITION BY day ORDER BY label) - 1 AS object FROM l GROUP BY day, label HAVING count(*) >= 2)"""
+_STEPS, _TARGETS = 12, [("centre", 3.0, 3.0, 2.0), ("corner", 0.0, 5.0, 3.0)]
+
+
+@query(f"""WITH RECURSIVE {_OBJECTS},
+g AS (SELECT m, r.i AS r, k.i AS c, rint_r AS sr, rint_c AS sc FROM (SELECT unnest(range(4)) AS m) mm, (SELECT unnest(range({SIDE})) AS i) r, (SELECT unnest(range({SIDE})) AS i) k,
+  LATERAL (SELECT round_even(r.i - ((r.i % 3 - 1) / 2.0::DOUBLE), 0)::BIGINT AS rint_r, round_even(k.i - ((k.i % 5 - 2) / 2.0::DOUBLE) * m / 2.0, 0)::BIGINT AS rint_c) q),
+w AS (SELECT strftime(l.day, '%Y%m%d') || '-' || object AS track, m, 0 AS step, cell // {SIDE} AS r, cell % {SIDE} AS c FROM l JOIN big USING (day, label), (SELECT unnest(range(4)) AS m)
+  UNION ALL SELECT w.track, w.m, w.step + 1, g.r, g.c FROM w JOIN g ON g.m = w.m AND g.sr = w.r AND g.sc = w.c WHERE w.step < {_STEPS}),
+t AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {x}, {y}, {radius}::DOUBLE)" for n, x, y, radius in _TARGETS)}) v(target, x, y, radius)),
+h AS (SELECT w.track, t.target, t.radius, w.m, min(step) FILTER (WHERE step > 0 AND (w.c - x) ** 2 + (w.r - y) ** 2 <= (radius / 2) ** 2) * 10 AS minutes FROM w, t GROUP BY ALL),
+q AS (SELECT track, target, radius, count(minutes) / count(*)::DOUBLE AS p, list(minutes ORDER BY minutes) FILTER (WHERE minutes IS NOT NULL) AS xs FROM h GROUP BY ALL)
+SELECT track AS track_id, target AS target_id, radius AS radius_km, round(p, 6) AS p_arrival, xs[ceil(0.1 * (len(xs) - 1))::INT + 1]::BIGINT AS t10, xs[ceil(0.5 * (len(xs) - 1))::INT + 1]::BIGINT AS t50, xs[ceil(0.9 * (len(xs) - 1))::INT + 1]::BIGINT AS t90, 0.0::DOUBLE AS p_decay FROM q""")
 def storm_arrivals(spark, sf_dir):
     """Arrival windows of the storms of all days at two targets, over four motion members."""
     storms = _detected(spark, sf_dir).select(F.concat_ws("-", F.date_format("frame_time", "yyyyMMdd"), "object").alias("track_id"), "cells")
-    targets = spark.createDataFrame([("centre", 3.0, 3.0, 2.0), ("corner", 0.0, 5.0, 3.0)], "target_id string, x double, y double, radius_km double")
+    targets = spark.createDataFrame(_TARGETS, "target_id string, x double, y double, radius_km double")
     base = _motion(spark, SIDE, SIDE)
     motion = base.withColumn("member", F.explode(F.array(*[F.lit(i) for i in range(4)]))).withColumn("u", F.col("u") * F.col("member") / 2)
-    times = objects.arrival_times(storms, targets, motion, (SIDE, SIDE), steps=12)
+    times = objects.arrival_times(storms, targets, motion, (SIDE, SIDE), steps=_STEPS)
     return _long(objects.arrival_windows(times))
 
 
