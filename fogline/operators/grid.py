@@ -6,7 +6,7 @@ but object detection are joins, windows and aggregates over cells, so a field of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,6 +101,23 @@ def axis_windows(spark, source: int, target: int, name: str) -> DataFrame:
     return spark.range(target).select(i.cast("int").alias(f"to_{name}"), F.explode(F.sequence(start.cast("int"), stop.cast("int") - 1)).alias(name))
 
 
+def _windows(cells: DataFrame, shape: tuple[int, int], target: tuple[int, int]) -> tuple[DataFrame, dict[str, Callable[[Column], Column]]]:
+    """Cells spread over the target cells whose window they lie in, and what each reducer makes of a window's usable values."""
+    spark = cells.sparkSession
+    rows, cols = axis_windows(spark, shape[0], target[0], "row"), axis_windows(spark, shape[1], target[1], "col")
+    usable = finite(F.col("value")) & (F.coalesce(F.col("valid").cast("boolean"), F.lit(False)) if "valid" in cells.columns else F.lit(True))
+    spread = cells.join(F.broadcast(rows), "row").join(F.broadcast(cols), "col")  # axes have at most a few thousand entries
+    spread = spread.withColumn("_v", F.when(usable, F.col("value").cast("double"))).withColumn("_place", F.when(usable, F.col("row") * shape[1] + F.col("col")))
+    return spread, {
+        "min": lambda v: F.min(v),
+        "max": lambda v: F.max(v),
+        "sum": lambda v: F.sum(v),
+        "mean": lambda v: F.avg(v),
+        "nearest": lambda v: F.min_by(v, F.when(v.isNotNull(), F.col("_place"))),
+        "max_abs": lambda v: F.max_by(v, F.when(v.isNotNull(), F.struct(F.abs(v).alias("a"), (-F.col("_place")).alias("p")))),
+    }
+
+
 def regrid(cells: DataFrame, shape: tuple[int, int], target: tuple[int, int], reducer: str, keys: Sequence[str] = (), fill: float = float("nan")) -> DataFrame:
     """Reduce the source window of every target cell over its valid finite values; a window without any gives ``fill``.
 
@@ -108,24 +125,21 @@ def regrid(cells: DataFrame, shape: tuple[int, int], target: tuple[int, int], re
     """
     if reducer not in REDUCERS:
         raise ValueError(f"unknown reducer: {reducer}")
-    spark = cells.sparkSession
-    rows, cols = axis_windows(spark, shape[0], target[0], "row"), axis_windows(spark, shape[1], target[1], "col")
-    usable = finite(F.col("value")) & (F.coalesce(F.col("valid").cast("boolean"), F.lit(False)) if "valid" in cells.columns else F.lit(True))
-    spread = cells.join(F.broadcast(rows), "row").join(F.broadcast(cols), "col")  # axes have at most a few thousand entries
-    v = F.when(usable, F.col("value").cast("double"))
-    place = F.col("row") * shape[1] + F.col("col")
-    pick = {
-        "min": F.min(v),
-        "max": F.max(v),
-        "sum": F.sum(v),
-        "mean": F.avg(v),
-        "nearest": F.min_by(v, F.when(usable, place)),
-        "max_abs": F.max_by(v, F.when(usable, F.struct(F.abs(v).alias("a"), (-place).alias("p")))),
-    }[reducer]
-    found = spread.groupBy(*keys, "to_row", "to_col").agg(pick.alias("value"))
+    spread, reduced = _windows(cells, shape, target)
+    found = spread.groupBy(*keys, "to_row", "to_col").agg(reduced[reducer](F.col("_v")).alias("value"))
     return found.select(*keys, F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.coalesce("value", F.lit(float(fill))).alias("value"))
 
 
+def regrid_by(cells: DataFrame, shape: tuple[int, int], target: tuple[int, int], reducers: Mapping[str, str], keys: Sequence[str], fill: float = float("nan")) -> DataFrame:
+    """``regrid`` of many channels in one aggregation, each by its own reducer; ``keys`` contain channel."""
+    spread, reduced = _windows(cells, shape, target)
+    of = lambda r: F.col("channel").isin(*[c for c, x in reducers.items() if x == r])
+    each = [reduced[r](F.when(of(r), F.col("_v"))).alias(f"_{r}") for r in sorted(set(reducers.values()))]
+    found = spread.groupBy(*keys, "to_row", "to_col").agg(*each)
+    value = F.coalesce(*[f"_{r}" for r in sorted(set(reducers.values()))], F.lit(float(fill)))  # a channel has one of them
+    return found.select(*keys, F.col("to_row").alias("row"), F.col("to_col").alias("col"), value.alias("value"))
+
+
 def _axis_weights(spark, source: int, target: int, name: str) -> DataFrame:
     """(to_<name>, <name>, w_<name>): the two source indices of each target index, both ends aligned."""
     at = F.lit(0.0) if target == 1 else F.col("id") * F.lit(float(source - 1)) / F.lit(float(target - 1))

@@ -225,11 +225,11 @@ def flash_rules(spark, sf_dir):
     return C.events(spark, sf_dir).select("event_id", qc.lightning_row_problem(lat, F.col("value"), kind, F.col("ts")).alias("problem"))
 
 
-@query("""WITH u AS (SELECT user_id, event_type FROM (SELECT DISTINCT user_id FROM events), (SELECT DISTINCT event_type FROM events)), m AS (SELECT * FROM u WHERE (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events))
-SELECT user_id, event_type AS channel, (i // 3)::BIGINT AS row, (i % 3)::BIGINT AS col, 0.0::DOUBLE AS value_qc, false AS valid, NULL::DOUBLE AS age_min, 'sat_missing' AS flags FROM m, (SELECT unnest(range(6)) AS i)""")
+@query("""WITH d AS (SELECT user_id, day(ts) AS day FROM events), m AS (SELECT user_id, day FROM (SELECT DISTINCT user_id FROM d) a, (SELECT DISTINCT day FROM d) b WHERE (user_id, day) NOT IN (SELECT user_id, day FROM d))
+SELECT user_id, day, (i // 3)::BIGINT AS row, (i % 3)::BIGINT AS col, 0.0::DOUBLE AS value_qc, false AS valid, NULL::DOUBLE AS age_min, 'sat_missing' AS flags FROM m, (SELECT unnest(range(6)) AS i)""")
 def missing_frame(spark, sf_dir):
-    """Frames that never came, of every user and channel without an event: every cell filled and invalid."""
-    rows = C.table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("channel")).distinct()
-    absent = rows.select("user_id").distinct().crossJoin(F.broadcast(rows.select("channel").distinct())).join(rows, ["user_id", "channel"], "left_anti")  # users x channels
+    """Frames that never came, of every user and day without an event: every cell filled and invalid."""
+    rows = C.table(spark, sf_dir, "events").select("user_id", F.dayofmonth("ts").alias("day")).distinct()
+    absent = rows.select("user_id").distinct().crossJoin(F.broadcast(rows.select("day").distinct())).join(rows, ["user_id", "day"], "left_anti")  # users x days
     cells = qc.missing_frame(spark, 2, 3, "sat_missing").withColumn("flags", F.array_join("flags", ","))
-    return C.rounded(absent.crossJoin(F.broadcast(cells)).select("user_id", "channel", "row", "col", "value_qc", "valid", "age_min", "flags"))
+    return C.rounded(absent.crossJoin(F.broadcast(cells)).select("user_id", "day", "row", "col", "value_qc", "valid", "age_min", "flags"))

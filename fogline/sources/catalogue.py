@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogline.functions.projection import Domain
-from fogline.operators.grid import POLICIES, regrid_policy
+from fogline.operators.grid import POLICIES, bilinear, regrid_by
 
 
 @dataclass(frozen=True)
@@ -32,18 +31,22 @@ class Channel:
         return f"{self.group}/{self.name}"
 
 
-def read_config(spark: SparkSession, path: str) -> dict:
-    """A configuration file as a mapping: JSON, or YAML where PyYAML is installed. Small, so read on the driver."""
-    text = spark.read.text(path, wholetext=True).first()["value"]
-    if not path.endswith((".yaml", ".yml")):
+def parse_config(text: str, name: str) -> dict:
+    """A configuration text as a mapping: JSON, or YAML by the file's name where PyYAML is installed."""
+    if not name.endswith((".yaml", ".yml")):
         return json.loads(text)
     try:
         import yaml
     except ImportError as missing:
-        raise RuntimeError(f"{path}: PyYAML is not installed; give the file as JSON") from missing
+        raise RuntimeError(f"{name}: PyYAML is not installed; give the file as JSON") from missing
     return yaml.safe_load(text)
 
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A configuration file as a mapping. Small, so read on the driver."""
+    return parse_config(spark.read.text(path, wholetext=True).first()["value"], path)
+
+
 def channels_of(raw: Mapping) -> dict[str, Channel]:
     """Channels by ``group/name`` from {channel_version, channels: {group: {name: entry}}}; all faults are reported together."""
     faults, found = [], {}
@@ -107,15 +110,18 @@ def domains_of(raw: Mapping) -> dict[str, Domain]:
 def regrid_channels(cells: DataFrame, shape: tuple[int, int], target: tuple[int, int], channels: Mapping[str, Channel], keys: Sequence[str] = (), fill: float = float("nan")) -> DataFrame:
     """Cells (keys, channel, row, col, value, perhaps valid) on the target grid, each channel by its own policy.
 
-    Channels of one policy go through one aggregation together. A channel that the catalogue lacks raises.
+    Cells are read once: the channel says which of the reducers its windows go through. Only channels that are interpolated, and
+    have no mask, take a second path. A channel that the catalogue lacks raises.
     """
-    by_policy = defaultdict(list)
-    for name, c in channels.items():
-        by_policy[POLICIES.get(c.resampling.lower().replace("_", "-"), c.resampling)].append((name, c.resampling))
-    known = F.when(F.col("channel").isin(*channels), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unknown channel: "), F.col("channel"))).cast("boolean"))
-    out = None
-    for members in by_policy.values():
-        rows = cells.where(known & F.col("channel").isin(*[name for name, _ in members]))
-        part = regrid_policy(rows, shape, target, members[0][1], [*keys, "channel"], fill)
+    names = {n: POLICIES.get(c.resampling.lower().replace("_", "-")) for n, c in channels.items()}
+    if unsupported := sorted(channels[n].resampling for n, p in names.items() if p is None):
+        raise ValueError(f"unsupported resampling policy: {', '.join(unsupported)}")
+    smooth = [n for n, p in names.items() if p == "bilinear"] if "valid" not in cells.columns else []
+    reducers = {n: "mean" if p == "bilinear" else p for n, p in names.items() if n not in smooth}
+    known = F.when(F.col("channel").isin(*channels), F.col("channel")).otherwise(F.raise_error(F.concat(F.lit("unknown channel: "), F.coalesce("channel", F.lit("null")))).cast("string"))
+    rows, by = cells.withColumn("channel", known), [*keys, "channel"]
+    out = regrid_by(rows.where(F.col("channel").isin(*reducers)), shape, target, reducers, by, fill) if reducers else None
+    if smooth:
+        part = bilinear(rows.where(F.col("channel").isin(*smooth)), shape, target, by, fill)
         out = part if out is None else out.unionByName(part)
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -12,36 +12,61 @@ from pyspark.sql import functions as F
 from fogline.functions.identity import observation_key, payload_sha256
 from fogline.functions.times import source_time
 from fogline.operators.qc import freshness
+from fogline.sources.catalogue import parse_config
 
 MANIFEST_KEY = "observation_id"
 
 
+#: Fields of a source: type, and default where the file may leave it out.
+SPEC_FIELDS = {
+    "name": (str,), "access_class": (str, ""), "cadence_s": (int,), "expected_latency_s": (int,), "endpoint": (str,), "auth": (str, "none"), "parser": (str,),
+    "obs_time_rule": (str,), "retention_days": (int, None), "attribution": (str, ""), "terms_url": (str, ""), "status": (str, "not-started"),
+}
+
+
 @dataclass(frozen=True)
 class SourceSpec:
     """What is known of a source; keys that are not known go to ``settings``."""
 
     name: str
-    kind: str
+    access_class: str
     cadence_s: int
     expected_latency_s: int
-    urls: tuple[str, ...] = ()
-    enabled: bool = True
+    endpoint: str
+    auth: str
+    parser: str
+    obs_time_rule: str
+    retention_days: int | None
+    attribution: str
+    terms_url: str
+    status: str
     settings: dict = field(default_factory=dict)
 
     @classmethod
-    def of(cls, raw: dict) -> SourceSpec:
-        known = {k: raw[k] for k in cls.__dataclass_fields__ if k in raw and k != "settings"}
-        extra = {k: v for k, v in raw.items() if k not in cls.__dataclass_fields__}
-        return cls(**{**known, "urls": tuple(known.get("urls", ()))}, settings={**raw.get("settings", {}), **extra})
+    def of(cls, raw: Mapping, where: str = "source") -> SourceSpec:
+        """A spec from a mapping, in which ``class`` stands for access_class; all fields that are lacking or of no use are named together."""
+        raw = {("access_class" if k == "class" else str(k)): v for k, v in raw.items()}
+        faults, known = [], {}
+        for name, (kind, *default) in SPEC_FIELDS.items():
+            if raw.get(name) is None and default:
+                known[name] = default[0]
+                continue
+            try:
+                known[name] = kind(raw[name])
+            except (KeyError, TypeError, ValueError):
+                faults.append(name)
+        if faults:
+            raise ValueError(f"{where}: {', '.join(faults)}")
+        return cls(**known, settings={k: v for k, v in raw.items() if k not in SPEC_FIELDS})
 
 
 def load_specs(spark: SparkSession, path: str) -> dict[str, SourceSpec]:
-    """Specs from a folder of JSON files, by name; a repeated name raises. Configuration, so read on the driver."""
-    import json
-
+    """Specs by name from the JSON and YAML files of a folder, in order of their names; a repeated name raises. Configuration, so
+    read on the driver."""
     found: dict[str, SourceSpec] = {}
-    for r in sorted(spark.read.text(path, wholetext=True).select("value", "_metadata.file_path").collect(), key=lambda r: r["file_path"]):
-        spec = SourceSpec.of(json.loads(r["value"]))
+    files = spark.read.option("pathGlobFilter", "*.{json,yaml,yml}").text(path, wholetext=True).select("value", "_metadata.file_name").collect()
+    for r in sorted(files, key=lambda r: r["file_name"]):
+        spec = SourceSpec.of(parse_config(r["value"], r["file_name"]) or {}, r["file_name"])
         if spec.name in found:
             raise ValueError(f"duplicate source: {spec.name}")
         found[spec.name] = spec
@@ -49,8 +74,8 @@ def load_specs(spark: SparkSession, path: str) -> dict[str, SourceSpec]:
 
 
 def specs_table(spark: SparkSession, specs: dict[str, SourceSpec]) -> DataFrame:
-    rows = [(s.name, s.kind, s.cadence_s, s.expected_latency_s) for s in specs.values()]
-    return F.broadcast(spark.createDataFrame(rows, "source string, kind string, cadence_s int, expected_latency_s int"))
+    rows = [(s.name, s.access_class, s.parser, s.cadence_s, s.expected_latency_s, s.retention_days, s.status) for s in specs.values()]
+    return F.broadcast(spark.createDataFrame(rows, "source string, access_class string, parser string, cadence_s int, expected_latency_s int, retention_days int, status string"))
 
 
 def image_payload(payload: Column, content_type: Column) -> Column:

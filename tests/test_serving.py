@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fogline.operators import serving
-from fogline.sources import adapters, catalogue
+from fogline.sources import adapters, catalogue, manifests
 
 ENTRY = {"dtype": "int16", "scale": 100, "source": "s", "resampling": "max", "fill_value": -1}
 
@@ -78,3 +78,44 @@ def test_targets_refuse(spark, change, message):
 def test_an_issue_needs_domain_and_time(spark):
     with pytest.raises(ValueError, match="required"):
         serving.of_issue(_table(spark, "a"), "", "2024-01-01")
+
+
+SPEC = {"name": "sat", "class": "open", "cadence_s": "900", "expected_latency_s": 300, "endpoint": "https://x", "parser": "p", "obs_time_rule": "url", "products": ["a"], "retention_days": None}
+
+
+def test_specs_come_from_yaml_and_json_with_unknown_keys_as_settings(spark, tmp_path):
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "b.yaml").write_text(yaml.safe_dump(SPEC))
+    (tmp_path / "a.json").write_text(json.dumps(SPEC | {"name": "radar", "auth": "key", "status": "live"}))
+    (tmp_path / "notes.txt").write_text("not a spec")
+    found = manifests.load_specs(spark, str(tmp_path))
+    assert list(found) == ["radar", "sat"]
+    assert (found["sat"].access_class, found["sat"].cadence_s, found["sat"].auth, found["sat"].retention_days, found["sat"].status) == ("open", 900, "none", None, "not-started")
+    assert found["sat"].settings == {"products": ["a"]} and found["radar"].auth == "key"
+    assert manifests.specs_table(spark, found).count() == 2
+    (tmp_path / "c.yml").write_text(yaml.safe_dump(SPEC))
+    with pytest.raises(ValueError, match="duplicate source: sat"):
+        manifests.load_specs(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="x.yaml: cadence_s, parser"):
+        manifests.SourceSpec.of({k: v for k, v in (SPEC | {"cadence_s": "often"}).items() if k != "parser"}, "x.yaml")
+
+
+def test_products_in_addresses(spark):
+    want = {
+        "http://x/3RIMG_20240101_IR1.jpg": "IR1", "3dimg20240101ab": "AB", "3SIMG_20240101": "20240101", "3simg__": "UNKNOWN", "prod/x": "X", "a/products/3rimg_1": "UCTS",
+        "no mark": "UNKNOWN", "": "UNKNOWN", "3RIMG-1234567-ab": "1234567", "3RIMG20240101__WV": "WV", None: "UNKNOWN",
+    }
+    got = {r.url: r.p for r in spark.createDataFrame([(u,) for u in want], "url string").select("url", adapters.product_of(F.col("url")).alias("p")).collect()}
+    assert got == want
+
+
+def test_channels_are_regridded_in_one_scan_each_by_its_policy(spark):
+    channels = catalogue.channels_of({"channel_version": 1, "channels": {"g": {n: ENTRY | {"resampling": p} for n, p in (("a", "max"), ("b", "sum"), ("c", "nearest"), ("d", "bilinear"))}}})
+    rows = [(f"g/{n}", r, c, float(r * 4 + c)) for n in "abcd" for r in range(4) for c in range(4)]
+    cells = spark.createDataFrame(rows, "channel string, row int, col int, value double")
+    got = {(r.channel, r.row, r.col): r.value for r in catalogue.regrid_channels(cells, (4, 4), (2, 2), channels).collect()}
+    assert [got[f"g/{n}", 1, 1] for n in "abcd"] == [15.0, 50.0, 10.0, 15.0] and len(got) == 16
+    masked = {(r.channel, r.row, r.col): r.value for r in catalogue.regrid_channels(cells.withColumn("valid", F.col("col") > 0), (4, 4), (2, 2), channels, fill=-1.0).collect()}
+    assert [masked[f"g/{n}", 0, 0] for n in "abcd"] == [5.0, 6.0, 1.0, 3.0]
+    with pytest.raises(Exception, match="unknown channel: x"):
+        catalogue.regrid_channels(cells.withColumn("channel", F.lit("x")), (4, 4), (2, 2), channels).collect()
