@@ -1,10 +1,10 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. Menus, footers, forms, comments and the like are bad. The first pass decides
-each other block by its link density, its length and its density of stop words. Blocks that are too short or too plain to
-decide inherit, in the second pass, the label of the nearest decided neighbours. An article or main element is a prior: inside,
-less is asked of a block, and neighbours are those inside; outside, more is asked. One that holds little of the page's text
-(a teaser, a quoted post) says nothing.
+each other block by a score: its density of stop words, its length and its link density each add a term. Blocks that are too
+short or too plain to decide inherit, in the second pass, the label of the nearest decided neighbours. An article or main
+element is one more term: inside, the score is raised, and neighbours are those inside; outside, it is lowered. One that holds
+little of the page's text (a teaser, a quoted post) says nothing, and pages without one are left to the other terms.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from fogline.llm.quality_rules import STOP_WORDS
 SHORT, LONG, STOP_LOW, STOP_HIGH, MAX_LINKS = 70, 200, 0.05, 0.10, 0.4
 #: The same inside an article, and outside one on a page that has one.
 INSIDE_LINKS, OUTSIDE_STOP = 0.5, 0.15
+#: Terms of the score: few stop words, many, a long block, inside of an article, outside of the page's article.
+PLAIN, PROSE, LENGTHY, INSIDE, OUTSIDE = -1, 1, 1, 2, -1
 #: An article is a prior if it holds this share, in hundredths, of the characters without links that stand outside of any.
 PRIOR_PERCENT = 25
 
@@ -61,6 +63,15 @@ _STOP = frozenset(STOP_WORDS)
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
+@dataclass
+class Wrapper:
+    """An element that is named as a part: the one around it, whether it is for replies, and whether that or one around it is."""
+
+    parent: int
+    replies: bool
+    within_replies: bool
+
+
 @dataclass
 class Block:
     """Text between block-level tags: pieces in order, characters inside links, and where it stands."""
@@ -69,7 +80,7 @@ class Block:
     heading: bool
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
-    wrappers: tuple[tuple[int, bool], ...] = ()  # elements around it that are named as parts: number, and whether for replies
+    wrapper: int = -1  # the innermost element around it that is named as a part
     region: int = -1  # the outermost article or main element around it
 
 
@@ -102,17 +113,19 @@ def _parts(attributes: str) -> list[str]:
     return [part for value in values for token in value.split() if (part := part_name(token))]
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of a page in order. Tags that are never closed, or closed twice, do no harm beyond their parent."""
+def blocks_of(page: str) -> tuple[list[Block], list[Wrapper]]:
+    """Blocks of a page in order, and the elements named as parts, outer ones first. Tags that are never closed, or closed twice,
+    do no harm beyond their parent."""
     found: list[Block] = []
-    stack: list[tuple[str, str, tuple, int, bool]] = []  # open elements, the place inside each (article, freed, beside, skip or page), wrappers, region, in a heading
+    named: list[Wrapper] = []
+    stack: list[tuple[str, str, int, int, bool]] = []  # open elements, the place inside each (article, freed, beside, skip or page), wrapper, region, in a heading
     open_names: Counter = Counter()
 
     def close(k: int) -> None:
         open_names.subtract(name for name, *_ in stack[k:])
         del stack[k:]
 
-    links = named = regions = 0
+    links = regions = 0
     low = page.lower() if len(page.lower()) == len(page) else page
     state = {"block": None}
 
@@ -129,7 +142,7 @@ def blocks_of(page: str) -> list[Block]:
         if state["block"] is None:
             if piece.isspace():
                 return
-            state["block"] = Block(where, bool(stack) and stack[-1][4], wrappers=stack[-1][2] if stack else (), region=stack[-1][3] if stack else -1)
+            state["block"] = Block(where, bool(stack) and stack[-1][4], wrapper=stack[-1][2] if stack else -1, region=stack[-1][3] if stack else -1)
             found.append(state["block"])
         plain = entities.unescape(piece)
         state["block"].pieces.append(plain)
@@ -207,7 +220,7 @@ def blocks_of(page: str) -> list[Block]:
                     if not open_names[name] or stack[k][0] in ("ul", "ol", "table", "dl", "tbody", "thead"):
                         break
             where = place()
-        inside, (wrappers, region, headed) = where, stack[-1][2:] if stack else ((), -1, False)
+        inside, (wrapper, region, headed) = where, stack[-1][2:] if stack else (-1, -1, False)
         parts = _parts(attributes) if attributes and name not in ("html", "body") else []
         if name in SKIPPED or where == "skip":
             inside = "skip"
@@ -217,20 +230,21 @@ def blocks_of(page: str) -> list[Block]:
             inside = "beside"
         elif name in CONTENT and where != "beside":
             inside = "article"
-            if wrappers and not parts and not any(replies for _, replies in wrappers):
-                inside, wrappers = "article" if name == "main" else "freed", ()
+            if wrapper >= 0 and not parts and not named[wrapper].within_replies:
+                inside, wrapper = "article" if name == "main" else "freed", -1
             if region < 0:
                 region, regions = regions, regions + 1
         if parts:
-            wrappers = (*wrappers, (named, not REPLIES.isdisjoint(parts)))
-            named += 1
+            replies = not REPLIES.isdisjoint(parts)
+            named.append(Wrapper(wrapper, replies, replies or (wrapper >= 0 and named[wrapper].within_replies)))
+            wrapper = len(named) - 1
         if name in INLINE and inside == where and not parts:
             continue
         if name in INLINE:
             cut()
-        stack.append((name, inside, wrappers, region, headed or name in HEADINGS))
+        stack.append((name, inside, wrapper, region, headed or name in HEADINGS))
         open_names[name] += 1
-    return found
+    return found, named
 
 
 def tidy(pieces: list[str]) -> str:
@@ -238,30 +252,28 @@ def tidy(pieces: list[str]) -> str:
 
 
 def _density(text: str) -> float:
-    words = [_EDGES.sub("", w).lower() for w in text.split()]
+    words = [w for x in text.split() if (w := _EDGES.sub("", x).lower())]
     return sum(w in _STOP for w in words) / max(1, len(words))
 
 
-def _first_pass(block: Block, text: str, beside: bool, inside: bool, article: bool) -> str:
-    """good, bad, near or unsure; ``inside`` an article that is a prior, or on a page with such an ``article``."""
-    if beside:
-        return "bad"
-    links = block.linked / max(1, len(text))
-    if inside:
-        if links > 0.9 or (len(text) < LONG and links > INSIDE_LINKS) or (len(text) < SHORT and text.startswith("©")):
-            return "bad"
-        if len(text) < SHORT or block.heading:
-            return "unsure"
-        return "good" if _density(text) >= STOP_LOW else "near"
-    if links > MAX_LINKS or (len(text) < LONG and "©" in text):
-        return "bad"
+def _score(text: str, inside: bool, article: bool) -> int:
+    """How much speaks for a block without many links; ``inside`` an article that is a prior, or on a page with such an ``article``."""
+    density, outside = _density(text), article and not inside
+    score = PROSE if density >= (OUTSIDE_STOP if outside else STOP_HIGH) else 0 if density >= STOP_LOW else PLAIN
+    return score + (LENGTHY if len(text) >= LONG else 0) + (INSIDE if inside else OUTSIDE if outside else 0)
+
+
+def _first_pass(block: Block, text: str, inside: bool, article: bool) -> str:
+    """good, bad, or undecided: near (plain prose), unsure (too short, a heading) or linked (links inside an article)."""
+    if block.linked > (INSIDE_LINKS if inside else MAX_LINKS) * len(text) and (not inside or len(text) < LONG or block.linked > 0.9 * len(text)):
+        return "linked" if inside else "bad"
     if len(text) < SHORT or block.heading:
         return "unsure"
-    density = _density(text)
-    if density >= (OUTSIDE_STOP if article else STOP_HIGH) and len(text) >= LONG:
+    score = _score(text, inside, article)
+    if score > 0:
         return "good"
-    if density >= STOP_LOW:
-        return "unsure" if article else "near"
+    if score == 0:
+        return "unsure" if article and not inside else "near"
     return "bad" if len(text) >= LONG else "unsure"
 
 
@@ -292,7 +304,12 @@ def _sides(labels: list[str]) -> list[tuple[int | None, int | None]]:
 
 
 def _inside(headings: list[bool], labels: list[str]) -> list[str]:
-    """Second pass inside an article: what is not decided is bad only between bad blocks, or as a heading of bad blocks alone."""
+    """Second pass inside an article: what is not decided is bad only between bad blocks, or as a heading of bad blocks alone. Links
+    are good only between good blocks: a list in the text stays, one that begins or ends the article (to share it, say) does not."""
+    labels = list(labels)
+    for i, (left, right) in enumerate(_sides(labels)):
+        if labels[i] == "linked":
+            labels[i] = "good" if left is not None and right is not None and labels[left] == labels[right] == "good" else "bad"
     final, some = list(labels), "good" in labels
     headed, below = None, "good"  # the label of what stands up to the next heading; that of the heading behind it
     sides = _sides(labels)
@@ -314,6 +331,8 @@ def _inside(headings: list[bool], labels: list[str]) -> list[str]:
 
 def _outside(headings: list[bool], labels: list[str], article: bool, all_bound: bool) -> list[str]:
     """Second pass outside an article."""
+    if not article and "good" not in labels:
+        labels = ["good" if x == "near" else x for x in labels]  # no better text than plain prose
     final = list(labels)
     for i, (left, right) in enumerate(_sides(labels)):
         if labels[i] in ("good", "bad"):
@@ -332,21 +351,22 @@ def _outside(headings: list[bool], labels: list[str], article: bool, all_bound:
             final[i] = labels[left if i - left <= right - i else right]
         if labels[i] == "near" and final[i] == "bad" and (left is None or right is None):
             final[i] = "good"
-    if not article and all_bound and not {"good", "bad"} & {*labels} and "good" not in final:
-        final = ["good"] * len(final)  # a page of a few short blocks: nothing speaks against them
+    if not article and "good" not in final and all_bound:
+        final = ["bad" if x == "bad" else "good" for x in labels]  # a page of a few short blocks: nothing speaks against them
     return final
 
 
-def _good(blocks: list[tuple[Block, str]], bound: set[int], all_bound: bool) -> list[str]:
-    """Texts of the good blocks; those inside an element of ``bound`` stand beside the article."""
-    beside = [b.place == "beside" or any(w in bound for w, _ in b.wrappers) for b, _ in blocks]
+def _good(blocks: list[tuple[Block, str]], bound: list[bool], all_bound: bool) -> list[str]:
+    """Texts of the good blocks; those inside a wrapper that is ``bound``, itself or by one around it, stand beside the article."""
+    beside = [b.place == "beside" or (b.wrapper >= 0 and bound[b.wrapper]) for b, _ in blocks]
     priors = _priors(blocks, beside)
     zones: dict[int, list[int]] = {}
     for i, (b, _) in enumerate(blocks):
-        zones.setdefault(b.region if b.region in priors and not beside[i] else -1, []).append(i)
+        if not beside[i]:  # what stands beside is no neighbour of the text
+            zones.setdefault(b.region if b.region in priors else -1, []).append(i)
     good = []
     for zone, at in zones.items():
-        labels = [_first_pass(*blocks[i], beside[i], zone >= 0, bool(priors)) for i in at]
+        labels = [_first_pass(*blocks[i], zone >= 0, bool(priors)) for i in at]
         headings = [blocks[i][0].heading for i in at]
         final = _inside(headings, labels) if zone >= 0 else _outside(headings, labels, bool(priors), all_bound)
         good += [i for i, x in zip(at, final, strict=True) if x == "good"]
@@ -361,17 +381,26 @@ def main_text(page: str | None) -> str:
     """
     if not page:
         return ""
-    blocks = [(b, t) for b in blocks_of(page) if (t := tidy(b.pieces))]
-    sizes = Counter({-1: 0})
+    found, named = blocks_of(page)
+    blocks = [(b, t) for b in found if (t := tidy(b.pieces))]
+    total, sizes = 0, [0] * len(named)
     for b, t in blocks:
         if b.place != "beside":
-            sizes.update({w: len(t) for w in (-1, *b.wrappers)})
-    bound = {w[0] for b, _ in blocks for w in b.wrappers}
-    good = _good(blocks, bound, True)
-    total, marked = sizes.pop(-1), any(b.place in ("article", "freed") and not b.wrappers for b, _ in blocks)
-    freed = {w for (w, replies), n in sizes.items() if 2 * n > total and (not good or (not marked and not replies and 4 * n > 3 * total))}
-    return "\n".join(_good(blocks, bound - freed, False) if freed else good)
-
+            total += len(t)
+            if b.wrapper >= 0:
+                sizes[b.wrapper] += len(t)
+    for w in range(len(named) - 1, -1, -1):  # inner wrappers come later than those around them
+        if named[w].parent >= 0:
+            sizes[named[w].parent] += sizes[w]
+    good = _good(blocks, [True] * len(named), True)
+    marked = any(b.place in ("article", "freed") and b.wrapper < 0 for b, _ in blocks)
+    freed = [2 * n > total and (not good or (not marked and not x.replies and 4 * n > 3 * total)) for x, n in zip(named, sizes, strict=True)]
+    if True not in freed:
+        return "\n".join(good)
+    bound: list[bool] = []
+    for w, x in enumerate(named):
+        bound.append(not freed[w] or (x.parent >= 0 and bound[x.parent]))
+    return "\n".join(_good(blocks, bound, False))
 
 
 def extracted(page: Column) -> Column:
@@ -389,8 +418,8 @@ def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """All columns of ``pages`` but the HTML, and text and n_chars (code points); columns of these names are replaced.
 
     Null and empty pages and pages without an article give an empty text; pages of any length are read whole, in time that
-    grows with their length alone. Each page is judged on its own, so equal pages get
-    equal texts. An empty table gives an empty result.
+    grows with their length, however deeply elements are nested. Each page is judged on its own, so equal and repeated pages get
+    equal texts. An empty table gives an empty result. Columns of any other names, dots included, are passed on as they are.
     """
     names = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None)

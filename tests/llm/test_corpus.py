@@ -3,8 +3,9 @@
 import hashlib
 import random
 import re
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -472,10 +473,55 @@ def test_main_text_outside_of_articles_is_found():
 def test_blocks_inside_an_article_are_judged():
     share = "<p>Share: <a href=a>one network</a> <a href=b>another network</a></p>"
     page = f"<article><h1>Title</h1>{share}<p>{STORY}</p><h2>Part</h2><p>Short.</p><pre>{'x = 1; ' * 40}</pre><p>© 2020 The town</p><h3>More</h3>{share}</article><p>Beyond it.</p>"
-    assert html_extract.main_text(page).split("\n") == ["Title", STORY.strip(), "Part", "Short.", ("x = 1; " * 40).strip()]
+    assert html_extract.main_text(page).split("\n") == ["Title", STORY.strip(), "Part", "Short.", ("x = 1; " * 40).strip(), "© 2020 The town"]
     assert html_extract.main_text(f"<article><h1>Title</h1><p>Krótki tekst.</p>{share}</article>") == "Title\nKrótki tekst."
 
 
+CONTENT_TAGS = re.compile(r"</?(?:article|main)\b[^>]*>", re.I)
+
+
+def word_f1(a, b):
+    x, y = Counter(a.split()), Counter(b.split())
+    return 2 * (x & y).total() / max(1, x.total() + y.total()) if x or y else 1.0
+
+
+def test_pages_without_article_tags_keep_their_article(spark, monkeypatch):
+    """All pages of the table with the article and main tags taken out, and their text left in."""
+    pages = [r.html for r in spark.read.parquet(f"{MEDIUM}/pages.parquet").select("html").collect()]
+    bare = [CONTENT_TAGS.sub("", p or "") for p in pages]
+    want, got = [html_extract.main_text(p) for p in pages], [html_extract.main_text(p) for p in bare]
+    scores = [word_f1(a, b) for a, b in zip(want, got, strict=True)]
+    assert not [1 for a, b in zip(want, got, strict=True) if a and not b]
+    assert min(scores) >= 0.9 and sum(scores) / len(scores) >= 0.99
+    for rule, value in (("PROSE", -9), ("PLAIN", -9), ("MAX_LINKS", -1.0)):  # each rule decides something there
+        with monkeypatch.context() as without:
+            without.setattr(html_extract, rule, value)
+            assert [html_extract.main_text(p) for p in bare] != got, rule
+
+
+def test_nothing_of_the_article_is_dropped_for_its_links_or_marks():
+    links = "<ul><li><a href=a>The first of the places</a></li><li><a href=b>The second of the places</a></li></ul>"
+    page = f"<article><h1>Title</h1><p>{STORY}</p>{links}<p>{STORY} End.</p><p>© The town, as it was.</p></article>"
+    assert html_extract.main_text(page).split("\n") == ["Title", STORY.strip(), "The first of the places", "The second of the places", " ".join(f"{STORY} End.".split()), "© The town, as it was."]
+    prose = "The mark © is of the law, and it is for all that was made by the town and the people who came to it."
+    assert prose in html_extract.main_text(f"<div><p>{STORY}</p><p>{prose}</p><p>{STORY}</p></div>")
+    menu = "<div>" + "".join(f"<p><a href={i}>Part {i} of the menu</a></p>" for i in range(9)) + "</div>"
+    assert html_extract.main_text(f"{menu}<div><p>{STORY}</p></div>{menu}") == STORY.strip()
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    def seconds(n):
+        page = "<body>" + "".join(f'<div class="ad{i}">' for i in range(n)) + "<p>some words of it</p>" * n + "</div>" * n + "</body>"
+        best = 9.0
+        for _ in range(3):
+            start = time.perf_counter()
+            html_extract.main_text(page)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert seconds(8000) < 6 * seconds(2000) + 0.1
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline
 
