@@ -291,6 +291,83 @@ def test_shards_round_trip_and_commits(spark, tmp_path):
     assert {(r.row.doc_id, r.row.text) for r in wider.read().collect()} == {(1, None), (2, "text 2")}
 
 
+def test_vacuum_and_lost_races_lose_nothing(spark, tmp_path):
+    part = lambda a, b: spark.range(a, b).select(F.col("id").alias("doc_id")).coalesce(1)
+    ids = lambda store: sorted(r.row.doc_id for r in store.read().collect())
+    one, two = (sharding.ShardStore(spark, str(tmp_path / "s"), small_bytes=1 << 20, fan_in=3) for _ in range(2))
+    one.append(part(0, 5))
+    late = two.stage_many(part(5, 9).withColumn("a", F.lit(0)), "a")  # written, and not yet committed
+    one.append(part(9, 12))
+    one.append(part(12, 14))
+    one.compact()
+    one.vacuum(0.0)
+    assert len(one.runs()) == 1 and two.add(late) == 5 and ids(two) == list(range(14))
+    with pytest.raises(ValueError, match="not there any more"):
+        one.read(2)
+    committed, lost = sharding.ShardStore.commit, []
+
+    def beaten(self, runs, base):  # the other writer commits just before, twice
+        if self is one and len(lost) < 2:
+            lost.append(base)
+            two.append(part(100 + len(lost), 101 + len(lost)))
+        return committed(self, runs, base)
+
+    one.commit = beaten.__get__(one)
+    one.append(part(200, 203))
+    assert len(lost) == 2 and ids(one) == [*range(14), 101, 102, *range(200, 203)]
+    other = sharding.ShardStore(spark, str(tmp_path / "s"), small_bytes=1 << 20, fan_in=3)
+    reads = sharding.ShardStore.read_runs
+
+    def overtaken(self, runs):  # the other writer merges the same runs while these are being read
+        found = reads(self, runs)
+        if self is one and not lost[2:]:
+            lost.append(0)
+            found = found.persist()
+            found.count()
+            other.compact()
+        return found
+
+    one.read_runs = overtaken.__get__(one)
+    one.compact()
+    assert ids(one) == [*range(14), 101, 102, *range(200, 203)] and len(one.runs()) == 1
+    old = one.version() - 1
+    one.vacuum(3600.0)
+    assert one.read(old).count() == 19  # its readers have an hour
+    one.vacuum(0.0, 0.0)
+    assert {p.name for p in (tmp_path / "s/data").iterdir() if p.name.startswith("merged")} == {one.runs()[0].name}
+
+
+def test_versions_follow_a_model_of_the_tiers(spark, tmp_path):
+    """Every version is an arrival or a merge of exactly the runs that a list of sizes says are due."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 400)))) for i in range(900)], "doc_id long, text string").repartition(3)
+    small, fan_in, arrivals = 1 << 12, 3, 10
+    out = sharding.shard_documents(docs, str(tmp_path / "m"), arrivals=arrivals, small_bytes=small, fan_in=fan_in, target_bytes=1 << 15)
+    assert sorted(map(tuple, out.select("doc_id", "text").collect())) == sorted(map(tuple, docs.collect()))
+    again = sharding.ShardStore(spark, str(tmp_path / "n"), target_bytes=1 << 15, small_bytes=small, fan_in=fan_in)
+    staged = again.stage_many(docs.withColumn("a", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(arrivals)).cast("int")), "a")
+    for run in staged:
+        again.add([run])
+        again.compact()
+    level = lambda b: next(t for t in range(99) if b < small * fan_in ** (t + 1))
+    held, arrived, merges = [], 0, 0
+    for v in range(1, again.version() + 1):
+        now = [(r.name, r.bytes) for r in again.runs(v)]
+        tiers = defaultdict(list)
+        for name, size in held:
+            tiers[level(size)].append(name)
+        due = next((set(tiers[t]) for t in sorted(tiers) if len(tiers[t]) >= fan_in), None)
+        if due is None:
+            assert [n for n, _ in now] == [n for n, _ in held] + [staged[arrived].name]
+            arrived += 1
+        else:
+            assert {n for n, _ in held} - {n for n, _ in now} == due and len(now) == len(held) - len(due) + 1
+            merges += 1
+        held = now
+    assert arrived == len(staged) == arrivals and merges >= 3
+    assert out.agg(F.max("version")).first()[0] == again.version()
+
+
 def test_clashing_names_are_kept(spark, tmp_path):
     clash = corpus(spark, [(1, "the cat"), (2, None), (2, "the cat")]).selectExpr("*", *[f"'c' AS {c}" for c in CLASHES])
     model = language_id.fit(corpus(spark, [(1, "the cat is on the mat " * 9)]))
