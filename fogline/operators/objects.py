@@ -209,14 +209,25 @@ def detections_of(frame: pd.DataFrame) -> list[Detection]:
     return [Detection(r.centroid_x, r.centroid_y, int(r.area_cells), float(r.max_value), frozenset(map(int, r.cells))) for r in ordered.itertuples() if r.object is not None and not pd.isna(r.object)]
 
 
+def track_segments(detections: DataFrame, domain: str = "domain", time: str = "frame_time") -> DataFrame:
+    """(domain, time, segment) of every frame: a new segment begins after two frames without an object, where no track goes on."""
+    frames = detections.groupBy(domain, time).agg((F.count("object") == 0).alias("_empty"))
+    order = Window.partitionBy(domain).orderBy(time)  # a row per frame
+    cut = F.coalesce(F.lag("_empty", 1).over(order) & F.lag("_empty", 2).over(order), F.lit(False))
+    return frames.withColumn("_cut", cut).select(domain, time, F.sum(F.col("_cut").cast("int")).over(order).cast("int").alias("segment"))
+
+
 def track_objects(detections: DataFrame, domain: str = "domain", time: str = "frame_time", motion: DataFrame | None = None, **options) -> DataFrame:
     """Tracks of every domain over its frames in time order.
 
     Detections are those of ``detect_objects``; a frame without objects is a row with a null ``object``. ``motion`` (domain,
     time, row, col, u, v) is looked up at a track's last centroid; only cells that some centroid falls on are shuffled.
+
+    A domain is cut where no track can go on, and each segment is tracked by itself; its numbers then go on from those given
+    out before it. Weather without such a pause is one segment.
     """
     types = {f.name: f.dataType.simpleString() for f in detections.schema.fields}
-    schema = f"`{domain}` {types[domain]}, `{time}` {types[time]}, {TRACKS}"
+    schema = f"`{domain}` {types[domain]}, segment int, `{time}` {types[time]}, {TRACKS}"
 
     def run(rows: pd.DataFrame, winds: pd.DataFrame | None) -> pd.DataFrame:
         state, out = TrackerState(), []
@@ -225,14 +236,23 @@ def track_objects(detections: DataFrame, domain: str = "domain", time: str = "fr
             here = by_time.get(t)
             look = (lambda x, y, here=here: here.get((round(y), round(x)), (0.0, 0.0))) if here else None
             state, found = track_step(state, detections_of(frame), look, **options)
-            out += [[rows[domain].iloc[0], t, *(f[c] for c in _TRACK_COLUMNS)] for f in found]
-        return pd.DataFrame(out, columns=[domain, time, *_TRACK_COLUMNS])
+            out += [[rows[domain].iloc[0], rows["segment"].iloc[0], t, *(f[c] for c in _TRACK_COLUMNS)] for f in found]
+        return pd.DataFrame(out, columns=[domain, "segment", time, *_TRACK_COLUMNS])
 
+    segments = track_segments(detections, domain, time)
+    placed = detections.drop("segment").join(segments, [domain, time])
     if motion is None:
-        return detections.groupBy(domain).applyInPandas(lambda rows: run(rows, None), schema)
-    spots = detections.where("object is not null").select(domain, F.rint("centroid_y").cast("int").alias("row"), F.rint("centroid_x").cast("int").alias("col")).distinct()
-    near = motion.join(spots, [domain, "row", "col"], "left_semi")
-    return detections.groupBy(domain).cogroup(near.groupBy(domain)).applyInPandas(run, schema)
+        tracked = placed.groupBy(domain, "segment").applyInPandas(lambda rows: run(rows, None), schema)
+    else:
+        spots = detections.where("object is not null").select(domain, F.rint("centroid_y").cast("int").alias("row"), F.rint("centroid_x").cast("int").alias("col")).distinct()
+        near = motion.drop("segment").join(spots, [domain, "row", "col"], "left_semi").join(segments, [domain, time])
+        tracked = placed.groupBy(domain, "segment").cogroup(near.groupBy(domain, "segment")).applyInPandas(run, schema)
+    born = ((F.col("age_frames") == 1) & (F.col("lifecycle") == "Candidate")).cast("long")
+    earlier = Window.partitionBy(domain).orderBy("segment").rangeBetween(Window.unboundedPreceding, -1)
+    numbered = tracked.withColumn("_before", F.coalesce(F.sum(born).over(earlier), F.lit(0)))
+    number = lambda c, before: F.format_string("T%06d", F.substring(c, 2, 20).cast("long") + before)
+    parents = F.array_sort(F.transform("parents", lambda p: number(p, F.col("_before"))))
+    return numbered.withColumns({"track_id": number(F.col("track_id"), F.col("_before")), "parents": parents}).drop("segment", "_before")
 
 
 def lineage(tracks: DataFrame) -> DataFrame:

@@ -199,6 +199,48 @@ def replay_release(spark, sf_dir):
     return replay.between_clocks(_replayed(spark, sf_dir), "2024-01-06", "2024-01-07").select("object_key", "topic")
 
 
+def _replay_runs(spark, sf_dir):
+    """A replay per type of event, its events, and its steps: one a day, every third by a target and the others by real seconds."""
+    rows = C.table(spark, sf_dir, "events").select(F.col("event_type").alias("replay_id"), F.col("event_id").cast("string").alias("object_key"), F.col("ts").cast("timestamp").alias("virtual_time"))
+    inside = rows.where((F.col("virtual_time") >= F.lit(START).cast("timestamp")) & (F.col("virtual_time") <= F.lit(END).cast("timestamp")))
+    runs = rows.select("replay_id").distinct().select("*", F.lit(START).cast("timestamp").alias("t_start"), F.lit(END).cast("timestamp").alias("t_end"), F.lit(SPEED).alias("speed"))
+    day = F.to_date("virtual_time")
+    nth = F.datediff(day, F.lit(START).cast("date"))
+    steps = inside.select("replay_id", day.alias("day"), nth.cast("long").alias("step")).distinct()
+    target = F.when(F.col("step") % 3 == 0, F.date_add("day", 1).cast("timestamp"))
+    return inside, runs, steps.select("replay_id", "step", F.when(target.isNull(), F.lit(86400 / SPEED)).alias("real_seconds"), target.alias("target"))
+
+
+#: A day's step ends a day after the step before it, or at the next midnight where it has a target.
+_STEPS_SQL = f"""WITH RECURSIVE e AS (SELECT event_type AS replay_id, event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'),
+s AS (SELECT *, row_number() OVER (PARTITION BY replay_id ORDER BY step) AS nth FROM (SELECT DISTINCT replay_id, datediff('day', DATE '2024-01-05', ts::DATE) AS step FROM e)),
+c AS (SELECT replay_id, 0::BIGINT AS nth, -1::BIGINT AS step, TIMESTAMP '{START}' - INTERVAL 1 MICROSECOND AS after, TIMESTAMP '{START}' AS now FROM (SELECT DISTINCT replay_id FROM s)
+UNION ALL SELECT s.replay_id, s.nth, s.step, CASE WHEN c.nth = 0 THEN c.after ELSE c.now END, least(TIMESTAMP '{END}', CASE WHEN s.step % 3 = 0 THEN DATE '2024-01-05' + CAST(s.step + 1 AS INTEGER) ELSE c.now + INTERVAL 1 DAY END) FROM c JOIN s ON s.replay_id = c.replay_id AND s.nth = c.nth + 1)
+SELECT c.replay_id, c.step, round(epoch(c.now - TIMESTAMP '{START}') / 432000, 6)::DOUBLE AS progress, CASE WHEN c.now >= TIMESTAMP '{END}' THEN 'completed' ELSE 'running' END AS status, count(e.event_id) AS events
+FROM c LEFT JOIN e ON e.replay_id = c.replay_id AND e.ts > c.after AND e.ts <= c.now WHERE c.nth > 0 GROUP BY ALL"""
+
+
+def _per_step(clock, events):
+    counts = replay.released(clock, events).groupBy("replay_id", "step").agg(F.count(F.lit(1)).alias("events"))
+    return C.rounded(clock.join(counts, ["replay_id", "step"], "left").select("replay_id", "step", "progress", "status", F.coalesce("events", F.lit(0)).cast("long").alias("events")))
+
+
+@query(_STEPS_SQL)
+def replay_clock(spark, sf_dir):
+    """Released events per step of each replay's virtual clock."""
+    events, runs, steps = _replay_runs(spark, sf_dir)
+    return _per_step(replay.replay_clock(steps, runs), events)
+
+
+@query(_STEPS_SQL)
+def replay_clock_stream(spark, sf_dir):
+    """The same from a stream of steps whose state is the clock."""
+    events, runs, steps = _replay_runs(spark, sf_dir)
+    out = _scratch(spark)
+    steps.write.parquet(f"{out}/steps")
+    return _per_step(_finished(replay.replay_clock_stream(jobs.read_stream(spark, f"{out}/steps"), runs), out), events)
+
+
 def _scratch(spark) -> str:
     """A fresh folder that all executors share."""
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -274,36 +273,61 @@ NOWCAST_KEYS = {
 }
 
 
-def nowcast_categories(documents: DataFrame, column: str = "payload") -> DataFrame:
-    """One row per category found at any depth of a JSON text: category, district, station, valid_from, valid_to.
+def _children(node: Column) -> Column:
+    """Members of an object or items of an array, as an array of variants; of a plain value none."""
+    members = F.map_values(F.try_variant_get(node, "$", "map<string,variant>"))
+    return F.coalesce(members, F.try_variant_get(node, "$", "array<variant>"), F.array().cast("array<variant>"))
 
-    The first category key that is not null counts, even if its value is empty; of the other fields an empty value gives way
-    to the next key.
+
+def json_depth(text: Column) -> Column:
+    """How deep objects and arrays lie inside each other in a JSON text; brackets inside strings do not count."""
+    tokens = F.coalesce(F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"|[{}\[\]]'), F.lit(0)), F.array().cast("array<string>"))
+    turn = lambda t: F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    step = lambda acc, t: F.struct((acc["now"] + turn(t)).alias("now"), F.greatest(acc["most"], acc["now"] + turn(t)).alias("most"))
+    return F.aggregate(tokens, start, step, lambda acc: acc["most"])
+
+
+def json_nodes(text: Column) -> Column:
+    """Every object and array of a JSON text, and every plain item, at any depth: an array of variants, level by level.
+
+    A fold over the levels of the text itself, so a plan is as large for deep texts as for flat ones. Null and invalid texts,
+    and objects that repeat a key, have none.
     """
-    import json as _json
+    root = F.try_parse_json(text)
+    none = F.array().cast("array<variant>")
+    start = F.struct(F.array_compact(F.array(root)).alias("level"), none.alias("above"))
+    below = lambda level: F.flatten(F.transform(level, _children))
+    step = lambda acc, _: F.struct(below(acc["level"]).alias("level"), F.concat(acc["above"], acc["level"]).alias("above"))
+    levels = F.sequence(F.lit(1), F.greatest(json_depth(text), F.lit(1)))
+    return F.when(root.isNotNull(), F.aggregate(levels, start, step, lambda acc: F.concat(acc["above"], acc["level"])))
 
-    kind = f"array<struct<{', '.join(f'{k}: string' for k in NOWCAST_KEYS)}>>"
 
-    @F.pandas_udf(kind)
-    def objects(texts: pd.Series) -> pd.Series:
-        def read(text):
-            found = []
+def _said(value: Column) -> Column:
+    """A variant as text: strings as they are, truth values as True and False, other values as JSON; null of JSON null."""
+    plain = F.try_variant_get(value, "$", "string")
+    return F.when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(plain)).otherwise(plain)
 
-            def each(members: dict) -> dict:  # the parser calls this for every object
-                said = next((members[k] for k in NOWCAST_KEYS["category"] if members.get(k) is not None), None)
-                rest = {field: next((str(members[k]) for k in keys if members.get(k)), None) for field, keys in NOWCAST_KEYS.items() if field != "category"}
-                row = {"category": None if said is None else str(said), **rest}
-                if said is not None:
-                    found.append(row)
-                return members
 
-            try:
-                _json.loads(text, object_hook=each)
-            except (TypeError, ValueError):
-                return []
-            return found
+def _empty(value: Column) -> Column:
+    """Whether a variant is null, an empty text, zero, false, or an object or array without content."""
+    plain = F.try_variant_get(value, "$", "string")
+    return plain.isNull() | F.when(F.schema_of_variant(value) == "STRING", plain == "").otherwise(plain.isin("0", "false", "{}", "[]"))
+
+
+def nowcast_categories(documents: DataFrame, column: str = "payload") -> DataFrame:
+    """One row per category found at any depth of a JSON text: category, district, station, valid_from, valid_to.
+
+    The first category key that is not null counts, even if its value is empty; of the other fields an empty value gives way
+    to the next key. Only built-in functions on variants: no Python worker reads the texts.
+    """
 
-        return texts.map(read)
+    def row(members: Column) -> Column:
+        first = lambda keys, skip: F.coalesce(*[F.when(~skip(members[k]), _said(members[k])) for k in keys])
+        absent = lambda v: F.try_variant_get(v, "$", "string").isNull()
+        return F.struct(*[first(keys, absent if field == "category" else _empty).alias(field) for field, keys in NOWCAST_KEYS.items()])
 
     keep = [c for c in documents.columns if c != column]
-    return documents.select(*keep, F.explode(objects(F.col(column).cast("string"))).alias("_c")).select(*keep, "_c.*")
+    objects = F.filter(F.transform(json_nodes(F.col(column).cast("string")), lambda n: F.try_variant_get(n, "$", "map<string,variant>")), lambda m: m.isNotNull())
+    found = documents.select(*keep, F.explode(objects).alias("_members")).select(*keep, row(F.col("_members")).alias("_c"))
+    return found.where(F.col("_c.category").isNotNull()).select(*keep, "_c.*")

@@ -272,3 +272,88 @@ def test_a_clock_does_not_move_back(spark):
     assert between_clocks(events, "2024-01-01", "2024-01-02").count() == 1 and between_clocks(events, "2024-01-02", "2024-01-02").count() == 0
     with pytest.raises(ValueError, match="back"):
         between_clocks(events, "2024-01-02", "2024-01-01")
+
+
+def test_nowcast_categories_of_every_shape(spark):
+    """Against a walk over the parsed text; no Python worker in the plan."""
+    import json
+
+    from fogline.sources.manifests import NOWCAST_KEYS, nowcast_categories
+
+    rng = np.random.default_rng(3)
+    values = ["", "red", "a{b]", 'q"\\', 0, 7, True, False, None, [], {}]
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return values[rng.integers(len(values))]
+        if rng.random() < 0.4:
+            return [tree(depth - 1) for _ in range(rng.integers(4))]
+        keys = [k for ks in NOWCAST_KEYS.values() for k in ks] + ["rows", "inner", "other"]
+        return {str(k): tree(depth - 1) for k in rng.choice(keys, rng.integers(1, 6), replace=False)}
+
+    def walk(value):
+        if isinstance(value, dict):
+            said = next((value[k] for k in NOWCAST_KEYS["category"] if value.get(k) is not None), None)
+            if said is not None and not isinstance(said, (dict, list)):
+                yield (str(said), *(next((value[k] for k in keys if value.get(k)), None) for field, keys in NOWCAST_KEYS.items() if field != "category"))
+            for v in value.values():
+                yield from walk(v)
+        elif isinstance(value, list):
+            for v in value:
+                yield from walk(v)
+
+    trees = [tree(7) for _ in range(300)]
+    rows = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trees)], "id int, payload string")
+    found = nowcast_categories(rows)
+    plain = lambda x: x if x is None or isinstance(x, str) else json.dumps(x, separators=(",", ":"), sort_keys=True) if isinstance(x, (dict, list)) else str(x)
+    tidy = lambda x: plain(json.loads(x)) if isinstance(x, str) and x[:1] in "{[" and x[1:] and x[-1] in "]}" else plain(x)
+    want = sorted(repr((i, *map(tidy, r))) for i, t in enumerate(trees) for r in walk(t))
+    got = sorted(repr((r.id, *map(tidy, r[1:]))) for r in found.collect() if r.category[:1] not in "{[" or r.category == "")
+    assert got == want and len(want) > 100
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and "Arrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tracks_are_the_same_in_segments(spark):
+    """Frames with pauses of none, one, two and more empty frames, against one pass over all of them."""
+    from fogline.operators import objects
+
+    rng = np.random.default_rng(11)
+    rows, state, want = [], objects.TrackerState(), []
+    for domain in ("a", "b"):
+        state, x = objects.TrackerState(), 5.0
+        for t in range(60):
+            n = 0 if rng.random() < 0.5 else int(rng.integers(1, 4))
+            frame = [(domain, t, k, x + 8 * k + float(rng.random()), 4.0, 3, 40.0 + k, [t % 5 + k, 100 + k]) for k in range(n)]
+            rows += frame or [(domain, t, None, None, None, None, None, None)]
+            state, out = objects.track_step(state, [objects.Detection(r[3], r[4], r[5], r[6], frozenset(r[7])) for r in frame])
+            want += [(domain, t, o["track_id"], o["lifecycle"], o["age_frames"], o["missed"], list(o["parents"])) for o in out]
+    df = spark.createDataFrame(rows, "domain string, frame_time int, object int, centroid_x double, centroid_y double, area_cells int, max_value double, cells array<int>")
+    assert objects.track_segments(df).agg({"segment": "max"}).first()[0] > 3
+    got = objects.track_objects(df).select("domain", "frame_time", "track_id", "lifecycle", "age_frames", "missed", "parents").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_replay_clock_in_batch_and_stream(spark, tmp_path):
+    from fogline.streaming.jobs import read_stream
+    from fogline.streaming.replay import released, replay_clock, replay_clock_stream
+
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    runs = spark.createDataFrame([("r", at(0), at(6), 60.0), ("s", at(0), at(2), 1.0)], "replay_id string, t_start timestamp, t_end timestamp, speed double")
+    shape = "replay_id string, step long, real_seconds double, target timestamp"
+    steps = [("r", 1, 0.0, None), ("r", 2, 60.0, None), ("r", 3, None, at(3)), ("r", 4, 30.0, None), ("r", 5, None, at(9)), ("r", 6, 10.0, None), ("s", 1, None, at(1))]
+    events = spark.createDataFrame([("r", f"{h}", at(h)) for h in range(7)] + [("s", "x", at(1))], "replay_id string, object_key string, virtual_time timestamp")
+    batch = replay_clock(spark.createDataFrame(steps, shape), runs)
+    assert sorted((r.replay_id, r.object_key, r.step) for r in released(batch, events).collect()) == [("r", "0", 1), ("r", "1", 2), ("r", "2", 3), ("r", "3", 3), ("r", "4", 5), ("r", "5", 5), ("r", "6", 5), ("s", "x", 1)]
+    for n, part in enumerate((steps[:2], steps[2:])):
+        spark.createDataFrame(part, shape).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{n}"))
+        run = replay_clock_stream(spark.readStream.schema(shape).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")), runs)
+        run.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect()))
+    for wrong in ([("r", 1, None, at(3)), ("r", 2, None, at(2))], [("r", 1, -1.0, None)], [("q", 1, 1.0, None)], [("r", 1, None, None)]):
+        rows = spark.createDataFrame(wrong, shape)
+        with pytest.raises(Exception, match="back|negative|found|gives"):
+            replay_clock(rows, runs).collect()
+    spark.createDataFrame([("r", 7, None, at(2))], shape).coalesce(1).write.parquet(str(tmp_path / "in" / "p9"))
+    run = replay_clock_stream(spark.readStream.schema(shape).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")), runs)
+    with pytest.raises(Exception, match="back"):
+        run.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
