@@ -259,6 +259,27 @@ def test_all_texts_of_a_benchmark_id_are_matched(spark, block_chars):
     assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {4}
 
 
+@pytest.mark.parametrize("percent", [0, 8, 30])
+def test_items_as_a_table_give_the_rows_of_one_block(spark, percent):
+    """Edited, repeated, short and long items, items that share pieces, and awkward texts; also whole tables."""
+    rng = random.Random(31)
+    items = [(i % 70, t) for i, t in enumerate(prose(rng, 90, 40))] + [(70, "ab"), (71, None), (None, "gone"), (72, "  "), (73, "straße über 走る")]
+    items += [(80 + i, items[i][1][:60] + " and another end") for i in range(10)]
+    texts = []
+    for i in range(80):
+        t = list(" so ".join(rng.choice(items[:70])[1] for _ in range(rng.randrange(1, 4))))
+        for _ in range(rng.randrange(0, 1 + len(t) // 9)):
+            k = rng.randrange(len(t))
+            t[k : k + 1] = rng.choice([[], ["q"], [t[k], "q"]])
+        texts.append((i, "".join(t)))
+    texts += [(i, t) for i, t in texts[:5]] + [(200, "Straße  über\n走る ab"), *awkward(rng)]
+    docs, bench = corpus(spark, texts).withColumn("k1", F.lit("mine")), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda n: sorted(repr((r.doc_id, r.k1, r.matches)) for r in decontaminate.with_matches(docs, bench, percent=percent, block_chars=n).collect())
+    one = rows(10**6)
+    assert rows(10) == one and len(one) == docs.count() and sum("item_id" in r for r in one) > 10
+    assert decontaminate.with_matches(docs.limit(0), bench, block_chars=10).count() == 0
+
+
 def test_quality_rules_of_awkward_rows(spark):
     docs = corpus(spark, awkward(random.Random(6)))
     got = {r["row"].doc_id: r for r in quality_rules.quality(docs).collect()}
