@@ -75,7 +75,8 @@ def format_conversations(
 
     Turns are ordered by turn, null first, then role and text; null roles and texts are empty. The system turn is the first
     turn if its role is ``system``. A window keeps to the budget unless a single turn is longer than half of the room left
-    beside system turn and history: turns are never cut. Rows that repeat a turn are turns of their own; a null conv_id is a
+    beside system turn and history: turns are never cut. A long system turn leaves less room for history, so that no turn is
+    repeated more than three times; one that fills the budget alone is followed by spans of half a budget. Rows that repeat a turn are turns of their own; a null conv_id is a
     conversation of its own. A conversation or turn of any length is kept whole, and long ones are placed in blocks of turns. Other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(conversations.sparkSession, "chat")
@@ -92,11 +93,13 @@ def format_conversations(
     placed = placed.withColumn("nth", F.col("base_turns") + F.col("nth")).withColumn("is_system", is_system)
     # the system turn opens the first span; what follows is dealt by the tokens after it
     after = F.greatest(F.col("base_tokens") + F.col("ahead") - F.col("system_tokens"), F.lit(0))
-    step = F.greatest(F.floor((F.lit(budget - history) - F.col("system_tokens")) / 2), F.lit(1))
-    spans = placed.withColumn("after", after).withColumn("step", step).withColumn("own_span", F.floor(F.col("after") / F.col("step")))
+    room = F.lit(budget) - F.col("system_tokens")
+    most = F.greatest(F.least(F.lit(history), F.floor(room / 2)), F.lit(0)).cast("long")
+    step = F.when(room >= 4, F.greatest(F.floor((room - F.col("history")) / 2), F.lit(1))).otherwise(max(1, budget // 2)).cast("long")
+    spans = placed.withColumn("after", after).withColumn("history", most).withColumn("step", step).withColumn("own_span", F.floor(F.col("after") / F.col("step")))
 
-    part = ["conv_id", "span", "nth", "role", "whole", "body_at", "body_chars", "tokens", "after", "is_system"]
-    last = F.when(F.col("is_system"), F.col("own_span")).otherwise(F.floor((F.col("after") + history) / F.col("step")))
+    part = ["conv_id", "span", "nth", "role", "whole", "body_at", "body_chars", "tokens", "after", "history", "is_system"]
+    last = F.when(F.col("is_system"), F.col("own_span")).otherwise(F.floor((F.col("after") + F.col("history")) / F.col("step")))
     parts = spans.withColumn("span", F.explode(F.sequence("own_span", F.greatest(last, "own_span")))).select(*part, (F.col("span") > F.col("own_span")).alias("context"))
     later = spans.where("own_span > 0").select(F.col("conv_id").alias("_conv"), F.col("own_span").alias("span")).distinct()
     later = scratch.write(later, "later")  # a table of its own, so that the join can split a long conversation
@@ -106,7 +109,7 @@ def format_conversations(
     window = Window.partitionBy("conv_id", "span")
     start = F.min(F.when(~F.col("context"), F.col("after"))).over(window)
     laid = parts.unionByName(led).repartition("conv_id", "span").withColumn("start", start)
-    laid = laid.where(~F.col("context") | (F.col("start").isNotNull() & (F.col("is_system") | (F.col("start") - F.col("after") <= history))))
+    laid = laid.where(~F.col("context") | (F.col("start").isNotNull() & (F.col("is_system") | (F.col("start") - F.col("after") <= F.col("history")))))
     upto = window.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     laid = laid.withColumn("at", F.coalesce(F.sum(F.length("whole")).over(upto), F.lit(0)))
     trained = (F.col("role") == "assistant") & ~F.col("context")

@@ -420,7 +420,12 @@ def repeated_lines(
 
 
 def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_lines, n_dropped and dropped (sorted line numbers)."""
+    """Per row of ``docs``: doc_id, n_lines, n_dropped and dropped (sorted line numbers).
+
+    A null text has no lines, an empty one has one, which is blank and never dropped. Rows with a null id are kept and have nothing
+    dropped; rows that repeat an id have the same lines dropped, those of all of them. Texts and lines of any length count whole;
+    other columns are ignored; an empty table gives an empty result.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.size(F.split(F.col(text_col).cast("string"), "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
     dropped = repeated_lines(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list("line")).alias("dropped"))
     joined = rows.join(dropped, rows["doc_id"] == dropped["_doc"], "left")
@@ -429,11 +434,19 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with repeated lines taken out of the text; all rows, columns and other lines stay as they are."""
+    """``docs`` with repeated lines taken out of the text; all rows, columns and other lines stay as they are.
+
+    Null and empty texts, rows with a null id and an empty table stay as they are; rows that repeat an id lose the same lines.
+    Columns of any name are carried along. Dropped lines are marked by place, so a text costs its lines and not lines times drops.
+    """
     dropped = repeated_lines(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list("line").alias("gone"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
     joined = rows.join(dropped, F.col("id") == F.col("doc"), "left")
     old = F.col("row").getField(text_col)
     lines = F.split(old.cast("string"), "\n", -1)
-    text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n"))
+    # from the sorted places: so many lines kept, then one dropped, and so on
+    gone = F.array_sort("gone")
+    gaps = F.transform(gone, lambda g, i: F.concat(F.array_repeat(F.lit(False), g - F.coalesce(F.get(gone, i - 1), F.lit(-1)) - 1), F.array(F.lit(True))))
+    marks = F.flatten(gaps)
+    text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(F.transform(F.filter(F.arrays_zip(lines.alias("line"), marks.alias("gone")), lambda x: x["line"].isNotNull() & ~F.coalesce(x["gone"], F.lit(False))), lambda x: x["line"]), "\n"))
     return joined.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -280,6 +280,33 @@ def test_items_as_a_table_give_the_rows_of_one_block(spark, percent):
     assert decontaminate.with_matches(docs.limit(0), bench, block_chars=10).count() == 0
 
 
+@pytest.mark.parametrize("system_chars", [0, 2000, 3100, 4060, 4200, 9000])
+def test_windows_behind_a_long_system_turn(spark, system_chars):
+    """Windows keep to the budget while the system turn leaves room, no turn comes often, and all turns are read back."""
+    turns = [(1, 0, "system", "s" * system_chars)] * bool(system_chars) + [(1, i, "assistant" if i % 2 else "user", f"short turn {i}") for i in range(1, 1201)]
+    windows = chat_format.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    rows = windows.collect()
+    lead = 1 if system_chars else 0
+    assert sum(r.n_turns - r.n_context for r in rows) == len(turns)
+    assert sum(max(0, r.n_context - lead) for r in rows) <= 3 * len(turns)
+    room = chat_format.BUDGET - (system_chars + 20) / chat_format.CHARS_PER_TOKEN
+    if room > 40:
+        assert max(r.tokens for r in rows) <= chat_format.BUDGET
+    if room < 0:
+        assert len(rows) < len(turns) // 20
+    got = chat_format.conversation_digests(windows).first()
+    whole = "".join(f"{r}\n{t}\n" for _, _, r, t in turns)
+    assert (got.n_turns, got.turns_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
+    assert got.loss_sha256 == hashlib.sha256("".join(t for _, _, r, t in turns if r == "assistant").encode()).hexdigest()
+
+
+def test_dropped_lines_leave_all_others(spark):
+    same = "one line of some length that comes again and again in these documents"
+    texts = [(1, f"{same}\n\nfirst\n{same}"), (2, f"{same}"), (3, f"a\n{same}\nb\n{same}\n"), (4, None), (5, ""), (None, same), (6, "quite alone")]
+    left = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(corpus(spark, texts)).collect()}
+    assert left == {1: f"{same}\n\nfirst", 2: "", 3: "a\nb\n", 4: None, 5: "", None: same, 6: "quite alone"}
+
+
 def test_quality_rules_of_awkward_rows(spark):
     docs = corpus(spark, awkward(random.Random(6)))
     got = {r["row"].doc_id: r for r in quality_rules.quality(docs).collect()}
