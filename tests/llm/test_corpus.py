@@ -259,7 +259,7 @@ def test_all_texts_of_a_benchmark_id_are_matched(spark, block_chars):
     assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {4}
 
 
-@pytest.mark.parametrize("percent", [0, 8, 30])
+@pytest.mark.parametrize("percent", [0, 8, 15])
 def test_items_as_a_table_give_the_rows_of_one_block(spark, percent):
     """Edited, repeated, short and long items, items that share pieces, and awkward texts; also whole tables."""
     rng = random.Random(31)
