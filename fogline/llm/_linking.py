@@ -75,7 +75,7 @@ def left_apart(live: DataFrame, similarity: int, scratch: Scratch) -> DataFrame:
     )
 
 
-def _merged(found: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def merged(found: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``found`` after further links (a, b), which join components and not items."""
     links = scratch.write(relabelled(relabelled(links, "a", found, scratch), "b", found, scratch).where("a <> b").distinct(), f"{name}_links")
     joined = connected_components(links, scratch, name)
@@ -83,11 +83,6 @@ def _merged(found: DataFrame, links: DataFrame, scratch: Scratch, name: str) ->
     return scratch.write(relabelled(found, "component", joined, scratch).unionByName(fresh), f"{name}_found")
 
 
-def _few(minors, often):
-    """Whether the items outside the largest component are so few that pairs with the list cost no more than longer keys."""
-    return minors <= F.greatest(F.lit(SMALL_LIST), 5 * F.log2(often / SMALL_LIST))
-
-
 def _apart(posted: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(token, doc, component, often, top, minors) of the large lists that hold several components: the length of the list, its
     largest component, and how many of its items are not of that."""
@@ -101,58 +96,26 @@ def _apart(posted: DataFrame, found: DataFrame, scratch: Scratch, name: str) ->
     return scratch.write(rows.join(lists, rows["token"] == lists["_token"]).drop("_token"), f"{name}_live")
 
 
-def _drawn(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the items outside the largest component of a list with some ``SMALL_LIST`` of its items, drawn by a hash:
-    what belongs to the component, and was only too far from the low item, is mostly found by these."""
-    turn = F.pmod(F.xxhash64("token", "doc"), F.greatest(F.lit(1), F.floor(F.col("often") / SMALL_LIST).cast("long"))) == 0
-    centres = rows.where((F.col("component") == F.col("top")) & turn).select("token", F.col("doc").alias("y"))
-    pairs = rows.where("component <> top").select("token", F.col("doc").alias("x")).join(centres, "token")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def _settled(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) that settle the lists of one large component and a few other items: each of these with the whole list. That
-    is a bounded number of pairs for an item of a list; it grows with the logarithm of the list."""
-    few = rows.where(_few(F.col("minors"), F.col("often")))
-    other = few.where("component <> top").select("token", F.col("doc").alias("x"), F.col("component").alias("of_x"))
-    pairs = few.select("token", F.col("doc").alias("y"), F.col("component").alias("of_y")).join(other, "token").where("of_x <> of_y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def link(
     posted: DataFrame,
     similarity: int,
     scratch: Scratch,
     confirmed: Callable[[DataFrame], DataFrame],
     with_sets: Callable[[DataFrame], DataFrame],
-    finer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components (node, component) of the items whose sets reach the similarity and that share a token.
 
-    ``confirmed`` gives those of the pairs (a, b) that are links; ``with_sets`` adds the column shingles to (doc, component);
-    ``finer`` posts the items of long lists (token, doc, often) anew under longer keys.
+    ``confirmed`` gives those of the pairs (a, b) that are links; ``with_sets`` adds the column shingles to (doc, component).
 
     Small lists are settled by the first comparison. A large list is merged through its low items, so its pairs grow with the
     list and not with its square; where it still holds several components, its items are compared again by exact prefix
-    filtering. With ``finer``, for items whose shingles are mostly common ones, three steps come before that: items outside the
-    largest component meet some drawn items of it; where few are left, they are compared with the list; and else the items meet
-    again in the shorter lists of longer keys. Later links join components and not items: components are never computed again from all links.
+    filtering. Later links join components and not items: components are never computed again from all links.
     """
-    many = ~_few(F.col("minors"), F.col("often"))
     found = connected_components(scratch.write(confirmed(first_pairs(posted)), "links"), scratch)
-    if finer:
-        found = _merged(found, confirmed(_drawn(_apart(posted, found, scratch, "star"))), scratch, "drawn_cc")
     live = _apart(posted, found, scratch, "first")
-    if finer:
-        posted = scratch.write(finer(live.where(many).select("token", "doc", "often")), "finer")
-        pairs = scratch.write(_settled(live).unionByName(first_pairs(posted)).distinct(), "finer_pairs")
-        sides = relabelled(relabelled(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), "x", found, scratch), "y", found, scratch)
-        found = _merged(found, confirmed(sides.where("x <> y").select("a", "b")), scratch, "finer_cc")
-        live = _apart(posted, found, scratch, "second")
     if live.limit(1).count():
-        items = scratch.write(live.where(many if finer else F.lit(True)).select("doc", "component").distinct(), "live")
-        pairs = left_apart(with_sets(items), similarity, scratch)
-        pairs = scratch.write(_settled(live).unionByName(pairs).distinct() if finer else pairs, "late_pairs")
-        found = _merged(found, confirmed(pairs), scratch, "late_cc")
-    scratch.drop("live", "links", "star_lists", "star_live", "first_lists", "first_live", "second_lists", "second_live", "finer", "finer_pairs", "late_pairs", "lists", "ranked", "often")
+        items = scratch.write(live.select("doc", "component").distinct(), "live")
+        pairs = scratch.write(left_apart(with_sets(items), similarity, scratch), "late_pairs")
+        found = merged(found, confirmed(pairs), scratch, "late_cc")
+    scratch.drop("live", "links", "first_lists", "first_live", "first_apart", "late_pairs", "lists", "ranked", "often")
     return found

@@ -9,14 +9,21 @@ With bands of five values and sixteen bands, a pair at 0.75 is met with probabil
 line changes as many shingles as a shingle has characters, so shingles are short: at five, a line of 40 characters
 whose shingles all differ keeps 0.75 after any one edit.
 
-Lines of one language are somewhat alike, so in a large table many lines share a band by chance. The items of a list that is
-long and not one component are posted again under longer keys: the band and some further coordinates, the more the longer the
-list, and as many such keys as it takes for a pair at 0.75 to meet with probability 0.995.
+Lines of one language are somewhat alike, so in a large table many lines share a band by chance, and such pairs grow with the
+square of the table. Every posting therefore carries a sketch of 64 bits, and a list is compared where it lies: what meets by
+chance never becomes a row. Candidates are confirmed in waves with components formed between them:
+
+1. an item close to few others of its list with all of them, an item in a dense part with the closest of some centres;
+2. in dense lists that are still several components, the items outside the largest one with the closest items of others;
+3. the same items with all close items of other components, so that no pair is left out.
+
+A list of very many items apart is posted again under longer keys before that: the band and some further coordinates, the more
+the longer the list, and as many such keys as it takes for a pair at 0.75 to meet with probability 0.995.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +31,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fogline.llm import _text as X
-from fogline.llm._linking import SMALL_LIST, link
+from fogline.llm._components import connected_components, relabelled
+from fogline.llm._linking import merged
+from fogline.llm._lists import CENTRES, MET, WHOLE, across, leads, meet, sketches
 from fogline.llm._scratch import BROADCAST_KEYS, Scratch
 from fogline.llm.near_dedup import signature_seeds, signatures
 
 SHINGLE_CHARS, SIMILARITY, BANDS, BAND_ROWS = 5, 75, 16, 5
-#: Of the 80 coordinates of two signatures so many must agree before the texts are compared, in hundredths. A pair at 0.75
-#: agrees in 60 on average, and in fewer than 46 in about one of 4,000 cases.
-AGREE = 57
+#: Lists of up to so many lines are compared pair by pair.
+SMALL_LIST = 8
+#: Rows of a dense list that a task compares with the items apart from it.
+SLICE = 1 << 14
 #: Most coordinates that a longer key adds to a band, and the share of pairs at the similarity that such keys may miss.
 DEEPEST, MISSED = 10, 0.005
 #: Lines whose keys a task holds at once, and lines that it remembers as seen.
@@ -140,23 +150,10 @@ def _bytes(packed: np.ndarray, rows: int) -> np.ndarray:
     return packed.astype("<i8").view(np.uint8).reshape(*packed.shape, 8)[:, :, :rows]
 
 
-def _lows(keys: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every key the smallest line of its list here, and whether that list is long enough to be merged here."""
-    flat, owner = keys.ravel(), np.repeat(node, keys.shape[1])
-    order = np.lexsort((owner, flat))
-    fresh = np.ones(len(flat), dtype=bool)
-    fresh[1:] = flat[order][1:] != flat[order][:-1]
-    starts = np.flatnonzero(fresh)
-    sizes = np.diff(np.append(starts, len(flat)))
-    low, merged = np.empty(len(flat), dtype=np.int64), np.empty(len(flat), dtype=bool)
-    low[order], merged[order] = np.repeat(owner[order][starts], sizes), np.repeat(sizes > SMALL_LIST, sizes)
-    return low, merged
-
-
 def _profile(k: int, bands: int, rows: int):
     """Every line that is not blank: node (hash of the tidied line), doc_id, line. The first time that a task meets a line,
-    also its signature (a number per band, a byte per coordinate), and where many of the lines met at about that time share
-    a band, the smallest of them: such lists are merged here, before the shuffle, however often a band's values occur."""
+    also its signature (a number per band, a byte per coordinate), its sketch, and where many close lines met at about that time
+    share a band, a centre of them: such lists are merged here, before the shuffle, however often a band's values occur."""
     seeds = signature_seeds(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +161,15 @@ def _profile(k: int, bands: int, rows: int):
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            node, doc, number, first, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+            node, doc, number, first, sig, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            low, merged = _lows(sig | (np.arange(bands) << BAND_SHIFT), node[first])
+            lead, some = leads(sig | (np.arange(bands) << BAND_SHIFT), node[first], sketch, SMALL_LIST)
             offsets = np.concatenate([[0], np.cumsum(first * bands)]).astype(np.int32)
             starts = pa.array(offsets, mask=np.append(~first, False))  # no list where there is no offset
-            lists = [pa.ListArray.from_arrays(starts, x) for x in (pa.array(sig.ravel()), pa.array(low, mask=~merged))]
-            return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (node, doc, number)), *lists], names=["node", "doc_id", "line", "sig", "lows"])
+            lists = [pa.ListArray.from_arrays(starts, x) for x in (pa.array(sig.ravel()), pa.array(lead, mask=~some))]
+            bits = np.zeros(len(node), dtype=np.int64)
+            bits[first] = sketch
+            return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (node, doc, number)), pa.array(bits, mask=~first), *lists], names=["node", "doc_id", "line", "sketch", "sig", "leads"])
 
         for batch in batches:
             for text, starts, stops, doc, number, node in _chunks(batch):
@@ -183,7 +182,7 @@ def _profile(k: int, bands: int, rows: int):
                 first[at] = True
                 values, per = line_shingles(text, starts[first], stops[first], k)
                 sig = signatures(values, np.concatenate([[0], np.cumsum(per)[:-1]]), seeds) if first.any() else np.zeros((0, bands * rows), dtype=np.uint32)
-                held.append((node, doc, number.astype(np.int32), first, _packed(sig, bands, rows)))
+                held.append((node, doc, number.astype(np.int32), first, _packed(sig, bands, rows), sketches(sig)))
                 if sum(len(h[0]) for h in held) >= HELD_LINES:
                     yield flush()
         if held:
@@ -192,59 +191,20 @@ def _profile(k: int, bands: int, rows: int):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (token, doc, merged) in order of token, the lists of several items: (token, doc, low, large). What is held is a
-    batch and a list that may go on; of a list longer than that only its token and low item."""
-    held = [np.zeros(0, dtype=np.int64)] * 4
-    going: tuple[int, int] | None = None  # a long list of which a part is out already
-
-    def lists(token: np.ndarray, doc: np.ndarray, merged: np.ndarray, is_merged: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, dtype=np.int64)
-        sizes = np.diff(np.append(starts, len(token)))
-        member = is_merged.astype(bool) & (merged != doc)
-        heads = np.where(member, np.iinfo(np.int64).max, doc)
-        low, high = (f.reduceat(x, starts) if len(starts) else heads for f, x in ((np.minimum, heads), (np.maximum, np.where(member, np.iinfo(np.int64).min, doc))))
-        large = (np.add.reduceat((~member).astype(np.int64), starts) > SMALL_LIST) | np.maximum.reduceat(is_merged.astype(np.int64), starts).astype(bool) if len(starts) else np.zeros(0, dtype=bool)
-        if going and len(starts) and token[0] == going[0]:
-            low[0], large[0], high[0] = going[1], True, max(high[0], going[1] + 1)
-        low, high, large = (np.repeat(x, sizes) for x in (low, high, large))
-        keep = (low < high) | is_merged.astype(bool)
-        low = np.where(member, merged, low)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, doc, low, large)], names=["token", "doc", "low", "large"])
+def _met(entries: DataFrame, whole: int) -> DataFrame:
+    """Pairs and dense rows of the lists of (token, doc, sketch, lead). Items that a centre stands for are spread by themselves and
+    not by the key."""
+    spread = F.when(F.col("lead").isNull() | (F.col("lead") == F.col("doc")), F.lit(0)).otherwise(F.xxhash64("doc"))
+    return entries.repartition("token", spread).sortWithinPartitions("token", "doc").mapInArrow(meet(SMALL_LIST, whole), MET)
 
-    for batch in batches:
-        merged = batch.column(2)
-        rows = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(merged.fill_null(0)), np.asarray(merged.is_valid()).astype(np.int64)]
-        held = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        token = held[0]
-        if not len(token):
-            continue
-        cut = int(np.searchsorted(token, token[-1]))  # the last list may go on
-        if len(token) - cut > HELD_LINES:
-            cut = len(token)
-        if cut:
-            out = lists(*(x[:cut] for x in held))
-            going = (int(token[-1]), int(out.column(2)[-1].as_py()) if len(out) and out.column(0)[-1].as_py() == int(token[-1]) else int(held[1][-1])) if cut == len(token) else None
-            held = [x[cut:] for x in held]
-            yield out
-    if len(held[0]):
-        yield lists(*held)
-
-
-def _listed(entries: DataFrame) -> DataFrame:
-    """(token, doc, low, large) of all keys that several items share, from (token, doc, merged). Items that a task has merged
-    already are spread by themselves and not by the key."""
-    spread = F.when(F.col("merged").isNull() | (F.col("merged") == F.col("doc")), F.lit(0)).otherwise(F.xxhash64("doc"))
-    return entries.repartition("token", spread).sortWithinPartitions("token").mapInArrow(_runs, "token long, doc long, low long, large boolean")
-
-
-def key_depth(often: np.ndarray) -> np.ndarray:
-    """Coordinates that are added to the key of a list of this length: one for every halving down to a small list."""
-    return np.clip(np.ceil(np.log2(np.maximum(often, 1) / SMALL_LIST)), 2, DEEPEST).astype(np.int64)
-
-
-def _longer_keys(bands: int, rows: int, similarity: int):
-    """From (token, doc, often, sig): the item again under several keys that hold the token and some more coordinates."""
+
+def key_depth(often: np.ndarray, whole: int) -> np.ndarray:
+    """Coordinates that are added to the key of a list of this length: one for every halving down to one that is compared whole."""
+    return np.clip(np.ceil(np.log2(np.maximum(often, 1) / whole)) + 1, 2, DEEPEST).astype(np.int64)
+
+
+def _longer_keys(bands: int, rows: int, similarity: int, whole: int):
+    """From (token, doc, often, sig, sketch): the item again under several keys that hold the token and some more coordinates."""
     outside = (bands - 1) * rows
     shuffled = np.random.default_rng(17)
     plans = {}
@@ -254,9 +214,9 @@ def _longer_keys(bands: int, rows: int, similarity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, doc = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            token, doc, sketch = (np.asarray(batch.column(i)) for i in (0, 1, 4))
             values = _bytes(np.asarray(batch.column(3).flatten()).reshape(len(batch), bands), rows).reshape(len(batch), bands * rows)
-            depths = key_depth(np.asarray(batch.column(2)))
+            depths = key_depth(np.asarray(batch.column(2)), whole)
             for depth in np.unique(depths):
                 at = np.flatnonzero(depths == depth)
                 after = ((token[at] >> BAND_SHIFT) + 1) * rows  # coordinates outside the band follow it, around the end
@@ -266,7 +226,7 @@ def _longer_keys(bands: int, rows: int, similarity: int):
                         key = X.mix(token[part].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n))
                         for c in chosen:
                             key = X.mix(key + values[part, (first + c) % (bands * rows)].astype(np.uint64) + np.uint64(1))
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[part]), pa.nulls(len(part), pa.int64())], names=["token", "doc", "merged"])
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key.view(np.int64), doc[part], sketch[part])), pa.nulls(len(part), pa.int64())], names=["token", "doc", "sketch", "lead"])
 
     return run
 
@@ -286,18 +246,6 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(X.span_hashes(text, starts, stops).view(np.int64)), lines.cast(pa.string())], names=["doc", "text"])
 
 
-def _shingle_sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in X.chunks(batch.column(2)):
-                sets = X.distinct_by_doc(*line_shingles(chunk.data, chunk.offsets[:-1], chunk.offsets[1:], k))
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), batch.column(1).slice(chunk.first, len(chunk)), shingles], names=["doc", "component", "shingles"])
-
-    return run
-
-
 def _sized(k: int):
     """Adds the number of distinct shingles to (doc, text)."""
 
@@ -309,17 +257,6 @@ def _sized(k: int):
     return run
 
 
-def _agree(bands: int, rows: int, percent: int):
-    """Whether two signatures, one after the other, have enough equal coordinates."""
-
-    @F.arrow_udf("boolean")
-    def run(both: pa.Array) -> pa.Array:
-        flat = _bytes(np.asarray(both.flatten()).reshape(len(both), 2 * bands), rows).reshape(len(both), 2, bands * rows)
-        return pa.array(100 * (flat[:, 0] == flat[:, 1]).sum(axis=1) >= percent * bands * rows)
-
-    return run
-
-
 def _alike(k: int, similarity: int):
     """Whether two lines reach the similarity, from all their shingles; n is the size of both sets together.
 
@@ -344,6 +281,57 @@ def _alike(k: int, similarity: int):
     return run
 
 
+def _apart(dense: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows of the dense lists that are several components: (token, doc, sketch, component, often, top, minors), with the length of
+    the list, its largest component, and how many of its items are not of that."""
+    rows = scratch.write(relabelled(dense.withColumn("component", F.col("doc")), "component", found, scratch), f"{name}_rows")
+    parts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    lists = parts.groupBy(F.col("token").alias("_token")).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("often"))
+    lists = lists.select("_token", "often", F.col("top.component").alias("top"), (F.col("often") - F.col("top.n")).alias("minors")).where("minors > 0")
+    lists = scratch.sized(scratch.write(lists, f"{name}_lists"), BROADCAST_KEYS // 4)
+    return scratch.write(rows.join(lists, rows["token"] == lists["_token"]).drop("_token"), f"{name}_live")
+
+
+def _across(live: DataFrame, closest: int | None) -> DataFrame:
+    """Close pairs (a, b) of the items outside the largest component of a list with items of other components. A list is cut into
+    slices of a bounded size, each with all items that are apart, so a long list is no single task."""
+    slices = F.ceil(F.col("often") / SLICE).cast("int")
+    columns = ["doc", "sketch", "component"]
+    rest = live.select("token", F.pmod(F.xxhash64("doc"), slices).cast("int").alias("slice"), F.lit(1).alias("rest"), *columns)
+    minors = live.where("component <> top").select("token", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(0).alias("rest"), *columns)
+    rows = rest.unionByName(minors).repartition("token", "slice").sortWithinPartitions("token", "slice", "rest")
+    return rows.mapInArrow(across(closest), "a long, b long").distinct()
+
+
+def _linked(entries: DataFrame, signed: DataFrame, scratch: Scratch, confirmed: Callable[[DataFrame], DataFrame], longer_keys, whole: int) -> DataFrame:
+    """Components (node, component) of the lines posted as (token, doc, sketch, lead); ``confirmed`` gives those of the pairs
+    (a, b) that are links, ``longer_keys`` posts (token, doc, often, sig, sketch) again."""
+
+    def pairs_of(met: DataFrame) -> DataFrame:
+        return met.where("a is not null").select("a", "b").distinct()
+
+    def dense_of(met: DataFrame) -> DataFrame:
+        return met.where("token is not null").select("token", "doc", "sketch").distinct()
+
+    met = scratch.write(_met(entries, whole), "met")
+    found = connected_components(scratch.write(confirmed(pairs_of(met)), "links"), scratch)
+    live = _apart(dense_of(met), found, scratch, "first")
+    if not live.limit(1).count():
+        return found
+    few, many = live.where(F.col("minors") <= whole), live.where(F.col("minors") > whole)
+    pairs, dense = _across(few, CENTRES), few.select("token", "doc", "sketch")
+    if many.limit(1).count():
+        rows = many.join(signed.select("doc", "sig").dropDuplicates(["doc"]), "doc").select("token", "doc", "often", "sig", "sketch")
+        longer = scratch.write(_met(rows.mapInArrow(longer_keys, "token long, doc long, sketch long, lead long"), whole), "longer")
+        sides = relabelled(relabelled(pairs_of(longer).select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), "x", found, scratch), "y", found, scratch)
+        pairs, dense = pairs.unionByName(sides.where("x <> y").select("a", "b")).distinct(), dense.unionByName(dense_of(longer))
+    found = merged(found, confirmed(pairs), scratch, "second_cc")
+    live = _apart(dense, found, scratch, "second")
+    if live.limit(1).count():
+        found = merged(found, confirmed(_across(live, None)), scratch, "third_cc")
+    return found
+
+
 def repeated_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -352,26 +340,24 @@ def repeated_lines(
     similarity: int = SIMILARITY,
     bands: int = BANDS,
     band_rows: int = BAND_ROWS,
+    whole_list: int = WHOLE,
 ) -> DataFrame:
     """Lines to drop: (doc_id, line from 0, kept_doc_id, kept_line), one row per line that repeats an earlier one.
 
     Of each component the line with the smallest (doc_id, line) stays. Blank lines are never dropped; null and empty texts
     have none. Rows with a null id are left alone; rows that repeat an id count as one document. Other columns are ignored;
-    an empty table gives an empty result.
+    an empty table gives an empty result. Very long lines count whole. Lists with more than ``whole_list`` items apart are posted
+    again under longer keys; the result does not depend on it but for what such keys miss (``MISSED``).
     """
     scratch = Scratch(docs.sparkSession, "lines")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    profile = base.mapInArrow(_profile(shingle_chars, bands, band_rows), "node long, doc_id long, line int, sig array<long>, lows array<long>")
+    profile = base.mapInArrow(_profile(shingle_chars, bands, band_rows), "node long, doc_id long, line int, sketch long, sig array<long>, leads array<long>")
     profile = scratch.write(profile, "profile")
     occurrences = profile.select("node", "doc_id", "line")
-    marked = profile.where("sig is not null").select(F.col("node").alias("doc"), "sig", "lows")
-
-    entries = marked.select("doc", F.posexplode(F.arrays_zip("sig", "lows")).alias("band", "entry"))
+    signed = profile.where("sig is not null").select(F.col("node").alias("doc"), "sketch", "sig", "leads")
+    entries = signed.select("doc", "sketch", F.posexplode(F.arrays_zip("sig", "leads")).alias("band", "entry"))
     token = F.shiftleft(F.col("band").cast("long"), BAND_SHIFT).bitwiseOR(F.col("entry.sig"))
-    posted = scratch.write(_listed(entries.select(token.alias("token"), "doc", F.col("entry.lows").alias("merged"))), "posted")
-
-    met = scratch.sized(scratch.write(posted.select(F.col("doc").alias("met")).union(posted.select("low")).distinct(), "met"))
-    sigs = scratch.write(marked.select("doc", "sig").join(met, F.col("doc") == F.col("met"), "left_semi").dropDuplicates(["doc"]), "sigs")
+    entries = entries.select(token.alias("token"), "doc", "sketch", F.col("entry.leads").alias("lead"))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """(doc, text) of the nodes, each read from the first document that holds it."""
@@ -382,12 +368,7 @@ def repeated_lines(
         return base.join(asked, base["doc_id"] == asked["_doc"]).select("doc_id", "text", "lines").mapInArrow(_line_texts, "doc long, text string").dropDuplicates(["doc"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.write(pairs, "pairs")
-        ends = scratch.sized(scratch.write(pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct(), "ends"))
-        near = sigs.join(ends, sigs["doc"] == ends["end"], "left_semi")
-        a, b = (near.select(F.col("doc").alias(k), F.col("sig").alias(f"sig_{k}")) for k in ("a", "b"))
-        close = pairs.join(a, "a").join(b, "b").where(_agree(bands, band_rows, AGREE)(F.concat("sig_a", "sig_b"))).select("a", "b")
-        close = scratch.write(close, "close")
+        close = scratch.write(pairs, "close")
         wanted = scratch.write(close.select(F.col("a").alias("doc")).union(close.select("b")).distinct(), "wanted")
         texts = scratch.write(texts_of(wanted).mapInArrow(_sized(shingle_chars), "doc long, text string, n int"), "texts")
         a, b = (texts.select(F.col("doc").alias(k), F.col("text").alias(f"text_{k}"), F.col("n").alias(f"n_{k}")) for k in ("a", "b"))
@@ -395,16 +376,7 @@ def repeated_lines(
         alike = _alike(shingle_chars, similarity)(F.concat("text_a", "text_b"), F.octet_length("text_a"), F.col("n_a") + F.col("n_b"))
         return both.where(alike).select("a", "b")
 
-    def with_sets(live: DataFrame) -> DataFrame:
-        texts = scratch.write(texts_of(live), "live_texts")
-        return live.join(texts, "doc").select("doc", "component", "text").mapInArrow(_shingle_sets(shingle_chars), "doc long, component long, shingles array<bigint>")
-
-    def finer(lists: DataFrame) -> DataFrame:
-        """Items of long lists under longer keys."""
-        rows = lists.join(sigs, "doc").select("token", "doc", "often", "sig")
-        return _listed(rows.mapInArrow(_longer_keys(bands, band_rows, similarity), "token long, doc long, merged long"))
-
-    found = link(posted, similarity, scratch, confirmed, with_sets, finer)
+    found = _linked(entries, signed, scratch, confirmed, _longer_keys(bands, band_rows, similarity, whole_list), whole_list)
 
     firsts = occurrences.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("times"))
     labels = found.select(F.col("node").alias("linked"), "component")
@@ -415,7 +387,7 @@ def repeated_lines(
     keep = scratch.write(placed.join(keepers, placed["component"] == keepers["_component"]).select(F.col("node").alias("repeated"), "keep"), "keep")
     keep = scratch.sized(keep, BROADCAST_KEYS // 4)
     dropped = occurrences.join(keep, occurrences["node"] == keep["repeated"]).where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")))
-    scratch.drop("posted", "pairs", "ends", "met", "sigs", "close", "wanted", "texts", "live_texts", "asked")
+    scratch.drop("met", "longer", "links", "close", "wanted", "texts", "asked", *(f"{w}_{t}" for w in ("first", "second") for t in ("rows", "lists", "live")))
     return dropped.select("doc_id", "line", F.col("keep.doc_id").alias("kept_doc_id"), F.col("keep.line").alias("kept_line")).distinct()
 
 
