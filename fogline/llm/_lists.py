@@ -165,14 +165,17 @@ def meet(small: int, whole: int = WHOLE):
     return run
 
 
-def across(closest: int | None):
-    """From (token, slice, rest, doc, sketch, component) in order of the first three: close pairs (a, b) of different components,
-    of an item that comes with ``rest`` = 0 and one with 1. All of them, or of each item its ``closest`` ones in a batch."""
+def across(closest: int | None, similarity: int):
+    """From (token, slice, rest, doc, sketch, component, n, reach) in order of the first three: close pairs (a, b) of different
+    components, of an item that comes with ``rest`` = 0 and one with 1. All of them, or of each item its ``closest`` ones in a
+    batch. ``n`` is the size of an item's set and ``reach`` how much of it any other item can share: two sets at the similarity s
+    (in hundredths) share s / (100 + s) of both sizes together, so what cannot reach that is no pair. Zeros if not known."""
 
     def compared(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for i in range(0, len(x[0]), BLOCK):
             part = [c[i : i + BLOCK] for c in x]
-            bits = np.where(part[2][:, None] != y[2][None, :], agreement(part[1][:, None], y[1][None, :]), 0)
+            able = (100 + similarity) * np.minimum(part[4][:, None], y[4][None, :]) >= similarity * (part[3][:, None] + y[3][None, :])
+            bits = np.where(able & (part[2][:, None] != y[2][None, :]), agreement(part[1][:, None], y[1][None, :]), 0)
             if closest and closest < bits.shape[1]:
                 best = np.argpartition(bits, -closest, axis=1)[:, -closest:]
                 kept = np.zeros_like(bits)

@@ -15,7 +15,8 @@ chance never becomes a row. Candidates are confirmed in waves with components fo
 
 1. an item close to few others of its list with all of them, an item in a dense part with the closest of some centres;
 2. in dense lists that are still several components, the items outside the largest one with the closest items of others;
-3. the same items with all close items of other components, so that no pair is left out.
+3. the same items with all close items of other components, so that no pair is left out but those that cannot reach the
+   similarity: in a long list, an item shares with any other at most the shingles that occur in another item at all.
 
 A list of very many items apart is posted again under longer keys before that: the band and some further coordinates, the more
 the longer the list, and as many such keys as it takes for a pair at 0.75 to meet with probability 0.995.
@@ -42,6 +43,8 @@ SHINGLE_CHARS, SIMILARITY, BANDS, BAND_ROWS = 5, 75, 16, 5
 SMALL_LIST = 8
 #: Rows of a dense list that a task compares with the items apart from it.
 SLICE = 1 << 14
+#: Dense lists longer than this count which shingles of the items apart occur elsewhere before these meet all the others.
+LONG = 64
 #: Most coordinates that a longer key adds to a band, and the share of pairs at the similarity that such keys may miss.
 DEEPEST, MISSED = 10, 0.005
 #: Lines whose keys a task holds at once, and lines that it remembers as seen.
@@ -246,12 +249,42 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(X.span_hashes(text, starts, stops).view(np.int64)), lines.cast(pa.string())], names=["doc", "text"])
 
 
+def _shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[X.Chunk, list[np.ndarray]]]:
+    for chunk in X.chunks(column):
+        yield chunk, X.distinct_by_doc(*line_shingles(chunk.data, chunk.offsets[:-1], chunk.offsets[1:], k))
+
+
+def _occurring(k: int):
+    """From (doc, text): every shingle of some lines once, with the number of these lines that hold it. Near copies share most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sets in _shingle_sets(batch.column(1), k):
+                shingle, times = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(times.astype(np.int64))], names=["shingle", "times"])
+
+    return run
+
+
+def _exploded(k: int):
+    """From (doc, text): (doc, shingle)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = np.asarray(batch.column(0))
+            for chunk, sets in _shingle_sets(batch.column(1), k):
+                owner = np.repeat(docs[chunk.first : chunk.first + len(chunk)], [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(sets).view(np.int64))], names=["doc", "shingle"])
+
+    return run
+
+
 def _sized(k: int):
     """Adds the number of distinct shingles to (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [len(s) for chunk in X.chunks(batch.column(1)) for s in X.distinct_by_doc(*line_shingles(chunk.data, chunk.offsets[:-1], chunk.offsets[1:], k))]
+            sizes = [len(x) for _, sets in _shingle_sets(batch.column(1), k) for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32())], names=["doc", "text", "n"])
 
     return run
@@ -292,20 +325,48 @@ def _apart(dense: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> D
     return scratch.write(rows.join(lists, rows["token"] == lists["_token"]).drop("_token"), f"{name}_live")
 
 
-def _across(live: DataFrame, closest: int | None) -> DataFrame:
+def _across(live: DataFrame, closest: int | None, similarity: int) -> DataFrame:
     """Close pairs (a, b) of the items outside the largest component of a list with items of other components. A list is cut into
     slices of a bounded size, each with all items that are apart, so a long list is no single task."""
     slices = F.ceil(F.col("often") / SLICE).cast("int")
-    columns = ["doc", "sketch", "component"]
+    if "reach" not in live.columns:
+        live = live.withColumns({"n": F.lit(0).cast("long"), "reach": F.lit(0).cast("long")})
+    columns = ["doc", "sketch", "component", "n", "reach"]
     rest = live.select("token", F.pmod(F.xxhash64("doc"), slices).cast("int").alias("slice"), F.lit(1).alias("rest"), *columns)
     minors = live.where("component <> top").select("token", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(0).alias("rest"), *columns)
     rows = rest.unionByName(minors).repartition("token", "slice").sortWithinPartitions("token", "slice", "rest")
-    return rows.mapInArrow(across(closest), "a long, b long").distinct()
-
-
-def _linked(entries: DataFrame, signed: DataFrame, scratch: Scratch, confirmed: Callable[[DataFrame], DataFrame], longer_keys, whole: int) -> DataFrame:
+    return rows.mapInArrow(across(closest, similarity), "a long, b long").distinct()
+
+
+def _reaching(live: DataFrame, texts: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """``live`` with n, the shingles of an item, and reach, how many of them occur in another item of a long list; zeros in short
+    lists. ``texts`` has doc and text of the items of long lists. Shingles are equal if their hashes are, so reach is never too low."""
+    in_long = F.col("often") > LONG
+    minors = live.where(in_long & (F.col("component") != F.col("top"))).select(F.col("doc").alias("_minor")).distinct()
+    minors = scratch.sized(scratch.write(minors, "minors"))
+    common = texts.mapInArrow(_occurring(k), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times")).where("times > 1")
+    held = texts.join(minors, texts["doc"] == minors["_minor"], "left_semi").mapInArrow(_exploded(k), "doc long, shingle long")
+    reach = held.join(common, "shingle", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("reach"))
+    sizes = texts.mapInArrow(_sized(k), "doc long, text string, n int").select("doc", F.col("n").cast("long").alias("n"))
+    bounds = sizes.join(reach, "doc", "left").select(F.col("doc").alias("_doc"), F.col("n").alias("_n"), F.coalesce("reach", "n").alias("_reach"))
+    bounds = scratch.sized(scratch.write(bounds, "bounds"), BROADCAST_KEYS // 4)
+    known = in_long & F.col("_n").isNotNull()
+    joined = live.join(bounds, live["doc"] == bounds["_doc"], "left")
+    return joined.select(*live.columns, *(F.when(known, F.col(f"_{c}")).otherwise(F.lit(0)).alias(c) for c in ("n", "reach")))
+
+
+def _linked(
+    entries: DataFrame,
+    signed: DataFrame,
+    similarity: int,
+    scratch: Scratch,
+    confirmed: Callable[[DataFrame], DataFrame],
+    reaching: Callable[[DataFrame], DataFrame],
+    longer_keys,
+    whole: int,
+) -> DataFrame:
     """Components (node, component) of the lines posted as (token, doc, sketch, lead); ``confirmed`` gives those of the pairs
-    (a, b) that are links, ``longer_keys`` posts (token, doc, often, sig, sketch) again."""
+    (a, b) that are links, ``reaching`` adds n and reach to rows of lists, ``longer_keys`` posts (token, doc, often, sig, sketch) again."""
 
     def pairs_of(met: DataFrame) -> DataFrame:
         return met.where("a is not null").select("a", "b").distinct()
@@ -319,7 +380,7 @@ def _linked(entries: DataFrame, signed: DataFrame, scratch: Scratch, confirmed:
     if not live.limit(1).count():
         return found
     few, many = live.where(F.col("minors") <= whole), live.where(F.col("minors") > whole)
-    pairs, dense = _across(few, CENTRES), few.select("token", "doc", "sketch")
+    pairs, dense = _across(few, CENTRES, similarity), few.select("token", "doc", "sketch")
     if many.limit(1).count():
         rows = many.join(signed.select("doc", "sig").dropDuplicates(["doc"]), "doc").select("token", "doc", "often", "sig", "sketch")
         longer = scratch.write(_met(rows.mapInArrow(longer_keys, "token long, doc long, sketch long, lead long"), whole), "longer")
@@ -328,7 +389,7 @@ def _linked(entries: DataFrame, signed: DataFrame, scratch: Scratch, confirmed:
     found = merged(found, confirmed(pairs), scratch, "second_cc")
     live = _apart(dense, found, scratch, "second")
     if live.limit(1).count():
-        found = merged(found, confirmed(_across(live, None)), scratch, "third_cc")
+        found = merged(found, confirmed(_across(reaching(live), None, similarity)), scratch, "third_cc")
     return found
 
 
@@ -376,7 +437,13 @@ def repeated_lines(
         alike = _alike(shingle_chars, similarity)(F.concat("text_a", "text_b"), F.octet_length("text_a"), F.col("n_a") + F.col("n_b"))
         return both.where(alike).select("a", "b")
 
-    found = _linked(entries, signed, scratch, confirmed, _longer_keys(bands, band_rows, similarity, whole_list), whole_list)
+    def reaching(live: DataFrame) -> DataFrame:
+        items = scratch.write(live.where(F.col("often") > LONG).select("doc").distinct(), "items")
+        if not items.limit(1).count():
+            return live
+        return _reaching(live, scratch.write(texts_of(items), "live_texts"), shingle_chars, scratch)
+
+    found = _linked(entries, signed, similarity, scratch, confirmed, reaching, _longer_keys(bands, band_rows, similarity, whole_list), whole_list)
 
     firsts = occurrences.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("times"))
     labels = found.select(F.col("node").alias("linked"), "component")
@@ -387,7 +454,7 @@ def repeated_lines(
     keep = scratch.write(placed.join(keepers, placed["component"] == keepers["_component"]).select(F.col("node").alias("repeated"), "keep"), "keep")
     keep = scratch.sized(keep, BROADCAST_KEYS // 4)
     dropped = occurrences.join(keep, occurrences["node"] == keep["repeated"]).where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")))
-    scratch.drop("met", "longer", "links", "close", "wanted", "texts", "asked", *(f"{w}_{t}" for w in ("first", "second") for t in ("rows", "lists", "live")))
+    scratch.drop("met", "longer", "links", "close", "wanted", "texts", "asked", "items", "live_texts", "minors", "bounds", *(f"{w}_{t}" for w in ("first", "second") for t in ("rows", "lists", "live")))
     return dropped.select("doc_id", "line", F.col("keep.doc_id").alias("kept_doc_id"), F.col("keep.line").alias("kept_line")).distinct()
 
 

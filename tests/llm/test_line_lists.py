@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from fogline.llm import _lists, line_dedup
+from fogline.llm._scratch import Scratch
 from tests.conftest import MEDIUM
 
 
@@ -72,10 +73,10 @@ def variants(rng, groups, each, words, edits):
     return [(i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("whole, parts", [(4096, 3), (4, 1), (4, 5)])
-def test_dense_groups_at_the_similarity_lose_no_link(spark, whole, parts):
+@pytest.mark.parametrize("whole, parts, groups, each", [(4096, 3, 2, 150), (4, 1, 5, 60), (4, 5, 5, 60)])
+def test_dense_groups_at_the_similarity_lose_no_link(spark, whole, parts, groups, each):
     """Groups whose members lie on both sides of the similarity; with a short ``whole_list``, under longer keys."""
-    texts = variants(random.Random(31), 5, 60, 30, 6)
+    texts = variants(random.Random(31), groups, each, 30, 6)
     docs = spark.createDataFrame(pd.DataFrame(texts, columns=["doc_id", "text"])).repartition(parts)
     want = exact_repeats(texts)
     got = dropped(docs, whole_list=whole)
@@ -135,16 +136,28 @@ def test_across_meets_all_close_items_of_other_components():
     rng = random.Random(47)
     base = rng.getrandbits(63)
     items = [(d, base ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(14))), rng.choice([1, 1, 1, d])) for d in range(300)]
+    size, reach = rng.choices([100, 130, 160], k=300), rng.choices([0, 20], k=300)
+    items = [(*x, size[x[0]], size[x[0]] - reach[x[0]]) for x in items]
     rows = [(9, 0, 0, *x) for x in items if x[2] != 1] + [(9, 0, 1, *x) for x in items] + [(10, 0, 1, *x) for x in items[:3]]
-    table = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=list("tsrdkc"))
+    table = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(8)], names=list("tsrdkcnm"))
 
     def met(closest):
-        return {(r["a"], r["b"]) for n in (17,) for out in _lists.across(closest)(table.slice(i, n) for i in range(0, len(rows), n)) for r in out.to_pylist()}
+        return {(r["a"], r["b"]) for n in (17,) for out in _lists.across(closest, 75)(table.slice(i, n) for i in range(0, len(rows), n)) for r in out.to_pylist()}
 
-    want = {(x[0], y[0]) for x in items for y in items if x[0] < y[0] and x[2] != y[2] and close(x[1], y[1])}
+    want = {(x[0], y[0]) for x in items for y in items if x[0] < y[0] and x[2] != y[2] and close(x[1], y[1]) and 175 * min(x[4], y[4]) >= 75 * (x[3] + y[3])}
     assert met(None) == want and met(2) < want and {x for p in met(2) for x in p} >= {x[0] for x in items if x[2] != 1 and any(x[0] in p for p in want)}
 
 
+def test_reach_counts_what_another_item_holds(spark):
+    texts = [(1, "abcdefgh"), (2, "abcdefxx"), (3, "zzzzzzz"), (4, "abcdefgh1")]
+    frame = spark.createDataFrame(texts, "doc long, text string")
+    rows = [(7, d, d, 1, o) for o in (100, 3) for d, _ in texts]
+    live = spark.createDataFrame(rows, "token long, doc long, component long, top long, often long")
+    got = {(r.doc, r.often): (r.n, r.reach) for r in line_dedup._reaching(live, frame, 5, Scratch(spark, "test")).collect()}
+    assert {d: got[d, 100] for d in (1, 2, 3, 4)} == {1: (4, 4), 2: (4, 2), 3: (1, 1), 4: (5, 4)}
+    assert {got[d, 3] for d in (1, 2, 3, 4)} == {(0, 0)}
+
+
 @pytest.mark.parametrize("similarity, least", [(0.75, 0.999), (0.9, 1.0)])
 def test_sketches_keep_pairs_at_the_similarity(similarity, least):
     rng = np.random.default_rng(53)
