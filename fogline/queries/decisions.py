@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from fogline.operators import decide, features, qc
@@ -167,10 +169,10 @@ def hail(spark, sf_dir):
 SELECT event_id, CASE WHEN seen THEN round(s, 6) END::DOUBLE AS score, CASE WHEN NOT seen THEN NULL WHEN s >= 0.66 THEN 'High' WHEN s >= 0.33 THEN 'Moderate' ELSE 'Low' END AS risk_class, CASE WHEN NOT seen THEN 'no_velocity' END AS abstained FROM d""")
 def downburst(spark, sf_dir):
     rows = C.events(spark, sf_dir).select(
-        "event_id", (F.col("event_type") != "error").alias("has_velocity"), (F.col("value") / 500).alias("divergence_norm"), (F.col("k") / 100).alias("descending_core"), F.lit(0.5).alias("marc_norm"),
-        ((F.col("user_id") % 10) / 10).alias("dcape_norm"), F.lit(0.2).alias("dry_midlevel"),
+        "event_id", (F.col("event_type") != "error").alias("has_velocity"), F.col("value").alias("divergence_norm"), F.col("k").alias("descending_core"), F.lit(Decimal("0.5")).alias("marc_norm"),
+        (F.col("user_id") % 10).alias("dcape_norm"), F.lit(Decimal("0.2")).alias("dry_midlevel"),
     )
-    return C.rounded(decide.downburst_score(rows).select("event_id", "score", "risk_class", "abstained"))
+    return C.rounded(decide.downburst_score(rows, {"divergence_norm": 500, "descending_core": 100, "dcape_norm": 10}).select("event_id", "score", "risk_class", "abstained"))
 
 
 @query("SELECT event_id, round(least(greatest(value / 250 - 0.2, 0.0), 1.0), 6) AS cloudburst_prior, NULL::DOUBLE AS probability, true AS prior_only FROM events")
