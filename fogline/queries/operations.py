@@ -12,7 +12,7 @@ from fogline.queries._registry import query
 @query(f"""WITH {C.EVENTS} SELECT event_type AS domain, epoch_us(date_trunc('day', ts)) // 1000000 AS day_s, count(*) AS cycles, count(*) FILTER (WHERE k % 4 = 1) AS abstained,
 round(quantile_disc(value, 0.95), 6) AS latency_s, (arg_max(k % 5, struct_pack(t := ts, k := k % 5)))::BIGINT AS rung, round(count(*) FILTER (WHERE k % 4 = 1) / count(*)::DOUBLE, 6) AS abstention_rate FROM ev GROUP BY ALL""")
 def operations_by_day(spark, sf_dir):
-    """Latency p95, rung and abstentions a day, from windows of six hours whose sketches are merged."""
+    """Latency p95, rung and abstentions a day, from windows of six hours whose counts are merged."""
     k = F.col("k")
     cycles = C.events(spark, sf_dir).select(F.col("event_type").alias("domain"), F.col("ts").alias("at"), F.col("value").alias("latency_s"), (k % 5).alias("rung"), (k % 4 == 1).alias("abstained"))
     found = operations.window_report(operations.merge_windows(operations.cycle_windows(cycles, 360), 1440))
