@@ -70,11 +70,31 @@ def detect_objects(cells: DataFrame, threshold: float, nx: int, keys: Sequence[s
     return active.groupBy(*keys).applyInPandas(run, f"{key_ddl}, {DETECTION}")
 
 
+#: Most ids that one row carries while pairs of objects are made.
+SLICE = 512
+
+
+def _alike(objects: DataFrame, keys: Sequence[str], side: str) -> tuple[DataFrame, DataFrame]:
+    """Objects with the same cells as one: (keys, side, cells) with one of them for all, and (keys, side, side_ids) with all ids of each, in slices."""
+    known = F.filter(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cells")))), lambda c: c.isNotNull())
+    each = objects.groupBy(*keys, "id").agg(known.alias("cells")).where(F.size("cells") > 0)
+    of = each.groupBy(*keys, "cells").agg(F.min(F.struct("id")).alias(side), F.ceil(F.count(F.lit(1)) / SLICE).alias("_parts"))
+    members = each.join(of, [*keys, "cells"]).select(*keys, "id", side, F.pmod(F.xxhash64("id"), F.col("_parts")).alias("_part"))
+    ids = F.transform(F.collect_list(F.struct("id")), lambda x: x["id"])  # null ids too
+    return of.select(*keys, side, "cells"), members.groupBy(*keys, side, "_part").agg(ids.alias(f"{side}_ids")).drop("_part")
+
+
 def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, a_id, b_id) of objects (id, cells) that share a cell."""
-    x = a.select(*keys, F.col("id").alias("a_id"), F.explode("cells").alias("cell"))
-    y = b.select(*keys, F.col("id").alias("b_id"), F.explode("cells").alias("cell"))
-    return x.join(y, [*keys, "cell"]).select(*keys, "a_id", "b_id").distinct()
+    """(keys, a_id, b_id) of objects (id, cells) that share a cell.
+
+    Objects with the same cells are compared as one, so what is shuffled are pairs of different sets of cells. The ids behind
+    them come in slices and are paired last, row by row, where they lie; a pair is made once.
+    """
+    x, a_ids = _alike(a, keys, "_a")
+    y, b_ids = _alike(b, keys, "_b")
+    met = x.select(*keys, "_a", F.explode("cells").alias("_cell")).join(y.select(*keys, "_b", F.explode("cells").alias("_cell")), [*keys, "_cell"]).select(*keys, "_a", "_b").distinct()
+    slices = met.join(a_ids, [*keys, "_a"]).join(b_ids, [*keys, "_b"])
+    return slices.select(*keys, F.explode("_a_ids").alias("a_id"), "_b_ids").select(*keys, "a_id", F.explode("_b_ids").alias("b_id"))
 
 
 def assign_min_cost(cost: np.ndarray) -> list[tuple[int, int]]:
