@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fogline.functions.globe import EARTH_KM, Globe
+
 DEFINITION_VERSION = "1"
 #: Hazards and whether each is a proxy.
 HAZARDS = {
@@ -22,7 +24,6 @@ SCHEMA = (
     "event_id string, hazard string, definition_version string, grade string, obs_time timestamp, latitude double, longitude double, source string, "
     f"radius_km double, location_error_km double, time_error_min double, synthetic boolean, proxy boolean, evidence {EVIDENCE}"
 )
-EARTH_KM = 6371.0088
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -94,16 +95,18 @@ def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 def near_in_space_and_time(points: DataFrame, events: DataFrame, radius_km: float, window_min: float, before: bool = False) -> DataFrame:
     """(point_id, event_id, km, minutes) of events within the radius and the minutes after a point (and before, if asked).
 
-    Points and events meet in bins of latitude and time
-    as wide as the limits, so a point meets the events of nine bins and not all.
+    Events are dealt to the bins of the globe and of time that their circle and window touch, a point lies in one, so only
+    what is near in both is compared. A null or NaN coordinate or a null time is near nothing.
     """
-    step_lat, step_s = radius_km / 111.0, int(window_min * 60)
-    lat_bin = lambda c: F.floor(c / F.lit(step_lat))
-    time_bin = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / step_s)
-    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    p = points.select("point_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.col("at").alias("p_at")).withColumn("_y", F.explode(F.transform(around, lambda d: lat_bin(F.col("p_lat")) + d)))
-    p = p.withColumn("_t", F.explode(F.transform(around, lambda d: time_bin(F.col("p_at")) + d)))
-    e = events.select("event_id", "lat", "lon", "at", lat_bin(F.col("lat")).alias("_y"), time_bin(F.col("at")).alias("_t"))
+    globe, width = Globe(radius_km), max(1, round(window_min * 60e6))
+    micros, back = F.unix_micros(F.col("at").cast("timestamp")), round(window_min * 60e6) if before else 0
+    lat, lon = F.col("lat").cast("double"), F.col("lon").cast("double")
+    sane = lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon) & F.col("at").isNotNull()
+    p = points.where(sane).select("point_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.col("at").alias("p_at"), globe.band(lat).alias("_band"), F.floor(micros / width).alias("_time"))
+    p = p.withColumn("_bin", globe.bin(F.col("p_lon"), globe.bins(F.col("_band"))))
+    e = events.where(sane).select("event_id", "lat", "lon", "at", F.explode(globe.around(lat, lon)).alias("_cell"), micros.alias("_at"))
+    e = e.withColumn("_time", F.explode(F.sequence(F.floor((F.col("_at") - round(window_min * 60e6)) / width), F.floor((F.col("_at") + back) / width))))
+    e = e.select("event_id", "lat", "lon", "at", F.col("_cell.band").alias("_band"), F.col("_cell.bin").alias("_bin"), "_time")
     minutes = (F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("p_at").cast("timestamp"))) / F.lit(6e7)
-    rows = p.join(e, ["_y", "_t"]).select("point_id", "event_id", distance_km(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")).alias("km"), minutes.alias("minutes"))
+    rows = p.join(e, ["_band", "_bin", "_time"]).select("point_id", "event_id", distance_km(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")).alias("km"), minutes.alias("minutes"))
     return rows.where((F.col("km") <= radius_km) & F.col("minutes").between(-window_min if before else 0, window_min))
