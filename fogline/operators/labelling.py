@@ -5,14 +5,13 @@ The hazard definitions name these rules; what counts as near is a parameter with
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fogline.functions.numeric import at_least
 from fogline.functions.tables import cut
-from fogline.sources.labels import EARTH_KM, distance_km
+from fogline.functions.globe import Globe as _Globe
+from fogline.sources.labels import distance_km
 
 #: Fixed values of the hazard definitions: kilometres and minutes.
 LIGHTNING_KM, HAIL_KM, HAIL_MIN, GUST_KM, GUST_MIN = 8.0, 25.0, 45.0, 25.0, 30.0
@@ -23,56 +22,24 @@ def _micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-class _Globe:
-    """Bins of latitude bands as high as the radius; a band has as many bins of longitude as keep them as wide at its far edge."""
-
-    def __init__(self, radius_km: float):
-        self.radius = radius_km / EARTH_KM
-        self.step = math.degrees(self.radius) * 1.0001  # a hair more, so that rounding moves no pair apart
-        self.top = math.floor(180 / self.step)
-
-    def band(self, lat: Column) -> Column:
-        return F.least(F.floor((lat + 90) / self.step), F.lit(self.top)).cast("long")
-
-    def bins(self, band: Column) -> Column:
-        edge = F.greatest(F.abs(band * self.step - 90), F.abs((band + 1) * self.step - 90))
-        return F.greatest(F.floor(360 / self.step * F.cos(F.radians(F.least(edge, F.lit(90.0))))), F.lit(1)).cast("long")
-
-    def bin(self, lon: Column, bins: Column) -> Column:
-        return F.pmod(F.floor((lon + 180) / 360 * bins), bins).cast("long")
-
-    def around(self, lat: Column, lon: Column) -> Column:
-        """All (band, bin) that may hold a point within the radius."""
-        far = F.abs(lat) + math.degrees(self.radius) >= 90  # the circle holds a pole: every longitude
-        reach = F.when(far, 180.0).otherwise(F.degrees(F.asin(F.least(math.sin(self.radius) / F.cos(F.radians(F.when(far, 0.0).otherwise(lat))), F.lit(1.0)))) * 1.0001)
-        bands = F.sequence(F.greatest(self.band(lat) - 1, F.lit(0)), F.least(self.band(lat) + 1, F.lit(self.top)))
-
-        def of(band: Column) -> Column:
-            n = self.bins(band)
-            low, high = F.floor((lon - reach + 180) / 360 * n), F.floor((lon + reach + 180) / 360 * n)
-            return F.transform(F.sequence(low, F.least(high, low + n - 1)), lambda k: F.struct(band.alias("band"), F.pmod(k, n).cast("long").alias("bin")))
-
-        return F.flatten(F.transform(bands, of))
-
-
 def has_match(points: DataFrame, events: DataFrame, radius_km: float, after_min: float, before_min: float = 0.0, point_id: str = "point_id") -> DataFrame:
     """``points`` with ``positive``: whether any event lies within the radius, from ``before_min`` before to ``after_min`` after.
 
     ``points`` has point_id (unique), lat, lon and at; ``events`` lat, lon and at. Both limits are inclusive. A point or event with
-    a null or NaN coordinate or a null time matches nothing. Points meet only events of the bins that their circle and window
-    touch: bins follow the latitude, wrap at the date line, and a circle around a pole takes the few bins there. The meeting is
-    an existence test: it ends at a point's first hit, and no pair is written.
+    a null or NaN coordinate or a null time matches nothing. Events at one place and time count once, and are dealt to the bins that
+    their circle and window touch: bins follow the latitude, wrap at the date line, and a circle around a pole takes the few bins
+    there. A point lies in one bin. The meeting is an existence test: it ends at a point's first hit, and no pair is written.
     """
     globe, width = _Globe(radius_km), max(1, round((after_min + before_min) * 60e6))
     known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     sane = known("lat") & known("lon") & F.col("at").isNotNull()
     lat, lon = F.col("lat").cast("double"), F.col("lon").cast("double")
     at, before, after = _micros("at"), round(before_min * 60e6), round(after_min * 60e6)
-    p = points.where(sane).select(F.col(point_id).alias("_id"), lat.alias("_lat"), lon.alias("_lon"), at.alias("_at"), F.explode(globe.around(lat, lon)).alias("_cell"))
-    p = p.withColumn("_time", F.explode(F.sequence(F.floor((F.col("_at") - before) / width), F.floor((F.col("_at") + after) / width))))
-    p = p.select("_id", "_lat", "_lon", "_at", F.col("_cell.band").alias("_band"), F.col("_cell.bin").alias("_bin"), "_time")
-    e = events.where(sane).select(lat.alias("lat"), lon.alias("lon"), at.alias("at"), globe.band(lat).alias("band"), F.floor(at / width).alias("time"))
-    e = e.withColumn("bin", globe.bin(F.col("lon"), globe.bins(F.col("band"))))
+    p = points.where(sane).select(F.col(point_id).alias("_id"), lat.alias("_lat"), lon.alias("_lon"), at.alias("_at"), globe.band(lat).alias("_band"), F.floor(at / width).alias("_time"))
+    p = p.withColumn("_bin", globe.bin(F.col("_lon"), globe.bins(F.col("_band"))))
+    e = events.where(sane).select(lat.alias("lat"), lon.alias("lon"), at.alias("at")).distinct().withColumn("cell", F.explode(globe.around(F.col("lat"), F.col("lon"))))
+    e = e.withColumn("time", F.explode(F.sequence(F.floor((F.col("at") - after) / width), F.floor((F.col("at") + before) / width))))
+    e = e.select("lat", "lon", "at", F.col("cell.band").alias("band"), F.col("cell.bin").alias("bin"), "time")
     near = (F.col("at").between(F.col("_at") - before, F.col("_at") + after)) & (distance_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")) <= radius_km)
     hits = p.join(e, (F.col("_band") == F.col("band")) & (F.col("_bin") == F.col("bin")) & (F.col("_time") == F.col("time")) & near, "left_semi").select("_id").distinct()
     hits = hits.withColumn("_hit", F.lit(True))
