@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,32 +12,47 @@ LAYOUTS = ("ddMMMyyyy HHmm", "ddMMMyyyyHHmm", "yyyyMMddHHmm", "yyyyMMdd_HHmm", "
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?([+-]\d{2}:?\d{2})?)?$"
 
 
-def _zoned(text: Column) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda every mention of an expression is computed anew."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _as_is(value: Column, use: Callable[[Column], Column]) -> Column:
+    return use(value)
+
+
+def _zoned(text: Column, bind: Callable = _as_is) -> Column:
     """Zone names and Z as offsets."""
-    t = F.trim(text)
-    t = F.when(F.upper(t).endswith(" IST"), F.concat(F.trim(F.substring(t, F.lit(1), F.length(t) - 4)), F.lit("+05:30"))).when(
+    named = lambda t: F.when(F.upper(t).endswith(" IST"), F.concat(F.trim(F.substring(t, F.lit(1), F.length(t) - 4)), F.lit("+05:30"))).when(
         F.upper(t).endswith(" UTC"), F.concat(F.trim(F.substring(t, F.lit(1), F.length(t) - 4)), F.lit("+00:00"))
     ).otherwise(t)
-    t = F.when(t.endswith("Z"), F.concat(F.substring(t, F.lit(1), F.length(t) - 1), F.lit("+00:00"))).otherwise(t)
-    return F.regexp_replace(t, r"[+-]0000$", "+00:00")
+    signed = lambda t: F.when(t.endswith("Z"), F.concat(F.substring(t, F.lit(1), F.length(t) - 1), F.lit("+00:00"))).otherwise(t)
+    return F.regexp_replace(bind(bind(F.trim(text), named), signed), r"[+-]0000$", "+00:00")
 
 
-def parse_timestamp(text: Column) -> Column:
+def parse_timestamp(text: Column, bind: Callable = _as_is) -> Column:
     """Timestamp in UTC of a text, null if no form fits. Texts without a zone are UTC; plain numbers are epoch seconds.
 
-    Month names are matched in any case. A zone may follow a layout as ``IST``, ``UTC``, ``Z`` or an offset.
+    Month names are matched in any case. A zone may follow a layout as ``IST``, ``UTC``, ``Z`` or an offset. Inside a lambda,
+    ``bind`` should be ``once``.
     """
-    t = _zoned(text)
-    title = F.regexp_replace(F.initcap(F.lower(F.regexp_replace(t, r"([A-Za-z]{3})", " $1 "))), r" ?([A-Z][a-z]{2}) ?", "$1")
-    iso = F.when(t.rlike(_ISO), F.try_to_timestamp(F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2")))
-    bare, zone = F.regexp_replace(title, r"[+-]\d{2}:?\d{2}$", ""), F.regexp_extract(t, r"([+-])(\d{2}):?(\d{2})$", 0)
-    sign = F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
-    digits = F.regexp_replace(zone, r"[^0-9]", "")
-    shift = F.when(zone == "", 0).otherwise(sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")))
-    by_layout = F.coalesce(*[F.try_to_timestamp(F.when(F.length(title) == len(f.replace("'", "")), title), F.lit(f)) for f in LAYOUTS], *[F.try_to_timestamp(F.when((zone != "") & (F.length(bare) == len(f)), bare), F.lit(f)) for f in LAYOUTS])
-    moved = F.timestamp_micros(F.unix_micros(by_layout) - shift.cast("long") * 60_000_000)
-    epoch = F.when(t.rlike(r"^-?\d+\.\d+$|^-?\d{1,11}$"), F.timestamp_micros((t.try_cast("double") * 1_000_000).cast("long")))
-    return F.coalesce(iso, moved, epoch)
+
+    def by_layout(title: Column, bare: Column, zone: Column) -> Column:
+        sign = F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
+        digits = F.regexp_replace(zone, r"[^0-9]", "")
+        shift = F.when(zone == "", 0).otherwise(sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")))
+        found = F.coalesce(*[F.try_to_timestamp(F.when(F.length(title) == len(f.replace("'", "")), title), F.lit(f)) for f in LAYOUTS], *[F.try_to_timestamp(F.when((zone != "") & (F.length(bare) == len(f)), bare), F.lit(f)) for f in LAYOUTS])
+        return bind(found, lambda x: F.timestamp_micros(F.unix_micros(x) - shift.cast("long") * 60_000_000))
+
+    def of(t: Column) -> Column:
+        iso = F.when(t.rlike(_ISO), F.try_to_timestamp(F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2")))
+        title = F.regexp_replace(F.initcap(F.lower(F.regexp_replace(t, r"([A-Za-z]{3})", " $1 "))), r" ?([A-Z][a-z]{2}) ?", "$1")
+        zone = F.regexp_extract(t, r"([+-])(\d{2}):?(\d{2})$", 0)
+        moved = bind(title, lambda x: bind(F.regexp_replace(x, r"[+-]\d{2}:?\d{2}$", ""), lambda bare: bind(zone, lambda z: by_layout(x, bare, z))))
+        epoch = F.when(t.rlike(r"^-?\d+\.\d+$|^-?\d{1,11}$"), F.timestamp_micros((t.try_cast("double") * 1_000_000).cast("long")))
+        return F.coalesce(iso, moved, epoch)
+
+    return bind(_zoned(text, bind), of)
 
 
 _FOUND = (

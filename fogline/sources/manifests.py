@@ -243,19 +243,22 @@ def json_leaves(text: Column) -> Column:
     """Keys and values of all members with a plain value, at any depth and in the order of the text: array of (key, value).
     Null and invalid texts have none. Only built-in functions: the text is cut into tokens, and a member is a string, a colon
     and a token that opens nothing."""
+    from fogline.functions.times import once
+
     valid = F.when(F.try_parse_json(text).isNotNull(), text)
-    tokens = F.coalesce(F.regexp_extract_all(valid, F.lit(_TOKEN), F.lit(0)), F.array().cast("array<string>"))
     plain = lambda t: F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$[0]")
-    member = F.transform(tokens, lambda t, i: F.when((F.get(tokens, i + 1) == ":") & ~F.get(tokens, i + 2).isin("{", "["), F.struct(plain(t).alias("key"), plain(F.get(tokens, i + 2)).alias("value"))))
-    return F.filter(F.array_compact(member), lambda m: m["value"].isNotNull())
+    held = lambda tokens, t, i: once(F.get(tokens, i + 2), lambda v: F.when((F.get(tokens, i + 1) == ":") & ~v.isin("{", "["), F.struct(plain(t).alias("key"), plain(v).alias("value"))))
+    found = once(F.regexp_extract_all(valid, F.lit(_TOKEN), F.lit(0)), lambda tokens: F.array_compact(F.transform(tokens, lambda t, i: held(tokens, t, i))))
+    return F.coalesce(F.filter(found, lambda m: m["value"].isNotNull()), F.array().cast("array<struct<key: string, value: string>>"))
 
 
 def json_times(documents: DataFrame, column: str = "payload") -> DataFrame:
     """Adds issue_time, valid_time and any_time (first time-like value) found at any depth of a JSON text."""
-    from fogline.functions.times import parse_timestamp
+    from fogline.functions.times import once, parse_timestamp
 
     name = lambda m: F.regexp_replace(F.lower(m["key"]), "[^a-z0-9]", "")
-    timed = F.transform(json_leaves(F.col(column).cast("string")), lambda m: F.struct(name(m).alias("name"), parse_timestamp(m["value"]).alias("at")))
+    time = lambda v: F.when(v.rlike("[0-9]"), parse_timestamp(v, once))
+    timed = F.transform(json_leaves(F.col(column).cast("string")), lambda m: F.struct(name(m).alias("name"), time(m["value"]).alias("at")))
     rows = documents.withColumn("_times", F.filter(timed, lambda x: x["at"].isNotNull()))
     first = lambda cond: F.get(F.filter("_times", cond), F.lit(0))["at"]
     return rows.withColumns({
