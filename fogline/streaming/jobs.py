@@ -34,16 +34,47 @@ def pair_stream(forecasts: DataFrame, truths: DataFrame, max_lead_min: int = 120
 
     The choice of the first truth is an aggregate over this result: see ``pair_first_after`` for the batch form.
     """
-    bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (max_lead_min * 60))
     f = forecasts.select("forecast_id", "issue_time", "lead_min", F.col("value").alias("forecast")).withWatermark("issue_time", delay)
+    return _inside(f, truths.select("truth_id", "obs_time", "arrival_time", F.col("value").alias("observed")).withWatermark("obs_time", delay), max_lead_min)
+
+
+def _inside(f: DataFrame, t: DataFrame, max_lead_min: int) -> DataFrame:
+    """Pairs of forecasts (issue_time, lead_min) and truths (obs_time), both with a watermark, whose window holds the truth."""
+    bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (max_lead_min * 60))
     f = f.withColumn("bucket", F.explode(F.array(bucket("issue_time"), bucket("issue_time") + 1)))
-    t = truths.select("truth_id", "obs_time", "arrival_time", F.col("value").alias("observed")).withWatermark("obs_time", delay)
     t = t.withColumn("truth_bucket", bucket("obs_time"))
     bound = F.col("issue_time") + F.expr(f"INTERVAL {int(max_lead_min)} MINUTES")
     inside = (F.col("bucket") == F.col("truth_bucket")) & (F.col("obs_time") > F.col("issue_time")) & (F.col("obs_time") <= bound)
     return f.join(t, inside).drop("bucket", "truth_bucket").where(F.unix_micros(F.col("obs_time").cast("timestamp")) <= F.unix_micros(F.col("issue_time").cast("timestamp")) + F.col("lead_min").cast("long") * 60_000_000)
 
 
+def slot_pairs_stream(forecasts: DataFrame, truths: DataFrame, max_lead_min: int = 120, delay: str = "3 hours") -> DataFrame:
+    """(issue_time, lead_min, obs_time) of ``pair_stream``, each once: forecasts of one issue and lead are one slot, truths of one time too.
+
+    Both are made distinct as streams before they are joined, within their watermarks, so that the state of the join has a row per slot.
+    """
+    f = forecasts.select("issue_time", "lead_min").withWatermark("issue_time", delay).dropDuplicates(["issue_time", "lead_min"])
+    t = truths.select("obs_time").withWatermark("obs_time", delay).dropDuplicates(["obs_time"])
+    return _inside(f, t, max_lead_min)
+
+
+#: Most ids of a slot that one row carries while pairs are spread.
+SLOT_IDS = 512
+
+
+def spread_slots(slots: DataFrame, forecasts: DataFrame, truths: DataFrame) -> DataFrame:
+    """(forecast_id, truth_id) of all forecasts and truths of the slots: ids come in slices and are paired row by row, where they lie."""
+
+    def sliced(rows: DataFrame, slot: list[str], name: str) -> DataFrame:
+        sizes = rows.groupBy(*slot).agg(F.ceil(F.count(F.lit(1)) / SLOT_IDS).alias("_parts"))
+        part = F.pmod(F.xxhash64(name), F.col("_parts")).alias("_part")
+        return rows.join(sizes, slot).select(*slot, name, part).groupBy(*slot, "_part").agg(F.collect_list(name).alias(f"{name}s")).drop("_part")
+
+    met = slots.join(sliced(forecasts.select("issue_time", "lead_min", "forecast_id"), ["issue_time", "lead_min"], "forecast_id"), ["issue_time", "lead_min"])
+    met = met.join(sliced(truths.select("obs_time", "truth_id"), ["obs_time"], "truth_id"), "obs_time").select("forecast_ids", "truth_ids")
+    return met.select(F.explode("forecast_ids").alias("forecast_id"), "truth_ids").select("forecast_id", F.explode("truth_ids").alias("truth_id"))
+
+
 #: Parts that a manifest is dealt into by a hash of its key.
 MANIFEST_PARTS = 64
 
