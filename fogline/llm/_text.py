@@ -11,15 +11,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled at once: arrays of eight bytes a place then stay in a core's cache.
 CHUNK_BYTES = 1 << 17
+#: Bytes of rows that go to a Python worker at once, and the setting that bounds them.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 _powers: dict[str, np.ndarray] = {}
 
 
+def batches_by_bytes(spark: SparkSession) -> None:
+    """Bound Arrow batches of this session by ``BATCH_BYTES``, unless it has a bound of its own.
+
+    By rows alone a batch holds 10,000 texts of any length. Both sides of the pipe hold it whole, and a worker keeps what it has
+    once held while later steps run that need no Python.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: every input bit reaches every output bit."""
     h = h ^ (h >> U64(30))

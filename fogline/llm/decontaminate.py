@@ -312,6 +312,7 @@ def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", perc
 
     Items with a null id, null or blank texts match nothing; a column of ``docs`` with the name is replaced.
     """
+    X.batches_by_bytes(docs.sparkSession)
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null and trim(text) <> ''").distinct()
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     text = F.col(f"`{text_col}`").cast("string")

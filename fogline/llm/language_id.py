@@ -17,12 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fogline.llm import _text as X
+
 #: The fit: this many documents of a language give a window of so many characters each.
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 400
-STRETCH, CHUNK_CHARS = 128, 1 << 20
+STRETCH, CHUNK_CHARS = 128, 1 << 19
 #: The most frequent letters of a sample have codes of their own; its other letters share the rest.
 OWN_CODES, SHARED_CODES = 200, 8
 SEPARATOR, PAD, ABSENT, FIRST = range(4)
@@ -247,14 +250,27 @@ def predict(model: CrossParser, texts: list[str | None]) -> tuple[list[str], np.
     return langs, score, bits
 
 
+FOUND = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_symbol", pa.float64())])
+
+
+def predict_column(model: CrossParser, texts: pa.Array) -> pa.Array:
+    """``predict`` for an Arrow column. Its texts become Python strings in parts of about ``CHUNK_CHARS`` bytes, or one text, so
+    what a worker holds beside the batch does not grow with the rows of the batch; a worker keeps what it has once held."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // CHUNK_CHARS)) + 1).tolist(), len(texts)]
+    parts = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        langs, score, bits = predict(model, texts.slice(a, b - a).to_pylist())
+        parts.append(pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score), pa.array(bits)], fields=list(FOUND)))
+    return pa.concat_arrays(parts)
+
+
 def language(model: CrossParser, text: Column) -> Column:
     """Struct of lang_pred, score and bits_per_symbol for a text column."""
-    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_symbol", pa.float64())])
 
     @F.arrow_udf("struct<lang_pred: string, score: double, bits_per_symbol: double>")
     def run(column: pa.Array) -> pa.Array:
-        langs, score, bits = predict(model, column.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score), pa.array(bits)], fields=list(kind))
+        return predict_column(model, column)
 
     return run(text)
 
@@ -265,6 +281,7 @@ def identify_languages(docs: DataFrame, model: CrossParser, text_col: str = "tex
     Null and empty texts and texts without letters are ``und`` with score 0. Texts of any length are parsed whole. Equal texts
     get equal results. An empty table gives an empty result.
     """
+    X.batches_by_bytes(docs.sparkSession)
     new = ["lang_pred", "score", "bits_per_symbol"]
     names = [c for c in docs.columns if c not in new]
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row") if names else F.lit(None).alias("row"), language(model, F.col(f"`{text_col}`").cast("string")).alias("found"))

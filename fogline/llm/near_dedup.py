@@ -126,6 +126,7 @@ def near_duplicates(
     order of rows do not matter. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    X.batches_by_bytes(spark)
     scratch = Scratch(spark, "near")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = scratch.write(base.mapInArrow(_profile(words, coordinates), "doc_id long, n_shingles long, set_key binary, sig array<int>"), "profile")

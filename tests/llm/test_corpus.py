@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -708,3 +709,44 @@ def test_components_of_awkward_graphs(spark, shape):
     got = {r.node: r.component for r in connected_components(table, Scratch(spark, "test")).collect()}
     assert {i: got.get(i, i) for i in label} == label
     assert connected_components(table.limit(0), Scratch(spark, "test")).count() == 0
+
+
+@pytest.mark.parametrize("stage", [
+    lambda docs: language_id.identify_languages(docs, language_id.fit(docs)),
+    lambda docs: near_dedup.near_duplicates(docs),
+    lambda docs: decontaminate.decontaminate(docs, docs.limit(1).select(F.col("doc_id").alias("item_id"), "text")),
+])
+def test_rows_go_to_workers_by_bytes(spark, stage):
+    """After a text operator no Arrow batch of the session holds more than a few MB, however long its texts; a bound that the session
+    has stays."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["bytes"])
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = corpus(spark, [(1, "the cat is on the mat " * 9)])
+    long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("text"))
+    spark.conf.unset(setting)
+    try:
+        stage(docs)
+        assert long.mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0] < 5_000_000
+        spark.conf.set(setting, "1m")
+        stage(docs)
+        assert spark.conf.get(setting) == "1m"
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_language_id_turns_a_batch_into_strings_in_parts():
+    """A batch of 16 MB is parsed with a fixed amount beside it, and every text as by itself."""
+    model = language_id.CrossParser((("x", "abc d " * 60), ("y", "efg h " * 60)))
+    texts = [*(["abc d efg h " * 400, None, "", "é" * 300, "12 3"] * 3300), "abc " * 300_000]
+    column = pa.array(texts, pa.string())
+    tracemalloc.start()
+    got = language_id.predict_column(model, column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
+    langs, score, bits = language_id.predict(model, texts)
+    assert got.field(0).to_pylist() == langs and got.field(1).to_pylist() == score.tolist() and got.field(2).to_pylist() == bits.tolist()
+    assert len(language_id.predict_column(model, pa.array([], pa.string()))) == 0
