@@ -3,11 +3,14 @@
 A sketch holds one bit of each of 64 coordinates of a MinHash signature. Of two items at similarity s, (1 + s) / 2 of the bits
 agree on average: at 0.75 fewer than 45 do in one of 10,000 cases, while items that share a key by chance stay near 36. So
 chance costs a comparison of two numbers where the list lies, and no row; only pairs that pass are made.
+
+Most keys occur once. Postings therefore travel in blocks, a row for a bucket of keys with as many bytes as the postings need, and
+the task that reads a bucket sorts only those whose key occurs again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,10 @@ CENTRES = 8
 WHOLE = 4096
 #: Rows of a list that a task holds, groups of close items that are taken out of a list one by one, rows compared at once.
 HELD, GROUPS, BLOCK = 1 << 16, 64, 256
+#: Postings of a bucket from which keys with very many of them are read in parts; values times rows compared exactly at once.
+BUCKET, CELLS = 1 << 21, 1 << 23
 MET = "a long, b long, token long, doc long, sketch long"
+POSTED = "bucket int, keys binary, docs binary, sketches binary, led binary"
 _NONE = np.zeros(0, dtype=np.int64)
 
 
@@ -165,9 +171,132 @@ def meet(small: int, whole: int = WHOLE):
     return run
 
 
-def across(closest: int | None):
+def _binary(rows: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of the rows, a value from each cut to the next."""
+    offsets = (cuts * rows.itemsize * (rows.shape[1] if rows.ndim > 1 else 1)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def post(sig: np.ndarray, doc: np.ndarray, sketch: np.ndarray, apart: np.ndarray, led: np.ndarray, per_band: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of the keys (items x bands x bytes), but for those that stand apart from their list: a row for a bucket of a band."""
+    bucket = np.zeros(sig.shape[:2], dtype=np.uint32)
+    for r in range(sig.shape[2]):
+        bucket = (bucket ^ sig[:, :, r]) * np.uint32(0x01000193)
+    bucket = ((bucket ^ (bucket >> np.uint32(15))) % np.uint32(per_band)).astype(np.int64)
+    for band in range(sig.shape[1]):
+        at = np.flatnonzero(~apart[:, band])
+        at = at[np.argsort(bucket[at, band], kind="stable")]
+        names, starts = np.unique(bucket[at, band], return_index=True)
+        cuts = np.append(starts, len(at))
+        columns = [_binary(x, cuts) for x in (sig[at, band], doc[at], sketch[at], led[at, band].astype(np.uint8))]
+        yield pa.RecordBatch.from_arrays([pa.array((band * per_band + names).astype(np.int32)), *columns], names=["bucket", "keys", "docs", "sketches", "led"])
+
+
+def meet_blocks(small: int, whole: int, width: int, per_band: int, shift: int):
+    """``meet`` for blocks in order of their bucket; a token is the key of ``width`` bytes under the number of its band."""
+
+    def entries(bucket: int, keys: bytes, docs: bytes, sketches: bytes, led: bytes) -> list[np.ndarray]:
+        token = np.zeros((len(led), 8), dtype=np.uint8)
+        token[:, :width] = np.frombuffer(keys, dtype=np.uint8).reshape(-1, width)
+        token = token.view("<i8").ravel().astype(np.int64) | (bucket // per_band << shift)
+        return [token, np.frombuffer(docs, dtype=np.int64), np.frombuffer(sketches, dtype=np.int64), np.frombuffer(led, dtype=np.uint8).astype(np.int64)]
+
+    def met(rows: list[np.ndarray], parted: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(rows[0]):
+            order = np.lexsort((rows[1], rows[0]))
+            yield _lists(*(x[order] for x in rows), parted[order], small, whole)
+
+    def often(token: np.ndarray) -> np.ndarray:
+        """How often each token occurs."""
+        order = np.argsort(token)
+        starts = np.flatnonzero(np.append(True, token[order][1:] != token[order][:-1]))
+        sizes = np.diff(np.append(starts, len(token)))
+        out = np.empty(len(token), dtype=np.int64)
+        out[order] = np.repeat(sizes, sizes)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        going, parts, held, most, hot = None, [], 0, BUCKET, _NONE
+
+        def joined() -> list[np.ndarray]:
+            return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            rows = joined()
+            parted = np.isin(rows[0], hot)
+            some = (often(rows[0]) > 1) | (rows[3] > 0) | parted
+            yield from met([x[some] for x in rows], parted[some].astype(np.int64))
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != going:
+                    if parts:
+                        yield from ended()
+                    going, parts, held, most, hot = row[0], [], 0, BUCKET, _NONE
+                parts.append(entries(*row))
+                held += len(parts[-1][0])
+                if held > most:
+                    rows = joined()
+                    many = (often(rows[0]) > HELD) | np.isin(rows[0], hot)
+                    hot = np.union1d(hot, rows[0][many])
+                    yield from met([x[many] for x in rows], np.ones(many.sum(), dtype=np.int64))
+                    parts = [[x[~many] for x in rows]]
+                    held = len(parts[0][0])
+                    most = max(BUCKET, 2 * held)
+        if parts:
+            yield from ended()
+
+    return run
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets x with sets y, each an array of distinct values."""
+    own = np.concatenate(list(x))
+    values = np.unique(own)
+    kind = np.float32 if len(values) < 1 << 24 else np.float64  # whole numbers up to the size of a set
+    left = np.zeros((len(x), len(values)), dtype=kind)
+    left[np.repeat(np.arange(len(x)), [len(v) for v in x]), np.searchsorted(values, own)] = 1
+    out, step = np.zeros((len(x), len(y)), dtype=np.int64), max(1, CELLS // max(1, len(values)))
+    for j in range(0, len(y), step):
+        part = list(y[j : j + step])
+        other, row = np.concatenate(part), np.repeat(np.arange(len(part)), [len(v) for v in part])
+        at = np.minimum(np.searchsorted(values, other), len(values) - 1)
+        hit = values[at] == other
+        right = np.zeros((len(part), len(values)), dtype=kind)
+        right[row[hit], at[hit]] = 1
+        out[:, j : j + step] = left @ right.T
+    return out
+
+
+def reach(close: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: int) -> np.ndarray:
+    """Which of the pairs marked in ``close`` (sets x by sets y) reach the similarity, in hundredths, by their whole sets."""
+    out, n, m = np.zeros_like(close), np.array([len(v) for v in x]), np.array([len(v) for v in y])
+    close = close & (100 * np.minimum(n[:, None], m[None, :]) >= similarity * np.maximum(n[:, None], m[None, :]))
+    some, i = np.flatnonzero(close.any(axis=1)), 0
+    while i < len(some):
+        sizes = np.cumsum(n[some[i : i + 64]]) * np.arange(1, len(some[i : i + 64]) + 1)
+        rows = some[i : i + max(1, int(np.searchsorted(sizes, CELLS)))]
+        columns = np.flatnonzero(close[rows].any(axis=0))
+        same = _shared(x[rows], y[columns])
+        cells = np.ix_(rows, columns)
+        out[cells] = close[cells] & (100 * same >= similarity * (n[rows][:, None] + m[columns][None, :] - same))
+        i += len(rows)
+    return out
+
+
+def across(closest: int | None, sets: Callable[[pa.Array], list[np.ndarray]] | None = None, similarity: int = 0):
     """From (token, slice, rest, doc, sketch, component) in order of the first three: close pairs (a, b) of different components,
-    of an item that comes with ``rest`` = 0 and one with 1. All of them, or of each item its ``closest`` ones in a batch."""
+    of an item that comes with ``rest`` = 0 and one with 1. All of them, or of each item its ``closest`` ones in a batch.
+
+    With ``sets``, a further column holds what they are made from, and only pairs are given whose whole sets reach the similarity:
+    of an item with each component of a batch one, as links join components."""
+
+    def whole(batch: pa.RecordBatch) -> list[np.ndarray]:
+        if sets is None:
+            return []
+        made = np.empty(len(batch), dtype=object)
+        made[:] = sets(batch.column(6))
+        return [made]
 
     def compared(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for i in range(0, len(x[0]), BLOCK):
@@ -178,7 +307,13 @@ def across(closest: int | None):
                 kept = np.zeros_like(bits)
                 np.put_along_axis(kept, best, np.take_along_axis(bits, best, axis=1), axis=1)
                 bits = kept
-            at, to = np.nonzero(bits >= ENOUGH)
+            close = bits >= ENOUGH
+            at, to = np.nonzero(close if sets is None else reach(close, part[3], y[3], similarity))
+            if sets is not None and len(at):
+                order = np.lexsort((y[2][to], at))
+                at, to = at[order], to[order]
+                fresh = np.append(True, (at[1:] != at[:-1]) | (y[2][to][1:] != y[2][to][:-1]))
+                at, to = at[fresh], to[fresh]
             yield part[0][at], y[0][to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +321,8 @@ def across(closest: int | None):
         for batch in batches:
             if not len(batch):
                 continue
-            token, piece, rest, *row = (np.asarray(c) for c in batch.columns)
+            token, piece, rest, *row = (np.asarray(c) for c in batch.columns[:6])
+            row += whole(batch)
             new = (token[1:] != token[:-1]) | (piece[1:] != piece[:-1]) | (rest[1:] != rest[:-1])
             starts = np.flatnonzero(np.append(True, new))
             for a, b in zip(starts, np.append(starts[1:], len(token)), strict=True):

@@ -11,11 +11,12 @@ whose shingles all differ keeps 0.75 after any one edit.
 
 Lines of one language are somewhat alike, so in a large table many lines share a band by chance, and such pairs grow with the
 square of the table. Every posting therefore carries a sketch of 64 bits, and a list is compared where it lies: what meets by
-chance never becomes a row. Candidates are confirmed in waves with components formed between them:
+chance never becomes a row. Links are found in two waves with components formed between them:
 
-1. an item close to few others of its list with all of them, an item in a dense part with the closest of some centres;
-2. in dense lists that are still several components, the items outside the largest one with the closest items of others;
-3. the same items with all close items of other components, so that no pair is left out.
+1. an item close to few others of its list with all of them, an item in a dense part with the closest of some centres: these pairs
+   become rows and are confirmed;
+2. in dense lists that are still several components, the items outside the largest one with all close items of other components,
+   so that no pair is left out: their lines come to the list and are compared there, and only links become rows.
 
 A list of very many items apart is posted again under longer keys before that: the band and some further coordinates, the more
 the longer the list, and as many such keys as it takes for a pair at 0.75 to meet with probability 0.995.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from fogline.llm import _text as X
 from fogline.llm._components import connected_components, relabelled
 from fogline.llm._linking import merged
-from fogline.llm._lists import CENTRES, MET, WHOLE, across, leads, meet, sketches
+from fogline.llm._lists import MET, POSTED, WHOLE, across, leads, meet, meet_blocks, post, sketches
 from fogline.llm._scratch import BROADCAST_KEYS, Scratch
 from fogline.llm.near_dedup import signature_seeds, signatures
 
@@ -46,6 +47,8 @@ SLICE = 1 << 14
 DEEPEST, MISSED = 10, 0.005
 #: Lines whose keys a task holds at once, and lines that it remembers as seen.
 HELD_LINES, SEEN_LINES = 1 << 16, 1 << 18
+#: Lines whose keys of a band make a bucket, and most buckets of a band.
+BUCKET_LINES, BUCKETS = 1 << 15, 1 << 10
 #: Where the number of a band stands in a key; below it are up to six bytes of coordinates.
 BAND_SHIFT = 48
 _NEWLINE = 10
@@ -138,21 +141,22 @@ def _distinct_lines(starts: np.ndarray, stops: np.ndarray, node: np.ndarray) ->
 
 
 def _packed(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One number per band (lines x bands) from the low bytes of its coordinates."""
+    """One number per band (lines x bands) from the bytes of its coordinates."""
     out = np.zeros((len(sig), bands), dtype=np.int64)
     for r in range(rows):
-        out |= (sig[:, r::rows] & np.uint32(0xFF)).astype(np.int64) << (8 * r)
+        out |= sig[:, r::rows].astype(np.int64) << (8 * r)
     return out
 
 
-def _bytes(packed: np.ndarray, rows: int) -> np.ndarray:
-    """The low bytes of all coordinates (lines x bands x values) again."""
-    return packed.astype("<i8").view(np.uint8).reshape(*packed.shape, 8)[:, :, :rows]
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    """The low bytes of all coordinates (lines x width) of a signature column without nulls."""
+    column = column.cast(pa.binary(width))
+    return np.frombuffer(column.buffers()[1], dtype=np.uint8)[column.offset * width :][: len(column) * width].reshape(-1, width)
 
 
 def _profile(k: int, bands: int, rows: int):
     """Every line that is not blank: node (hash of the tidied line), doc_id, line. The first time that a task meets a line,
-    also its signature (a number per band, a byte per coordinate), its sketch, and where many close lines met at about that time
+    also its signature (a byte per coordinate), its sketch, and where many close lines met at about that time
     share a band, a centre of them: such lists are merged here, before the shuffle, however often a band's values occur."""
     seeds = signature_seeds(bands * rows)
 
@@ -163,13 +167,19 @@ def _profile(k: int, bands: int, rows: int):
         def flush() -> pa.RecordBatch:
             node, doc, number, first, sig, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            lead, some = leads(sig | (np.arange(bands) << BAND_SHIFT), node[first], sketch, SMALL_LIST)
-            offsets = np.concatenate([[0], np.cumsum(first * bands)]).astype(np.int32)
-            starts = pa.array(offsets, mask=np.append(~first, False))  # no list where there is no offset
-            lists = [pa.ListArray.from_arrays(starts, x) for x in (pa.array(sig.ravel()), pa.array(lead, mask=~some))]
+            lead, some = leads(_packed(sig, bands, rows) | (np.arange(bands) << BAND_SHIFT), node[first], sketch, SMALL_LIST)
+            lead, some = lead.reshape(-1, bands), some.reshape(-1, bands)
+            led = some.any(axis=1)
+            has = np.zeros(len(node), dtype=bool)
+            has[np.flatnonzero(first)[led]] = True
+            offsets = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
+            starts = pa.array(offsets, mask=np.append(~has, False))  # no list where there is no offset
+            lists = pa.ListArray.from_arrays(starts, pa.array(lead[led].ravel(), mask=~some[led].ravel()))
             bits = np.zeros(len(node), dtype=np.int64)
             bits[first] = sketch
-            return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (node, doc, number)), pa.array(bits, mask=~first), *lists], names=["node", "doc_id", "line", "sketch", "sig", "leads"])
+            known = pa.array(np.where(first, np.cumsum(first) - 1, 0), mask=~first)
+            bytewise = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bands * rows), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary()).take(known)
+            return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (node, doc, number)), pa.array(bits, mask=~first), bytewise, lists], names=["node", "doc_id", "line", "sketch", "sig", "leads"])
 
         for batch in batches:
             for text, starts, stops, doc, number, node in _chunks(batch):
@@ -182,7 +192,7 @@ def _profile(k: int, bands: int, rows: int):
                 first[at] = True
                 values, per = line_shingles(text, starts[first], stops[first], k)
                 sig = signatures(values, np.concatenate([[0], np.cumsum(per)[:-1]]), seeds) if first.any() else np.zeros((0, bands * rows), dtype=np.uint32)
-                held.append((node, doc, number.astype(np.int32), first, _packed(sig, bands, rows), sketches(sig)))
+                held.append((node, doc, number.astype(np.int32), first, sig.astype(np.uint8), sketches(sig)))
                 if sum(len(h[0]) for h in held) >= HELD_LINES:
                     yield flush()
         if held:
@@ -191,11 +201,62 @@ def _profile(k: int, bands: int, rows: int):
     return run
 
 
-def _met(entries: DataFrame, whole: int) -> DataFrame:
-    """Pairs and dense rows of the lists of (token, doc, sketch, lead). Items that a centre stands for are spread by themselves and
-    not by the key."""
-    spread = F.when(F.col("lead").isNull() | (F.col("lead") == F.col("doc")), F.lit(0)).otherwise(F.xxhash64("doc"))
-    return entries.repartition("token", spread).sortWithinPartitions("token", "doc").mapInArrow(meet(SMALL_LIST, whole), MET)
+def _posted(bands: int, rows: int, per_band: int):
+    """Blocks of the postings of (doc, sketch, sig, leads), but for the items that a centre stands for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            doc, sketch, sig, apart, led = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return post(sig.reshape(len(sig), bands, rows), doc, sketch, apart, led, per_band)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            doc, sketch = (np.asarray(batch.column(i)) for i in (0, 1))
+            lead, led = _leads(batch.column(3), bands)
+            held.append((doc, sketch, _bytes(batch.column(2), bands * rows), led & (lead != doc[:, None]), led))
+            if sum(len(h[0]) for h in held) >= HELD_LINES:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _leads(column: pa.Array, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres (lines x bands), and where there is one."""
+    out, led = np.zeros((len(column), bands), dtype=np.int64), np.zeros((len(column), bands), dtype=bool)
+    some, values = np.asarray(column.is_valid()), column.flatten()
+    out[some] = np.asarray(values.fill_null(0)).reshape(-1, bands)
+    led[some] = np.asarray(values.is_valid()).reshape(-1, bands)
+    return out, led
+
+
+def _stand_ins(bands: int, rows: int):
+    """Pairs and dense rows of the items of (doc, sketch, sig, leads) that a centre stands for, where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, sketch = (np.asarray(batch.column(i)) for i in (0, 1))
+            lead, led = _leads(batch.column(3), bands)
+            at, band = np.nonzero(led & (lead != doc[:, None]))
+            token = _packed(_bytes(batch.column(2), bands * rows), bands, rows)[at, band] | (band << BAND_SHIFT)
+            a, b = lead[at, band], doc[at]
+            columns = [np.minimum(a, b), np.maximum(a, b), token, b, sketch[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "token", "doc", "sketch"])
+
+    return run
+
+
+def _met(signed: DataFrame, bands: int, rows: int, whole: int) -> DataFrame:
+    """Pairs and dense rows of the lists of (doc, sketch, sig, leads)."""
+    per_band = min(BUCKETS, signed.count() // BUCKET_LINES + 1)
+    blocks = signed.mapInArrow(_posted(bands, rows, per_band), POSTED).repartition("bucket").sortWithinPartitions("bucket")
+    lists = blocks.mapInArrow(meet_blocks(SMALL_LIST, whole, rows, per_band, BAND_SHIFT), MET)
+    return lists.unionByName(signed.where("leads is not null").mapInArrow(_stand_ins(bands, rows), MET))
 
 
 def key_depth(often: np.ndarray, whole: int) -> np.ndarray:
@@ -215,7 +276,7 @@ def _longer_keys(bands: int, rows: int, similarity: int, whole: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             token, doc, sketch = (np.asarray(batch.column(i)) for i in (0, 1, 4))
-            values = _bytes(np.asarray(batch.column(3).flatten()).reshape(len(batch), bands), rows).reshape(len(batch), bands * rows)
+            values = _bytes(batch.column(3), bands * rows)
             depths = key_depth(np.asarray(batch.column(2)), whole)
             for depth in np.unique(depths):
                 at = np.flatnonzero(depths == depth)
@@ -292,20 +353,25 @@ def _apart(dense: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> D
     return scratch.write(rows.join(lists, rows["token"] == lists["_token"]).drop("_token"), f"{name}_live")
 
 
-def _across(live: DataFrame, closest: int | None) -> DataFrame:
-    """Close pairs (a, b) of the items outside the largest component of a list with items of other components. A list is cut into
-    slices of a bounded size, each with all items that are apart, so a long list is no single task."""
+def _across(live: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
+    """Links (a, b) of the items outside the largest component of a list with items of other components; ``texts`` has their doc and
+    text. A list is cut into slices of a bounded size, each with all items that are apart, so a long list is no single task."""
+
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        return [s for chunk in X.chunks(column) for s in X.distinct_by_doc(*line_shingles(chunk.data, chunk.offsets[:-1], chunk.offsets[1:], k))]
+
     slices = F.ceil(F.col("often") / SLICE).cast("int")
-    columns = ["doc", "sketch", "component"]
+    columns = ["doc", "sketch", "component", "text"]
+    live = live.join(texts, "doc")
     rest = live.select("token", F.pmod(F.xxhash64("doc"), slices).cast("int").alias("slice"), F.lit(1).alias("rest"), *columns)
     minors = live.where("component <> top").select("token", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(0).alias("rest"), *columns)
     rows = rest.unionByName(minors).repartition("token", "slice").sortWithinPartitions("token", "slice", "rest")
-    return rows.mapInArrow(across(closest), "a long, b long").distinct()
+    return rows.mapInArrow(across(None, sets, similarity), "a long, b long").distinct()
 
 
-def _linked(entries: DataFrame, signed: DataFrame, scratch: Scratch, confirmed: Callable[[DataFrame], DataFrame], longer_keys, whole: int) -> DataFrame:
-    """Components (node, component) of the lines posted as (token, doc, sketch, lead); ``confirmed`` gives those of the pairs
-    (a, b) that are links, ``longer_keys`` posts (token, doc, often, sig, sketch) again."""
+def _linked(met: DataFrame, signed: DataFrame, scratch: Scratch, confirmed: Callable[[DataFrame], DataFrame], links_across: Callable[[DataFrame], DataFrame], longer_keys, whole: int) -> DataFrame:
+    """Components (node, component) of the lines whose lists gave ``met``; ``confirmed`` gives those of the pairs (a, b) that are
+    links, ``links_across`` the links of dense rows with other components, ``longer_keys`` posts (token, doc, often, sig, sketch) again."""
 
     def pairs_of(met: DataFrame) -> DataFrame:
         return met.where("a is not null").select("a", "b").distinct()
@@ -313,23 +379,20 @@ def _linked(entries: DataFrame, signed: DataFrame, scratch: Scratch, confirmed:
     def dense_of(met: DataFrame) -> DataFrame:
         return met.where("token is not null").select("token", "doc", "sketch").distinct()
 
-    met = scratch.write(_met(entries, whole), "met")
     found = connected_components(scratch.write(confirmed(pairs_of(met)), "links"), scratch)
     live = _apart(dense_of(met), found, scratch, "first")
     if not live.limit(1).count():
         return found
-    few, many = live.where(F.col("minors") <= whole), live.where(F.col("minors") > whole)
-    pairs, dense = _across(few, CENTRES), few.select("token", "doc", "sketch")
+    many = live.where(F.col("minors") > whole)
     if many.limit(1).count():
         rows = many.join(signed.select("doc", "sig").dropDuplicates(["doc"]), "doc").select("token", "doc", "often", "sig", "sketch")
-        longer = scratch.write(_met(rows.mapInArrow(longer_keys, "token long, doc long, sketch long, lead long"), whole), "longer")
+        again = rows.mapInArrow(longer_keys, "token long, doc long, sketch long, lead long")
+        longer = scratch.write(again.repartition("token").sortWithinPartitions("token", "doc").mapInArrow(meet(SMALL_LIST, whole), MET), "longer")
         sides = relabelled(relabelled(pairs_of(longer).select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), "x", found, scratch), "y", found, scratch)
-        pairs, dense = pairs.unionByName(sides.where("x <> y").select("a", "b")).distinct(), dense.unionByName(dense_of(longer))
-    found = merged(found, confirmed(pairs), scratch, "second_cc")
-    live = _apart(dense, found, scratch, "second")
-    if live.limit(1).count():
-        found = merged(found, confirmed(_across(live, None)), scratch, "third_cc")
-    return found
+        found = merged(found, confirmed(sides.where("x <> y").select("a", "b")), scratch, "second_cc")
+        dense = live.where(F.col("minors") <= whole).select("token", "doc", "sketch").unionByName(dense_of(longer))
+        live = _apart(dense, found, scratch, "second")
+    return merged(found, links_across(live), scratch, "third_cc") if live.limit(1).count() else found
 
 
 def repeated_lines(
@@ -351,13 +414,10 @@ def repeated_lines(
     """
     scratch = Scratch(docs.sparkSession, "lines")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    profile = base.mapInArrow(_profile(shingle_chars, bands, band_rows), "node long, doc_id long, line int, sketch long, sig array<long>, leads array<long>")
+    profile = base.mapInArrow(_profile(shingle_chars, bands, band_rows), "node long, doc_id long, line int, sketch long, sig binary, leads array<long>")
     profile = scratch.write(profile, "profile")
     occurrences = profile.select("node", "doc_id", "line")
     signed = profile.where("sig is not null").select(F.col("node").alias("doc"), "sketch", "sig", "leads")
-    entries = signed.select("doc", "sketch", F.posexplode(F.arrays_zip("sig", "leads")).alias("band", "entry"))
-    token = F.shiftleft(F.col("band").cast("long"), BAND_SHIFT).bitwiseOR(F.col("entry.sig"))
-    entries = entries.select(token.alias("token"), "doc", "sketch", F.col("entry.leads").alias("lead"))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """(doc, text) of the nodes, each read from the first document that holds it."""
@@ -376,7 +436,12 @@ def repeated_lines(
         alike = _alike(shingle_chars, similarity)(F.concat("text_a", "text_b"), F.octet_length("text_a"), F.col("n_a") + F.col("n_b"))
         return both.where(alike).select("a", "b")
 
-    found = _linked(entries, signed, scratch, confirmed, _longer_keys(bands, band_rows, similarity, whole_list), whole_list)
+    def links_across(live: DataFrame) -> DataFrame:
+        texts = scratch.write(texts_of(live.select("doc").distinct()), "texts")
+        return _across(live, texts, shingle_chars, similarity)
+
+    met = scratch.write(_met(signed, bands, band_rows, whole_list), "met")
+    found = _linked(met, signed, scratch, confirmed, links_across, _longer_keys(bands, band_rows, similarity, whole_list), whole_list)
 
     firsts = occurrences.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("times"))
     labels = found.select(F.col("node").alias("linked"), "component")
@@ -398,11 +463,13 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dropped; rows that repeat an id have the same lines dropped, those of all of them. Texts and lines of any length count whole;
     other columns are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.size(F.split(F.col(text_col).cast("string"), "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
+    text = F.col(text_col).cast("string")
+    ends = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(ends + 1, F.lit(0)).cast("long").alias("n_lines"))
     dropped = repeated_lines(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list("line")).alias("dropped"))
     joined = rows.join(dropped, rows["doc_id"] == dropped["_doc"], "left")
     none = F.array().cast("array<int>")
-    return joined.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.size(F.coalesce("dropped", none)).cast("long").alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"))
+    return joined.select("doc_id", "n_lines", F.size(F.coalesce("dropped", none)).cast("long").alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
