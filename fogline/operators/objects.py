@@ -9,10 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fogline.functions.numeric import at_least, quantile_higher
@@ -72,28 +74,62 @@ def detect_objects(cells: DataFrame, threshold: float, nx: int, keys: Sequence[s
 
 #: Most ids that one row carries while pairs of objects are made.
 SLICE = 512
+#: Most rows of a side that meet at one cell in one group of the join.
+CELL_ROWS = 8192
+#: Words of 64 bits that the cells before a cell are hashed to.
+WORDS = 8
 
 
-def _alike(objects: DataFrame, keys: Sequence[str], side: str) -> tuple[DataFrame, DataFrame]:
-    """Objects with the same cells as one: (keys, side, cells) with one of them for all, and (keys, side, side_ids) with all ids of each, in slices."""
+def _alike(objects: DataFrame, keys: Sequence[str], side: str, tasks: int) -> DataFrame:
+    """(keys, cells, side_ids): objects with the same cells as one, their ids in slices; cells are distinct and in order."""
     known = F.filter(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cells")))), lambda c: c.isNotNull())
     each = objects.groupBy(*keys, "id").agg(known.alias("cells")).where(F.size("cells") > 0)
-    of = each.groupBy(*keys, "cells").agg(F.min(F.struct("id")).alias(side), F.ceil(F.count(F.lit(1)) / SLICE).alias("_parts"))
-    members = each.join(of, [*keys, "cells"]).select(*keys, "id", side, F.pmod(F.xxhash64("id"), F.col("_parts")).alias("_part"))
+    of = each.groupBy(*keys, "cells").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("_parts"))
+    members = each.join(of, [*keys, "cells"]).select(*keys, "id", "cells", F.pmod(F.xxhash64("id"), F.col("_parts")).alias("_part"))
     ids = F.transform(F.collect_list(F.struct("id")), lambda x: x["id"])  # null ids too
-    return of.select(*keys, side, "cells"), members.groupBy(*keys, side, "_part").agg(ids.alias(f"{side}_ids")).drop("_part")
+    return members.repartition(tasks, *keys, "cells", "_part").groupBy(*keys, "cells", "_part").agg(ids.alias(f"{side}_ids")).drop("_part")
+
+
+def _at_cells(alike: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
+    """A row per cell: (keys, _cell, side_ids, side_before with the cells before it, side_bits with their hashes)."""
+    rows = alike.select(*keys, f"{side}_ids", "cells", F.posexplode("cells").alias("_nth", "_cell"))
+    rows = rows.select(*keys, "_cell", f"{side}_ids", F.slice("cells", 1, F.col("_nth")).alias(f"{side}_before"))
+    places = F.transform(f"{side}_before", lambda c: F.pmod(F.xxhash64(c), F.lit(64 * WORDS)).cast("int"))
+
+    def word(w: int) -> Column:
+        inside = F.filter("_places", lambda p: F.shiftright(p, 6) == w)
+        return F.aggregate(inside, F.lit(0).cast("long"), lambda bits, p: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p % 64)))
+
+    return rows.withColumn("_places", places).withColumn(f"{side}_bits", F.struct(*[word(w).alias(f"w{w}") for w in range(WORDS)])).drop("_places")
 
 
 def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, a_id, b_id) of objects (id, cells) that share a cell.
 
-    Objects with the same cells are compared as one, so what is shuffled are pairs of different sets of cells. The ids behind
-    them come in slices and are paired last, row by row, where they lie; a pair is made once.
+    Objects with the same cells are compared as one. Two of them meet at every cell that they share and become a pair at the
+    first of these only, so pairs need no shuffle to be distinct: what is shuffled is a row per object and cell. Where a cell
+    has many rows, both sides come in slices. Ids are paired last, row by row, where they lie.
     """
-    x, a_ids = _alike(a, keys, "_a")
-    y, b_ids = _alike(b, keys, "_b")
-    met = x.select(*keys, "_a", F.explode("cells").alias("_cell")).join(y.select(*keys, "_b", F.explode("cells").alias("_cell")), [*keys, "_cell"]).select(*keys, "_a", "_b").distinct()
-    slices = met.join(a_ids, [*keys, "_a"]).join(b_ids, [*keys, "_b"])
+    spark = a.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)  # a fixed count: few bytes make many pairs
+    wide = a.select("cells").union(b.select("cells")).schema["cells"].dataType  # cells of both sides must hash alike
+    x, y = (_at_cells(_alike(o.withColumn("cells", F.col("cells").cast(wide)), keys, side, tasks), keys, side) for o, side in ((a, "_a"), (b, "_b")))
+    cell = [*keys, "_cell"]
+
+    def crowded(rows: DataFrame, parts: str) -> DataFrame:
+        return rows.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias(parts)).where(f"{parts} > 1")  # a row for so many rows at least
+
+    def dealt(rows: DataFrame, ids: str, own: str, other: str) -> DataFrame:
+        rows = rows.join(F.broadcast(a_parts), cell, "left").join(F.broadcast(b_parts), cell, "left").fillna(1, ["_a_part", "_b_part"])
+        return rows.withColumn(own, F.pmod(F.xxhash64(ids), F.col(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).repartition(tasks, *cell, "_a_part", "_b_part")
+
+    a_parts, b_parts = crowded(x, "_a_part"), crowded(y, "_b_part")
+    x, y = dealt(x, "_a_ids", "_a_part", "_b_part"), dealt(y, "_b_ids", "_b_part", "_a_part")
+    meet = [*cell, "_a_part", "_b_part"]
+    y = y.select(*[F.col(c).alias(f"_of_{c}") for c in meet], "_b_ids", "_b_before", "_b_bits")
+    apart = reduce(and_, [F.col(f"_a_bits.w{w}").bitwiseAND(F.col(f"_b_bits.w{w}")) == 0 for w in range(WORDS)])
+    first = apart | ~F.arrays_overlap("_a_before", "_b_before")
+    slices = x.join(y, reduce(and_, [F.col(c) == F.col(f"_of_{c}") for c in meet]) & first).select(*keys, "_a_ids", "_b_ids")
     return slices.select(*keys, F.explode("_a_ids").alias("a_id"), "_b_ids").select(*keys, "a_id", F.explode("_b_ids").alias("b_id"))
 
 
