@@ -18,6 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def many_tasks(spark: SparkSession) -> int:
+    """Partitions for rows of few bytes that make many pairs; a repartition to a count is not coalesced by their size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed and checkpointed: a lost executor costs a re-read and no earlier round."""
     spark = df.sparkSession

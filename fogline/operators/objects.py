@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fogline.functions.numeric import at_least, quantile_higher
+from fogline.functions.tables import many_tasks
 
 DETECTION = "object int, area_cells int, max_value double, centroid_x double, centroid_y double, row_min int, row_max int, col_min int, col_max int, cells array<int>"
 MIN_AREA = 8
@@ -110,8 +111,7 @@ def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFra
     first of these only, so pairs need no shuffle to be distinct: what is shuffled is a row per object and cell. Where a cell
     has many rows, both sides come in slices. Ids are paired last, row by row, where they lie.
     """
-    spark = a.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)  # a fixed count: few bytes make many pairs
+    tasks = many_tasks(a.sparkSession)
     wide = a.select("cells").union(b.select("cells")).schema["cells"].dataType  # cells of both sides must hash alike
     x, y = (_at_cells(_alike(o.withColumn("cells", F.col("cells").cast(wide)), keys, side, tasks), keys, side) for o, side in ((a, "_a"), (b, "_b")))
     cell = [*keys, "_cell"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fogline.functions.tables import many_tasks
 from fogline.operators.objects import TRACKS, Track, TrackerState, detections_of, track_step
 from fogline.sources.manifests import MANIFEST_KEY, merge_manifest
 
@@ -48,31 +49,70 @@ def _inside(f: DataFrame, t: DataFrame, max_lead_min: int) -> DataFrame:
     return f.join(t, inside).drop("bucket", "truth_bucket").where(F.unix_micros(F.col("obs_time").cast("timestamp")) <= F.unix_micros(F.col("issue_time").cast("timestamp")) + F.col("lead_min").cast("long") * 60_000_000)
 
 
-def slot_pairs_stream(forecasts: DataFrame, truths: DataFrame, max_lead_min: int = 120, delay: str = "3 hours") -> DataFrame:
-    """(issue_time, lead_min, obs_time) of ``pair_stream``, each once: forecasts of one issue and lead are one slot, truths of one time too.
+#: Blocks of time in the longest lead.
+LEAD_BLOCKS = 24
+#: Most ids of a block that one row carries while pairs are spread.
+SLOT_IDS = 512
 
-    Both are made distinct as streams before they are joined, within their watermarks, so that the state of the join has a row per slot.
-    """
-    f = forecasts.select("issue_time", "lead_min").withWatermark("issue_time", delay).dropDuplicates(["issue_time", "lead_min"])
-    t = truths.select("obs_time").withWatermark("obs_time", delay).dropDuplicates(["obs_time"])
-    return _inside(f, t, max_lead_min)
 
+def _width_s(max_lead_min: int) -> int:
+    return max(1, max_lead_min * 60 // LEAD_BLOCKS)
 
-#: Most ids of a slot that one row carries while pairs are spread.
-SLOT_IDS = 512
 
+def _blocks(forecasts: DataFrame, truths: DataFrame, max_lead_min: int, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(issue_block, lead_min) and (obs_block), the starts of the blocks that times lie in, each with a struct ``_one`` of what is named and the time."""
+    width = _width_s(max_lead_min)
+
+    def of(rows: DataFrame, time: str, block: str, *kept: str) -> DataFrame:
+        at = F.col(time).cast("timestamp")
+        start = F.timestamp_seconds(F.floor(F.unix_seconds(at) / width) * width)
+        return rows.select(start.alias(block), *kept, F.struct(*[F.col(c) for c in more if c in rows.columns], F.unix_micros(at).alias("at")).alias("_one"))
 
-def spread_slots(slots: DataFrame, forecasts: DataFrame, truths: DataFrame) -> DataFrame:
-    """(forecast_id, truth_id) of all forecasts and truths of the slots: ids come in slices and are paired row by row, where they lie."""
+    return of(forecasts, "issue_time", "issue_block", "lead_min"), of(truths, "obs_time", "obs_block")
 
-    def sliced(rows: DataFrame, slot: list[str], name: str) -> DataFrame:
-        sizes = rows.groupBy(*slot).agg(F.ceil(F.count(F.lit(1)) / SLOT_IDS).alias("_parts"))
-        part = F.pmod(F.xxhash64(name), F.col("_parts")).alias("_part")
-        return rows.join(sizes, slot).select(*slot, name, part).groupBy(*slot, "_part").agg(F.collect_list(name).alias(f"{name}s")).drop("_part")
 
-    met = slots.join(sliced(forecasts.select("issue_time", "lead_min", "forecast_id"), ["issue_time", "lead_min"], "forecast_id"), ["issue_time", "lead_min"])
-    met = met.join(sliced(truths.select("obs_time", "truth_id"), ["obs_time"], "truth_id"), "obs_time").select("forecast_ids", "truth_ids")
-    return met.select(F.explode("forecast_ids").alias("forecast_id"), "truth_ids").select("forecast_id", F.explode("truth_ids").alias("truth_id"))
+def block_pairs_stream(forecasts: DataFrame, truths: DataFrame, max_lead_min: int = 120, delay: str = "3 hours") -> DataFrame:
+    """(issue_block, lead_min, obs_block), each once: blocks of time, ``LEAD_BLOCKS`` in the longest lead, that can hold pairs of ``pair_stream``.
+
+    Both sides are made distinct as streams before they are joined, within their watermarks, so that the state of the join and its
+    rows follow the span of time, however many forecasts and truths it has: a block meets one more than its lead has, and its own.
+    """
+    width, (f, t) = _width_s(max_lead_min), _blocks(forecasts, truths, max_lead_min)
+    f = f.drop("_one").withWatermark("issue_block", delay).dropDuplicates(["issue_block", "lead_min"])
+    t = t.drop("_one").withWatermark("obs_block", delay).dropDuplicates(["obs_block"])
+    reach = max_lead_min * 60 + width
+    bucket = lambda c: F.floor(F.unix_seconds(c) / reach)
+    f = f.withColumn("bucket", F.explode(F.array(bucket("issue_block"), bucket("issue_block") + 1)))
+    t = t.withColumn("truth_bucket", bucket("obs_block"))
+    meets = (F.col("bucket") == F.col("truth_bucket")) & (F.col("obs_block") >= F.col("issue_block")) & (F.col("obs_block") < F.col("issue_block") + F.expr(f"INTERVAL {reach} SECONDS"))
+    return f.join(t, meets).drop("bucket", "truth_bucket").where(F.unix_seconds("obs_block") < F.unix_seconds("issue_block") + F.col("lead_min").cast("long") * 60 + width)
+
+
+def spread_blocks(blocks: DataFrame, forecasts: DataFrame, truths: DataFrame, max_lead_min: int = 120) -> DataFrame:
+    """(forecast_id, truth_id) of all pairs of ``pair_stream`` in the pairs of blocks.
+
+    Ids come in slices and are paired row by row, where they lie: as they are where every truth of a block is in the window of every
+    forecast of the other, by their times at the borders of the window.
+    """
+    width, tasks = _width_s(max_lead_min), many_tasks(blocks.sparkSession)
+    f, t = _blocks(forecasts, truths, max_lead_min, "forecast_id", "truth_id")
+
+    def sliced(rows: DataFrame, block: list[str], ones: str) -> tuple[DataFrame, DataFrame]:
+        sizes = rows.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / SLOT_IDS).cast("int").alias("_parts"))
+        part = F.pmod(F.xxhash64("_one"), F.col("_parts")).cast("int").alias("_part")
+        return sizes, rows.join(sizes, block).select(*block, "_one", part).groupBy(*block, "_part").agg(F.collect_list("_one").alias(ones))
+
+    t_sizes, t = sliced(t, ["obs_block"], "_truths")
+    f = sliced(f, ["issue_block", "lead_min"], "_forecasts")[1].drop("_part")
+    met = blocks.join(t_sizes, "obs_block").select("issue_block", "lead_min", "obs_block", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    met = met.join(f, ["issue_block", "lead_min"]).repartition(tasks, "obs_block", "_part").join(t.repartition(tasks, "obs_block", "_part"), ["obs_block", "_part"])
+    lead = F.least(F.col("lead_min").cast("long"), F.lit(max_lead_min).cast("long")) * 60
+    apart = F.unix_seconds("obs_block") - F.unix_seconds("issue_block")
+    met = met.select(((apart >= width) & (apart + width <= lead)).alias("_all"), (lead * 1_000_000).alias("_lead"), "_forecasts", F.col("_truths.truth_id").alias("_ids"), F.col("_truths.at").alias("_at"))
+    each = met.select("_all", "_lead", F.explode("_forecasts").alias("_f"), "_ids", "_at")
+    later = lambda i: F.col("_at")[i] - F.col("_f.at")
+    ids = F.when(F.col("_all"), F.col("_ids")).otherwise(F.filter("_ids", lambda _, i: (later(i) > 0) & (later(i) <= F.col("_lead"))))
+    return each.select(F.col("_f.forecast_id").alias("forecast_id"), F.explode(ids).alias("truth_id"))
 
 
 #: Parts that a manifest is dealt into by a hash of its key.
